@@ -195,12 +195,12 @@ def dropped_keys(documents: DataFrame, min_chars: int = 10, filter_bytes_limit:
         suspects = _suspects(documents, {r["shard"]: bytes(r["cells"]) for r in filters.toLocalIterator()}, min_chars)
     else:
         suspects = postings(documents, min_chars)
-    return suspects.join(repeated, "key").filter("doc_id > first_doc").select("doc_id", "key").distinct()
+    return suspects.join(repeated, "key").filter("doc_id > first_doc").select("doc_id", "key")
 
 
 def dedup_lines(documents: DataFrame, min_chars: int = 10, filter_bytes_limit: int = 32 << 20) -> DataFrame:
     """doc_id, text (kept lines), n_lines (before), n_dropped and kept_sha256 for every row."""
-    dropped = dropped_keys(documents, min_chars, filter_bytes_limit).groupBy("doc_id").agg(F.array_join(F.collect_list(F.hex("key")), "").alias("gone"))
+    dropped = dropped_keys(documents, min_chars, filter_bytes_limit).groupBy("doc_id").agg(F.array_join(F.collect_set(F.hex("key")), "").alias("gone"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined = rows.join(dropped.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left").select("doc_id", "text", "gone")
 
@@ -258,7 +258,7 @@ class LineIndex:
     def _update_filters(self, added: DataFrame, removed: DataFrame) -> DataFrame:
         """Per shard: delete the keys that are no longer repeated, insert the new ones, grow where full."""
 
-        def run(key, table: pa.Table) -> pa.Table:
+        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             cells = [c for c in table.column("cells").to_pylist() if c is not None]
             held = CuckooFilter.load(cells[0]) if cells else CuckooFilter(4)
             ops = table.filter(pa.compute.is_valid(table.column("key")))
