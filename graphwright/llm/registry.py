@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decision_list, line_dedup, mixing, quality_mil, sharding
+from . import decision_list, line_dedup, mixing, quality_mil, sharding, simhash_bk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.classify(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_bk.near_duplicates(_documents(spark, sf_dir))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
@@ -36,5 +40,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality_classifier, op7_sharding, op8_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality_classifier, op4_simhash_near_dedup, op7_sharding, op8_quality_rules, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
