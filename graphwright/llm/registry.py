@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decision_list, line_dedup, mixing, quality_mil, sharding, simhash_bk, substring_dedup
+from . import decision_list, decontaminate, line_dedup, mixing, quality_mil, sharding, simhash_bk, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +40,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality_classifier, op4_simhash_near_dedup, op5_substring_dedup, op7_sharding, op8_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality_classifier, op4_simhash_near_dedup, op5_substring_dedup, op7_sharding, op8_quality_rules, op9_decontamination, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
