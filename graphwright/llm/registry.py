@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decision_list, decontaminate, line_dedup, mixing, quality_mil, sharding, simhash_bk, substring_dedup
+from . import decision_list, decontaminate, line_dedup, mixing, pii, quality_mil, sharding, simhash_bk, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summarize(pii.find_spans(_documents(spark, sf_dir)))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
@@ -49,5 +53,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality_classifier, op4_simhash_near_dedup, op5_substring_dedup, op7_sharding, op8_quality_rules, op9_decontamination, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_quality_classifier, op4_simhash_near_dedup, op5_substring_dedup, op7_sharding, op8_quality_rules, op9_decontamination, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
