@@ -52,15 +52,15 @@ def _finish(copy: Column | int) -> Column:
     return (F.col("source_size") * copy + F.col("before") + F.col("size")) / F.col("target")
 
 
-def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words of all copies that the mix takes).
+def _plan_mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES, seed: int = 7) -> DataFrame:
+    """doc_id, text_key, source, size, source_size, target and copies (how often the mix takes the row) for every row.
 
     The sources' totals and targets (one row for each source) pass through the driver; documents don't.
     """
-    spark = documents.sparkSession
+    spark, text_key = documents.sparkSession, F.xxhash64("text")
     rows = materialize(
         documents.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-                         F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("turn")),
+                         text_key.alias("text_key"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("turn")),
         "mixing-rows",
     )
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.max("size").alias("longest")).collect()
@@ -81,6 +81,24 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     total = running_total(sent, F.lit("all"), [F.col("place")], F.col("size"), "before")
     cut = total.filter(F.col("before") + F.col("size") <= budget + 1e-6).agg(F.max("place").alias("cut")).head()["cut"]
     last = F.struct(*(F.lit(None if cut is None else cut[f.name]).cast(f.dataType).alias(f.name) for f in sent.schema["place"].dataType))
-    taken = sum((F.when(place(F.lit(i)) <= last, F.col("size")).otherwise(0) for i in range(most)), F.lit(0))
+    copies = sum((F.when(place(F.lit(i)) <= last, 1).otherwise(0) for i in range(most)), F.lit(0))
     sends = (F.col("size") > 0) & (F.col("target") > 0) & F.lit(cut is not None)
-    return queued.select("doc_id", "source", "size", "source_size", "target", F.when(sends, taken).otherwise(0).cast("long").alias("taken"))
+    return queued.select("doc_id", "text_key", "source", "size", "source_size", "target", F.when(sends, copies).otherwise(0).alias("copies"))
+
+
+def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken (words of all copies that the mix takes) for every row."""
+    mixed = _plan_mix(documents, weights, most, seed)
+    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES, seed: int = 7) -> DataFrame:
+    """The rows of documents, each as often as the mix takes it. Of repeated rows (same doc_id, text and source) the copies are summed up first."""
+    plan = _plan_mix(documents, weights, most, seed).groupBy("doc_id", "text_key", "source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    plan = plan.filter("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("source").alias("_source"), F.col("copies").alias("_copies"), F.col("rows").alias("_rows"))
+    # Of equal rows one is taken as often as all of them together.
+    own = documents.withColumn("_own", F.xxhash64("text"))
+    joined = own.join(plan, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_key")) & F.col("source").cast("string").eqNullSafe(F.col("_source")))
+    single = joined.filter("_rows = 1").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    repeated = joined.filter("_rows > 1").dropDuplicates(["_doc", "_key", "_source"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return single.unionByName(repeated).select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decision_list, decontaminate, line_dedup, mixing, pii, quality_mil, sharding, simhash_bk, substring_dedup
+from . import decision_list, decontaminate, line_dedup, mixing, pii, quality_mil, sharding, simhash_bk, sstable, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.encode_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
@@ -53,5 +58,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_quality_classifier, op4_simhash_near_dedup, op5_substring_dedup, op7_sharding, op8_quality_rules, op9_decontamination, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_quality_classifier, op4_simhash_near_dedup, op5_substring_dedup, op6_token_tables, op7_sharding, op8_quality_rules, op9_decontamination, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
