@@ -4,6 +4,8 @@ Nodes are 12-word sequences, edges the 13-word windows between them. Consecutive
 minimizer (the least hash of the window's five-word parts) form one unbranched path piece, and equal edges always
 share it, so pieces are compared before edges:
 
+0. A document whose whole text a smaller doc_id has too is cut entirely (if it has a window); it needs no graph, and
+   what others share with it they share with the smaller document. So a group of copies, however large, is one document below.
 1. Every path piece sends (minimizer, doc_id); a partial aggregation keeps the minimizers of at least two documents.
 2. Only edges of such pieces are taken further, as (96-bit edge hash, doc_id, coordinate), and aggregated to the
    least doc_id of each edge; joined back, edges that start in a smaller document remain, with their coordinates.
@@ -25,7 +27,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_filter
@@ -34,6 +38,8 @@ from .textbatch import Words, mix, pieces, range_hash
 
 WINDOW = 13
 PART = 5
+_WHOLE = -1
+_MARKS = "array<struct<start:int,check:int>>"
 
 
 def _minimizers(hashes: np.ndarray, w: Words, first: np.ndarray, window: int, part: int) -> np.ndarray:
@@ -72,7 +78,7 @@ def path_minimizers(rows: DataFrame, window: int, part: int) -> DataFrame:
     return rows.mapInArrow(run, "minimizer long, doc_id long")
 
 
-def candidate_edges(rows: DataFrame, cells, window: int, part: int) -> DataFrame:
+def candidate_edges(rows: DataFrame, cells: Broadcast, window: int, part: int) -> DataFrame:
     """(edge, check, doc_id, start) of the windows whose minimizer may be in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,13 +95,48 @@ def candidate_edges(rows: DataFrame, cells, window: int, part: int) -> DataFrame
     return rows.mapInArrow(run, "edge long, check int, doc_id long, start int")
 
 
-def repeated_edges(documents: DataFrame, window: int = WINDOW, part: int = PART) -> DataFrame:
-    """(doc_id, start, check, first_doc): windows that also start in a document with a smaller doc_id, the least of which is first_doc."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+def _text_check() -> Column:
+    """Low 32 bits of the text's XXH64, signed; _whole_check is the same in Python."""
+    return F.shiftright(F.shiftleft(F.xxhash64("text"), 32), 32).cast("int")
+
+
+def _whole_check(text: str) -> int:
+    return int(np.uint32(xxhash.xxh64_intdigest(text.encode(), 42) & 0xFFFFFFFF).view(np.int32))
+
+
+def _digest() -> Column:
+    return F.unhex(F.sha2("text", 256))
+
+
+def _rows(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def whole_copies(documents: DataFrame) -> DataFrame:
+    """(doc_id, digest, check) of the texts that a smaller doc_id has too."""
+    texts = _rows(documents).filter("doc_id is not null and text <> ''").select("doc_id", _digest().alias("digest"), _text_check().alias("check"))
+    first = texts.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
+    first = materialize(first, "copied-texts")
+    return materialize(texts.join(first, "digest").filter("doc_id > first_doc").select("doc_id", "digest", "check").distinct(), "whole-copies")
+
+
+def without_copies(documents: DataFrame, copies: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows with a doc_id that are no whole copies. Only rows that the filter suspects are joined."""
+    rows, cells = _rows(documents).filter("doc_id is not null"), fixed_filter.build(copies.select("doc_id"))
+    suspects = fixed_filter.split(rows, "doc_id", cells, True).withColumn("digest", _digest())
+    return fixed_filter.split(rows, "doc_id", cells, False).unionByName(suspects.join(copies, ["doc_id", "digest"], "left_anti").drop("digest"))
+
+
+def repeated_edges(rows: DataFrame, window: int = WINDOW, part: int = PART) -> DataFrame:
+    """(doc_id, start, check, first_doc): windows that also start in a row with a smaller doc_id, the least of which is first_doc.
+
+    rows: doc_id (long, not null), text. The first documents are written before the join, so that adaptive execution can split
+    an edge that very many documents hold.
+    """
     spread = F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
     shared = path_minimizers(rows, window, part).groupBy("minimizer").agg(*spread).filter("first_doc < last_doc").select("minimizer")
     edges = candidate_edges(rows, fixed_filter.build(shared), window, part)
-    first = edges.groupBy("edge", "check").agg(*spread).filter("first_doc < last_doc").select("edge", "check", "first_doc")
+    first = materialize(edges.groupBy("edge", "check").agg(*spread).filter("first_doc < last_doc").select("edge", "check", "first_doc"), "first-edges")
     return edges.join(first, ["edge", "check"]).filter("doc_id > first_doc").select("doc_id", "start", "check", "first_doc")
 
 
@@ -105,9 +146,14 @@ def _cut(texts: list[str | None], marks: list[list[dict] | None], window: int) -
         data = (text or "").encode()
         words = data.split()
         own: list[dict] = []
-        if mark:
+        if mark and len(words) >= window and any(m["start"] == _WHOLE and m["check"] == _whole_check(text) for m in mark):
+            own.append({"start": 0, "end": len(words)})
+            n_words.append(len(words))
+            n_removed.append(len(words))
+            words = []
+        elif mark:
             w = Words(pa.array([text]))
-            starts = np.unique(np.array([m["start"] for m in mark if m["start"] + window <= len(words)], dtype=np.int64))
+            starts = np.unique(np.array([m["start"] for m in mark if 0 <= m["start"] <= len(words) - window], dtype=np.int64))
             wanted = {(m["start"], m["check"]) for m in mark}
             real = [s for s, c in zip(starts.tolist(), _check(w.hashes(), starts, window).tolist()) if (s, c) in wanted]
             for s in real:
@@ -131,12 +177,13 @@ def _cut(texts: list[str | None], marks: list[list[dict] | None], window: int) -
 
 def dedup_substrings(documents: DataFrame, window: int = WINDOW, part: int = PART) -> DataFrame:
     """doc_id, text (kept words), n_words, n_removed, kept_sha256 and spans (removed words, start to end) for every row."""
-    edges = materialize(repeated_edges(documents, window, part).select("doc_id", "start", "check"), "repeated-edges")
-    touched = fixed_filter.build(edges.select("doc_id").distinct())
-    marks = edges.groupBy("doc_id").agg(F.collect_set(F.struct("start", "check")).alias("marks")).withColumnRenamed("doc_id", "marked")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    none = F.lit(None).cast("array<struct<start:int,check:int>>").alias("marks")
-    plain = fixed_filter.split(rows, "doc_id", touched, False).select("doc_id", "text", none)
+    copies = whole_copies(documents)
+    edges = materialize(repeated_edges(without_copies(documents, copies), window, part).select("doc_id", "start", "check"), "repeated-edges")
+    marked_rows = edges.unionByName(copies.select("doc_id", F.lit(_WHOLE).alias("start"), "check"))
+    touched = fixed_filter.build(marked_rows.select("doc_id"))
+    marks = marked_rows.groupBy("doc_id").agg(F.collect_set(F.struct("start", "check")).alias("marks")).withColumnRenamed("doc_id", "marked")
+    rows = _rows(documents)
+    plain = fixed_filter.split(rows, "doc_id", touched, False).select("doc_id", "text", F.lit(None).cast(_MARKS).alias("marks"))
     marked = fixed_filter.split(rows, "doc_id", touched, True).join(marks, F.col("doc_id") == F.col("marked"), "left").select("doc_id", "text", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
