@@ -7,7 +7,7 @@
    rarest term are intersected on (document, item, begin).
 4. Where both agree, the item's words are compared with the document's; all windows that are equal there are matches.
 
-Terms of the benchmark are broadcast only up to BROADCAST_TERMS of them (a bound on their size); beyond that,
+Items and their terms are broadcast only if all items have at most BROADCAST_TERMS words (a bound on their size); beyond that,
 frequencies are aggregated before the join and postings are joined by a shuffle.
 
 Cases: null texts have no words; an item shorter than a window is one window; items without words match nothing, and
@@ -86,7 +86,7 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, length: int = LENGT
     """(doc_id, text_key, item, start, span): every exact occurrence of a benchmark window."""
     items = materialize(benchmark_items(benchmark), "benchmark-items")
     vocabulary = items.select(F.explode("words").alias("term")).distinct()
-    small = vocabulary.count() <= BROADCAST_TERMS
+    small = (items.agg(F.sum(F.size("words"))).head()[0] or 0) <= BROADCAST_TERMS
     frequencies = materialize(term_frequencies(documents, vocabulary, small), "term-frequencies")
     anchors = materialize(window_anchors(items, frequencies, length), "window-anchors")
     index = materialize(positional_index(documents, anchors.select("term").distinct(), small), "positional-index")
@@ -98,17 +98,19 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, length: int = LENGT
 
     one, two = begins(1).alias("one"), begins(2).alias("two")
     both = one.join(two, _same("one", "two") & (F.col("one.item_key") == F.col("two.item_key")) & (F.col("one.begin") == F.col("two.begin")), "left_semi")
-    placed = both.join(items, "item_key").alias("at")
-    span = F.least(F.size("wanted"), F.lit(length))
-    low, high = F.greatest(F.lit(0), -F.col("begin")), F.least(F.size("wanted"), F.col("n") - F.col("begin")) - span
-    found = (
-        _keyed(documents).alias("doc").join(placed, _same("doc", "at"))
-        .select("doc.doc_id", "doc.text_key", "at.item", "at.begin", F.col("at.words").alias("wanted"), terms(F.col("doc.text")).alias("words"))
-        .select("doc_id", "text_key", "item", "begin", "wanted", F.size("words").alias("n"), F.slice("words", F.greatest(F.lit(1), F.col("begin") + 1), F.size("wanted")).alias("here"))
-        .withColumn("begin_at", F.when(high >= low, F.filter(F.sequence(low, high), lambda s: F.slice("wanted", s + 1, span) == F.slice("here", s + F.least(F.lit(0), F.col("begin")) + 1, span))))
-    )
-    placed_at = F.transform("begin_at", lambda s: s + F.col("begin"))
-    return found.select("doc_id", "text_key", "item", F.explode(placed_at).alias("start"), span.alias("span"))
+    lengths = items.select("item_key", F.size("words").alias("n"))
+    placed = both.join(F.broadcast(lengths) if small else lengths, "item_key").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_key", "begin", "n")).alias("places")).alias("at")
+    # A document is split once: explode() of a one-element array keeps the words as a value, so that the
+    # places' slices do not each split the text anew.
+    split = _keyed(documents).alias("doc").join(placed, _same("doc", "at")).select("doc.doc_id", "doc.text_key", "at.places", F.explode(F.array(terms(F.col("doc.text")))).alias("words"))
+    cut = F.transform("places", lambda p: F.struct(p["item_key"].alias("item_key"), p["begin"].alias("begin"), F.slice("words", F.greatest(F.lit(1), p["begin"] + 1), F.least(p["n"], p["n"] + p["begin"])).alias("here")))
+    here = split.select("doc_id", "text_key", F.inline(cut))
+    wanted = items.select("item_key", "item", F.col("words").alias("wanted"))
+    span, skipped = F.least(F.size("wanted"), F.lit(length)), F.greatest(F.lit(0), -F.col("begin"))
+    last = skipped + F.size("here") - span
+    equal = F.filter(F.sequence(skipped, last), lambda s: F.slice("wanted", s + 1, span) == F.slice("here", s - skipped + 1, span))
+    found = here.join(F.broadcast(wanted) if small else wanted, "item_key").filter(last >= skipped)
+    return found.select("doc_id", "text_key", "item", F.explode(F.transform(equal, lambda s: s + F.col("begin"))).alias("start"), span.alias("span"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, length: int = LENGTH) -> DataFrame:
