@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import SparkSession
 
 DIRTY = [
     (0, "First line here that is long enough\nsecond line of the text\n\n  FIRST line here that is long enough ", "en", "a", 5),
@@ -17,16 +16,6 @@ DIRTY = [
 ]
 
 
-@pytest.fixture(scope="session")
-def spark():
-    session = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    )
-    session.sparkContext.setLogLevel("ERROR")
-    return session
-
-
 @pytest.fixture(scope="session")
 def dirty(spark):
     """Nulls, empty and long texts, copies, and columns whose names clash with those that operators add."""
