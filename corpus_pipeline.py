@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphwright.llm import decision_list, decontaminate, mixing, simhash_bk, sstable
+from graphwright.llm import decision_list, decontaminate, mixing, similar, sstable
 from graphwright.llm.storage import materialize
 
 
@@ -17,8 +17,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (SimHash of five-word shingles) the smallest doc_id stays."""
-    return simhash_bk.keep_first(docs)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    return similar.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """A Bloom filter of fixed size over 64-bit keys, built by Spark tasks and small enough to broadcast at any scale.
 
-Its size is a constant (BITS), so it is a safe broadcast. It never misses a key; with more keys it only lets
+Its size is a constant (BITS), so it is a safe broadcast; it is sent compressed, so while it is nearly empty it is smaller still. It never misses a key; with more keys it only lets
 more strangers pass, which costs work in later exact steps but never changes a result.
 """
 
@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
@@ -46,11 +47,16 @@ def build(keys: DataFrame) -> Broadcast:
     packed = keys.mapInArrow(bits, "chunk int, bit int").repartition("chunk").mapInArrow(pack, "chunk int, cells binary")
     for row in packed.toLocalIterator():  # at most BITS / CHUNK rows
         cells[row["chunk"] * CHUNK // 8 : (row["chunk"] + 1) * CHUNK // 8] = np.frombuffer(bytes(row["cells"]), dtype=np.uint8)
-    return keys.sparkSession.sparkContext.broadcast(cells.tobytes())
+    return keys.sparkSession.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(cells.tobytes()))
 
 
-def may_have(cells: bytes, keys: np.ndarray) -> np.ndarray:
-    table, found = np.frombuffer(cells, dtype=np.uint8), np.ones(len(keys), dtype=bool)
+def load(cells: Broadcast) -> np.ndarray:
+    """The filter's bytes, once for each task."""
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(cells.value, max_output_size=BITS // 8), dtype=np.uint8)
+
+
+def may_have(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    found = np.ones(len(keys), dtype=bool)
     for k in range(HASHES):
         bit = _bits(keys, k)
         found &= (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
@@ -63,9 +69,10 @@ def split(df: DataFrame, key: str, cells: Broadcast, inside: bool) -> DataFrame:
     at = names.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = load(cells)
         for batch in batches:
             column = batch.column(at)
-            found = may_have(cells.value, column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & column.is_valid().to_numpy(zero_copy_only=False)
+            found = may_have(table, column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & column.is_valid().to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(found == inside))
 
     return df.mapInArrow(run, df.schema)

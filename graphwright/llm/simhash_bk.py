@@ -216,10 +216,3 @@ def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3, tree_
     named = placed.join(least, "root").select(F.col("fp").alias("print"), "component_id")
     joined = rows.join(named, F.col("fp") == F.col("print"))
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_first(documents: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
-    """documents with one row for each component: that of the smallest doc_id. Rows without a doc_id stay, as they cannot be told apart."""
-    kept = near_duplicates(documents, words, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    ids = F.col("doc_id").cast("long")
-    return documents.join(kept, ids == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(documents.filter(ids.isNull()))

@@ -82,10 +82,11 @@ def candidate_edges(rows: DataFrame, cells: Broadcast, window: int, part: int) -
     """(edge, check, doc_id, start) of the windows whose minimizer may be in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = fixed_filter.load(cells)
         for piece in pieces(batches):
             w = Words(piece.column(1))
             first, hashes, owner = w.windows(window), w.hashes(), w.owners()
-            first = first[fixed_filter.may_have(cells.value, _minimizers(hashes, w, first, window, part))]
+            first = first[fixed_filter.may_have(table, _minimizers(hashes, w, first, window, part))]
             own = owner[first]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range_hash(hashes, first, first + window).view(np.int64)), pa.array(_check(hashes, first, window)), pa.array(_ids(piece)[own]), pa.array((first - w.docs[own]).astype(np.int32))],

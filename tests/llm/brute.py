@@ -81,6 +81,21 @@ def components(prints, radius=3):
     return [root(i) for i in range(len(prints))]
 
 
+def similar_groups(texts, words=5, similarity=0.8):
+    """For each text the smallest index reachable by pairs whose word shingles are that similar."""
+    sets = []
+    for text in texts:
+        w = WORD.findall((text or "").translate(LOWER))
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))})
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
 def substring_dedup(docs, k=13):
     first = {}
     words = {d: WORD.findall(t or "") for d, t in docs}

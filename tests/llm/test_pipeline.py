@@ -38,7 +38,7 @@ def test_stages_match_brute_force(spark, small, steps):
     assert {r["doc_id"] for r in quality} == {r[0] for r in judged.filter("kept").select("row.doc_id").collect()}
     assert all(r["text"] == docs[r["doc_id"]] for r in quality)
     ids = sorted(r["doc_id"] for r in quality)
-    roots = brute.components([brute.fingerprint(docs[i], 5) for i in ids])
+    roots = brute.similar_groups([docs[i] for i in ids])
     assert sorted(r["doc_id"] for r in unique) == sorted({ids[r] for r in roots})
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     hit = {d for d, _, h, _ in brute.decontaminate([(r["doc_id"], r["text"]) for r in unique], items) if h}
