@@ -60,7 +60,7 @@ def _plan_mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
     spark, text_key = documents.sparkSession, F.xxhash64("text")
     rows = materialize(
         documents.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-                         text_key.alias("text_key"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("turn")),
+                         text_key.alias("text_key"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("turn")),
         "mixing-rows",
     )
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.max("size").alias("longest")).collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decision_list, decontaminate, line_dedup, mixing, pii, quality_mil, sharding, simhash_bk, sstable, substring_dedup
+from . import decision_list, decontaminate, line_dedup, mixing, oracle, pii, quality_mil, sharding, simhash_bk, sstable, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +59,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_quality_classifier, op4_simhash_near_dedup, op5_substring_dedup, op6_token_tables, op7_sharding, op8_quality_rules, op9_decontamination, op10_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": oracle.LINE_DEDUP,
+    "op5_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op9_decontamination": oracle.DECONTAMINATION,
+    "op10_mixing": oracle.MIXING,
+}
