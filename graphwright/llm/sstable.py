@@ -11,8 +11,8 @@ A search reads the footer, asks the Bloom filter, finds the block in the sparse
 
 Spark range-partitions the documents by doc_id; each task tokenizes and writes its files into the shared folder,
 named after the task attempt, and returns manifest rows. Only files in the manifest count, so a task that is run again
-or twice does no harm. A text is encoded by white-space separated pieces, which the tokenizer's own rules never join;
-each task keeps a bounded table of encoded pieces.
+or twice does no harm. Encoded words are kept in bounded tables, one set for each worker process
+(TextEncoder says when that is exact).
 
 Cases: null text is an empty one (just the end id); null doc_ids come first; rows with equal doc_id are neighbours, ordered by
 text; an empty table gives an empty result; other columns are ignored.
@@ -21,6 +21,8 @@ text; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import functools
+import json
 import os
 import struct
 import uuid
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -44,7 +47,7 @@ ENTRY = struct.Struct("<HHI")
 INDEX = struct.Struct("<B8sQII")
 BLOCK_BYTES = 256 << 10
 SHARD_BYTES = 64 << 20
-CACHED_PIECES = 300_000
+CACHED_PIECES = 400_000
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long, first_key binary, last_key binary"
 
@@ -57,30 +60,92 @@ def id_of(key: bytes) -> int | None:
     return struct.unpack(">Q", key)[0] - (1 << 63) if key else None
 
 
-class PieceEncoder:
-    """Encodes texts by pieces between ASCII white space, with a bounded table of what was encoded before."""
+def _byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: itself where printable, else the next one from U+0100."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
-    def __init__(self, tokenizer_path: str, end_id: int):
+
+class _Recent(dict):
+    """A table of what was encoded lately: when it is full it becomes the old one, from which entries come back when they are used."""
+
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self.encode, self.most, self.old = encode, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.encode(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class TextEncoder:
+    """Encodes texts; the result is that of the library for the whole text.
+
+    If the tokenizer drops white space and splits by a pattern (normalizer NFC, white space to one space, lower case; split by a
+    pattern, then byte level), no token crosses ASCII white space, so parts between it are encoded alone and kept in a bounded
+    table. Parts of printable characters below U+0130 are split here (there NFC changes nothing and lower case is plain) and
+    only their letters are given to the library's model; all others go through the whole tokenizer. Other tokenizers encode whole texts.
+    """
+
+    def __init__(self, tokenizer_path: str, end_id: int, kept: int = CACHED_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else "<u4")
-        self.end = np.array([end_id], dtype=self.dtype).tobytes()
-        self.known: dict[bytes, bytes] = {}
+        self.format = "H" if self.dtype.itemsize == 2 else "I"
+        self.end = self._bytes([end_id])
+        self.pattern = self._word_pattern()
+        self.letters = _byte_letters()
+        self.pieces = _Recent(self._piece, kept)
+        self.parts = _Recent(self._part, kept)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.format}", *ids)
+
+    def _word_pattern(self):
+        made = json.loads(self.tokenizer.to_str())
+        steps = (made.get("normalizer") or {}).get("normalizers", [])
+        splits = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        kinds = [x["type"] for x in steps], [x["type"] for x in splits], made["model"]["type"]
+        if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "BPE") or steps[1]["pattern"] != {"Regex": "\\s+"} or steps[1]["content"] != " ":
+            return None
+        if splits[0]["behavior"] != "Removed" or not splits[0]["invert"] or splits[1]["add_prefix_space"] or splits[1].get("use_regex", True) or any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in made["added_tokens"]):
+            return None
+        self.marks = [x["content"] for x in made["added_tokens"]]
+        if any(m.split() != [m] for m in self.marks):
+            return None
+        return regex.compile(splits[0]["pattern"]["Regex"])
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join([self.letters[b] for b in piece.encode()])
+        return self._bytes([t.id for t in self.tokenizer.model.tokenize(piece)])
+
+    def _part(self, part: bytes) -> bytes:
+        text = part.decode()
+        if text.isprintable() and (text.isascii() or max(text) < "\u0130") and not any(m in text for m in self.marks):
+            return b"".join([self.pieces[p] for p in self.pattern.findall(text.lower())])
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        missing = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(missing) > CACHED_PIECES:
-            self.known = {}
-            missing = list({w for words in split for w in words})
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype=self.dtype).tobytes()) for w, e in zip(part, found))
-        known = self.known
-        return [b"".join([known[w] for w in words]) + self.end for words in split]
+        if self.pattern is None:
+            return [self._bytes(e.ids) + self.end for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        parts = self.parts
+        return [b"".join([parts[w] for w in (t or "").encode().split()]) + self.end for t in texts]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_of(tokenizer_path: str, end_id: int) -> TextEncoder:
+    """One encoder for each worker process, so its tables last over tasks."""
+    return TextEncoder(tokenizer_path, end_id)
 
 
 class ShardWriter:
@@ -177,7 +242,7 @@ def write_tables(documents: DataFrame, tokenizer_path: str, end_id: int = 1, pat
     path = path or fresh_path(spark, "token-tables")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, encoder, done, writer, name = TaskContext.get(), PieceEncoder(tokenizer_path, end_id), [], None, ""
+        task, encoder, done, writer, name = TaskContext.get(), encoder_of(tokenizer_path, end_id), [], None, ""
         system, folder = fs.FileSystem.from_uri(path)
 
         def close() -> None:

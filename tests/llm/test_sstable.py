@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from graphwright.llm import sstable
@@ -60,8 +62,24 @@ def test_keys_keep_the_order():
     assert sstable.key_of(None) < keys[0]
 
 
-def test_piece_table_is_bounded(tokenizer, monkeypatch):
-    monkeypatch.setattr(sstable, "CACHED_PIECES", 5)
-    encoder = sstable.PieceEncoder(PATH, 1)
-    for text in ("a b c d", "e f g a b", "one two three four five six seven"):
+def test_tables_are_bounded_and_exact(tokenizer):
+    encoder = sstable.TextEncoder(PATH, 1, kept=5)
+    for text in ("a b c d", "e f g a b", "one two three four five six seven", "a b c d e f g"):
         assert np.frombuffer(encoder.encode([text])[0], dtype="<u2").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    assert len(encoder.parts) <= 5 and len(encoder.parts.old) <= 5
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x180), st.sampled_from("'stremvld <|endoftext>ßéÉİıſΣσ\u0301\u00a0\u00ad½²ª日😀 ")), max_size=60))
+def test_parts_equal_the_whole_tokenizer(text):
+    text = text.encode("utf-8", "ignore").decode()
+    whole = sstable.encoder_of(PATH, 1)
+    assert np.frombuffer(whole.encode([text])[0], dtype="<u2").tolist() == [*whole.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_other_tokenizers_encode_whole_texts(rows):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = sstable.TextEncoder(path, 1)
+    assert encoder.pattern is None
+    for _, text in rows[:20]:
+        assert np.frombuffer(encoder.encode([text])[0], dtype=encoder.dtype).tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
