@@ -39,9 +39,10 @@ def build(keys: DataFrame) -> Broadcast:
         for batch in batches:
             chunks, places = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             for chunk in np.unique(chunks).tolist():
-                held.setdefault(chunk, np.zeros(CHUNK, dtype=bool))[places[chunks == chunk]] = True
-        for chunk, flags in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["chunk", "cells"])
+                own = places[chunks == chunk]
+                np.bitwise_or.at(held.setdefault(chunk, np.zeros(CHUNK // 8, dtype=np.uint8)), own >> 3, np.left_shift(1, own & 7).astype(np.uint8))
+        for chunk, own in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["chunk", "cells"])
 
     cells = np.zeros(BITS // 8, dtype=np.uint8)
     packed = keys.mapInArrow(bits, "chunk int, bit int").repartition("chunk").mapInArrow(pack, "chunk int, cells binary")
@@ -63,16 +64,18 @@ def may_have(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return found
 
 
-def split(df: DataFrame, key: str, cells: Broadcast, inside: bool) -> DataFrame:
-    """The rows of df whose long column key may be in the filter (or certainly is not); null keys are outside."""
-    names = df.columns
-    at = names.index(key)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = load(cells)
-        for batch in batches:
+def select(batches: Iterator[pa.RecordBatch], at: int, cells: Broadcast | None, inside: bool) -> Iterator[pa.RecordBatch]:
+    """The rows whose long key in column at may be in the filter (or certainly is not); null keys are outside. Without a filter all rows."""
+    table = None if cells is None else load(cells)
+    for batch in batches:
+        if table is not None:
             column = batch.column(at)
-            found = may_have(table, column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & column.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(found == inside))
+            keys = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            batch = batch.filter(pa.array((may_have(table, keys) & column.is_valid().to_numpy(zero_copy_only=False)) == inside))
+        yield batch
+
 
-    return df.mapInArrow(run, df.schema)
+def suspects(df: DataFrame, key: str, cells: Broadcast) -> DataFrame:
+    """The rows of df whose long column key may be in the filter."""
+    at = df.columns.index(key)
+    return df.mapInArrow(lambda batches: select(batches, at, cells, True), df.schema)

@@ -23,7 +23,8 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -62,11 +63,11 @@ def _ids(piece: pa.RecordBatch) -> np.ndarray:
     return piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def path_minimizers(rows: DataFrame, window: int, part: int) -> DataFrame:
-    """(minimizer, doc_id) of every path piece; rows: doc_id (long, not null), text."""
+def path_minimizers(rows: DataFrame, without: Broadcast | None, window: int, part: int) -> DataFrame:
+    """(minimizer, doc_id) of every path piece; rows: doc_id (long, not null), text. Rows in the filter `without` are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(fixed_filter.select(batches, 0, without, False)):
             w = Words(piece.column(1))
             first = w.windows(window)
             least = _minimizers(w.hashes(), w, first, window, part)
@@ -78,12 +79,12 @@ def path_minimizers(rows: DataFrame, window: int, part: int) -> DataFrame:
     return rows.mapInArrow(run, "minimizer long, doc_id long")
 
 
-def candidate_edges(rows: DataFrame, cells: Broadcast, window: int, part: int) -> DataFrame:
+def candidate_edges(rows: DataFrame, without: Broadcast | None, cells: Broadcast, window: int, part: int) -> DataFrame:
     """(edge, check, doc_id, start) of the windows whose minimizer may be in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = fixed_filter.load(cells)
-        for piece in pieces(batches):
+        for piece in pieces(fixed_filter.select(batches, 0, without, False)):
             w = Words(piece.column(1))
             first, hashes, owner = w.windows(window), w.hashes(), w.owners()
             first = first[fixed_filter.may_have(table, _minimizers(hashes, w, first, window, part))]
@@ -121,22 +122,34 @@ def whole_copies(documents: DataFrame) -> DataFrame:
     return materialize(texts.join(first, "digest").filter("doc_id > first_doc").select("doc_id", "digest", "check").distinct(), "whole-copies")
 
 
-def without_copies(documents: DataFrame, copies: DataFrame) -> DataFrame:
-    """(doc_id, text) of the rows with a doc_id that are no whole copies. Only rows that the filter suspects are joined."""
+Part = tuple[DataFrame, Broadcast | None]
+
+
+def without_copies(documents: DataFrame, copies: DataFrame) -> list[Part]:
+    """The rows with a doc_id that are no whole copies, in two parts: (rows, filter of doc_ids to leave out).
+
+    Only rows that the filter suspects are joined with the copies. The filter is applied by the task that computes, so a task
+    has one Python worker.
+    """
     rows, cells = _rows(documents).filter("doc_id is not null"), fixed_filter.build(copies.select("doc_id"))
-    suspects = fixed_filter.split(rows, "doc_id", cells, True).withColumn("digest", _digest())
-    return fixed_filter.split(rows, "doc_id", cells, False).unionByName(suspects.join(copies, ["doc_id", "digest"], "left_anti").drop("digest"))
+    suspects = fixed_filter.suspects(rows, "doc_id", cells).withColumn("digest", _digest())
+    return [(rows, cells), (suspects.join(copies, ["doc_id", "digest"], "left_anti").drop("digest"), None)]
+
 
+def _all(parts: list[Part], compute: Callable[[DataFrame, Broadcast | None], DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (compute(rows, cells) for rows, cells in parts))
 
-def repeated_edges(rows: DataFrame, window: int = WINDOW, part: int = PART) -> DataFrame:
+
+def repeated_edges(parts: list[Part], window: int = WINDOW, part: int = PART) -> DataFrame:
     """(doc_id, start, check, first_doc): windows that also start in a row with a smaller doc_id, the least of which is first_doc.
 
-    rows: doc_id (long, not null), text. The first documents are written before the join, so that adaptive execution can split
-    an edge that very many documents hold.
+    The rows of parts have doc_id (long, not null) and text. The first documents are written before the join, so that adaptive
+    execution can split an edge that very many documents hold.
     """
     spread = F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
-    shared = path_minimizers(rows, window, part).groupBy("minimizer").agg(*spread).filter("first_doc < last_doc").select("minimizer")
-    edges = candidate_edges(rows, fixed_filter.build(shared), window, part)
+    minimizers = _all(parts, lambda rows, without: path_minimizers(rows, without, window, part))
+    shared = fixed_filter.build(minimizers.groupBy("minimizer").agg(*spread).filter("first_doc < last_doc").select("minimizer"))
+    edges = _all(parts, lambda rows, without: candidate_edges(rows, without, shared, window, part))
     first = materialize(edges.groupBy("edge", "check").agg(*spread).filter("first_doc < last_doc").select("edge", "check", "first_doc"), "first-edges")
     return edges.join(first, ["edge", "check"]).filter("doc_id > first_doc").select("doc_id", "start", "check", "first_doc")
 
@@ -184,17 +197,19 @@ def dedup_substrings(documents: DataFrame, window: int = WINDOW, part: int = PAR
     touched = fixed_filter.build(marked_rows.select("doc_id"))
     marks = marked_rows.groupBy("doc_id").agg(F.collect_set(F.struct("start", "check")).alias("marks")).withColumnRenamed("doc_id", "marked")
     rows = _rows(documents)
-    plain = fixed_filter.split(rows, "doc_id", touched, False).select("doc_id", "text", F.lit(None).cast(_MARKS).alias("marks"))
-    marked = fixed_filter.split(rows, "doc_id", touched, True).join(marks, F.col("doc_id") == F.col("marked"), "left").select("doc_id", "text", "marks")
+    marked = fixed_filter.suspects(rows, "doc_id", touched).join(marks, F.col("doc_id") == F.col("marked"), "left").select("doc_id", "text", "marks")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
-            n_words, n_removed, kept, spans = _cut(piece.column(1).to_pylist(), piece.column(2).to_pylist(), window)
-            yield pa.RecordBatch.from_arrays(
-                [piece.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["doc_id", "text", "n_words", "n_removed", "kept_sha256", "spans"],
-            )
+    def cut(without: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece in pieces(fixed_filter.select(batches, 0, without, False)):
+                n_words, n_removed, kept, spans = _cut(piece.column(1).to_pylist(), piece.column(2).to_pylist() if piece.num_columns > 2 else [None] * piece.num_rows, window)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                    names=["doc_id", "text", "n_words", "n_removed", "kept_sha256", "spans"],
+                )
+
+        return run
 
     schema = "doc_id long, text string, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-    return plain.mapInArrow(run, schema).unionByName(marked.mapInArrow(run, schema))
+    return rows.mapInArrow(cut(touched), schema).unionByName(marked.mapInArrow(cut(None), schema))
