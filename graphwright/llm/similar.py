@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +34,7 @@ _BATCH, _QUERIES, _PAIRS = 20_000, 256, 50_000
 
 def signatures(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text: hash of its word sequence, SimHash code, and HASHES MinHash values (u16)."""
-    w = Words(pc.ascii_lower(column.cast(pa.large_string())))
+    w = Words(column, lower=True)
     hashes, n = w.hashes(), len(w.counts)
     node = range_hash(hashes, w.docs[:-1], w.docs[1:])
     first = w.windows(words)
@@ -64,7 +63,7 @@ def signed_documents(documents: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            node, code, values = signatures(piece.column(1).fill_null(""), words)
+            node, code, values = signatures(piece.column(1), words)
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(node.view(np.int64)), pa.array(code.view(np.int64)), pa.array([v.tobytes() for v in values], pa.binary())], names=["doc_id", "node", "code", "values"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, code long, values binary")

@@ -16,6 +16,8 @@ import pyarrow as pa
 PIECE_BYTES = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _tables: dict[str, np.ndarray] = {}
@@ -48,15 +50,17 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 class Words:
-    """Words of a list of texts; docs[i]:docs[i + 1] are the words of text i."""
+    """Words of a list of texts, with A-Z lower-cased if asked; docs[i]:docs[i + 1] are the words of text i."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, lower: bool = False):
         column = column.cast(pa.large_string()).fill_null("")
         n = len(column)
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1]
         raw = column.buffers()[2]
         data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
         self.bytes = data[offsets[0] : offsets[-1]]
+        if lower:
+            self.bytes = _LOWER[self.bytes]
         self.offsets = offsets - offsets[0]
         inside = ~_SPACE[self.bytes]
         size = len(self.bytes)

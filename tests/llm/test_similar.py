@@ -60,3 +60,12 @@ def test_signatures_estimate_the_similarity():
         true = len(sets[0] & sets[x]) / len(sets[0] | sets[x])
         assert (values[0] == values[x]).mean() == pytest.approx(true, abs=0.1)
     assert np.array_equal(values[0], similar.signatures(pa.array([" ".join(base).upper()]), 5)[2][0])
+
+
+def test_slices_of_batches_are_read_right():
+    texts = [f"Some {i} words Of text number {i * i}" for i in range(50)] + [None, ""]
+    column = pa.array(texts)
+    whole = similar.signatures(column, 5)
+    for begin, length in ((0, 7), (7, 20), (27, 25), (50, 2)):
+        part = similar.signatures(column.slice(begin, length), 5)
+        assert all(np.array_equal(p, w[begin : begin + length]) for p, w in zip(part, whole))
