@@ -30,11 +30,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import delete_path, fresh_path, materialize
-from .textbatch import mix
+from .textbatch import mix, pieces
 
 SPACE = b" \t\n\x0b\x0c\r"
 SHARDS = 256
@@ -127,22 +128,34 @@ def _shard_column() -> Column:
     return F.conv(F.hex(F.substring("key", 1, 1)), 16, 10).cast("int")
 
 
-def postings(documents: DataFrame, min_chars: int = 10) -> DataFrame:
-    """(key, doc_id), once for each document and distinct key."""
+def postings(documents: DataFrame, min_chars: int = 10, filters: Broadcast | None = None) -> DataFrame:
+    """(key, doc_id), once for each document and distinct key; with filters (cells by shard) only the keys that they may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        loaded = None if filters is None else {s: CuckooFilter.load(d) for s, d in filters.value.items()}
+        for batch in pieces(batches):
             keys, owners = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if doc_id is not None and text:
                     found = {k for line in text.encode().split(b"\n") if (k := line_key(line, min_chars))}
                     keys += found
                     owners += [doc_id] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.int64())], names=["key", "doc_id"])
+            made = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.int64())], names=["key", "doc_id"])
+            yield made if loaded is None or not keys else made.filter(pa.array(_may_hold(loaded, keys)))
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key binary, doc_id long")
 
 
+def _may_hold(filters: dict[int, CuckooFilter], keys: list[bytes]) -> np.ndarray:
+    shards, probes = _probe(keys)
+    passed = np.zeros(len(keys), dtype=bool)
+    for s in np.unique(shards).tolist():
+        if s in filters:
+            at = np.flatnonzero(shards == s)
+            passed[at] = filters[s].may_have(probes[at])
+    return passed
+
+
 def reference_counts(posted: DataFrame, distinct: bool = False) -> DataFrame:
     """(key, n_docs, first_doc); distinct: postings may hold a (key, doc_id) more than once."""
     rows = posted.groupBy("key", "doc_id").agg(F.lit(1).alias("one")) if distinct else posted
@@ -165,26 +178,6 @@ def build_filters(repeated: DataFrame) -> DataFrame:
     return repeated.select("key").repartition(_shard_column()).mapInArrow(build, "shard int, cells binary")
 
 
-def _suspects(documents: DataFrame, filters: dict[int, bytes], min_chars: int) -> DataFrame:
-    """(key, doc_id) of the lines that the broadcast filters may hold."""
-    held = documents.sparkSession.sparkContext.broadcast(filters)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = {s: CuckooFilter.load(d) for s, d in held.value.items()}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            shards, probes = _probe(batch.column(0).to_pylist())
-            passed = np.zeros(len(shards), dtype=bool)
-            for s in np.unique(shards).tolist():
-                if s in loaded:
-                    at = np.flatnonzero(shards == s)
-                    passed[at] = loaded[s].may_have(probes[at])
-            yield batch.filter(pa.array(passed))
-
-    return postings(documents, min_chars).mapInArrow(run, "key binary, doc_id long")
-
-
 def dropped_keys(documents: DataFrame, min_chars: int = 10, filter_bytes_limit: int = 32 << 20) -> DataFrame:
     """(doc_id, key): keys whose lines the document loses, because a smaller doc_id holds them as well."""
     counts = reference_counts(postings(documents, min_chars))
@@ -192,7 +185,8 @@ def dropped_keys(documents: DataFrame, min_chars: int = 10, filter_bytes_limit:
     filters = materialize(build_filters(repeated), "line-filters")
     size = filters.agg(F.sum(F.octet_length("cells"))).head()[0] or 0
     if size <= filter_bytes_limit:
-        suspects = _suspects(documents, {r["shard"]: bytes(r["cells"]) for r in filters.toLocalIterator()}, min_chars)
+        held = documents.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["cells"]) for r in filters.toLocalIterator()})
+        suspects = postings(documents, min_chars, held)
     else:
         suspects = postings(documents, min_chars)
     return suspects.join(repeated, "key").filter("doc_id > first_doc").select("doc_id", "key")
@@ -205,7 +199,7 @@ def dedup_lines(documents: DataFrame, min_chars: int = 10, filter_bytes_limit: i
     joined = rows.join(dropped.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left").select("doc_id", "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts, lines, drops, digests = [], [], [], []
             for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = (text or "").encode()
