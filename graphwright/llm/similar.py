@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .simhash_bk import TREE_SIZE, BKForest, _unite
 from .storage import materialize
-from .textbatch import Words, mix, pieces, range_hash
+from .textbatch import Words, give_back, mix, pieces, range_hash
 
 HASHES, BANDS, BAND_VALUES = 256, 16, 4
 RADIUS = 22
@@ -133,6 +133,7 @@ def _search(similarity: float, radius: int):
                 held, count = table.slice(last).to_batches(), len(table) - last
         if count:
             yield links(pa.Table.from_batches(held).combine_chunks())
+        give_back()
 
     return run
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import fresh_path, materialize
-from .textbatch import mix
+from .textbatch import give_back, mix
 
 MARK = b"GWSSTv1\n"
 FOOTER = struct.Struct("<QQQQQQB8s")
@@ -47,7 +47,7 @@ ENTRY = struct.Struct("<HHI")
 INDEX = struct.Struct("<B8sQII")
 BLOCK_BYTES = 256 << 10
 SHARD_BYTES = 64 << 20
-CACHED_PIECES = 400_000
+CACHED_PIECES = 150_000
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long, first_key binary, last_key binary"
 
@@ -263,6 +263,7 @@ def write_tables(documents: DataFrame, tokenizer_path: str, end_id: int = 1, pat
                         writer = None
         if writer is not None:
             close()
+        give_back()
         if done:
             columns = list(zip(*done))
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())

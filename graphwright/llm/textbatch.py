@@ -8,10 +8,13 @@ depend on the batch size; a longer document is a piece of its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 PIECE_BYTES = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
@@ -91,6 +94,13 @@ class Words:
         return first[owner[first] == owner[first + k - 1]] if len(first) else first
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and others need it meanwhile."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a piece hold about limit bytes (one longer text: alone)."""
     for batch in batches:
@@ -104,6 +114,4 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             held += length
         if begin < batch.num_rows:
             yield batch.slice(begin)
-
-
-import pyarrow.compute  # noqa: E402  (pa.compute is used above)
+    give_back()
