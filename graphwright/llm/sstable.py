@@ -47,7 +47,7 @@ ENTRY = struct.Struct("<HHI")
 INDEX = struct.Struct("<B8sQII")
 BLOCK_BYTES = 256 << 10
 SHARD_BYTES = 64 << 20
-CACHED_PIECES = 150_000
+CACHED_PIECES = 60_000
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long, first_key binary, last_key binary"
 
