@@ -65,3 +65,18 @@ def test_invariants_of_the_projection(spark):
     assert edges.distinct().count() == edges.count()
     assert edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti").count() == 0
     assert edges.join(nodes.select(F.col("id").alias("src")), "src", "left_anti").count() == 0
+
+
+def test_calls_come_from_all_lines(spark):
+    lines = {(r["l_orderkey"], r["l_linenumber"], r["l_suppkey"]) for r in spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").collect()}
+    after = {}
+    for order, line, supplier in lines:
+        after.setdefault((order, line), set()).add(supplier)
+    expected = {(f"func:{a}", f"func:{b}") for order, line, a in lines for b in after.get((order, line + 1), ()) if a != b}
+    g = project(spark, "/root/testdata/sf0.001")
+    assert {(r["src"], r["dst"]) for r in g.edges(CALLS).collect()} == expected
+    out = {}
+    for a, b in expected:
+        out.setdefault(a, set()).add(b)
+    cycles = {(a, 2) for a, b in expected if a in out.get(b, ())} | {(a, 3) for a, b in expected for c in out.get(b, ()) if a in out.get(c, ())}
+    assert {tuple(r) for r in structure.directed_cycles(g).collect()} == cycles
