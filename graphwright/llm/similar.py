@@ -3,8 +3,8 @@
 Two bits of SimHash distance more or less say little about texts that are 80 % alike (their codes differ by 5 to 17 bits),
 so the exact radius-3 search of simhash_bk misses most of them. Here shards come from MinHash bands: texts with
 Jaccard similarity s of their word shingles share one of 16 bands of 4 values with probability 1 - (1 - s^4)^16 (0.9998 at
-0.8). In a shard, the BK-tree over SimHash codes is searched within a wide radius, and a pair is linked if at least `similarity` of
-its HASHES MinHash values agree (standard error 0.025 at 0.8).
+0.8). In a shard, the BK-tree over SimHash codes is searched within a wide radius, which only orders the pairs: those beyond it
+are compared after those within. A pair is linked if at least `similarity` of its HASHES MinHash values agree (standard error 0.025 at 0.8).
 
 Texts are compared as lower-cased word sequences; equal ones are one node, so a group of exact copies is one entry. A shard
 above tree_size is cut into pieces whose pairs are separate searches. Links are spanning forests; components follow as in simhash_bk.
@@ -29,7 +29,7 @@ from .textbatch import Words, give_back, mix, pieces, range_hash
 
 HASHES, BANDS, BAND_VALUES = 256, 16, 4
 RADIUS = 22
-_BATCH, _QUERIES, _PAIRS = 20_000, 256, 50_000
+_BATCH, _QUERIES, _PAIRS, _FAR = 20_000, 256, 50_000, 500_000
 
 
 def signatures(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,8 +76,24 @@ def _agree(values: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float)
     return out
 
 
+def _rounds(groups: np.ndarray, asks: np.ndarray) -> Iterator[np.ndarray]:
+    """The asking members in rounds: the first of every group, then twice as many of each, so that large sets are joined early."""
+    new = np.ones(len(asks), dtype=bool)
+    new[1:] = groups[asks][1:] != groups[asks][:-1]
+    heads = np.flatnonzero(new)
+    rank = np.arange(len(asks)) - heads[np.cumsum(new) - 1]
+    level = np.frexp(rank.astype(np.float64))[1]
+    for x in np.unique(level):
+        own = asks[level == x]
+        for i in range(0, len(own), _QUERIES):
+            yield own[i : i + _QUERIES]
+
+
 def _shard_links(codes: np.ndarray, values: np.ndarray, groups: np.ndarray, side: np.ndarray, similarity: float, radius: int) -> np.ndarray:
-    """label: for each member the least member that links connect it to. Rows are sorted by group, side and code."""
+    """label: for each member the least member that links connect it to. Rows are sorted by group, side and code.
+
+    Pairs within radius come first, then all others; only pairs that links connect already are not compared.
+    """
     label = np.arange(len(codes))
     tree = np.flatnonzero(side == 0)
     new = np.ones(len(tree), dtype=bool)
@@ -87,15 +103,11 @@ def _shard_links(codes: np.ndarray, values: np.ndarray, groups: np.ndarray, side
     forest = BKForest(codes[tree[heads]], groups[tree[heads]])
     crossed = np.unique(groups[side == 1])
     asks = np.flatnonzero((side == 1) | ~np.isin(groups, crossed))
-    for i in range(0, len(asks), _QUERIES):
-        own = asks[i : i + _QUERIES]
-        q, at = forest.search(codes[own], groups[own], radius)
-        a = np.repeat(own[q], sizes[at])
-        offset = np.arange(len(a)) - np.repeat(np.cumsum(sizes[at]) - sizes[at], sizes[at])
-        b = tree[np.repeat(heads[at], sizes[at]) + offset]
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
         # First one member of each set that a query meets; what is still apart is compared in full.
         for once in (True, False):
-            apart = label[a] != label[b]
+            apart = (label[a] != label[b]) & (b < a)
             a, b = a[apart], b[apart]
             if once and len(a):
                 _, one = np.unique(np.stack((a, label[b])), axis=1, return_index=True)
@@ -104,6 +116,26 @@ def _shard_links(codes: np.ndarray, values: np.ndarray, groups: np.ndarray, side
             elif len(a):
                 linked = _agree(values, a, b, similarity)
                 _unite(label, a[linked], b[linked])
+
+    def spread(own: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(own, count), tree[np.repeat(first, count) + offset]
+
+    for own in _rounds(groups, asks):
+        q, at = forest.search(codes[own], groups[own], radius)
+        compare(*spread(own[q], heads[at], sizes[at]))
+    low, high = np.searchsorted(groups[tree], groups[asks]), np.searchsorted(groups[tree], groups[asks], side="right")
+    begin = np.zeros(len(codes), dtype=np.int64)
+    begin[asks] = low
+    count = np.zeros(len(codes), dtype=np.int64)
+    count[asks] = high - low
+    for own in _rounds(groups, asks):
+        upto = np.cumsum(count[own])
+        for part in np.split(own, np.unique(np.searchsorted(upto, np.arange(_FAR, upto[-1], _FAR)))):
+            if len(part):
+                a, b = spread(part, begin[part], count[part])
+                far = (label[a] != label[b]) & (np.bitwise_count(codes[a] ^ codes[b]) > radius)
+                compare(a[far], b[far])
     return label
 
 

@@ -69,3 +69,18 @@ def test_slices_of_batches_are_read_right():
     for begin, length in ((0, 7), (7, 20), (27, 25), (50, 2)):
         part = similar.signatures(column.slice(begin, length), 5)
         assert all(np.array_equal(p, w[begin : begin + length]) for p, w in zip(part, whole))
+
+
+def test_similar_texts_with_distant_codes_are_linked(spark):
+    r = random.Random(5)
+    rows, apart = [], []
+    for i in range(20):
+        base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        passage = [f"p{r.randrange(10**6)}" for _ in range(40)]
+        texts = [" ".join(base), " ".join(base + 8 * passage)]
+        a, b = similar.signatures(pa.array(texts), 5)[1]
+        apart.append(int(np.bitwise_count(a ^ b)))
+        rows += [(2 * i, texts[0]), (2 * i + 1, texts[1])]
+    assert max(apart) > similar.RADIUS
+    got = {x["doc_id"]: x["component_id"] for x in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
