@@ -4,7 +4,8 @@ Two bits of SimHash distance more or less say little about texts that are 80 % a
 so the exact radius-3 search of simhash_bk misses most of them. Here shards come from MinHash bands: texts with
 Jaccard similarity s of their word shingles share one of 16 bands of 4 values with probability 1 - (1 - s^4)^16 (0.9998 at
 0.8). In a shard, the BK-tree over SimHash codes is searched within a wide radius, which only orders the pairs: those beyond it
-are compared after those within. A pair is linked if at least `similarity` of its HASHES MinHash values agree (standard error 0.025 at 0.8).
+are compared after those within. Of a pair of which at least `similarity` - MARGIN of the HASHES MinHash values agree (standard error 0.025
+at 0.8), the sets of shingle hashes are made from the texts, and the pair is linked if their Jaccard similarity reaches `similarity`.
 
 Texts are compared as lower-cased word sequences; equal ones are one node, so a group of exact copies is one entry. A shard
 above tree_size is cut into pieces whose pairs are separate searches. Links are spanning forests; components follow as in simhash_bk.
@@ -29,11 +30,13 @@ from .textbatch import Words, give_back, mix, pieces, range_hash
 
 HASHES, BANDS, BAND_VALUES = 256, 16, 4
 RADIUS = 22
-_BATCH, _QUERIES, _PAIRS, _FAR = 20_000, 256, 50_000, 500_000
+#: Pairs of which so much less than `similarity` of the MinHash values agree are not compared exactly: six standard errors at 0.8.
+MARGIN = 0.15
+_BATCH, _QUERIES, _PAIRS, _FAR = 5_000, 256, 50_000, 500_000
 
 
-def signatures(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: hash of its word sequence, SimHash code, and HASHES MinHash values (u16)."""
+def _shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each text's word sequence, hashes of all shingles text by text, and where each text's begin."""
     w = Words(column, lower=True)
     hashes, n = w.hashes(), len(w.counts)
     node = range_hash(hashes, w.docs[:-1], w.docs[1:])
@@ -43,8 +46,13 @@ def signatures(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np
     ends = np.concatenate((first + words, w.docs[1:][short]))
     owner = np.concatenate((w.owners()[first], short))
     order = np.argsort(owner, kind="stable")
-    shingles = range_hash(hashes, starts[order], ends[order])
-    edges = np.searchsorted(owner[order], np.arange(n))
+    return node, range_hash(hashes, starts[order], ends[order]), np.searchsorted(owner[order], np.arange(n))
+
+
+def signatures(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: hash of its word sequence, SimHash code, and HASHES MinHash values (u16)."""
+    node, shingles, edges = _shingles(column, words)
+    n = len(node)
     bits = np.unpackbits(shingles.astype(">u8").view(np.uint8)).reshape(-1, 64)
     ones = np.add.reduceat(bits, edges, axis=0, dtype=np.int32)
     counts = np.diff(np.append(edges, len(shingles)))
@@ -69,6 +77,53 @@ def signed_documents(documents: DataFrame, words: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, code long, values binary")
 
 
+def node_texts(documents: DataFrame) -> DataFrame:
+    """node and text for every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            w = Words(piece.column(0), lower=True)
+            node = range_hash(w.hashes(), w.docs[:-1], w.docs[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), piece.column(0)], names=["node", "text"])
+
+    return documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "node long, text string")
+
+
+class ShingleSets:
+    """Distinct shingle hashes of texts, made when a text is first asked for."""
+
+    def __init__(self, texts: pa.Array, words: int):
+        self.texts, self.words, self.sets = texts, words, [None] * len(texts)
+
+    def _make(self, members: np.ndarray) -> None:
+        missing = np.array([m for m in np.unique(members) if self.sets[m] is None], dtype=np.int64)
+        at = 0
+        for piece in pieces([pa.RecordBatch.from_arrays([self.texts.take(pa.array(missing))], names=["text"])], clean=False):
+            _, shingles, edges = _shingles(piece.column(0), self.words)
+            for own in np.split(shingles, edges[1:]):
+                self.sets[missing[at]] = np.unique(own)
+                at += 1
+
+    def similar(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        """Whether the sets of a[i] and b[i] have at least that Jaccard similarity."""
+        out = np.zeros(len(a), dtype=bool)
+        if not len(a):
+            return out
+        self._make(np.concatenate((a, b)))
+        order = np.argsort(a, kind="stable")
+        for run in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+            own = self.sets[a[run[0]]]
+            for i in range(0, len(run), _QUERIES):
+                part = run[i : i + _QUERIES]
+                others = [self.sets[m] for m in b[part]]
+                sizes = np.array([len(x) for x in others])
+                every = np.concatenate(others)
+                hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+                both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+                out[part] = both >= similarity * (len(own) + sizes - both)
+        return out
+
+
 def _agree(values: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     out = np.zeros(len(a), dtype=bool)
     for i in range(0, len(a), _PAIRS):
@@ -89,7 +144,7 @@ def _rounds(groups: np.ndarray, asks: np.ndarray) -> Iterator[np.ndarray]:
             yield own[i : i + _QUERIES]
 
 
-def _shard_links(codes: np.ndarray, values: np.ndarray, groups: np.ndarray, side: np.ndarray, similarity: float, radius: int) -> np.ndarray:
+def _shard_links(codes: np.ndarray, values: np.ndarray, groups: np.ndarray, side: np.ndarray, sets: ShingleSets, similarity: float, radius: int) -> np.ndarray:
     """label: for each member the least member that links connect it to. Rows are sorted by group, side and code.
 
     Pairs within radius come first, then all others; only pairs that links connect already are not compared.
@@ -104,6 +159,10 @@ def _shard_links(codes: np.ndarray, values: np.ndarray, groups: np.ndarray, side
     crossed = np.unique(groups[side == 1])
     asks = np.flatnonzero((side == 1) | ~np.isin(groups, crossed))
 
+    def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        likely = np.flatnonzero(_agree(values, a, b, similarity - MARGIN))
+        return likely[sets.similar(a[likely], b[likely], similarity)]
+
     def compare(a: np.ndarray, b: np.ndarray) -> None:
         # First one member of each set that a query meets; what is still apart is compared in full.
         for once in (True, False):
@@ -111,10 +170,10 @@ def _shard_links(codes: np.ndarray, values: np.ndarray, groups: np.ndarray, side
             a, b = a[apart], b[apart]
             if once and len(a):
                 _, one = np.unique(np.stack((a, label[b])), axis=1, return_index=True)
-                linked = one[_agree(values, a[one], b[one], similarity)]
+                linked = one[similar(a[one], b[one])]
                 _unite(label, a[linked], b[linked])
             elif len(a):
-                linked = _agree(values, a, b, similarity)
+                linked = similar(a, b)
                 _unite(label, a[linked], b[linked])
 
     def spread(own: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +198,7 @@ def _shard_links(codes: np.ndarray, values: np.ndarray, groups: np.ndarray, side
     return label
 
 
-def _search(similarity: float, radius: int):
+def _search(words: int, similarity: float, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         count = 0
@@ -148,7 +207,8 @@ def _search(similarity: float, radius: int):
             shard, cell, side, node, code = (table.column(c).to_numpy() for c in ("shard", "cell", "side", "node", "code"))
             values = np.frombuffer(b"".join(table.column("values").to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
             group = np.cumsum(np.concatenate(([0], (np.diff(shard) != 0) | (np.diff(cell) != 0))))
-            label = _shard_links(code.astype(np.int64).view(np.uint64), values, group, side, similarity, radius)
+            sets = ShingleSets(table.column("text").combine_chunks(), words)
+            label = _shard_links(code.astype(np.int64).view(np.uint64), values, group, side, sets, similarity, radius)
             moved = np.flatnonzero(label != np.arange(len(label)))
             return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["u", "v"])
 
@@ -170,16 +230,17 @@ def _search(similarity: float, radius: int):
     return run
 
 
-def link_similar(nodes: DataFrame, similarity: float = 0.8, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
-    """(u, v): links that connect similar nodes (node, code, values; each node once). Texts alone in all their shards are not sent on."""
+def link_similar(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+    """(u, v): links that connect similar nodes (node, code, values; each node once), whose texts are in texts (node, text). Texts alone in all their shards are not sent on."""
     width = 2 * BAND_VALUES
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("values", b * width + 1, width)) for b in range(BANDS)))
     shards = materialize(nodes.select("node", F.explode(keys).alias("shard")), "similar-shards")
     sizes = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = shards.join(sizes, "shard").withColumn("cuts", F.ceil(F.col("n") / tree_size).cast("int")).join(nodes, "node")
+    met = met.join(texts.groupBy("node").agg(F.first("text").alias("text")), "node")
     cells = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    cells = cells.select("shard", (F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")).alias("cell"), (F.col("own") > F.col("other")).cast("long").alias("side"), "node", "code", "values")
-    return cells.repartition("shard", "cell").sortWithinPartitions("shard", "cell", "side", "code").mapInArrow(_search(similarity, radius), "u long, v long")
+    cells = cells.select("shard", (F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")).alias("cell"), (F.col("own") > F.col("other")).cast("long").alias("side"), "node", "code", "values", "text")
+    return cells.repartition("shard", "cell").sortWithinPartitions("shard", "cell", "side", "code").mapInArrow(_search(words, similarity, radius), "u long, v long")
 
 
 def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, tree_size: int = TREE_SIZE) -> DataFrame:
@@ -187,7 +248,7 @@ def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8
     rows = materialize(signed_documents(documents, words), "similar-rows")
     firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     nodes = materialize(rows.select("node", "code", "values").dropDuplicates(["node"]), "similar-nodes")
-    roots = connected_components(link_similar(nodes, similarity, tree_size=tree_size)).select(F.col("node").alias("member"), "root")
+    roots = connected_components(link_similar(nodes, node_texts(documents), words, similarity, tree_size=tree_size)).select(F.col("node").alias("member"), "root")
     placed = firsts.join(roots, F.col("node") == F.col("member"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = placed.join(least, "root").select(F.col("node").alias("own"), "component_id")

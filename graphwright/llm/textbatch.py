@@ -101,7 +101,7 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES, clean: bool = True) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a piece hold about limit bytes (one longer text: alone)."""
     for batch in batches:
         sizes = batch.column(batch.schema.get_field_index(column))
@@ -114,4 +114,5 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             held += length
         if begin < batch.num_rows:
             yield batch.slice(begin)
-    give_back()
+    if clean:
+        give_back()

@@ -84,3 +84,22 @@ def test_similar_texts_with_distant_codes_are_linked(spark):
     assert max(apart) > similar.RADIUS
     got = {x["doc_id"]: x["component_id"] for x in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: d - d % 2 for d, _ in rows}
+
+
+def test_pairs_near_the_threshold_are_decided_exactly(spark):
+    r = random.Random(9)
+    rows, expected, estimated = [], {}, []
+    for i in range(40):
+        shared = 1600 + (i % 2) * 12 - 6  # of 2,000 and some shingles in all: 0.797 or 0.803
+        base = [f"w{r.randrange(10**9)}" for _ in range(shared + 4)]
+        own = [[f"{x}{r.randrange(10**9)}" for _ in range((2000 - shared) // 2)] for x in "ab"]
+        texts = [" ".join(base + x) for x in own]
+        a, b = ({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts)
+        alike = len(a & b) >= 0.8 * len(a | b)
+        values = similar.signatures(pa.array(texts), 5)[2]
+        estimated.append(((values[0] == values[1]).mean() >= 0.8, alike))
+        rows += [(2 * i, texts[0]), (2 * i + 1, texts[1])]
+        expected |= {2 * i: 2 * i, 2 * i + 1: 2 * i + (not alike)}
+    assert {(True, False), (False, True)} <= set(estimated)
+    got = {x["doc_id"]: x["component_id"] for x in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected
