@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -66,15 +66,19 @@ def signatures(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np
     return node, code, values
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def signed_documents(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id (long), node, code (long) and values (binary) for every row."""
+    """doc_id (long), key (hash of the text as written), node, code (long) and values (binary) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            node, code, values = signatures(piece.column(1), words)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(node.view(np.int64)), pa.array(code.view(np.int64)), pa.array([v.tobytes() for v in values], pa.binary())], names=["doc_id", "node", "code", "values"])
+            node, code, values = signatures(piece.column(2), words)
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(node.view(np.int64)), pa.array(code.view(np.int64)), pa.array([v.tobytes() for v in values], pa.binary())], names=["doc_id", "key", "node", "code", "values"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, code long, values binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, node long, code long, values binary")
 
 
 def node_texts(documents: DataFrame) -> DataFrame:
@@ -243,20 +247,31 @@ def link_similar(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity:
     return cells.repartition("shard", "cell").sortWithinPartitions("shard", "cell", "side", "code").mapInArrow(_search(words, similarity, radius), "u long, v long")
 
 
-def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, tree_size: int = TREE_SIZE) -> DataFrame:
-    """doc_id, node and component_id (least doc_id of the group) for every row."""
+def _grouped(documents: DataFrame, words: int, similarity: float, tree_size: int = TREE_SIZE) -> DataFrame:
+    """doc_id, key, node, root (a name of the group) and component_id for every row."""
     rows = materialize(signed_documents(documents, words), "similar-rows")
     firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     nodes = materialize(rows.select("node", "code", "values").dropDuplicates(["node"]), "similar-nodes")
     roots = connected_components(link_similar(nodes, node_texts(documents), words, similarity, tree_size=tree_size)).select(F.col("node").alias("member"), "root")
     placed = firsts.join(roots, F.col("node") == F.col("member"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = placed.join(least, "root").select(F.col("node").alias("own"), "component_id")
-    return rows.select("doc_id", "node").join(named, F.col("node") == F.col("own")).select("doc_id", "node", "component_id")
+    named = placed.join(least, "root").select(F.col("node").alias("own"), "root", "component_id")
+    return rows.select("doc_id", "key", "node").join(named, F.col("node") == F.col("own")).select("doc_id", "key", "node", "root", "component_id")
+
+
+def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, tree_size: int = TREE_SIZE) -> DataFrame:
+    """doc_id, node and component_id (least doc_id of the group) for every row."""
+    return _grouped(documents, words, similarity, tree_size).select("doc_id", "node", "component_id")
 
 
 def keep_first(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """documents with one row for each group: that of the smallest doc_id. Rows without a doc_id stay, as they cannot be told apart."""
-    kept = similar_groups(documents, words, similarity).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    """documents with one row for each group: that of the smallest doc_id, and of the texts with that doc_id in the group the least hash.
+
+    Rows are told apart by doc_id and text, so different texts with one doc_id stay where their groups differ. Rows without a doc_id stay, as they cannot be told apart.
+    """
+    firsts = _grouped(documents, words, similarity).filter("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("key").alias("key"))
+    kept = firsts.select(F.col("doc_id").alias("_kept"), F.col("key").alias("_kept_key")).distinct()
     ids = F.col("doc_id").cast("long")
-    return documents.join(kept, ids == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(documents.filter(ids.isNull()))
+    keyed = documents.withColumn("_text_key", _text_key())
+    found = keyed.join(kept, (ids == F.col("_kept")) & (F.col("_text_key") == F.col("_kept_key")), "left_semi").dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    return found.unionByName(documents.filter(ids.isNull()))

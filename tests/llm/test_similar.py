@@ -103,3 +103,10 @@ def test_pairs_near_the_threshold_are_decided_exactly(spark):
     assert {(True, False), (False, True)} <= set(estimated)
     got = {x["doc_id"]: x["component_id"] for x in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == expected
+
+
+def test_texts_with_one_doc_id_are_kept_apart(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(200)) for x in "ab")
+    rows = [(1, one), (5, one + " more"), (5, two), (5, two.upper()), (7, two + " more")]
+    kept = similar.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"].lower()) for r in kept) == [(1, one), (5, two)]
