@@ -108,8 +108,9 @@ class Engine:
         }
 
     def activity(self, clone: str) -> dict[str, DataFrame]:
-        """From a local clone's history."""
+        """From a local clone's history. Merges count in the overview only."""
         self.spark.dataSource.register(gitlog.GitLogSource)
         log = self.spark.read.format("gitlog").load(clone).persist()
         g = Graph({}, {}, lambda: gitlog.commits(log), lambda: gitlog.commit_files(log))
-        return {"overview": activity.overview(g), "recent": activity.recent_files(g), "contributors": activity.contributors(g), "ownership": activity.ownership(g), "areas": activity.primary_areas(g)}
+        own = Graph({}, {}, lambda: gitlog.commits(log).filter("not is_merge"), lambda: gitlog.commit_files(log))
+        return {"overview": activity.overview(g), "recent": activity.recent_files(g), "contributors": activity.contributors(own), "ownership": activity.ownership(own), "areas": activity.primary_areas(own)}

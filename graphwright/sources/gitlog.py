@@ -1,6 +1,7 @@
 """A Spark data source over a local clone's history: spark.read.format("gitlog").load(folder).
 
-One row for each commit and path (path is null for a commit without files); commits() and commit_files() project it.
+One row for each commit and path (path is null for a commit without files, and for a merge); commits() and commit_files() project it.
+All commits that HEAD reaches are read, in partitions of the option `commits` each.
 """
 
 from __future__ import annotations
@@ -10,24 +11,44 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "sha string, author_name string, author_email string, committed_at string, is_merge boolean, subject string, path string"
 MARK, CUT = "\x1e", "\x1f"
 
 
+class Commits(InputPartition):
+    def __init__(self, skip: int, count: int):
+        self.skip, self.count = skip, count
+
+
 class GitLogReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder, self.timeout = options["path"], float(options.get("timeout", 30))
+        self.folder, self.size = options["path"], int(options.get("commits", 5000))
+
+    def partitions(self) -> list[Commits]:
+        done = subprocess.run(["git", "-C", self.folder, "rev-list", "--count", "HEAD"], capture_output=True, check=True)
+        return [Commits(i, self.size) for i in range(0, int(done.stdout), self.size)]
 
-    def read(self, partition) -> Iterator[tuple]:
+    def read(self, partition: Commits) -> Iterator[tuple]:
         form = MARK + CUT.join(("%H", "%an", "%ae", "%cI", "%P", "%s"))
-        done = subprocess.run(["git", "-C", self.folder, "log", "--name-only", "-m", "--first-parent", f"--format={form}"], capture_output=True, timeout=self.timeout, check=True)
-        for commit in done.stdout.decode("utf-8", "replace").split(MARK)[1:]:
-            head, *paths = commit.split("\n")
-            sha, name, email, date, parents, subject = head.split(CUT, 5)
-            for path in [p for p in paths if p] or [None]:
-                yield sha, name, email, date, len(parents.split()) > 1, subject, path
+        command = ["git", "-C", self.folder, "log", "--name-only", f"--skip={partition.skip}", f"--max-count={partition.count}", f"--format={form}", "HEAD"]
+        with subprocess.Popen(command, stdout=subprocess.PIPE) as git:
+            head, bare = None, False
+            for raw in git.stdout:
+                line = raw.decode("utf-8", "replace").rstrip("\n")
+                if line.startswith(MARK):
+                    if bare:
+                        yield *head, None
+                    sha, name, email, date, parents, subject = line[1:].split(CUT, 5)
+                    head, bare = (sha, name, email, date, len(parents.split()) > 1, subject), True
+                elif line:
+                    bare = False
+                    yield *head, line
+            if bare:
+                yield *head, None
+        if git.returncode:
+            raise RuntimeError(f"git log ended with {git.returncode}")
 
 
 class GitLogSource(DataSource):

@@ -193,3 +193,32 @@ def test_libraries_take_the_longest_key(spark):
     imports = spark.createDataFrame([("torch.nn",), ("torchvision",), ("PIL.Image",), ("cv2",)], "module string")
     known = rules.libraries(spark).unionByName(spark.createDataFrame([("torch.nn", "x")], "key string, category string"))
     assert {tuple(r) for r in rules.detect_libraries(imports, known).collect()} == {("torch.nn", "torch.nn"), ("pil.image", "pil"), ("cv2", "cv2")}
+
+
+def test_gitlog_reads_merged_branches(spark, tmp_path):
+    def run(who, *a):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", f"user.name={who}", "-c", f"user.email={who}@x.org", *a], check=True, capture_output=True)
+
+    def commit(who, name):
+        (tmp_path / name).write_text(who)
+        run(who, "add", ".")
+        run(who, "commit", "-qm", name)
+
+    run("ann", "init", "-q", "-b", "main")
+    commit("ann", "a.py")
+    run("ann", "checkout", "-qb", "side")
+    commit("bob", "b.py")
+    commit("bob", "c.py")
+    run("ann", "checkout", "-q", "main")
+    commit("ann", "d.py")
+    run("cy", "merge", "-q", "--no-ff", "-m", "merge", "side")
+    spark.dataSource.register(gitlog.GitLogSource)
+    log = spark.read.format("gitlog").option("commits", 2).load(str(tmp_path))
+    assert log.rdd.getNumPartitions() == 3
+    assert sorted((r["author_name"], r["is_merge"]) for r in gitlog.commits(log).collect()) == [("ann", False), ("ann", False), ("bob", False), ("bob", False), ("cy", True)]
+    from graphwright.api import Engine
+
+    found = Engine.activity(type("Only", (), {"spark": spark})(), str(tmp_path))
+    assert found["overview"].head()["total_commits"] == 5
+    assert {(r["email"], r["commit_count"]) for r in found["contributors"].collect()} == {("ann@x.org", 2), ("bob@x.org", 2)}
+    assert {(r["email"], r["path"]) for r in found["ownership"].collect()} == {("ann@x.org", "a.py"), ("bob@x.org", "b.py"), ("bob@x.org", "c.py"), ("ann@x.org", "d.py")}
