@@ -80,3 +80,10 @@ def test_calls_come_from_all_lines(spark):
         out.setdefault(a, set()).add(b)
     cycles = {(a, 2) for a, b in expected if a in out.get(b, ())} | {(a, 3) for a, b in expected for c in out.get(b, ()) if a in out.get(c, ())}
     assert {tuple(r) for r in structure.directed_cycles(g).collect()} == cycles
+
+
+def test_chains_beyond_the_bound_are_an_error(spark):
+    edges = spark.createDataFrame([(f"c{i}", f"c{i + 1}", INHERITS) for i in range(4)], "src string, dst string, rel_type string")
+    assert longest_chains(edges, 1, 1, most=4).head()["depth"] == 4
+    with pytest.raises(RuntimeError):
+        longest_chains(edges, 1, 1, most=3)
