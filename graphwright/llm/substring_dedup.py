@@ -1,8 +1,8 @@
-"""Substring dedup over the De Bruijn graph of word k-mers.
+"""Substring dedup by hashes of word windows.
 
-Nodes are 12-word sequences, edges the 13-word windows between them. Consecutive edges of a text that share a
-minimizer (the least hash of the window's five-word parts) form one unbranched path piece, and equal edges always
-share it, so pieces are compared before edges:
+No De Bruijn graph is compacted: nodes, degrees and unbranched paths are not computed. Edges are the 13-word windows of a
+text. Consecutive edges that share a minimizer (the least hash of the window's five-word parts) form one path piece, which
+may branch, and equal edges always share the minimizer, so pieces are compared before edges:
 
 0. A document whose whole text a smaller doc_id has too is cut entirely (if it has a window); it needs no graph, and
    what others share with it they share with the smaller document. So a group of copies, however large, is one document below.
