@@ -47,8 +47,10 @@ ENTRY = struct.Struct("<HHI")
 INDEX = struct.Struct("<B8sQII")
 BLOCK_BYTES = 256 << 10
 SHARD_BYTES = 64 << 20
-CACHED_PIECES = 60_000
+CACHED_PIECES = 120_000
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
+#: Texts of tabs, line ends and printable characters below U+0130 only: NFC leaves them alone, and lower case is plain.
+PLAIN = regex.compile(r"[\t-\r\x20-\x7E\xA1-\xAC\xAE-\u012F]*")
 MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long, first_key binary, last_key binary"
 
 
@@ -89,9 +91,9 @@ class TextEncoder:
     """Encodes texts; the result is that of the library for the whole text.
 
     If the tokenizer drops white space and splits by a pattern (normalizer NFC, white space to one space, lower case; split by a
-    pattern, then byte level), no token crosses ASCII white space, so parts between it are encoded alone and kept in a bounded
-    table. Parts of printable characters below U+0130 are split here (there NFC changes nothing and lower case is plain) and
-    only their letters are given to the library's model; all others go through the whole tokenizer. Other tokenizers encode whole texts.
+    pattern, then byte level), a PLAIN text is split here at once, and only its pieces' letters are given to the library's model;
+    encoded pieces are kept in a bounded table. No token crosses ASCII white space, so in any other text the parts between it are
+    encoded alone: plain ones likewise, all others by the whole tokenizer. Other tokenizers encode whole texts.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int, kept: int = CACHED_PIECES):
@@ -105,7 +107,7 @@ class TextEncoder:
         self.pattern = self._word_pattern()
         self.letters = _byte_letters()
         self.pieces = _Recent(self._piece, kept)
-        self.parts = _Recent(self._part, kept)
+        self.parts = _Recent(self._part, kept // 4)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.format}", *ids)
@@ -129,17 +131,28 @@ class TextEncoder:
             piece = "".join([self.letters[b] for b in piece.encode()])
         return self._bytes([t.id for t in self.tokenizer.model.tokenize(piece)])
 
+    def _plain(self, text: str) -> bytes | None:
+        if not PLAIN.fullmatch(text) or any(m in text for m in self.marks):
+            return None
+        pieces = self.pieces
+        return b"".join([pieces[p] for p in self.pattern.findall(text.lower())])
+
     def _part(self, part: bytes) -> bytes:
         text = part.decode()
-        if text.isprintable() and (text.isascii() or max(text) < "\u0130") and not any(m in text for m in self.marks):
-            return b"".join([self.pieces[p] for p in self.pattern.findall(text.lower())])
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        made = self._plain(text)
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids) if made is None else made
+
+    def _text(self, text: str) -> bytes:
+        made = self._plain(text)
+        if made is None:
+            parts = self.parts
+            made = b"".join([parts[w] for w in text.encode().split()])
+        return made + self.end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if self.pattern is None:
             return [self._bytes(e.ids) + self.end for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        parts = self.parts
-        return [b"".join([parts[w] for w in (t or "").encode().split()]) + self.end for t in texts]
+        return [self._text(t or "") for t in texts]
 
 
 @functools.lru_cache(maxsize=2)

@@ -45,6 +45,14 @@ def test_edge_rows(dirty, empty, spark, tokenizer):
     assert sstable.encode_documents(empty, PATH).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "É", "'s", "'S", " ", "\n", "\t", "1", "²", "!", "…", "ß", "ĩ", "ı", "İ", "\u0301", "\x1f", "\x7f", "\xa0", "\xad", "ĳ", "<|endoftext|>"]), max_size=40))
+def test_encoder_is_the_library(tokenizer, signs):
+    text = "".join(signs)
+    encoder = sstable.encoder_of(PATH, 1)
+    assert np.frombuffer(encoder.encode([text])[0], dtype=encoder.dtype).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_lookup(documents, rows, tokenizer, spark):
     manifest = sstable.write_tables(documents, PATH, shard_bytes=20_000, block_bytes=4096)
     assert manifest.count() > 5
