@@ -24,6 +24,7 @@ import bisect
 import functools
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import regex
 import zstandard
 from pyarrow import fs
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import fresh_path, materialize
-from .textbatch import give_back, mix
+from .textbatch import mix, pieces
 
 MARK = b"GWSSTv1\n"
 FOOTER = struct.Struct("<QQQQQQB8s")
@@ -47,10 +49,15 @@ ENTRY = struct.Struct("<HHI")
 INDEX = struct.Struct("<B8sQII")
 BLOCK_BYTES = 256 << 10
 SHARD_BYTES = 64 << 20
-CACHED_PIECES = 120_000
+CACHED_PIECES = 250_000
+ENCODED_BYTES = 4 << 20
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
+#: The split pattern for which tokens are known never to cross white space, and which covers everything but white space.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Its other alternatives: set off by spaces, they leave the letters' runs between them.
+NO_LETTERS = WORD_PATTERN.replace(r"|[\p{L}]+", "")
 #: Texts of tabs, line ends and printable characters below U+0130 only: NFC leaves them alone, and lower case is plain.
-PLAIN = regex.compile(r"[\t-\r\x20-\x7E\xA1-\xAC\xAE-\u012F]*")
+PLAIN = re.compile(r"[\t\n\f\r\x20-\x7E\xA1-\xAC\xAE-\u012F]*")
 MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long, first_key binary, last_key binary"
 
 
@@ -90,10 +97,11 @@ class _Recent(dict):
 class TextEncoder:
     """Encodes texts; the result is that of the library for the whole text.
 
-    If the tokenizer drops white space and splits by a pattern (normalizer NFC, white space to one space, lower case; split by a
-    pattern, then byte level), a PLAIN text is split here at once, and only its pieces' letters are given to the library's model;
-    encoded pieces are kept in a bounded table. No token crosses ASCII white space, so in any other text the parts between it are
-    encoded alone: plain ones likewise, all others by the whole tokenizer. Other tokenizers encode whole texts.
+    If the tokenizer drops white space and splits by WORD_PATTERN (normalizer NFC, white space to one space, lower case; split,
+    then byte level), PLAIN texts are split by Arrow, a batch at once; each distinct piece of the batch is given to the library's
+    model, unless it is in a bounded table of recent ones, and the texts' ids are gathered from the pieces'. No token crosses ASCII
+    white space, so in other texts the parts between it are encoded alone: plain ones likewise, all others by the whole tokenizer.
+    Other tokenizers encode whole texts.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int, kept: int = CACHED_PIECES):
@@ -104,7 +112,7 @@ class TextEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else "<u4")
         self.format = "H" if self.dtype.itemsize == 2 else "I"
         self.end = self._bytes([end_id])
-        self.pattern = self._word_pattern()
+        self.pattern, self.model = self._word_pattern(), self.tokenizer.model
         self.letters = _byte_letters()
         self.pieces = _Recent(self._piece, kept)
         self.parts = _Recent(self._part, kept // 4)
@@ -124,35 +132,52 @@ class TextEncoder:
         self.marks = [x["content"] for x in made["added_tokens"]]
         if any(m.split() != [m] for m in self.marks):
             return None
-        return regex.compile(splits[0]["pattern"]["Regex"])
+        return regex.compile(WORD_PATTERN) if splits[0]["pattern"] == {"Regex": WORD_PATTERN} else None
 
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = "".join([self.letters[b] for b in piece.encode()])
-        return self._bytes([t.id for t in self.tokenizer.model.tokenize(piece)])
+        return self._bytes([t.id for t in self.model.tokenize(piece)])
 
-    def _plain(self, text: str) -> bytes | None:
-        if not PLAIN.fullmatch(text) or any(m in text for m in self.marks):
-            return None
-        pieces = self.pieces
-        return b"".join([pieces[p] for p in self.pattern.findall(text.lower())])
+    def _is_plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not any(m in text for m in self.marks)
 
     def _part(self, part: bytes) -> bytes:
         text = part.decode()
-        made = self._plain(text)
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids) if made is None else made
-
-    def _text(self, text: str) -> bytes:
-        made = self._plain(text)
-        if made is None:
-            parts = self.parts
-            made = b"".join([parts[w] for w in text.encode().split()])
-        return made + self.end
+        if self._is_plain(text):
+            return b"".join([self.pieces[p] for p in self.pattern.findall(text.lower())])
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _plain_texts(self, texts: list[str]) -> list[bytes]:
+        spaced = pa.compute.replace_substring_regex(pa.compute.utf8_lower(pa.array(texts, pa.large_string())), NO_LETTERS, r" \0 ")
+        lists = pa.compute.ascii_split_whitespace(spaced)
+        split = lists.flatten()
+        real = pa.compute.not_equal(split, "")  # white space at an end leaves an empty string
+        coded = split.filter(real).dictionary_encode()
+        pieces = self.pieces
+        made = [pieces[p] for p in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // self.dtype.itemsize
+        begins = np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes[which])
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[which] - (ends - sizes[which]), sizes[which])
+        ids = np.frombuffer(b"".join(made), dtype=self.dtype)[places]
+        before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+        upto = np.concatenate(([0], ends))[before[lists.offsets.to_numpy()]].tolist()
+        return [ids[s:e].tobytes() + self.end for s, e in zip(upto, upto[1:])]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        texts = [t or "" for t in texts]
         if self.pattern is None:
-            return [self._bytes(e.ids) + self.end for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        return [self._text(t or "") for t in texts]
+            return [self._bytes(e.ids) + self.end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = [b""] * len(texts)
+        plain = [i for i, t in enumerate(texts) if self._is_plain(t)]
+        for i, made in zip(plain, self._plain_texts([texts[i] for i in plain])):
+            out[i] = made
+        parts = self.parts
+        for i in set(range(len(texts))).difference(plain):
+            out[i] = b"".join([parts[w] for w in texts[i].encode().split()]) + self.end
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -262,21 +287,18 @@ def write_tables(documents: DataFrame, tokenizer_path: str, end_id: int = 1, pat
             writer.close()
             done.append((task.partitionId(), len(done), name, writer.docs, writer.tokens, writer.first_key, writer.last_key))
 
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(ids), 500):
-                for doc_id, data in zip(ids[i : i + 500], encoder.encode(texts.slice(i, 500).to_pylist())):
-                    if writer is None:
-                        system.create_dir(folder, recursive=True)
-                        name = f"part-{task.partitionId():05d}-{len(done):04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.sst"
-                        writer = ShardWriter(system.open_output_stream(f"{folder}/{name}"), encoder.dtype.itemsize, block_bytes)
-                    writer.add(key_of(doc_id), data)
-                    if writer.at >= shard_bytes:
-                        close()
-                        writer = None
+        for piece in pieces(batches, limit=ENCODED_BYTES):
+            for doc_id, data in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist())):
+                if writer is None:
+                    system.create_dir(folder, recursive=True)
+                    name = f"part-{task.partitionId():05d}-{len(done):04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.sst"
+                    writer = ShardWriter(system.open_output_stream(f"{folder}/{name}"), encoder.dtype.itemsize, block_bytes)
+                writer.add(key_of(doc_id), data)
+                if writer.at >= shard_bytes:
+                    close()
+                    writer = None
         if writer is not None:
             close()
-        give_back()
         if done:
             columns = list(zip(*done))
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
