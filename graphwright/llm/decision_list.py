@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
+from .storage import as_rows
 from .textbatch import Words, mix, pieces, range_hash
 
 SYMBOLS = "#*$%&|<>"
@@ -77,14 +78,17 @@ def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
 
 def with_counts(documents: DataFrame) -> DataFrame:
     """documents with a struct column _counts; all other columns pass through whatever their names."""
-    own = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col("text").alias("text"))
+    own = as_rows(documents)
+
+    def with_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(0).field("text").cast(pa.string())], names=["row", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(map(with_text, batches)):
             counts = text_counts(piece.column(1))
             yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(counts[c]) for c in COUNTS)], names=["row", *COUNTS])
 
-    schema = own.select("row").schema
+    schema = own.select("row").schema  # a copy: add() changes it
     for c in COUNTS:
         schema = schema.add(c, "long")
     return own.mapInArrow(run, schema)

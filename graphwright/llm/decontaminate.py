@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import as_rows, materialize
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LENGTH = 10
@@ -149,5 +149,5 @@ def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int) -> DataFr
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, length: int = LENGTH) -> DataFrame:
     """documents without the rows in which a benchmark window occurs."""
     hits = find_matches(documents, benchmark, length).select("doc_id", "text_key").distinct().alias("hit")
-    keyed = documents.withColumn("_text_key", F.xxhash64("text")).alias("doc")
-    return keyed.join(hits, F.col("doc.doc_id").eqNullSafe(F.col("hit.doc_id")) & (F.col("doc._text_key") == F.col("hit.text_key")), "left_anti").drop("_text_key")
+    own = as_rows(documents, doc_id=F.col("doc_id"), text_key=F.xxhash64("text")).alias("doc")
+    return own.join(hits, _same("doc", "hit"), "left_anti").select("row.*")

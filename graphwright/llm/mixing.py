@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import running_total
-from .storage import materialize
+from .storage import as_rows, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -69,7 +69,7 @@ def _plan_mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
     budget = sum(target.values())
     # No copy that ends later than this can be in the prefix: up to a virtual time t, each source lacks less than one document.
     latest = 1 + (sum(r["longest"] for r in totals) + 1) / budget if budget else 0.0
-    queued = running_total(rows, F.col("source"), [F.col("turn"), F.col("doc_id"), F.col("size")], F.col("size"), "before")
+    queued = running_total(rows, F.col("source"), [F.col("turn"), F.col("doc_id"), F.col("size"), F.col("text_key")], F.col("size"), "before")
     queued = queued.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
     queued = materialize(queued, "mixing-queue")
 
@@ -95,10 +95,11 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
 def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES, seed: int = 7) -> DataFrame:
     """The rows of documents, each as often as the mix takes it. Of repeated rows (same doc_id, text and source) the copies are summed up first."""
     plan = _plan_mix(documents, weights, most, seed).groupBy("doc_id", "text_key", "source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    plan = plan.filter("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("source").alias("_source"), F.col("copies").alias("_copies"), F.col("rows").alias("_rows"))
+    plan = plan.filter("copies > 0").alias("plan")
     # Of equal rows one is taken as often as all of them together.
-    own = documents.withColumn("_own", F.xxhash64("text"))
-    joined = own.join(plan, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_key")) & F.col("source").cast("string").eqNullSafe(F.col("_source")))
-    single = joined.filter("_rows = 1").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    repeated = joined.filter("_rows > 1").dropDuplicates(["_doc", "_key", "_source"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return single.unionByName(repeated).select(*(F.col(f"`{c}`") for c in documents.columns))
+    own = as_rows(documents, doc_id=F.col("doc_id"), text_key=F.xxhash64("text"), source=F.col("source").cast("string")).alias("own")
+    same = [F.col(f"own.{c}").eqNullSafe(F.col(f"plan.{c}")) for c in ("doc_id", "text_key", "source")]
+    joined = own.join(plan, same).select("own.*", "plan.copies", "plan.rows")
+    repeated = joined.filter("rows > 1").dropDuplicates(["doc_id", "text_key", "source"])
+    sent = joined.filter("rows = 1").unionByName(repeated).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return sent.select("row.*")

@@ -7,8 +7,12 @@ Jaccard similarity s of their word shingles share one of 16 bands of 4 values wi
 are compared after those within. Of a pair of which at least `similarity` - MARGIN of the HASHES MinHash values agree (standard error 0.025
 at 0.8), the sets of shingle hashes are made from the texts, and the pair is linked if their Jaccard similarity reaches `similarity`.
 
-Texts are compared as lower-cased word sequences; equal ones are one node, so a group of exact copies is one entry. A shard
-above tree_size is cut into pieces whose pairs are separate searches. Links are spanning forests; components follow as in simhash_bk.
+Texts are compared as lower-cased word sequences; equal ones (by a 128-bit digest) are one node, so a group of exact copies is one
+entry. Links are spanning forests; components follow as in simhash_bk.
+
+A shard above tree_size is dealt with in two rounds, so that a large group of near copies costs work in proportion to its size. First it
+is cut into pieces, differently in every band, and each piece is searched alone. Then only pairs whose components still differ are open: of a
+shard of n members of which m are outside its largest component, pieces of the n meet pieces of the m, which leaves out no pair.
 
 Cases: null and blank texts are equal to each other; fewer words than a shingle are one shingle; repeated rows share a
 component; rows without doc_id never name one; an empty table gives an empty result.
@@ -24,35 +28,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .simhash_bk import TREE_SIZE, BKForest, _unite
-from .storage import materialize
+from .simhash_bk import BKForest, _unite
+from .storage import as_rows, materialize
 from .textbatch import Words, give_back, mix, pieces, range_hash
 
 HASHES, BANDS, BAND_VALUES = 256, 16, 4
 RADIUS = 22
+TREE_SIZE = 2048
 #: Pairs of which so much less than `similarity` of the MinHash values agree are not compared exactly: six standard errors at 0.8.
 MARGIN = 0.15
 _BATCH, _QUERIES, _PAIRS, _FAR = 5_000, 256, 50_000, 500_000
 
 
-def _shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each text's word sequence, hashes of all shingles text by text, and where each text's begin."""
+def _shingles(column: pa.Array, words: int) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words, the hashes of all shingles text by text, and where each text's begin."""
     w = Words(column, lower=True)
     hashes, n = w.hashes(), len(w.counts)
-    node = range_hash(hashes, w.docs[:-1], w.docs[1:])
     first = w.windows(words)
     short = np.flatnonzero(w.counts < words)
+    # The word sequence of a text is hashed as a range of words only where it is shorter than a shingle.
     starts = np.concatenate((first, w.docs[:-1][short]))
     ends = np.concatenate((first + words, w.docs[1:][short]))
     owner = np.concatenate((w.owners()[first], short))
     order = np.argsort(owner, kind="stable")
-    return node, range_hash(hashes, starts[order], ends[order]), np.searchsorted(owner[order], np.arange(n))
+    return w, range_hash(hashes, starts[order], ends[order]), np.searchsorted(owner[order], np.arange(n))
 
 
-def signatures(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: hash of its word sequence, SimHash code, and HASHES MinHash values (u16)."""
-    node, shingles, edges = _shingles(column, words)
-    n = len(node)
+def signatures(column: pa.Array, words: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """For each text: digest of its word sequence, SimHash code, and HASHES MinHash values (u16)."""
+    w, shingles, edges = _shingles(column, words)
+    n = len(edges)
     bits = np.unpackbits(shingles.astype(">u8").view(np.uint8)).reshape(-1, 64)
     ones = np.add.reduceat(bits, edges, axis=0, dtype=np.int32)
     counts = np.diff(np.append(edges, len(shingles)))
@@ -63,34 +68,22 @@ def signatures(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np
         # The least of a permutation's values, reduced to 16 bits that a mixed multiply spreads evenly.
         least = np.minimum.reduceat((shingles * multipliers[k]) ^ (shingles >> np.uint64(29)), edges)
         values[:, k] = (mix(least) >> np.uint64(48)).astype(np.uint16)
-    return node, code, values
+    return w.digests(), code, values
 
 
-def _text_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
 def signed_documents(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id (long), key (hash of the text as written), node, code (long) and values (binary) for every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
-            node, code, values = signatures(piece.column(2), words)
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(node.view(np.int64)), pa.array(code.view(np.int64)), pa.array([v.tobytes() for v in values], pa.binary())], names=["doc_id", "key", "node", "code", "values"])
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, node long, code long, values binary")
-
-
-def node_texts(documents: DataFrame) -> DataFrame:
-    """node and text for every row."""
+    """doc_id (long), key (digest of the text as written), digest (of its word sequence), code (long) and values (binary) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            w = Words(piece.column(0), lower=True)
-            node = range_hash(w.hashes(), w.docs[:-1], w.docs[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), piece.column(0)], names=["node", "text"])
+            digests, code, values = signatures(piece.column(2), words)
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(digests, pa.binary()), pa.array(code.view(np.int64)), pa.array([v.tobytes() for v in values], pa.binary())], names=["doc_id", "key", "digest", "code", "values"])
 
-    return documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "node long, text string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(_text()).alias("key"), _text().alias("text")).mapInArrow(run, "doc_id long, key string, digest binary, code long, values binary")
 
 
 class ShingleSets:
@@ -148,12 +141,14 @@ def _rounds(groups: np.ndarray, asks: np.ndarray) -> Iterator[np.ndarray]:
             yield own[i : i + _QUERIES]
 
 
-def _shard_links(codes: np.ndarray, values: np.ndarray, groups: np.ndarray, side: np.ndarray, sets: ShingleSets, similarity: float, radius: int) -> np.ndarray:
+def _shard_links(codes: np.ndarray, values: np.ndarray, groups: np.ndarray, side: np.ndarray, roots: np.ndarray, sets: ShingleSets, similarity: float, radius: int) -> np.ndarray:
     """label: for each member the least member that links connect it to. Rows are sorted by group, side and code.
 
-    Pairs within radius come first, then all others; only pairs that links connect already are not compared.
+    Members with one root are connected from the start. Pairs within radius come first, then all others; only pairs that
+    links connect already are not compared.
     """
-    label = np.arange(len(codes))
+    _, first, which = np.unique(roots, return_index=True, return_inverse=True)
+    label = first[which]
     tree = np.flatnonzero(side == 0)
     new = np.ones(len(tree), dtype=bool)
     new[1:] = (groups[tree][1:] != groups[tree][:-1]) | (codes[tree][1:] != codes[tree][:-1])
@@ -208,11 +203,11 @@ def _search(words: int, similarity: float, radius: int):
         count = 0
 
         def links(table: pa.Table) -> pa.RecordBatch:
-            shard, cell, side, node, code = (table.column(c).to_numpy() for c in ("shard", "cell", "side", "node", "code"))
+            shard, cell, side, node, root, code = (table.column(c).to_numpy() for c in ("shard", "cell", "side", "node", "root", "code"))
             values = np.frombuffer(b"".join(table.column("values").to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
             group = np.cumsum(np.concatenate(([0], (np.diff(shard) != 0) | (np.diff(cell) != 0))))
             sets = ShingleSets(table.column("text").combine_chunks(), words)
-            label = _shard_links(code.astype(np.int64).view(np.uint64), values, group, side, sets, similarity, radius)
+            label = _shard_links(code.astype(np.int64).view(np.uint64), values, group, side, root, sets, similarity, radius)
             moved = np.flatnonzero(label != np.arange(len(label)))
             return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["u", "v"])
 
@@ -234,29 +229,66 @@ def _search(words: int, similarity: float, radius: int):
     return run
 
 
+def _searched(cells: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
+    """(u, v) links of cells: shard, cell, side, node, root, code, values, text."""
+    rows = cells.select("shard", "cell", "side", "node", "root", "code", "values", "text")
+    return rows.repartition("shard", "cell").sortWithinPartitions("shard", "cell", "side", "code").mapInArrow(_search(words, similarity, radius), "u long, v long")
+
+
+def _pieces_of(column: str, n: str, tree_size: int) -> Column:
+    """The piece that a member falls into, of as many as n needs."""
+    return F.pmod(F.xxhash64(column, "shard"), F.ceil(F.col(n) / tree_size)).cast("long")
+
+
 def link_similar(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
-    """(u, v): links that connect similar nodes (node, code, values; each node once), whose texts are in texts (node, text). Texts alone in all their shards are not sent on."""
+    """(node, root) of the nodes that links connect to others.
+
+    nodes: node (long, unique), key, code, values. texts: key, text. Texts alone in all their shards are not sent on.
+    """
     width = 2 * BAND_VALUES
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("values", b * width + 1, width)) for b in range(BANDS)))
     shards = materialize(nodes.select("node", F.explode(keys).alias("shard")), "similar-shards")
-    sizes = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = shards.join(sizes, "shard").withColumn("cuts", F.ceil(F.col("n") / tree_size).cast("int")).join(nodes, "node")
-    met = met.join(texts.groupBy("node").agg(F.first("text").alias("text")), "node")
-    cells = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    cells = cells.select("shard", (F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")).alias("cell"), (F.col("own") > F.col("other")).cast("long").alias("side"), "node", "code", "values", "text")
-    return cells.repartition("shard", "cell").sortWithinPartitions("shard", "cell", "side", "code").mapInArrow(_search(words, similarity, radius), "u long, v long")
+    sizes = materialize(shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "similar-sizes")
+    met = materialize(shards.join(sizes, "shard"), "similar-met")
+    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi")
+    known = materialize(texts.join(wanted, "key").dropDuplicates(["node"]).select("node", "code", "values", "text"), "similar-texts")
+    alone = met.withColumns({"cell": _pieces_of("node", "n", tree_size), "side": F.lit(0).cast("long"), "root": F.col("node")})
+    links = materialize(_searched(alone.join(known, "node"), words, similarity, radius), "similar-links")
+    roots = materialize(connected_components(links), "similar-roots")
+    large = sizes.filter(F.col("n") > tree_size)
+    if large.isEmpty():
+        return roots
+    rooted = met.filter(F.col("n") > tree_size).join(roots, "node", "left").select("shard", "node", "n", F.coalesce("root", "node").alias("root"))
+    counts = rooted.groupBy("shard", "root").agg(F.count(F.lit(1)).alias("members"))
+    chief = counts.groupBy("shard").agg(F.max(F.struct("members", "root")).alias("most"), F.sum("members").alias("all"))
+    chief = materialize(chief.filter(F.col("most.members") < F.col("all")).select(F.col("shard").alias("of"), F.col("most.root").alias("chief"), (F.col("all") - F.col("most.members")).alias("others")), "similar-chiefs")
+    split = materialize(rooted.join(chief, F.col("shard") == F.col("of")).drop("of"), "similar-open")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / tree_size).cast("long") - 1))
+
+    apart = F.lit(1 << 31)
+    tree = split.withColumn("own", _pieces_of("node", "n", tree_size)).withColumn("other", every("others")).withColumn("side", F.lit(0).cast("long"))
+    asks = split.filter("root <> chief").withColumn("other", _pieces_of("node", "others", tree_size)).withColumn("own", every("n")).withColumn("side", F.lit(1).cast("long"))
+    cells = tree.unionByName(asks).withColumn("cell", F.col("own") * apart + F.col("other")).join(known, "node")
+    more = _searched(cells, words, similarity, radius)
+    return connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
 
 def _grouped(documents: DataFrame, words: int, similarity: float, tree_size: int = TREE_SIZE) -> DataFrame:
-    """doc_id, key, node, root (a name of the group) and component_id for every row."""
+    """doc_id, key, node, root (a name of the group) and component_id for every row.
+
+    What is joined on a node or a root that very many rows may have is written before, so that adaptive execution can split it.
+    """
     rows = materialize(signed_documents(documents, words), "similar-rows")
-    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    nodes = materialize(rows.select("node", "code", "values").dropDuplicates(["node"]), "similar-nodes")
-    roots = connected_components(link_similar(nodes, node_texts(documents), words, similarity, tree_size=tree_size)).select(F.col("node").alias("member"), "root")
-    placed = firsts.join(roots, F.col("node") == F.col("member"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = placed.join(least, "root").select(F.col("node").alias("own"), "root", "component_id")
-    return rows.select("doc_id", "key", "node").join(named, F.col("node") == F.col("own")).select("doc_id", "key", "node", "root", "component_id")
+    distinct = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("key"), F.first("code").alias("code"), F.first("values").alias("values"))
+    nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "similar-nodes")
+    texts = documents.select(F.md5(_text()).alias("key"), _text().alias("text"))
+    roots = link_similar(nodes, texts, words, similarity, tree_size=tree_size).withColumnRenamed("node", "member")
+    placed = materialize(nodes.join(roots, F.col("node") == F.col("member"), "left").select("digest", "node", "first_id", F.coalesce("root", "node").alias("root")), "similar-placed")
+    least = materialize(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "similar-least").withColumnRenamed("root", "named")
+    named = materialize(placed.join(least, F.col("root") == F.col("named")).select(F.col("digest").alias("own"), "node", "root", "component_id"), "similar-named")
+    return rows.select("doc_id", "key", "digest").join(named, F.col("digest") == F.col("own")).select("doc_id", "key", "node", "root", "component_id")
 
 
 def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, tree_size: int = TREE_SIZE) -> DataFrame:
@@ -265,13 +297,15 @@ def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8
 
 
 def keep_first(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """documents with one row for each group: that of the smallest doc_id, and of the texts with that doc_id in the group the least hash.
+    """documents with one row for each group: that of the smallest doc_id, and of the texts with that doc_id in the group the least digest.
 
     Rows are told apart by doc_id and text, so different texts with one doc_id stay where their groups differ. Rows without a doc_id stay, as they cannot be told apart.
+    Columns pass through whatever their names.
     """
-    firsts = _grouped(documents, words, similarity).filter("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("key").alias("key"))
-    kept = firsts.select(F.col("doc_id").alias("_kept"), F.col("key").alias("_kept_key")).distinct()
-    ids = F.col("doc_id").cast("long")
-    keyed = documents.withColumn("_text_key", _text_key())
-    found = keyed.join(kept, (ids == F.col("_kept")) & (F.col("_text_key") == F.col("_kept_key")), "left_semi").dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
-    return found.unionByName(documents.filter(ids.isNull()))
+    first = _grouped(documents, words, similarity).filter("doc_id = component_id").groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
+    first = first.groupBy("root", "doc_id").agg(F.min(F.struct("key", "copies")).alias("least")).select(F.col("doc_id").alias("kept"), F.col("least.key").alias("kept_key"), F.col("least.copies").alias("copies"))
+    own = as_rows(documents, id=F.col("doc_id").cast("long"), key=F.md5(_text()))
+    found = own.join(first, (F.col("id") == F.col("kept")) & (F.col("key") == F.col("kept_key")))
+    single = found.filter("copies = 1").select("row.*")
+    repeated = found.filter("copies > 1").dropDuplicates(["id", "key"]).select("row.*")
+    return single.unionByName(repeated).unionByName(documents.filter(F.col("doc_id").cast("long").isNull()))

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a fresh temporary one only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir. Only a local session may do without: then a temporary folder, deleted when the driver ends."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN[app] = "file://" + folder
     return _OWN[app]
 
 
@@ -36,6 +43,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def as_rows(documents: DataFrame, **more: Column) -> DataFrame:
+    """documents as one struct column row beside the columns more, so that no name of the input's can clash. Undo by select("row.*")."""
+    return documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), *(c.alias(name) for name, c in more.items()))
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a path through Spark's own file system layer (works for any store)."""
     jvm = spark.sparkContext._jvm

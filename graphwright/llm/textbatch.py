@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 
 PIECE_BYTES = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
@@ -23,7 +24,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
-_tables: dict[str, np.ndarray] = {}
+_LONG = 256
+_POWERS: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,17 +36,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("up", ())) < n:
-        size = max(n, PIECE_BYTES + 1024)
-        for name, base in (("up", _ODD), ("down", _INVERSE)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _tables[name] = np.cumprod(steps, dtype=np.uint64)
-    return _tables["up"][:n], _tables["down"][:n]
+    """Powers of the odd base and of its inverse. Only tables for a usual piece are kept."""
+    if n <= len(_POWERS.get("up", ())):
+        return _POWERS["up"][:n], _POWERS["down"][:n]
+    size, made = max(n, PIECE_BYTES // 2), {}
+    for name, base in (("up", _ODD), ("down", _INVERSE)):
+        steps = np.full(size, base, dtype=np.uint64)
+        steps[0] = 1
+        made[name] = np.cumprod(steps, dtype=np.uint64)
+    if size <= PIECE_BYTES // 2:
+        _POWERS.update(made)
+    return made["up"][:n], made["down"][:n]
 
 
 def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of values[s:e] for every pair, by prefix sums of a polynomial modulo 2**64."""
+    """64-bit hash of values[s:e] for every pair, by prefix sums of a polynomial modulo 2**64.
+
+    For short ranges of values that are hashes themselves (windows of words). Long ranges with few different values can
+    meet by construction (Thue-Morse sequences), so whole texts and words are hashed otherwise.
+    """
     up, down = _powers(len(values) + 1)
     total = np.empty(len(values) + 1, dtype=np.uint64)
     total[0] = 0
@@ -52,6 +62,28 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def byte_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes data[s:e] for every pair: eight bytes at a time into a mixed state; XXH3 for long ranges."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    left = ends - starts
+    state = mix(left.astype(np.uint64) + np.uint64(_ODD))
+    long_ = np.flatnonzero(left > _LONG)
+    for i in long_.tolist():
+        state[i] = xxhash.xxh3_64_intdigest(padded[starts[i] : ends[i]])
+    at = np.flatnonzero((left > 0) & (left <= _LONG))
+    begin, left = starts[at], left[at]
+    while len(at):
+        held = eights[begin]
+        short = left < 8
+        held[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        state[at] = mix(state[at] ^ held)
+        more = left > 8
+        at, begin, left = at[more], begin[more] + 8, left[more] - 8
+    return state
+
+
 class Words:
     """Words of a list of texts, with A-Z lower-cased if asked; docs[i]:docs[i + 1] are the words of text i."""
 
@@ -80,8 +112,16 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self, data: np.ndarray | None = None) -> np.ndarray:
-        return range_hash((self.bytes if data is None else data).astype(np.uint64) + np.uint64(1), self.starts, self.ends)
+    def hashes(self) -> np.ndarray:
+        """64-bit hash of every word."""
+        return byte_hash(self.bytes, self.starts, self.ends)
+
+    def digests(self) -> list[bytes]:
+        """128-bit digest of the word sequence of every text."""
+        out = []
+        for s, e in zip(self.offsets.tolist(), self.offsets[1:].tolist()):
+            out.append(xxhash.xxh3_128_digest(b" ".join(self.bytes[s:e].tobytes().split())))
+        return out
 
     def owners(self) -> np.ndarray:
         """For every word the index of its text."""

@@ -58,6 +58,15 @@ def test_run_equals_the_stages(spark, small, steps):
     assert sorted(map(tuple, corpus_pipeline.run(spark, small).collect())) == sorted(map(tuple, steps[-1]))
 
 
+def test_columns_of_the_input_are_kept_whatever_their_names(dirty, spark, small):
+    named = dirty.selectExpr("*", "'a' as _text_key", "doc_id as _own", "'b' as text_key", "7 as copies", "'c' as _kept", "'d' as own", "9 as hit", "2 as copy", "1 as rows")
+    before = {r["doc_id"]: r for r in named.collect()}
+    for stage in [s for _, s in corpus_pipeline.STAGES[:4]]:
+        out = stage(spark, named, small)
+        assert out.columns == named.columns
+        assert all(before[r["doc_id"]] == r for r in out.collect())
+
+
 def test_mixed_documents_of_repeated_rows(dirty, empty):
     out = mixing.mixed_documents(dirty.unionByName(dirty))
     assert out.columns == dirty.columns

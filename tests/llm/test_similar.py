@@ -5,7 +5,9 @@ import pyarrow as pa
 import pytest
 
 from graphwright.llm import similar
+from graphwright.llm.textbatch import Words
 
+from . import brute
 from .conftest import DIRTY
 
 
@@ -30,6 +32,37 @@ def test_groups_of_near_copies(spark, tree_size):
     assert got == {d: g * 14 for d, _, g in rows}
 
 
+def thue_morse(n=2048, letters="ab"):
+    """A sequence and its complement, whose polynomial hashes modulo a power of two agree."""
+    one = "".join(letters[i.bit_count() % 2] for i in range(n))
+    return one, one.translate(str.maketrans(letters, letters[::-1]))
+
+
+def test_words_and_texts_that_a_polynomial_confuses(spark):
+    one, two = thue_morse()
+    spaced = [" ".join(x) for x in (one, two)]
+    a, b = Words(pa.array([one + " " + two])).hashes()
+    assert a != b and len(set(Words(pa.array(spaced)).digests())) == 2
+    kept = similar.keep_first(spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+
+
+def test_large_shards_lose_no_link(spark):
+    """One shard of many texts: chains of near copies whose ends are far apart, cut into pieces of three."""
+    r, rows = random.Random(11), []
+    for g in range(3):
+        base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        for step in range(14):
+            base[20 * step] = f"x{r.randrange(10**6)}"
+            rows.append((100 * g + step, " ".join(base)))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in similar.similar_groups(df, tree_size=3).collect()}
+    ids = sorted(d for d, _ in rows)
+    expected = brute.similar_groups([dict(rows)[d] for d in ids])
+    assert got == {d: ids[k] for d, k in zip(ids, expected)}
+
+
 def test_half_changed_texts_stay_apart(spark):
     base = [f"w{i}" for i in range(200)]
     other = base[:100] + [f"v{i}" for i in range(100)]
@@ -38,6 +71,7 @@ def test_half_changed_texts_stay_apart(spark):
 
 
 def test_edge_rows(dirty, empty):
+    dirty = dirty.selectExpr("*", "'k' as _kept", "1L as _kept_key", "'t' as _text_key", "0 as component_id", "'c' as copies", "5 as kept")
     kept = similar.keep_first(dirty.unionByName(dirty))
     assert kept.columns == dirty.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 3, 6, 7, 8, 9, 10, 11]
@@ -68,7 +102,7 @@ def test_slices_of_batches_are_read_right():
     whole = similar.signatures(column, 5)
     for begin, length in ((0, 7), (7, 20), (27, 25), (50, 2)):
         part = similar.signatures(column.slice(begin, length), 5)
-        assert all(np.array_equal(p, w[begin : begin + length]) for p, w in zip(part, whole))
+        assert all(np.array_equal(p, w[begin : begin + length]) for p, w in zip(part, whole, strict=True))
 
 
 def test_similar_texts_with_distant_codes_are_linked(spark):
