@@ -1,22 +1,25 @@
-"""Substring dedup by hashes of word windows.
+"""Substring dedup on a compacted De Bruijn graph of word windows.
 
-No De Bruijn graph is compacted: nodes, degrees and unbranched paths are not computed. Edges are the 13-word windows of a
-text. Consecutive edges that share a minimizer (the least hash of the window's five-word parts) form one path piece, which
-may branch, and equal edges always share the minimizer, so pieces are compared before edges:
+Edges are the 13-word windows of a text, nodes their 12-word ends. The graph holds the edges of at least two documents; each
+knows the least doc_id in which it starts, its source, and its coordinate there.
 
 0. A document whose whole text a smaller doc_id has too is cut entirely (if it has a window); it needs no graph, and
    what others share with it they share with the smaller document. So a group of copies, however large, is one document below.
-1. Every path piece sends (minimizer, doc_id); a partial aggregation keeps the minimizers of at least two documents.
-2. Only edges of such pieces are taken further, as (96-bit edge hash, doc_id, coordinate), and aggregated to the
-   least doc_id of each edge; joined back, edges that start in a smaller document remain, with their coordinates.
-3. Per document, edges at consecutive coordinates are compacted to maximal spans. Before anything is cut, each
-   coordinate is checked against the text itself: the window found there must have the edge's hash.
-
-What decides between 1 and 2 which pieces go on, and which texts are joined in 3, is a filter of fixed
-size that is broadcast; strangers that it lets pass fall away in the exact steps.
+1. Prefilter: consecutive windows with the same minimizer (the least hash of the window's five-word parts) form pieces. Every
+   piece sends (minimizer, doc_id), and only windows whose minimizer at least two documents have can be edges.
+2. Edges are aggregated to their source document (96-bit hashes), and its windows are joined to find each edge's coordinate.
+3. Compaction: the in- and out-degree of every node are counted. Edges that meet in a node with one way in and one way out, both of
+   the same source, stand side by side in the source's text, so joining the degrees to the edges and following the coordinates
+   contracts every nonbranching path to one unitig (source, first coordinate, number of edges).
+4. The windows of later documents are joined with the unitigs' edges. Windows that follow both the text and one unitig are one
+   span of the document, which is joined with the unitig's words, taken from the source's text at its coordinates.
+5. Per document the spans are verified: only where the document's own words are those of the source are they cut.
+
+What decides in 1 which windows go on, and which texts are joined in 5, is a filter of fixed size that is broadcast; strangers that
+it lets pass fall away in the exact steps. Beyond some 10^8 different repeated pieces it passes nearly everything: more work, same result.
 
 Cases: null text has no words; texts of fewer than 13 words are never cut; rows with the same doc_id count as one
-document (they don't cut each other); rows without a doc_id are neither cut nor a source; an empty
+document (they don't cut each other) but each is cut by its own words; rows without a doc_id are neither cut nor a source; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -32,6 +35,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import fixed_filter
 from .storage import materialize
@@ -40,7 +44,6 @@ from .textbatch import Words, mix, pieces, range_hash
 WINDOW = 13
 PART = 5
 _WHOLE = -1
-_MARKS = "array<struct<start:int,check:int>>"
 
 
 def _minimizers(hashes: np.ndarray, w: Words, first: np.ndarray, window: int, part: int) -> np.ndarray:
@@ -79,8 +82,8 @@ def path_minimizers(rows: DataFrame, without: Broadcast | None, window: int, par
     return rows.mapInArrow(run, "minimizer long, doc_id long")
 
 
-def candidate_edges(rows: DataFrame, without: Broadcast | None, cells: Broadcast, window: int, part: int) -> DataFrame:
-    """(edge, check, doc_id, start) of the windows whose minimizer may be in the filter."""
+def candidate_edges(rows: DataFrame, without: Broadcast | None, cells: Broadcast, window: int, part: int, parts: tuple[str, ...]) -> DataFrame:
+    """The windows whose minimizer may be in the filter: edge, check, doc_id, and of key (of the row), start, prefix and suffix (nodes) what parts names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = fixed_filter.load(cells)
@@ -89,12 +92,17 @@ def candidate_edges(rows: DataFrame, without: Broadcast | None, cells: Broadcast
             first, hashes, owner = w.windows(window), w.hashes(), w.owners()
             first = first[fixed_filter.may_have(table, _minimizers(hashes, w, first, window, part))]
             own = owner[first]
+            made = {
+                "key": lambda: piece.column(2).to_numpy(zero_copy_only=False)[own], "start": lambda: (first - w.docs[own]).astype(np.int32),
+                "prefix": lambda: range_hash(hashes, first, first + window - 1).view(np.int64), "suffix": lambda: range_hash(hashes, first + 1, first + window).view(np.int64),
+            }
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range_hash(hashes, first, first + window).view(np.int64)), pa.array(_check(hashes, first, window)), pa.array(_ids(piece)[own]), pa.array((first - w.docs[own]).astype(np.int32))],
-                names=["edge", "check", "doc_id", "start"],
+                [pa.array(range_hash(hashes, first, first + window).view(np.int64)), pa.array(_check(hashes, first, window)), pa.array(_ids(piece)[own]), *(pa.array(made[x]()) for x in parts)],
+                names=["edge", "check", "doc_id", *parts],
             )
 
-    return rows.mapInArrow(run, "edge long, check int, doc_id long, start int")
+    kinds = {"key": "long", "start": "int", "prefix": "long", "suffix": "long"}
+    return rows.mapInArrow(run, ", ".join(["edge long, check int, doc_id long", *(f"{x} {kinds[x]}" for x in parts)]))
 
 
 def _text_check() -> Column:
@@ -111,15 +119,15 @@ def _digest() -> Column:
 
 
 def _rows(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
 
 
 def whole_copies(documents: DataFrame) -> DataFrame:
-    """(doc_id, digest, check) of the texts that a smaller doc_id has too."""
-    texts = _rows(documents).filter("doc_id is not null and text <> ''").select("doc_id", _digest().alias("digest"), _text_check().alias("check"))
+    """(doc_id, key, digest, check) of the texts that a smaller doc_id has too."""
+    texts = _rows(documents).filter("doc_id is not null and text <> ''").select("doc_id", "key", _digest().alias("digest"), _text_check().alias("check"))
     first = texts.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
     first = materialize(first, "copied-texts")
-    return materialize(texts.join(first, "digest").filter("doc_id > first_doc").select("doc_id", "digest", "check").distinct(), "whole-copies")
+    return materialize(texts.join(first, "digest").filter("doc_id > first_doc").select("doc_id", "key", "digest", "check").distinct(), "whole-copies")
 
 
 Part = tuple[DataFrame, Broadcast | None]
@@ -133,57 +141,110 @@ def without_copies(documents: DataFrame, copies: DataFrame) -> list[Part]:
     """
     rows, cells = _rows(documents).filter("doc_id is not null"), fixed_filter.build(copies.select("doc_id"))
     suspects = fixed_filter.suspects(rows, "doc_id", cells).withColumn("digest", _digest())
-    return [(rows, cells), (suspects.join(copies, ["doc_id", "digest"], "left_anti").drop("digest"), None)]
+    return [(rows, cells), (suspects.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "text", "key"), None)]
 
 
 def _all(parts: list[Part], compute: Callable[[DataFrame, Broadcast | None], DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, (compute(rows, cells) for rows, cells in parts))
 
 
-def repeated_edges(parts: list[Part], window: int = WINDOW, part: int = PART) -> DataFrame:
-    """(doc_id, start, check, first_doc): windows that also start in a row with a smaller doc_id, the least of which is first_doc.
+def repeated_edges(parts: list[Part], shared: Broadcast, window: int = WINDOW, part: int = PART) -> DataFrame:
+    """(edge, check, first_doc, key, start, prefix, suffix): the windows of at least two documents, with their place in the first of them."""
+    edges = _all(parts, lambda rows, without: candidate_edges(rows, without, shared, window, part, ()))
+    spread = F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
+    first = materialize(edges.groupBy("edge", "check").agg(*spread).filter("first_doc < last_doc").select("edge", "check", "first_doc"), "first-edges")
+    sources = fixed_filter.build(first.select("first_doc").distinct())
+    own = [(fixed_filter.suspects(rows if without is None else _outside(rows, without), "doc_id", sources), None) for rows, without in parts]
+    placed = _all(own, lambda rows, without: candidate_edges(rows, without, shared, window, part, ("key", "start", "prefix", "suffix")))
+    held = placed.withColumnRenamed("doc_id", "first_doc").join(first, ["edge", "check", "first_doc"])
+    return held.groupBy("edge", "check", "first_doc").agg(F.min_by("key", "start").alias("key"), F.min("start").alias("start"), F.first("prefix").alias("prefix"), F.first("suffix").alias("suffix"))
+
+
+def _outside(rows: DataFrame, cells: Broadcast) -> DataFrame:
+    return rows.mapInArrow(lambda batches: fixed_filter.select(batches, 0, cells, False), rows.schema)
+
 
-    The rows of parts have doc_id (long, not null) and text. The first documents are written before the join, so that adaptive
-    execution can split an edge that very many documents hold.
+def compact(edges: DataFrame) -> DataFrame:
+    """(edge, check, first_doc, source_key, head, offset, start): every edge's unitig, named by its source and first coordinate, and the edge's place in it.
+
+    edges as repeated_edges gives them. A path goes on where its node has one way in and one way out, of the same source.
+    """
+    ends = F.explode(F.array(F.struct(F.col("prefix").alias("node"), F.lit(0).alias("ins"), F.lit(1).alias("outs")), F.struct(F.col("suffix").alias("node"), F.lit(1).alias("ins"), F.lit(0).alias("outs"))))
+    degrees = edges.select(ends.alias("end"), "first_doc").groupBy("end.node").agg(F.sum("end.ins").alias("ins"), F.sum("end.outs").alias("outs"), F.min("first_doc").alias("least"), F.max("first_doc").alias("most"))
+    inner = degrees.filter("ins = 1 and outs = 1 and least = most").select("node", F.lit(True).alias("goes_on"))
+    met = edges.join(inner, F.col("prefix") == F.col("node"), "left")
+    along = Window.partitionBy("first_doc", "key").orderBy("start")
+    begins = F.col("goes_on").isNull() | (F.lag("start").over(along).eqNullSafe(F.col("start") - 1) == F.lit(False))
+    headed = met.withColumn("begin", F.when(begins, F.col("start"))).withColumn("head", F.last("begin", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return headed.select("edge", "check", "first_doc", F.col("key").alias("source_key"), "head", (F.col("start") - F.col("head")).alias("offset"))
+
+
+def repeated_spans(parts: list[Part], window: int = WINDOW, part: int = PART) -> DataFrame:
+    """(doc_id, key, start, first_doc, source_key, head, offset, n_edges): runs of windows that follow a unitig of a smaller doc_id.
+
+    The unitigs' edges are written before the join, so that adaptive execution can split an edge that very many documents hold.
     """
     spread = F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
     minimizers = _all(parts, lambda rows, without: path_minimizers(rows, without, window, part))
     shared = fixed_filter.build(minimizers.groupBy("minimizer").agg(*spread).filter("first_doc < last_doc").select("minimizer"))
-    edges = _all(parts, lambda rows, without: candidate_edges(rows, without, shared, window, part))
-    first = materialize(edges.groupBy("edge", "check").agg(*spread).filter("first_doc < last_doc").select("edge", "check", "first_doc"), "first-edges")
-    return edges.join(first, ["edge", "check"]).filter("doc_id > first_doc").select("doc_id", "start", "check", "first_doc")
+    unitigs = materialize(compact(materialize(repeated_edges(parts, shared, window, part), "edges")), "unitig-edges")
+    later = _all(parts, lambda rows, without: candidate_edges(rows, without, shared, window, part, ("key", "start")))
+    met = later.join(unitigs, ["edge", "check"]).filter("doc_id > first_doc").select("doc_id", "key", "start", "first_doc", "source_key", "head", "offset")
+    along = Window.partitionBy("doc_id", "key").orderBy("start")
+    before = F.struct("start", "first_doc", "source_key", "head", "offset")
+    wanted = F.struct(F.col("start") - 1, F.col("first_doc"), F.col("source_key"), F.col("head"), F.col("offset") - 1)
+    follows = F.lag(before).over(along).eqNullSafe(wanted)
+    runs = met.withColumn("run", F.sum(F.when(follows, 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ended = runs.groupBy("doc_id", "key", "run").agg(*(F.min(c).alias(c) for c in ("start", "first_doc", "source_key", "head", "offset")), F.count(F.lit(1)).cast("int").alias("n_edges"))
+    return ended.drop("run")
+
+
+def unitig_words(rows: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(first_doc, source_key, head, words): the words of each unitig as far as spans need them, from the source's text."""
+    wanted = spans.groupBy("first_doc", "source_key", "head").agg(F.max(F.col("offset") + F.col("n_edges")).alias("n_edges"))
+    of = wanted.groupBy("first_doc", "source_key").agg(F.collect_list(F.struct("head", "n_edges")).alias("unitigs"))  # not more than the source has words
+    sources = fixed_filter.suspects(rows.filter("doc_id is not null"), "doc_id", fixed_filter.build(of.select("first_doc")))
+    found = sources.join(of, (F.col("doc_id") == F.col("first_doc")) & (F.col("key") == F.col("source_key"))).select("first_doc", "source_key", "text", "unitigs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            docs, keys, heads, words = [], [], [], []
+            for doc, key, text, own in zip(*(c.to_pylist() for c in piece.columns)):
+                split = text.encode().split()
+                for x in own:
+                    docs.append(doc)
+                    keys.append(key)
+                    heads.append(x["head"])
+                    words.append(b" ".join(split[x["head"] : x["head"] + x["n_edges"] + window - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(heads, pa.int32()), pa.array(words, pa.binary()).cast(pa.string())], names=["first_doc", "source_key", "head", "words"])
+
+    made = found.mapInArrow(run, "first_doc long, source_key long, head int, words string")
+    return made.dropDuplicates(["first_doc", "source_key", "head"])
 
 
 def _cut(texts: list[str | None], marks: list[list[dict] | None], window: int) -> tuple[list[int], list[int], list[bytes], list[list[dict]]]:
     n_words, n_removed, kept, spans = [], [], [], []
     for text, mark in zip(texts, marks):
-        data = (text or "").encode()
-        words = data.split()
+        words = (text or "").encode().split()
+        n_words.append(len(words))
         own: list[dict] = []
-        if mark and len(words) >= window and any(m["start"] == _WHOLE and m["check"] == _whole_check(text) for m in mark):
-            own.append({"start": 0, "end": len(words)})
-            n_words.append(len(words))
-            n_removed.append(len(words))
-            words = []
-        elif mark:
-            w = Words(pa.array([text]))
-            starts = np.unique(np.array([m["start"] for m in mark if 0 <= m["start"] <= len(words) - window], dtype=np.int64))
-            wanted = {(m["start"], m["check"]) for m in mark}
-            real = [s for s, c in zip(starts.tolist(), _check(w.hashes(), starts, window).tolist()) if (s, c) in wanted]
-            for s in real:
-                if own and s <= own[-1]["end"]:
-                    own[-1]["end"] = s + window
+        if mark and len(words) >= window:
+            gone = np.zeros(len(words) + 2, dtype=np.int8)
+            for m in mark:
+                if m["start"] == _WHOLE:
+                    if m["check"] == _whole_check(text):
+                        gone[1:-1] = 1
                 else:
-                    own.append({"start": s, "end": s + window})
-            gone = np.zeros(len(words), dtype=bool)
-            for x in own:
-                gone[x["start"] : x["end"]] = True
-            words = [x for x, g in zip(words, gone.tolist()) if not g]
-            n_words.append(len(gone))
-            n_removed.append(int(gone.sum()))
-        else:
-            n_words.append(len(words))
-            n_removed.append(0)
+                    source = m["words"].encode().split()
+                    if words[m["start"] : m["start"] + len(source)] == source:
+                        gone[m["start"] + 1 : m["start"] + 1 + len(source)] = 1
+            edges = np.flatnonzero(np.diff(gone)).tolist()
+            own = [{"start": s, "end": e} for s, e in zip(edges[::2], edges[1::2])]
+            left: list[bytes] = []
+            for s, e in zip([0, *edges[1::2]], [*edges[::2], len(words)]):
+                left += words[s:e]
+            words = left
+        n_removed.append(n_words[-1] - len(words))
         kept.append(b" ".join(words))
         spans.append(own)
     return n_words, n_removed, kept, spans
@@ -191,18 +252,22 @@ def _cut(texts: list[str | None], marks: list[list[dict] | None], window: int) -
 
 def dedup_substrings(documents: DataFrame, window: int = WINDOW, part: int = PART) -> DataFrame:
     """doc_id, text (kept words), n_words, n_removed, kept_sha256 and spans (removed words, start to end) for every row."""
-    copies = whole_copies(documents)
-    edges = materialize(repeated_edges(without_copies(documents, copies), window, part).select("doc_id", "start", "check"), "repeated-edges")
-    marked_rows = edges.unionByName(copies.select("doc_id", F.lit(_WHOLE).alias("start"), "check"))
-    touched = fixed_filter.build(marked_rows.select("doc_id"))
-    marks = marked_rows.groupBy("doc_id").agg(F.collect_set(F.struct("start", "check")).alias("marks")).withColumnRenamed("doc_id", "marked")
-    rows = _rows(documents)
-    marked = fixed_filter.suspects(rows, "doc_id", touched).join(marks, F.col("doc_id") == F.col("marked"), "left").select("doc_id", "text", "marks")
+    rows, copies = _rows(documents), whole_copies(documents)
+    spans = materialize(repeated_spans(without_copies(documents, copies), window, part), "repeated-spans")
+    words = materialize(unitig_words(rows, spans, window), "unitig-words")
+    source = F.when((F.col("offset") == 0) & (F.size(F.split("words", " ")) == F.col("n_edges") + window - 1), F.col("words"))
+    source = source.otherwise(F.array_join(F.slice(F.split("words", " "), F.col("offset") + 1, F.col("n_edges") + window - 1), " "))
+    marked_rows = spans.join(words, ["first_doc", "source_key", "head"]).select("doc_id", "key", "start", source.alias("words"), F.lit(None).cast("int").alias("check"))
+    marked_rows = marked_rows.unionByName(copies.select("doc_id", "key", F.lit(_WHOLE).alias("start"), F.lit(None).cast("string").alias("words"), "check"))
+    touched = fixed_filter.build(spans.select("doc_id").distinct().unionByName(copies.select("doc_id")))
+    marks = marked_rows.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "words", "check")).alias("marks")).withColumnsRenamed({"doc_id": "marked", "key": "marked_key"})
+    met = (F.col("doc_id") == F.col("marked")) & (F.col("key") == F.col("marked_key"))
+    marked = fixed_filter.suspects(rows, "doc_id", touched).join(marks, met, "left").select("doc_id", "text", "marks")
 
     def cut(without: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for piece in pieces(fixed_filter.select(batches, 0, without, False)):
-                n_words, n_removed, kept, spans = _cut(piece.column(1).to_pylist(), piece.column(2).to_pylist() if piece.num_columns > 2 else [None] * piece.num_rows, window)
+                n_words, n_removed, kept, spans = _cut(piece.column(1).to_pylist(), piece.column(2).to_pylist() if without is None else [None] * piece.num_rows, window)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                      pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
@@ -212,4 +277,4 @@ def dedup_substrings(documents: DataFrame, window: int = WINDOW, part: int = PAR
         return run
 
     schema = "doc_id long, text string, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-    return rows.mapInArrow(cut(touched), schema).unionByName(marked.mapInArrow(cut(None), schema))
+    return rows.select("doc_id", "text").mapInArrow(cut(touched), schema).unionByName(marked.mapInArrow(cut(None), schema))
