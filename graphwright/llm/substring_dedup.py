@@ -82,12 +82,15 @@ def path_minimizers(rows: DataFrame, without: Broadcast | None, window: int, par
     return rows.mapInArrow(run, "minimizer long, doc_id long")
 
 
-def candidate_edges(rows: DataFrame, without: Broadcast | None, cells: Broadcast, window: int, part: int, parts: tuple[str, ...]) -> DataFrame:
-    """The windows whose minimizer may be in the filter: edge, check, doc_id, and of key (of the row), start, prefix and suffix (nodes) what parts names."""
+def candidate_edges(rows: DataFrame, only: Broadcast | None, inside: bool, cells: Broadcast, window: int, part: int, parts: tuple[str, ...]) -> DataFrame:
+    """The windows whose minimizer may be in the filter cells: edge, check, doc_id, and of key (of the row), start, prefix and suffix (nodes) what parts names.
+
+    With a filter only, of the rows that it holds (inside) or lacks. It is applied here, so that a task has one Python worker.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = fixed_filter.load(cells)
-        for piece in pieces(fixed_filter.select(batches, 0, without, False)):
+        for piece in pieces(fixed_filter.select(batches, 0, only, inside)):
             w = Words(piece.column(1))
             first, hashes, owner = w.windows(window), w.hashes(), w.owners()
             first = first[fixed_filter.may_have(table, _minimizers(hashes, w, first, window, part))]
@@ -150,20 +153,16 @@ def _all(parts: list[Part], compute: Callable[[DataFrame, Broadcast | None], Dat
 
 def repeated_edges(parts: list[Part], shared: Broadcast, window: int = WINDOW, part: int = PART) -> DataFrame:
     """(edge, check, first_doc, key, start, prefix, suffix): the windows of at least two documents, with their place in the first of them."""
-    edges = _all(parts, lambda rows, without: candidate_edges(rows, without, shared, window, part, ()))
+    edges = _all(parts, lambda rows, without: candidate_edges(rows, without, False, shared, window, part, ()))
     spread = F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
     first = materialize(edges.groupBy("edge", "check").agg(*spread).filter("first_doc < last_doc").select("edge", "check", "first_doc"), "first-edges")
+    # Rows of a source that are whole copies are read again as well: they have its windows at places of their own, which is right too.
     sources = fixed_filter.build(first.select("first_doc").distinct())
-    own = [(fixed_filter.suspects(rows if without is None else _outside(rows, without), "doc_id", sources), None) for rows, without in parts]
-    placed = _all(own, lambda rows, without: candidate_edges(rows, without, shared, window, part, ("key", "start", "prefix", "suffix")))
+    placed = candidate_edges(parts[0][0], sources, True, shared, window, part, ("key", "start", "prefix", "suffix"))
     held = placed.withColumnRenamed("doc_id", "first_doc").join(first, ["edge", "check", "first_doc"])
     return held.groupBy("edge", "check", "first_doc").agg(F.min_by("key", "start").alias("key"), F.min("start").alias("start"), F.first("prefix").alias("prefix"), F.first("suffix").alias("suffix"))
 
 
-def _outside(rows: DataFrame, cells: Broadcast) -> DataFrame:
-    return rows.mapInArrow(lambda batches: fixed_filter.select(batches, 0, cells, False), rows.schema)
-
-
 def compact(edges: DataFrame) -> DataFrame:
     """(edge, check, first_doc, source_key, head, offset, start): every edge's unitig, named by its source and first coordinate, and the edge's place in it.
 
@@ -188,7 +187,7 @@ def repeated_spans(parts: list[Part], window: int = WINDOW, part: int = PART) ->
     minimizers = _all(parts, lambda rows, without: path_minimizers(rows, without, window, part))
     shared = fixed_filter.build(minimizers.groupBy("minimizer").agg(*spread).filter("first_doc < last_doc").select("minimizer"))
     unitigs = materialize(compact(materialize(repeated_edges(parts, shared, window, part), "edges")), "unitig-edges")
-    later = _all(parts, lambda rows, without: candidate_edges(rows, without, shared, window, part, ("key", "start")))
+    later = _all(parts, lambda rows, without: candidate_edges(rows, without, False, shared, window, part, ("key", "start")))
     met = later.join(unitigs, ["edge", "check"]).filter("doc_id > first_doc").select("doc_id", "key", "start", "first_doc", "source_key", "head", "offset")
     along = Window.partitionBy("doc_id", "key").orderBy("start")
     before = F.struct("start", "first_doc", "source_key", "head", "offset")
