@@ -10,11 +10,15 @@ lacks are certainly not repeated, and lines that it has are checked against the
 Batch use (dedup_lines): counts by a partial aggregation (a line in a third of
 all documents is one row for each task), filters of the repeated keys, then the
 documents' lines are tested by the filters, and what passes is joined with the
-counts. The filters are broadcast only if all of them together stay below
-filter_bytes_limit; beyond, the lines are joined with the counts directly.
+counts. There are as many shards as the repeated keys need, so a filter holds
+about SHARD_KEYS keys at any scale. Up to filter_bytes_limit in all the filters are
+broadcast; beyond, the lines are shuffled to their shard's filter, a shard with very
+many lines in several parts, each with the filter.
 
-Incremental use (LineIndex): insert(docs) and delete(doc_ids) touch only the
-counts of the keys concerned; insert followed by delete restores the index.
+Incremental use (LineIndex): insert(docs) and delete(doc_ids) recount only the
+keys concerned and correct their filters; the tables are written anew, as a
+version of their own, and insert followed by delete restores the index. An index
+that was written is opened again by its path.
 
 Cases: null or empty text is one empty line; keys shorter than min_chars code
 points are never dropped; rows with the same doc_id count as one document, and
@@ -34,11 +38,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import delete_path, fresh_path, materialize
+from .storage import delete_path, fresh_path, list_path, materialize
 from .textbatch import mix, pieces
 
 SPACE = b" \t\n\x0b\x0c\r"
 SHARDS = 256
+SHARD_KEYS = 1 << 17
+ROUTED_ROWS = 1 << 20
 SLOTS = 4
 
 
@@ -117,18 +123,24 @@ class CuckooFilter:
         return ((self.table[first.astype(np.int64)] == wanted) | (self.table[second.astype(np.int64)] == wanted)).any(axis=1)
 
 
-def _probe(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _probe(keys: list[bytes], shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Shard and 64-bit filter key of each 16-byte line key."""
     raw = np.frombuffer(b"".join(keys), dtype=np.dtype("<u8")).reshape(-1, 2)
-    return (raw[:, 0] & np.uint64(SHARDS - 1)).astype(np.int64), mix(raw[:, 1] + np.uint64(1))
+    return (raw[:, 0] & np.uint64(shards - 1)).astype(np.int64), mix(raw[:, 1] + np.uint64(1))
 
 
-def _shard_column() -> Column:
-    """The shard as _probe computes it: the key's first byte."""
-    return F.conv(F.hex(F.substring("key", 1, 1)), 16, 10).cast("int")
+def _shard_column(shards: int) -> Column:
+    """The shard as _probe computes it, from the key's first three bytes."""
+    low = F.concat(*(F.hex(F.substring("key", i, 1)) for i in (3, 2, 1)))
+    return F.conv(low, 16, 10).cast("int").bitwiseAND(shards - 1)
 
 
-def postings(documents: DataFrame, min_chars: int = 10, filters: Broadcast | None = None) -> DataFrame:
+def shards_for(keys: int) -> int:
+    """A power of two from SHARDS to 2**24, so that a shard has about SHARD_KEYS keys or fewer."""
+    return min(1 << 24, max(SHARDS, 1 << max(0, -(-keys // SHARD_KEYS) - 1).bit_length()))
+
+
+def postings(documents: DataFrame, min_chars: int = 10, filters: Broadcast | None = None, shards: int = SHARDS) -> DataFrame:
     """(key, doc_id), once for each document and distinct key; with filters (cells by shard) only the keys that they may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,17 +153,17 @@ def postings(documents: DataFrame, min_chars: int = 10, filters: Broadcast | Non
                     keys += found
                     owners += [doc_id] * len(found)
             made = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.int64())], names=["key", "doc_id"])
-            yield made if loaded is None or not keys else made.filter(pa.array(_may_hold(loaded, keys)))
+            yield made if loaded is None or not keys else made.filter(pa.array(_may_hold(loaded, keys, shards)))
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key binary, doc_id long")
 
 
-def _may_hold(filters: dict[int, CuckooFilter], keys: list[bytes]) -> np.ndarray:
-    shards, probes = _probe(keys)
+def _may_hold(filters: dict[int, CuckooFilter], keys: list[bytes], shards: int) -> np.ndarray:
+    own, probes = _probe(keys, shards)
     passed = np.zeros(len(keys), dtype=bool)
-    for s in np.unique(shards).tolist():
+    for s in np.unique(own).tolist():
         if s in filters:
-            at = np.flatnonzero(shards == s)
+            at = np.flatnonzero(own == s)
             passed[at] = filters[s].may_have(probes[at])
     return passed
 
@@ -162,33 +174,66 @@ def reference_counts(posted: DataFrame, distinct: bool = False) -> DataFrame:
     return rows.groupBy("key").agg(F.count("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
-def build_filters(repeated: DataFrame) -> DataFrame:
+def build_filters(repeated: DataFrame, count: int = SHARDS) -> DataFrame:
     """(shard, cells): one cuckoo filter for each shard with keys."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             if batch.num_rows:
-                shards, keys = _probe(batch.column(0).to_pylist())
+                shards, keys = _probe(batch.column(0).to_pylist(), count)
                 for s in np.unique(shards).tolist():
                     held.setdefault(s, []).append(keys[shards == s])
         for s, parts in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([CuckooFilter.of(np.unique(np.concatenate(parts))).dump()], pa.binary())], names=["shard", "cells"])
 
-    return repeated.select("key").repartition(_shard_column()).mapInArrow(build, "shard int, cells binary")
+    return repeated.select("key").repartition(_shard_column(count)).mapInArrow(build, "shard int, cells binary")
+
+
+def route_to_filters(posted: DataFrame, repeated: DataFrame, filters: DataFrame, shards: int, part_rows: int = ROUTED_ROWS) -> DataFrame:
+    """The postings that their shard's filter may hold, tested where the filter is sent.
+
+    repeated: key and n_docs, from which a shard's rows are known: one with more than part_rows is dealt to several parts.
+    """
+    loads = repeated.groupBy(_shard_column(shards).alias("shard")).agg(F.ceil(F.sum("n_docs") / part_rows).cast("int").alias("parts"))
+    loads = materialize(loads, "line-loads")
+    parts = loads.withColumnRenamed("shard", "of")
+    held = filters.join(loads, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    held = held.select("shard", "part", "cells", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"))
+    rows = posted.withColumn("shard", _shard_column(shards)).join(F.broadcast(parts), F.col("shard") == F.col("of"))
+    rows = rows.select("shard", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(None).cast("binary").alias("cells"), "key", "doc_id")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict[int, CuckooFilter] = {}
+        for batch in batches:
+            # Filters stand before their rows; only the last one seen can have rows in a later batch.
+            for i in np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                now[batch.column(0)[i].as_py()] = CuckooFilter.load(batch.column(2)[i].as_py())
+            asked = batch.filter(batch.column(3).is_valid())
+            keys = asked.column(3).to_pylist()
+            if keys:
+                passed = asked.filter(pa.array(_may_hold(now, keys, shards)))
+                yield pa.RecordBatch.from_arrays([passed.column(3), passed.column(4)], names=["key", "doc_id"])
+            if batch.num_rows:
+                last = batch.column(0)[batch.num_rows - 1].as_py()
+                now = {last: now[last]} if last in now else {}
+
+    dealt = held.unionByName(rows).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("cells").isNull())
+    return dealt.mapInArrow(test, "key binary, doc_id long")
 
 
 def dropped_keys(documents: DataFrame, min_chars: int = 10, filter_bytes_limit: int = 32 << 20) -> DataFrame:
     """(doc_id, key): keys whose lines the document loses, because a smaller doc_id holds them as well."""
     counts = reference_counts(postings(documents, min_chars))
-    repeated = materialize(counts.filter("first_doc < last_doc").select("key", "first_doc"), "line-counts")
-    filters = materialize(build_filters(repeated), "line-filters")
+    repeated = materialize(counts.filter("first_doc < last_doc").select("key", "n_docs", "first_doc"), "line-counts")
+    shards = shards_for(repeated.count())
+    filters = materialize(build_filters(repeated, shards), "line-filters")
     size = filters.agg(F.sum(F.octet_length("cells"))).head()[0] or 0
     if size <= filter_bytes_limit:
         held = documents.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["cells"]) for r in filters.toLocalIterator()})
-        suspects = postings(documents, min_chars, held)
+        suspects = postings(documents, min_chars, held, shards)
     else:
-        suspects = postings(documents, min_chars)
+        suspects = route_to_filters(postings(documents, min_chars), repeated, filters, shards)
     return suspects.join(repeated, "key").filter("doc_id > first_doc").select("doc_id", "key")
 
 
@@ -224,17 +269,26 @@ def dedup_lines(documents: DataFrame, min_chars: int = 10, filter_bytes_limit: i
 
 
 class LineIndex:
-    """An index that documents can be added to and taken from; every state is a set of Parquet tables under path."""
+    """An index that documents can be added to and taken from; every state is a set of Parquet tables under path.
+
+    A version counts only if its last table, state (version and number of shards), is there; a path with one is opened again.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = 10):
-        self.spark, self.path, self.min_chars, self.version = spark, path or fresh_path(spark, "line-index"), min_chars, 0
-        self._write(spark.createDataFrame([], "key binary, doc_id long"), spark.createDataFrame([], "key binary, n_docs long, first_doc long"), spark.createDataFrame([], "shard int, cells binary"))
+        self.spark, self.path, self.min_chars, self.version, self.shards = spark, path or fresh_path(spark, "line-index"), min_chars, 0, SHARDS
+        done = [int(x[1:]) for x in list_path(spark, self.path) if x[:1] == "v" and x[1:].isdigit() and "_SUCCESS" in list_path(spark, f"{self.path}/{x}/state")]
+        if done:
+            self.version = max(done)
+            self.shards = spark.read.schema("shards int").parquet(self._at("state")).head()["shards"]
+        else:
+            self._write(spark.createDataFrame([], "key binary, doc_id long"), spark.createDataFrame([], "key binary, n_docs long, first_doc long"), spark.createDataFrame([], "shard int, cells binary"))
 
     def _at(self, table: str, version: int | None = None) -> str:
         return f"{self.path}/v{self.version if version is None else version}/{table}"
 
     def _write(self, posted: DataFrame, counts: DataFrame, filters: DataFrame) -> None:
-        for table, df in (("postings", posted), ("counts", counts), ("filters", filters)):
+        state = self.spark.createDataFrame([(self.shards,)], "shards int").coalesce(1)
+        for table, df in (("postings", posted), ("counts", counts), ("filters", filters), ("state", state)):
             df.write.mode("overwrite").parquet(self._at(table, self.version + 1))
         self.version += 1
         if self.version > 2:
@@ -251,6 +305,7 @@ class LineIndex:
 
     def _update_filters(self, added: DataFrame, removed: DataFrame) -> DataFrame:
         """Per shard: delete the keys that are no longer repeated, insert the new ones, grow where full."""
+        shards = self.shards
 
         def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             cells = [c for c in table.column("cells").to_pylist() if c is not None]
@@ -258,7 +313,7 @@ class LineIndex:
             ops = table.filter(pa.compute.is_valid(table.column("key")))
             keys, signs = ops.column("key").to_pylist(), ops.column("sign").to_pylist()
             if keys:
-                probes = _probe(keys)[1].tolist()
+                probes = _probe(keys, shards)[1].tolist()
                 for k, sign in zip(probes, signs):
                     if sign < 0:
                         held.delete(k)
@@ -266,7 +321,7 @@ class LineIndex:
                     return pa.table({"shard": [key[0].as_py()], "cells": pa.array([None], pa.binary())}, schema=pa.schema([("shard", pa.int32()), ("cells", pa.binary())]))
             return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([held.dump()], pa.binary())})
 
-        ops = added.select("key", F.lit(1).alias("sign")).unionByName(removed.select("key", F.lit(-1).alias("sign"))).withColumn("shard", _shard_column()).withColumn("cells", F.lit(None).cast("binary"))
+        ops = added.select("key", F.lit(1).alias("sign")).unionByName(removed.select("key", F.lit(-1).alias("sign"))).withColumn("shard", _shard_column(shards)).withColumn("cells", F.lit(None).cast("binary"))
         state = self.filters().withColumn("key", F.lit(None).cast("binary")).withColumn("sign", F.lit(None).cast("int"))
         return ops.unionByName(state).groupBy("shard").applyInArrow(run, "shard int, cells binary")
 
@@ -277,9 +332,14 @@ class LineIndex:
         counts = old.join(changed, "key", "left_anti").unionByName(fresh)
         was = old.join(changed, "key", "left_semi").filter("n_docs >= 2").select("key")
         now = fresh.filter("n_docs >= 2").select("key")
+        wanted = shards_for(counts.filter(F.col("n_docs") >= 2).count())
+        if wanted > self.shards:
+            self.shards = wanted
+            self._write(posted, counts, build_filters(counts.filter(F.col("n_docs") >= 2), wanted))
+            return
         filters = materialize(self._update_filters(now.join(was, "key", "left_anti"), was.join(now, "key", "left_anti")), "line-filters")
-        if full := [r["shard"] for r in filters.filter("cells is null").collect()]:  # at most SHARDS rows
-            filters = filters.filter("cells is not null").unionByName(build_filters(counts.filter(F.col("n_docs") >= 2).filter(_shard_column().isin(full))))
+        if full := [r["shard"] for r in filters.filter("cells is null").collect()]:  # at most one row for each shard
+            filters = filters.filter("cells is not null").unionByName(build_filters(counts.filter(F.col("n_docs") >= 2).filter(_shard_column(self.shards).isin(full)), self.shards))
         self._write(posted, counts, filters)
 
     def insert(self, documents: DataFrame) -> None:

@@ -59,5 +59,34 @@ def test_index_is_reversible(spark, documents):
     assert counts() == before
     filters = {r["shard"]: line_dedup.CuckooFilter.load(bytes(r["cells"])) for r in index.filters().collect()}
     repeated = [bytes(r["key"]) for r in index.counts().filter(F.col("n_docs") > 1).collect()]
-    shards, probes = line_dedup._probe(repeated)
+    shards, probes = line_dedup._probe(repeated, index.shards)
+    assert all(filters[s].may_have(probes[i : i + 1])[0] for i, s in enumerate(shards.tolist()))
+
+
+def test_routed_lines_are_what_the_filters_hold(spark, documents, monkeypatch):
+    """A shard with a line of very many documents is dealt to several parts, and shards grow with the keys."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+    posted = line_dedup.postings(documents)
+    repeated = line_dedup.reference_counts(posted).filter("first_doc < last_doc").cache()
+    shards = line_dedup.shards_for(repeated.count())
+    assert shards > line_dedup.SHARDS or repeated.count() <= line_dedup.SHARDS
+    routed = line_dedup.route_to_filters(posted, repeated, line_dedup.build_filters(repeated, shards), shards, part_rows=3)
+    wanted = {(bytes(r["key"]), r["doc_id"]) for r in posted.join(repeated, "key", "left_semi").collect()}
+    got = [(bytes(r["key"]), r["doc_id"]) for r in routed.collect()]
+    assert len(got) == len(set(got)) and wanted <= set(got) and len(got) <= len(wanted) + posted.count() / 100
+
+
+def test_index_is_opened_again_and_grows(spark, documents, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARDS", 2)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 8)
+    index = line_dedup.LineIndex(spark)
+    index.insert(documents.filter("doc_id < 100"))
+    again = line_dedup.LineIndex(spark, index.path)
+    assert again.version == index.version and again.shards == index.shards > 2
+    again.insert(documents.filter("doc_id >= 100"))
+    want = {(bytes(r["key"]), r["n_docs"]) for r in line_dedup.reference_counts(line_dedup.postings(documents)).collect()}
+    assert {(bytes(r["key"]), r["n_docs"]) for r in again.counts().collect()} == want
+    filters = {r["shard"]: line_dedup.CuckooFilter.load(bytes(r["cells"])) for r in again.filters().collect()}
+    repeated = [k for k, n in want if n > 1]
+    shards, probes = line_dedup._probe(repeated, again.shards)
     assert all(filters[s].may_have(probes[i : i + 1])[0] for i, s in enumerate(shards.tolist()))
