@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,15 +33,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def materialize(df: DataFrame, name: str, sweep: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts the lineage (a lost executor costs only its running tasks) and fixes
     row placement, so values such as partition numbers can be relied on later.
+    sweep: let the driver collect garbage afterwards, upon which Spark deletes the shuffle files of what was written; for steps
+    that shuffle about as much as the input.
     """
-    path = fresh_path(df.sparkSession, name)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if sweep:
+        spark.sparkContext._jvm.System.gc()
+    written = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[written] = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialize() returned, once nothing lazy needs them any more."""
+    for table in tables:
+        delete_path(table.sparkSession, _WRITTEN.pop(table))
 
 
 def as_rows(documents: DataFrame, **more: Column) -> DataFrame:

@@ -11,7 +11,7 @@ knows the least doc_id in which it starts, its source, and its coordinate there.
 3. Compaction: the in- and out-degree of every node are counted. Edges that meet in a node with one way in and one way out, both of
    the same source, stand side by side in the source's text, so joining the degrees to the edges and following the coordinates
    contracts every nonbranching path to one unitig (source, first coordinate, number of edges).
-4. The windows of later documents are joined with the unitigs' edges. Windows that follow both the text and one unitig are one
+4. The windows of later documents that are edges (a filter of the edges spares most others) are joined with the unitigs' edges. Windows that follow both the text and one unitig are one
    span of the document, which is joined with the unitig's words, taken from the source's text at its coordinates.
 5. Per document the spans are verified: only where the document's own words are those of the source are they cut.
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import fixed_filter
-from .storage import materialize
+from .storage import discard, materialize
 from .textbatch import Words, mix, pieces, range_hash
 
 WINDOW = 13
@@ -82,8 +82,10 @@ def path_minimizers(rows: DataFrame, without: Broadcast | None, window: int, par
     return rows.mapInArrow(run, "minimizer long, doc_id long")
 
 
-def candidate_edges(rows: DataFrame, only: Broadcast | None, inside: bool, cells: Broadcast, window: int, part: int, parts: tuple[str, ...]) -> DataFrame:
-    """The windows whose minimizer may be in the filter cells: edge, check, doc_id, and of key (of the row), start, prefix and suffix (nodes) what parts names.
+def candidate_edges(rows: DataFrame, only: Broadcast | None, inside: bool, cells: Broadcast, window: int, part: int | None, parts: tuple[str, ...]) -> DataFrame:
+    """The windows of which the filter cells may hold the minimizer (of parts of `part` words; without part: the edge itself).
+
+    Columns: edge, check, doc_id, and of key (of the row), start, prefix and suffix (nodes) what parts names.
 
     With a filter only, of the rows that it holds (inside) or lacks. It is applied here, so that a task has one Python worker.
     """
@@ -93,14 +95,16 @@ def candidate_edges(rows: DataFrame, only: Broadcast | None, inside: bool, cells
         for piece in pieces(fixed_filter.select(batches, 0, only, inside)):
             w = Words(piece.column(1))
             first, hashes, owner = w.windows(window), w.hashes(), w.owners()
-            first = first[fixed_filter.may_have(table, _minimizers(hashes, w, first, window, part))]
+            edges = range_hash(hashes, first, first + window)
+            held = fixed_filter.may_have(table, edges if part is None else _minimizers(hashes, w, first, window, part))
+            first, edges = first[held], edges[held]
             own = owner[first]
             made = {
                 "key": lambda: piece.column(2).to_numpy(zero_copy_only=False)[own], "start": lambda: (first - w.docs[own]).astype(np.int32),
                 "prefix": lambda: range_hash(hashes, first, first + window - 1).view(np.int64), "suffix": lambda: range_hash(hashes, first + 1, first + window).view(np.int64),
             }
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range_hash(hashes, first, first + window).view(np.int64)), pa.array(_check(hashes, first, window)), pa.array(_ids(piece)[own]), *(pa.array(made[x]()) for x in parts)],
+                [pa.array(edges.view(np.int64)), pa.array(_check(hashes, first, window)), pa.array(_ids(piece)[own]), *(pa.array(made[x]()) for x in parts)],
                 names=["edge", "check", "doc_id", *parts],
             )
 
@@ -151,14 +155,22 @@ def _all(parts: list[Part], compute: Callable[[DataFrame, Broadcast | None], Dat
     return reduce(DataFrame.unionByName, (compute(rows, cells) for rows, cells in parts))
 
 
-def repeated_edges(parts: list[Part], shared: Broadcast, window: int = WINDOW, part: int = PART) -> DataFrame:
-    """(edge, check, first_doc, key, start, prefix, suffix): the windows of at least two documents, with their place in the first of them."""
-    edges = _all(parts, lambda rows, without: candidate_edges(rows, without, False, shared, window, part, ()))
+def first_edges(parts: list[Part], window: int = WINDOW, part: int = PART) -> DataFrame:
+    """(edge, check, first_doc): the windows of at least two documents, with the first of them."""
     spread = F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
-    first = materialize(edges.groupBy("edge", "check").agg(*spread).filter("first_doc < last_doc").select("edge", "check", "first_doc"), "first-edges")
-    # Rows of a source that are whole copies are read again as well: they have its windows at places of their own, which is right too.
+    minimizers = _all(parts, lambda rows, without: path_minimizers(rows, without, window, part))
+    shared = fixed_filter.build(minimizers.groupBy("minimizer").agg(*spread).filter("first_doc < last_doc").select("minimizer"))
+    edges = _all(parts, lambda rows, without: candidate_edges(rows, without, False, shared, window, part, ()))
+    return edges.groupBy("edge", "check").agg(*spread).filter("first_doc < last_doc").select("edge", "check", "first_doc")
+
+
+def repeated_edges(rows: DataFrame, first: DataFrame, repeated: Broadcast, window: int = WINDOW) -> DataFrame:
+    """(edge, check, first_doc, key, start, prefix, suffix): the first edges with their place in their document; repeated is the filter of the edges.
+
+    Rows of a source that are whole copies are read as well: they have its windows at places of their own, which is right too.
+    """
     sources = fixed_filter.build(first.select("first_doc").distinct())
-    placed = candidate_edges(parts[0][0], sources, True, shared, window, part, ("key", "start", "prefix", "suffix"))
+    placed = candidate_edges(rows, sources, True, repeated, window, None, ("key", "start", "prefix", "suffix"))
     held = placed.withColumnRenamed("doc_id", "first_doc").join(first, ["edge", "check", "first_doc"])
     return held.groupBy("edge", "check", "first_doc").agg(F.min_by("key", "start").alias("key"), F.min("start").alias("start"), F.first("prefix").alias("prefix"), F.first("suffix").alias("suffix"))
 
@@ -183,11 +195,12 @@ def repeated_spans(parts: list[Part], window: int = WINDOW, part: int = PART) ->
 
     The unitigs' edges are written before the join, so that adaptive execution can split an edge that very many documents hold.
     """
-    spread = F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
-    minimizers = _all(parts, lambda rows, without: path_minimizers(rows, without, window, part))
-    shared = fixed_filter.build(minimizers.groupBy("minimizer").agg(*spread).filter("first_doc < last_doc").select("minimizer"))
-    unitigs = materialize(compact(materialize(repeated_edges(parts, shared, window, part), "edges")), "unitig-edges")
-    later = _all(parts, lambda rows, without: candidate_edges(rows, without, False, shared, window, part, ("key", "start")))
+    first = materialize(first_edges(parts, window, part), "first-edges", sweep=True)
+    repeated = fixed_filter.build(first.select("edge"))
+    edges = materialize(repeated_edges(parts[0][0], first, repeated, window), "edges", sweep=True)
+    unitigs = materialize(compact(edges), "unitig-edges", sweep=True)
+    discard(first, edges)
+    later = _all(parts, lambda rows, without: candidate_edges(rows, without, False, repeated, window, None, ("key", "start")))
     met = later.join(unitigs, ["edge", "check"]).filter("doc_id > first_doc").select("doc_id", "key", "start", "first_doc", "source_key", "head", "offset")
     along = Window.partitionBy("doc_id", "key").orderBy("start")
     before = F.struct("start", "first_doc", "source_key", "head", "offset")
@@ -252,8 +265,8 @@ def _cut(texts: list[str | None], marks: list[list[dict] | None], window: int) -
 def dedup_substrings(documents: DataFrame, window: int = WINDOW, part: int = PART) -> DataFrame:
     """doc_id, text (kept words), n_words, n_removed, kept_sha256 and spans (removed words, start to end) for every row."""
     rows, copies = _rows(documents), whole_copies(documents)
-    spans = materialize(repeated_spans(without_copies(documents, copies), window, part), "repeated-spans")
-    words = materialize(unitig_words(rows, spans, window), "unitig-words")
+    spans = materialize(repeated_spans(without_copies(documents, copies), window, part), "repeated-spans", sweep=True)
+    words = materialize(unitig_words(rows, spans, window), "unitig-words", sweep=True)
     source = F.when((F.col("offset") == 0) & (F.size(F.split("words", " ")) == F.col("n_edges") + window - 1), F.col("words"))
     source = source.otherwise(F.array_join(F.slice(F.split("words", " "), F.col("offset") + 1, F.col("n_edges") + window - 1), " "))
     marked_rows = spans.join(words, ["first_doc", "source_key", "head"]).select("doc_id", "key", "start", source.alias("words"), F.lit(None).cast("int").alias("check"))
