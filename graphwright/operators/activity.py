@@ -24,8 +24,10 @@ def recent_files(g: Graph, keep: int = 50) -> DataFrame:
     return top.join(g.commit_files(), "sha", "left").groupBy("sha", "committed_at").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("files"))
 
 
-def _by_email(g: Graph) -> DataFrame:
-    return g.commits().withColumn("email", F.lower("author_email"))
+def _by_email(g: Graph, merges: bool = False) -> DataFrame:
+    """Commits with the lower-cased e-mail; contributors and owners are counted without merges."""
+    commits = g.commits() if merges else g.commits().filter("not is_merge")
+    return commits.withColumn("email", F.lower("author_email"))
 
 
 def contributors(g: Graph) -> DataFrame:
@@ -41,12 +43,12 @@ def contributor_files(g: Graph) -> DataFrame:
 def ownership(g: Graph) -> DataFrame:
     """Share of a file's commits that each contributor has. Totals come from a join, not from a window over a hot file."""
     own = contributor_files(g)
-    total = g.commits().select("sha").join(g.commit_files(), "sha").groupBy("path").agg(F.count(F.lit(1)).alias("total"))
+    total = g.commits().filter("not is_merge").select("sha").join(g.commit_files(), "sha").groupBy("path").agg(F.count(F.lit(1)).alias("total"))
     return own.join(total, "path").select("email", "path", "n", F.round(F.col("n") / F.col("total"), 3).alias("share"))
 
 
 def file_totals(g: Graph) -> DataFrame:
-    return g.commits().select("sha").join(g.commit_files(), "sha").groupBy("path").agg(F.count(F.lit(1)).alias("total"))
+    return g.commits().filter("not is_merge").select("sha").join(g.commit_files(), "sha").groupBy("path").agg(F.count(F.lit(1)).alias("total"))
 
 
 def top_files(g: Graph, keep: int = 20) -> DataFrame:
@@ -74,11 +76,13 @@ def profile(g: Graph) -> DataFrame:
 
 def panel(g: Graph, email: str, name: str) -> DataFrame:
     """Commits of a contributor by e-mail or name."""
-    return _by_email(g).filter((F.col("email") == email.lower()) | (F.col("author_name") == name)).select("sha", "committed_at")
+    return _by_email(g, merges=True).filter((F.col("email") == email.lower()) | (F.col("author_name") == name)).select("sha", "committed_at")
 
 
 def average_ownership(g: Graph) -> DataFrame:
-    return ownership(g).groupBy("email").agg(F.round(F.avg("share") * 100, 0).cast("long").alias("average_pct"))
+    """Whole per cent, halves up. Shares have three places, so their sum is taken in thousandths, which no order of rows changes."""
+    shares = ownership(g).groupBy("email").agg(F.sum(F.round(F.col("share") * 1000).cast("long")).alias("s"), F.count(F.lit(1)).alias("n"))
+    return shares.select("email", F.expr("(2 * s + 10 * n) div (20 * n)").alias("average_pct"))
 
 
 def relative_time(then: Column, now: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import COMPLEXITY, FAN_IN_SEVERITY, binned, clamp
 from ..model import CALLS, CONTAINS_CLASS, INHERITS, LABELS, Graph
-from ..plans.traverse import longest_chains, reach, undirected, walk2, with_ids
+from ..plans.traverse import far, longest_chains, near2, undirected, walk2, with_ids
 
 
 def display() -> Column:
@@ -41,7 +41,7 @@ def find_target(g: Graph, text: str) -> DataFrame:
 
 def upstream(g: Graph, label: str) -> DataFrame:
     """(target, id): what every node of a label reaches in one or two directed steps."""
-    return reach(with_ids(g.edges()), 1, 2, g.nodes(label)).select(F.col("start").alias("target"), F.col("node").alias("id"))
+    return walk2(with_ids(g.edges()), starts=g.nodes(label)).select(F.col("node").alias("target"), F.col("target").alias("id"))
 
 
 def downstream(g: Graph, label: str) -> DataFrame:
@@ -58,14 +58,13 @@ def neighbours(g: Graph, label: str, shown: str) -> DataFrame:
 
 def call_neighbourhood(g: Graph) -> DataFrame:
     """(id, value): names of functions at the end of undirected call trails of length 2 or 3."""
-    far = reach(undirected(with_ids(g.edges(CALLS))), 2, 3)
-    return far.join(g.nodes("Function").select(F.col("id").alias("node"), F.col("name").alias("value")), "node").select(F.col("start").alias("id"), "value").distinct()
+    return far(undirected(with_ids(g.edges(CALLS)))).join(g.nodes("Function").select(F.col("id").alias("node"), F.col("name").alias("value")), "node").select(F.col("start").alias("id"), "value").distinct()
 
 
 def class_neighbourhood(g: Graph, start: str = "File") -> DataFrame:
     """(id, value): classes within two undirected hops over inheritance, class containment and calls."""
-    near = reach(undirected(with_ids(g.edges(INHERITS, CONTAINS_CLASS, CALLS))), 1, 2, g.nodes(start))
-    return near.join(g.nodes("Class").select(F.col("id").alias("node"), F.col("name").alias("value")), "node").select(F.col("start").alias("id"), "value").distinct()
+    found = near2(undirected(with_ids(g.edges(INHERITS, CONTAINS_CLASS, CALLS))), g.nodes(start), g.nodes("Class"))
+    return found.join(g.nodes("Class").select(F.col("id").alias("node"), F.col("name").alias("value")), "node").select(F.col("start").alias("id"), "value").distinct()
 
 
 def overview(g: Graph) -> DataFrame:
@@ -79,15 +78,28 @@ def totals(g: Graph) -> DataFrame:
 
 
 def call_chains(g: Graph, entry_files: DataFrame, hops: int = 4, keep: int = 6) -> DataFrame:
-    """The longest call chains (up to `hops`) from functions of the entry files: hops and path of names; ties by path."""
+    """The longest call chains (up to `hops`) from functions of the entry files: hops and path of names; ties by path.
+
+    Chains are not all listed. A node is sure for n more steps if it has at least `hops` calls to nodes that are sure for n - 1, so
+    that one of them is always unused. Once `keep` different chains end in nodes that are sure for the steps left, no chain whose path
+    sorts after theirs can be among the first, and those are left out (names hold no characters before the blank).
+    """
     names = g.nodes("Function").select("id", "name")
     starts = g.nodes("Function").join(entry_files.select(F.col("id").alias("file_id")), "file_id", "left_semi")
-    arcs = with_ids(g.edges(CALLS)).join(names.select(F.col("id").alias("b"), F.col("name").alias("to_name")), "b")
+    calls = with_ids(g.edges(CALLS))
+    arcs = calls.join(names.select(F.col("id").alias("b"), F.col("name").alias("to_name")), "b")
+    sure = [names.select(F.col("id").alias("safe"))]
+    for _ in range(hops):
+        on = arcs.join(sure[-1], F.col("b") == F.col("safe"), "left_semi").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        sure.append(on.filter(F.col("n") >= hops).select(F.col("a").alias("safe")))
     step = starts.select(F.col("id").alias("node"), F.array().cast("array<string>").alias("used"), F.col("name").alias("path"))
     found = None
     for n in range(1, hops + 1):
         step = step.join(arcs, F.col("node") == F.col("a")).filter(~F.array_contains("used", F.col("eid")))
         step = step.select(F.col("b").alias("node"), F.concat("used", F.array("eid")).alias("used"), F.concat_ws(" > ", "path", "to_name").alias("path"))
+        certain = step.join(sure[hops - n], F.col("node") == F.col("safe"), "left_semi").select("path").distinct().orderBy("path").limit(keep)
+        bound = certain.agg(F.max("path").alias("last"), F.count(F.lit(1)).alias("certain"))
+        step = step.join(F.broadcast(bound)).filter((F.col("certain") < keep) | (F.col("path") <= F.col("last"))).drop("last", "certain")  # one row joined
         level = step.select(F.lit(n).cast("long").alias("hops"), "path")
         found = level if found is None else found.unionByName(level)
     return found.distinct().orderBy(F.desc("hops"), "path").limit(keep)

@@ -3,8 +3,6 @@
 region: repositories; nation: files; supplier: functions; customer: classes; part names supplied from a nation: its
 imports; suppliers on adjacent lines of an order: calls; customer k inherits from k div 2; orders: commits; the brands and
 names of an order's parts: the files of the commit.
-
-All lines make calls, unless calling_lines (a condition on the caller's line) names fewer.
 """
 
 from __future__ import annotations
@@ -15,7 +13,7 @@ from pyspark.sql import functions as F
 from ..model import CALLS, CONTAINS_CLASS, CONTAINS_FILE, CONTAINS_FUNCTION, IMPORTS, INHERITS, Graph
 
 
-def project(spark: SparkSession, sf_dir: str, calling_lines: str = "true") -> Graph:
+def project(spark: SparkSession, sf_dir: str) -> Graph:
     def t(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,7 +38,7 @@ def project(spark: SparkSession, sf_dir: str, calling_lines: str = "true") -> Gr
         return joined.select(key("class:", "c_custkey").alias("id"), F.col("c_name").alias("name"), key("file:", "c_nationkey").alias("file_id"), F.coalesce("n", F.lit(0)).alias("methods_count"))
 
     def calls() -> DataFrame:
-        a = t("lineitem").filter(calling_lines).select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("caller"))
+        a = t("lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("caller"))
         b = t("lineitem").select(F.col("l_orderkey").alias("order"), (F.col("l_linenumber") - 1).alias("before"), F.col("l_suppkey").alias("callee"))
         pairs = a.join(b, (F.col("l_orderkey") == F.col("order")) & (F.col("line") == F.col("before"))).filter("caller <> callee").select("caller", "callee").distinct()
         return pairs.select(key("func:", "caller").alias("src"), key("func:", "callee").alias("dst"))

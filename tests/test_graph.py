@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from graphwright.model import CALLS, INHERITS, Graph
 from graphwright.operators import structure
-from graphwright.plans.traverse import longest_chains, reach, trails, undirected, walk2, with_ids
+from graphwright.plans.traverse import far, longest_chains, near2, reach, trails, undirected, walk2, with_ids
 from graphwright.sources.tables import project
 
 
@@ -87,3 +89,42 @@ def test_chains_beyond_the_bound_are_an_error(spark):
     assert longest_chains(edges, 1, 1, most=4).head()["depth"] == 4
     with pytest.raises(RuntimeError):
         longest_chains(edges, 1, 1, most=3)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_counted_trails_are_the_listed_ones(spark, seed):
+    """Loops, edges both ways, edges of several types, and parts that are not connected."""
+    r = random.Random(seed)
+    nodes = "abcdefghij"[: 5 + 2 * seed]
+    edges = {(r.choice(nodes), r.choice(nodes), r.choice((CALLS, INHERITS))) for _ in range(4 + 5 * seed)} | {("y", "z", CALLS)}
+    arcs = with_ids(spark.createDataFrame(sorted(edges), "src string, dst string, rel_type string"))
+    ways = undirected(arcs)
+    pairs = lambda df: {tuple(x) for x in df.collect()}
+    assert pairs(walk2(arcs)) == pairs(reach(arcs, 1, 2))
+    assert pairs(near2(ways)) == pairs(reach(ways, 1, 2))
+    some = spark.createDataFrame([(x,) for x in nodes[:3]], "id string")
+    assert pairs(near2(ways, starts=some)) == pairs(reach(ways, 1, 2, some))
+    calls = undirected(with_ids(spark.createDataFrame(sorted(e for e in edges if e[2] == CALLS), "src string, dst string, rel_type string")))
+    assert pairs(far(calls)) == pairs(reach(calls, 2, 3))
+    assert pairs(far(ways)) >= pairs(reach(ways, 2, 3).filter("start <> node"))
+
+
+def test_call_chains_are_the_first_of_all_chains(spark):
+    g = project(spark, "/root/testdata/sf0.001")
+    out, name = {}, {x["id"]: x["name"] for x in g.nodes("Function").collect()}
+    for e in g.edges(CALLS).collect():
+        out.setdefault(e["src"], []).append(e["dst"])
+
+    def chains(path, left):
+        if len(path) > 1:
+            yield len(path) - 1, " > ".join(name[x] for x in path)
+        for x in out.get(path[-1], ()) if left else ():
+            if (path[-1], x) not in zip(path, path[1:]):
+                yield from chains([*path, x], left - 1)
+
+    for part, hops, keep in (("/NATION_1", 4, 6), ("/NATION_2", 3, 40), ("/NATION_", 2, 10_000)):
+        files = {x["id"] for x in g.nodes("File").filter(F.col("rel_path").contains(part)).collect()}
+        starts = [x["id"] for x in g.nodes("Function").collect() if x["file_id"] in files]
+        expected = sorted({c for s in starts for c in chains([s], hops)}, key=lambda c: (-c[0], c[1]))[:keep]
+        got = structure.call_chains(g, g.nodes("File").filter(F.col("rel_path").contains(part)), hops, keep)
+        assert [tuple(x) for x in got.collect()] == expected
