@@ -18,6 +18,9 @@ from .sources import gitlog, repository, symbols
 
 URL = re.compile(r"^https?://[\w.-]+/([\w.-]+)/([\w.-]+?)(?:\.git)?/?$")
 MOST_FILES = 40_000
+REGISTRY = "file_count long, total_lines long, primary_extension string, name string, path string, repo_id string"
+COMMITS = "sha string, author_name string, author_email string, committed_at timestamp, is_merge boolean, message string, analysis_id string"
+COMMIT_FILES = "sha string, path string, analysis_id string"
 
 
 def repository_id(url: str) -> tuple[str, str, str]:
@@ -60,8 +63,28 @@ class Engine:
             files.unpersist()
         return took
 
+    def import_repository(self, url: str, clones: str) -> str:
+        """Clone an address below the folder clones (on the driver) and return its id."""
+        analysis, _, _ = repository_id(url)
+        gitlog.clone(url.strip(), f"{clones.rstrip('/')}/{analysis}")
+        return analysis
+
+    def analyze(self, url: str, clones: str, most_files: int = MOST_FILES) -> dict[str, int]:
+        """Import, analyse and store a repository by its address, and its activity; the milliseconds of each stage."""
+        began = time.time()
+        analysis, _, name = repository_id(url)
+        self.import_repository(url, clones)
+        took = {"clone": round(1000 * (time.time() - began))}
+        took |= self.analyze_path(f"{clones.rstrip('/')}/{analysis}", analysis, name, most_files)
+        began = time.time()
+        self.store_activity(f"{clones.rstrip('/')}/{analysis}", analysis)
+        return took | {"git": round(1000 * (time.time() - began))}
+
     def list_repositories(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/registry")
+        """The registry; empty before the first analysis."""
+        if not tables.exists(self.spark, f"{self.folder}/registry"):
+            return self.spark.createDataFrame([], REGISTRY)
+        return self.spark.read.schema(REGISTRY).parquet(f"{self.folder}/registry")
 
     def get_repository(self, analysis: str) -> DataFrame:
         return self.list_repositories().filter(F.col("repo_id") == analysis)
@@ -71,7 +94,10 @@ class Engine:
         return self.get_repository(analysis).agg(F.when(F.count(F.lit(1)) > 0, "complete").otherwise("unknown").alias("status"))
 
     def delete(self, analysis: str) -> None:
+        """Remove an analysis: its graph, its stored activity and its row of the registry."""
         tables.delete_analysis(self.spark, f"{self.folder}/graph", analysis)
+        for part in (f"registry/repo_id={analysis}", f"commits/analysis_id={analysis}", f"commit_files/analysis_id={analysis}"):
+            tables.delete_partition(self.spark, f"{self.folder}/{part}")
 
     def graph(self, analysis: str) -> dict[str, DataFrame]:
         g = self._graph(analysis)
@@ -107,10 +133,29 @@ class Engine:
             "responsibilities": rules.responsibilities(g),
         }
 
+    def _log(self, clone: str) -> DataFrame:
+        self.spark.dataSource.register(gitlog.GitLogSource)
+        return self.spark.read.format("gitlog").load(clone)
+
+    def store_activity(self, clone: str, analysis: str) -> None:
+        """Write the commits of a local clone beside the graph, so that stored_activity() needs no clone."""
+        log = self._log(clone).persist()
+        try:
+            for name, rows in (("commits", gitlog.commits(log)), ("commit_files", gitlog.commit_files(log))):
+                tables.delete_partition(self.spark, f"{self.folder}/{name}/analysis_id={analysis}")
+                tables._write(rows.withColumn("analysis_id", F.lit(analysis)), f"{self.folder}/{name}")
+        finally:
+            log.unpersist()
+
+    def stored_activity(self, analysis: str) -> dict[str, DataFrame]:
+        own = lambda t, schema: self.spark.read.schema(schema).parquet(f"{self.folder}/{t}").filter(F.col("analysis_id") == analysis).drop("analysis_id")
+        return self._activity(Graph({}, {}, lambda: own("commits", COMMITS), lambda: own("commit_files", COMMIT_FILES)))
+
+    def _activity(self, g: Graph) -> dict[str, DataFrame]:
+        return {"overview": activity.overview(g), "commits": activity.recent(g), "recent": activity.recent_files(g), "contributors": activity.contributors(g), "ownership": activity.ownership(g), "areas": activity.primary_areas(g)}
+
     def activity(self, clone: str) -> dict[str, DataFrame]:
         """From a local clone's history. Merges count in the overview only."""
-        self.spark.dataSource.register(gitlog.GitLogSource)
-        log = self.spark.read.format("gitlog").load(clone).persist()
-        g = Graph({}, {}, lambda: gitlog.commits(log), lambda: gitlog.commit_files(log))
-        own = Graph({}, {}, lambda: gitlog.commits(log).filter("not is_merge"), lambda: gitlog.commit_files(log))
-        return {"overview": activity.overview(g), "recent": activity.recent_files(g), "contributors": activity.contributors(own), "ownership": activity.ownership(own), "areas": activity.primary_areas(own)}
+        log = self._log(clone).persist()
+        found = self._activity(Graph({}, {}, lambda: gitlog.commits(log), lambda: gitlog.commit_files(log)))
+        return found | {"overview": found["overview"].withColumn("branch", F.lit(gitlog.branch(clone)))}

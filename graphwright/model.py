@@ -1,8 +1,9 @@
 """The property graph: nodes and edges as DataFrames, and the commit log.
 
-nodes: id, label, name, rel_path, module, file_id, functions_count, classes_count, imports_count, methods_count
+nodes: id, label, name, rel_path, module, file_id, functions_count, classes_count, imports_count, methods_count, line_number, params, decorators, bases,
+methods, names, import_type; each label fills its own
 edges: src, dst, rel_type; unique on all three
-commits: sha, author_name, author_email, committed_at, is_merge
+commits: sha, author_name, author_email, committed_at, is_merge; from git also message
 commit_files: sha, path
 """
 
@@ -21,7 +22,8 @@ IMPORTS, INHERITS, CALLS = "FILE_IMPORTS_MODULE", "CLASS_INHERITS_CLASS", "FUNCT
 RELATIONS = (CONTAINS_FILE, CONTAINS_FUNCTION, CONTAINS_CLASS, IMPORTS, INHERITS, CALLS)
 NODE_COLUMNS = {
     "id": "string", "label": "string", "name": "string", "rel_path": "string", "module": "string", "file_id": "string",
-    "functions_count": "long", "classes_count": "long", "imports_count": "long", "methods_count": "long",
+    "functions_count": "long", "classes_count": "long", "imports_count": "long", "methods_count": "long", "line_number": "long",
+    "params": "array<string>", "decorators": "array<string>", "bases": "array<string>", "methods": "array<string>", "names": "array<string>", "import_type": "string",
 }
 
 

@@ -18,9 +18,9 @@ def build(files: DataFrame, symbols: DataFrame, analysis: str, repository: str)
     path = F.col("rel_path")
     file_id = node_id("file", analysis, path)
     one = lambda df, *keep: df.groupBy("id").agg(*(F.max_by(c, "line").alias(c) for c in keep), F.max("line").alias("line_number"))
-    functions = one(of("function").select(node_id("func", analysis, path, F.col("name")).alias("id"), "name", file_id.alias("file_id"), "line"), "name", "file_id")
-    classes = one(of("class").select(node_id("class", analysis, path, F.col("name")).alias("id"), "name", file_id.alias("file_id"), F.size("methods").cast("long").alias("methods_count"), "line"), "name", "file_id", "methods_count")
-    imports = one(of("import").select(node_id("import", analysis, path, F.col("module")).alias("id"), "module", file_id.alias("file_id"), "line"), "module", "file_id")
+    functions = one(of("function").select(node_id("func", analysis, path, F.col("name")).alias("id"), "name", file_id.alias("file_id"), "params", "decorators", "line"), "name", "file_id", "params", "decorators")
+    classes = one(of("class").select(node_id("class", analysis, path, F.col("name")).alias("id"), "name", file_id.alias("file_id"), F.size("methods").cast("long").alias("methods_count"), "bases", "methods", "line"), "name", "file_id", "methods_count", "bases", "methods")
+    imports = one(of("import").select(node_id("import", analysis, path, F.col("module")).alias("id"), "module", file_id.alias("file_id"), "names", "import_type", "line"), "module", "file_id", "names", "import_type")
     counts = symbols.groupBy("rel_path").agg(*(F.count_if(F.col("kind") == k).alias(c) for k, c in (("function", "functions_count"), ("class", "classes_count"), ("import", "imports_count"))))
     file_nodes = files.select("rel_path").distinct().join(counts, "rel_path", "left").select(
         file_id.alias("id"), F.element_at(F.split(path, "/"), -1).alias("name"), "rel_path", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("functions_count", "classes_count", "imports_count")))

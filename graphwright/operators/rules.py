@@ -82,13 +82,6 @@ LAYERS = [
     ("Configuration", ["config", "settings", "configuration", "env"]),
 ]
 
-#: Module names with a known role; the wording is this project's own.
-MODULE_ROLES = {
-    "src": "application source", "api": "request handling", "services": "business services", "components": "interface parts", "hooks": "interface state", "pages": "page layouts",
-    "utils": "shared helpers", "types": "type definitions", "models": "data models", "tests": "tests", "config": "configuration", "root": "top level", "parsers": "source parsers",
-    "graph": "graph access", "workers": "background work", "middleware": "request middleware", "auth": "sign-in and rights",
-}
-
 #: Key and category of libraries that imports point at.
 LIBRARIES = [
     ("flask", "web_framework"), ("fastapi", "web_framework"), ("django", "web_framework"), ("starlette", "web_framework"), ("aiohttp", "web_framework"),
@@ -102,19 +95,8 @@ LIBRARIES = [
     ("yaml", "config"), ("dotenv", "config"), ("prometheus_client", "monitoring"), ("sentry_sdk", "monitoring"),
 ]
 
-#: Keywords of file names, functions and what they say about a file, in order of precedence; the wording is this project's own.
-RESPONSIBILITIES = [
-    ("name", ["main.py", "app.py", "server.py"], "starts the application"),
-    ("name", ["routes", "controller", "endpoints"], "maps requests to handlers"),
-    ("name", ["model", "schema", "entity"], "defines data contracts"),
-    ("name", ["test", "spec"], "tests other code"),
-    ("name", ["util", "helper"], "offers shared helpers"),
-    ("name", ["config", "settings"], "holds settings"),
-    ("name", ["client", "api"], "talks to other services"),
-    ("function", ["detect", "recognition"], "runs detection"),
-    ("function", ["train", "fit"], "trains models"),
-    ("function", ["query", "traverse", "match"], "queries data"),
-]
+#: What a file is for, told by the layer that its path belongs to.
+RESPONSIBILITIES = [("name", keys, f"belongs to {layer}") for layer, keys in LAYERS]
 
 
 def _matches(text: Column, how: str, keys: list[str]) -> Column:
@@ -213,7 +195,9 @@ def layers(g: Graph, rules: list[tuple[str, list[str]]] = LAYERS, files: int = 3
     return ranked.groupBy("place", "layer").agg(F.array_join(F.slice(ordered, 1, components), ",").alias("components")).orderBy("place").limit(keep).drop("place")
 
 
-def module_roles(g: Graph, roles: dict[str, str] = MODULE_ROLES) -> DataFrame:
+def module_roles(g: Graph, roles: dict[str, str] | None = None) -> DataFrame:
+    """Major modules with a role: that which roles has for the lower-cased name, else the layer whose words hold the name, else the name itself."""
+    roles = roles if roles is not None else {k: layer for layer, keys in reversed(LAYERS) for k in keys}
     role = F.concat(F.lit("code about "), F.col("module_name"))
     for name, text in roles.items():
         role = F.when(F.lower("module_name") == name, text).otherwise(role)
@@ -222,7 +206,8 @@ def module_roles(g: Graph, roles: dict[str, str] = MODULE_ROLES) -> DataFrame:
 
 def responsibilities(g: Graph, rules: list[tuple[str, list[str], str]] = RESPONSIBILITIES) -> DataFrame:
     """What each file is for: the first rule that its name, then one of its functions' names, matches."""
-    own = g.nodes("Function").groupBy(F.col("file_id").alias("owner")).agg(*(F.max(_matches(F.lower("name"), "contains", keys)).alias(f"r{i}") for i, (kind, keys, _) in enumerate(rules) if kind == "function"))
+    hits = [F.max(_matches(F.lower("name"), "contains", keys)).alias(f"r{i}") for i, (kind, keys, _) in enumerate(rules) if kind == "function"]
+    own = g.nodes("Function").groupBy(F.col("file_id").alias("owner")).agg(F.count(F.lit(1)).alias("functions"), *hits)
     joined = g.nodes("File").join(own, F.col("id") == F.col("owner"), "left")
     text = F.lit("holds core logic")
     for i, (kind, keys, says) in reversed(list(enumerate(rules))):

@@ -24,7 +24,10 @@ def _score(text: Column, query: str, scores: tuple[float, float, float]) -> Colu
 def branch(g: Graph, query: str, label: str) -> DataFrame:
     """All matches of one label: id, type, name, score, priority."""
     _, column, scores, factor, priority = next(b for b in BRANCHES if b[0] == label)
-    found = g.nodes(label).withColumn("score", F.round(_score(F.col(column), query.lower(), scores) * factor, 4)).filter("score is not null")
+    score = _score(F.col(column), query.lower(), scores)
+    if label == "Import":  # an imported name that holds the query counts like an inner match
+        score = F.coalesce(score, F.when(F.exists(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.lower(n).contains(query.lower())), scores[2]))
+    found = g.nodes(label).withColumn("score", F.round(score * factor, 4)).filter("score is not null")
     return found.select("id", F.lower("label").alias("type"), F.col(column).alias("name"), "score", F.lit(priority).alias("priority"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,25 +92,24 @@ def far(arcs: DataFrame) -> DataFrame:
     return two.unionByName(three).unionByName(beside).unionByName(beside.select(F.col("node").alias("start"), F.col("start").alias("node"))).distinct()
 
 
-def longest_chains(edges: DataFrame, at_least: int, keep: int, most: int = 200) -> DataFrame:
+def longest_chains(edges: DataFrame, at_least: int, keep: int, most: int | None = None) -> DataFrame:
     """depth, start, path of the `keep` longest trails of at least `at_least` edges (ties by path).
 
-    Grows all trails one edge at a time until none is left; only the last levels are kept. Each level is one job.
-    Trails of more than `most` edges are an error.
+    Grows all trails one edge at a time until none is left; only the last levels are kept. Each level is one job, whose rows the
+    next one reuses. With `most`, longer trails are an error.
     """
     arcs = with_ids(edges)
     level = arcs.select(F.col("a").alias("start"), F.col("b").alias("node"), F.array("eid").alias("used"), F.concat_ws(">", "a", "b").alias("path"))
     levels: list[DataFrame] = []
-    for depth in range(1, most + 1):
-        level = level.checkpoint() if depth % 8 == 0 and level.sparkSession.sparkContext.getCheckpointDir() else level
+    for depth in itertools.count(1):
+        level = level.checkpoint() if depth % 8 == 0 and level.sparkSession.sparkContext.getCheckpointDir() else level.persist()
         if level.isEmpty():
             break
+        if most is not None and depth > most:
+            raise RuntimeError(f"chains have more than {most} edges")
         levels.append(level.select(F.lit(depth).cast("long").alias("depth"), "start", "path"))
         level = level.join(arcs, F.col("node") == F.col("a")).filter(~F.array_contains("used", F.col("eid")))
         level = level.select("start", F.col("b").alias("node"), F.concat("used", F.array("eid")).alias("used"), F.concat_ws(">", "path", "b").alias("path"))
-    else:
-        if not level.isEmpty():
-            raise RuntimeError(f"chains have more than {most} edges")
     wanted = levels[at_least - 1 :]
     if not wanted:
         return edges.select(F.lit(0).cast("long").alias("depth"), F.col("src").alias("start"), F.col("dst").alias("path")).limit(0)

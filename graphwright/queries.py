@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .model import Graph
-from .operators import activity, impact, rules, search, structure
+from .operators import activity, build, impact, rules, search, structure
 from .sources.links import page_links
-from .sources.tables import project
+from .sources.tables import call_lines, project
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -218,6 +218,8 @@ query("g14_ages", """, m AS (SELECT sha, floor((epoch(TIMESTAMP '1999-01-01 00:0
 query("b5_telemetry", "SELECT event_type AS action, count(*) AS n, count(*) FILTER (event_type <> 'error') AS successes, round(avg(value), 3) AS mean_ms FROM events GROUP BY 1")(activity.telemetry)
 query("x_directed_cycles", "SELECT x.a AS node, 2::BIGINT AS cycle_length FROM call_arcs x JOIN call_arcs y ON x.b = y.a AND y.b = x.a UNION SELECT x.a, 3 FROM call_arcs x JOIN call_arcs y ON x.b = y.a JOIN call_arcs z ON y.b = z.a AND z.b = x.a")(structure.directed_cycles)
 query("x_unresolved_parents", "SELECT src, dst FROM inherits WHERE dst NOT IN (SELECT id FROM classes)")(structure.unresolved_parents)
-query("c6_edge_diagnostics", "SELECT rel_type, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM edges GROUP BY 1")(
+query("q2_edges_by_type", "SELECT rel_type, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM edges GROUP BY 1")(
     lambda g: g.edges().groupBy("rel_type").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets")))
-query("p10_page_links", "SELECT page_id, k::INT AS place, links[k] AS link FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) AS links FROM pages))")(lambda g: page_links(g.tables("pages")))
+query("c6_edge_diagnostics", ", raw AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_suppkey <> b.l_suppkey) SELECT count(*) AS total, count(DISTINCT (src, dst)) AS unique_edges, count(*) - count(DISTINCT (src, dst)) AS removed FROM raw")(
+    lambda g: build.edge_diagnostics(call_lines(g.tables("lineitem")).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit("call").alias("rel_type"))))
+query("page_links", "SELECT page_id, k::INT AS place, links[k] AS link FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) AS links FROM pages))")(lambda g: page_links(g.tables("pages")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import Graph
+from ..model import NODE_COLUMNS, Graph
 
 
 def existing_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -24,23 +24,32 @@ def _write(df: DataFrame, path: str) -> None:
 
 
 def write_graph(g: Graph, path: str, analysis: str) -> None:
-    """Replace one analysis; others under the path stay. Writing the same again changes nothing."""
+    """Replace one analysis; others under the path stay. Writing the same again changes nothing. The graph must not be read from this path."""
+    delete_analysis(g.nodes().sparkSession, path, analysis)  # an overwrite leaves the partition where the new result is empty
     nodes = g.nodes().dropDuplicates(["id"])
     _write(nodes.withColumn("analysis_id", F.lit(analysis)).sortWithinPartitions("id"), f"{path}/nodes")
     _write(existing_ends(g.edges(), nodes).withColumn("analysis_id", F.lit(analysis)).sortWithinPartitions("src", "dst"), f"{path}/edges")
 
 
 def read_graph(spark: SparkSession, path: str, analysis: str) -> Graph:
-    own = lambda t: spark.read.parquet(f"{path}/{t}").filter(F.col("analysis_id") == analysis)
-    return Graph.of(own("nodes"), own("edges"))
+    own = lambda t, schema: spark.read.schema(f"{schema}, analysis_id string").parquet(f"{path}/{t}").filter(F.col("analysis_id") == analysis)
+    return Graph.of(own("nodes", ", ".join(f"{c} {kind}" for c, kind in NODE_COLUMNS.items())), own("edges", "src string, dst string, rel_type string"))
 
 
 def delete_analysis(spark: SparkSession, path: str, analysis: str) -> None:
     """Remove the partitions of one analysis from both tables."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for table in ("nodes", "edges"):
-        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{table}/analysis_id={analysis}")
-        at.getFileSystem(conf).delete(at, True)
+        delete_partition(spark, f"{path}/{table}/analysis_id={analysis}")
+
+
+def delete_partition(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def upsert(existing: DataFrame, changes: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ All commits that HEAD reaches are read, in partitions of the option `commits` ea
 
 from __future__ import annotations
 
+import os
 import subprocess
 from collections.abc import Iterator
 
@@ -63,9 +64,23 @@ class GitLogSource(DataSource):
         return GitLogReader(self.options)
 
 
+def branch(folder: str) -> str | None:
+    """The branch that is checked out; none where HEAD is detached or there is no repository. Runs on the driver."""
+    done = subprocess.run(["git", "-C", folder, "symbolic-ref", "--short", "-q", "HEAD"], capture_output=True, text=True)
+    return done.stdout.strip() or None
+
+
+def clone(url: str, folder: str, seconds: int = 600) -> str:
+    """A clone of url in folder, on the driver; an existing one is used as it is. Returns the folder."""
+    if not os.path.isdir(os.path.join(folder, ".git")):
+        os.makedirs(os.path.dirname(folder) or ".", exist_ok=True)
+        subprocess.run(["git", "clone", "--quiet", "--", url, folder], check=True, capture_output=True, timeout=seconds)
+    return folder
+
+
 def commits(log: DataFrame) -> DataFrame:
     """One row for each commit; times are instants, whatever offset they were written with."""
-    return log.select("sha", "author_name", "author_email", F.to_timestamp("committed_at").alias("committed_at"), "is_merge").distinct()
+    return log.select("sha", "author_name", "author_email", F.to_timestamp("committed_at").alias("committed_at"), "is_merge", F.substring("subject", 1, 200).alias("message")).distinct()
 
 
 def commit_files(log: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 kind, name, line, params, decorators, bases, methods, module, import_type, names, with path, rel_path and language.
 
 Python files are read by the standard library's syntax tree in a small function. JavaScript, TypeScript and Java are read by
-Spark expressions over lines, without comments; a declaration whose parameters go over several lines gets those on its first line.
+Spark expressions over lines, without comments; imports may go over several lines, a declaration whose parameters do gets those on its first line.
 Differences to a full grammar: declarations inside strings would be taken for code.
 """
 
@@ -38,10 +38,10 @@ def python_symbols(text: str) -> list[dict]:
     """Functions (at any depth, decorated ones too), classes, imports, calls of plain names with a lower-case initial (first one each)."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError) as e:
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return [_row("error", str(e)[:200], getattr(e, "lineno", None) or 0)]
     found, called = [], set()
-    for node in ast.walk(tree):
+    for node in ast.walk(tree):  # level by level, so deep trees need no deep stack
         line = getattr(node, "lineno", 0)
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             a = node.args
@@ -121,7 +121,14 @@ def _from_braces(files: DataFrame, language: str) -> DataFrame:
     else:
         pattern = r"""^\s*import\s+(?:(.*?)\s+from\s+)?['"]([^'"]+)['"]"""
         names = _names(F.regexp_replace(F.regexp_extract("code", pattern, 1), r"[{}]|\*\s+as|\btype\b", " "), r"^\s*([\w$]+)")
-        imports = _symbol(code.filter(F.regexp_like("code", F.lit(pattern))), "import", module=F.regexp_extract("code", pattern, 2), import_type=F.lit("import"), names=names)
+        one_line = F.regexp_like("code", F.lit(pattern))
+        imports = _symbol(code.filter(one_line), "import", module=F.regexp_extract("code", pattern, 2), import_type=F.lit("import"), names=names)
+        # An import that opens a brace and does not close it ends at the next line with `from`.
+        opens = F.regexp_like("code", F.lit(r"^\s*import\b[^;'\"]*\{[^}]*$"))
+        block = code.withColumn("opened", F.when(opens, F.col("line")).when(F.lag(F.regexp_like("code", F.lit(r"\bfrom\s*['\"]"))).over(own), F.lit(0)))
+        block = block.withColumn("opened", F.last("opened", True).over(own)).filter("opened > 0")
+        whole = block.groupBy(*WHERE, F.col("opened").alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "code"))), lambda x: x["code"]), " ").alias("code"))
+        imports = imports.unionByName(_symbol(whole.filter(one_line), "import", module=F.regexp_extract("code", pattern, 2), import_type=F.lit("import"), names=names))
     names = code.select(*WHERE, "line", "fn", F.explode(F.regexp_extract_all("code", F.lit(r"(?<![\w$])([A-Za-z_$][\w$]*)\s*\("), F.lit(1))).alias("call"))
     names = names.filter((F.col("call") != F.col("fn")) & ~F.col("call").isin(KEYWORDS))
     if language != "java":

@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from ..model import CALLS, CONTAINS_CLASS, CONTAINS_FILE, CONTAINS_FUNCTION, IMPORTS, INHERITS, Graph
 
 
+def call_lines(lines: DataFrame) -> DataFrame:
+    """(caller, callee) of every two adjacent lines of an order that differ, repeats included."""
+    a = lines.select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("caller"))
+    b = lines.select(F.col("l_orderkey").alias("order"), (F.col("l_linenumber") - 1).alias("before"), F.col("l_suppkey").alias("callee"))
+    return a.join(b, (F.col("l_orderkey") == F.col("order")) & (F.col("line") == F.col("before"))).filter("caller <> callee").select("caller", "callee")
+
+
 def project(spark: SparkSession, sf_dir: str) -> Graph:
     def t(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,9 +45,7 @@ def project(spark: SparkSession, sf_dir: str) -> Graph:
         return joined.select(key("class:", "c_custkey").alias("id"), F.col("c_name").alias("name"), key("file:", "c_nationkey").alias("file_id"), F.coalesce("n", F.lit(0)).alias("methods_count"))
 
     def calls() -> DataFrame:
-        a = t("lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("caller"))
-        b = t("lineitem").select(F.col("l_orderkey").alias("order"), (F.col("l_linenumber") - 1).alias("before"), F.col("l_suppkey").alias("callee"))
-        pairs = a.join(b, (F.col("l_orderkey") == F.col("order")) & (F.col("line") == F.col("before"))).filter("caller <> callee").select("caller", "callee").distinct()
+        pairs = call_lines(t("lineitem")).distinct()
         return pairs.select(key("func:", "caller").alias("src"), key("func:", "callee").alias("dst"))
 
     def import_id():

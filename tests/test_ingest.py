@@ -218,7 +218,7 @@ def test_gitlog_reads_merged_branches(spark, tmp_path):
     assert sorted((r["author_name"], r["is_merge"]) for r in gitlog.commits(log).collect()) == [("ann", False), ("ann", False), ("bob", False), ("bob", False), ("cy", True)]
     from graphwright.api import Engine
 
-    found = Engine.activity(type("Only", (), {"spark": spark})(), str(tmp_path))
+    found = Engine(spark, str(tmp_path / "tables")).activity(str(tmp_path))
     assert found["overview"].head()["total_commits"] == 5
     assert {(r["email"], r["commit_count"]) for r in found["contributors"].collect()} == {("ann@x.org", 2), ("bob@x.org", 2)}
     assert {(r["email"], r["path"]) for r in found["ownership"].collect()} == {("ann@x.org", "a.py"), ("bob@x.org", "b.py"), ("bob@x.org", "c.py"), ("ann@x.org", "d.py")}
