@@ -7,7 +7,8 @@ with the entity only. In documents with the entity, terms from `disclosure` on a
 patterns by their kind ([EMAIL]) and terms by [TERM], or removes them.
 
 Only pairs that at least `support` different texts hold are judged, so unique words of a single text (or its exact
-copies) are not taken as giveaways. Counts cover all documents. An entity in a third of all documents costs what its texts'
+copies) are not taken as giveaways. Terms are counted in texts from which the personal data are taken out, for the pair as for the
+term alone. Counts cover all documents. An entity in a third of all documents costs what its texts'
 words cost: pairs are aggregated before they are shuffled.
 
 The patterns are written without backtracking over what can't match (possessive, with a look-behind at the start of a run),
@@ -42,19 +43,29 @@ BROADCAST_ROWS = 1_000_000
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
+def _running(lengths: Column) -> Column:
+    """Sums of an array's elements up to and with each. Every pass adds what stands 1, 2, 4, ... places before, so n elements cost n log n."""
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.size(lengths) + F.lit(1.0))).cast("int"))
+
+    def add(sums: Column, i: Column) -> Column:
+        return F.transform(sums, lambda x, at: x + F.coalesce(F.get(sums, at - F.pow(F.lit(2.0), i).cast("int")), F.lit(0)))
+
+    return F.aggregate(passes, lengths, add)
+
+
 def _located(text: Column, pattern: Column, kind: str) -> Column:
     """Spans of all matches: the texts between them, cut by the same pattern, give the positions (in code points)."""
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    both = F.arrays_zip(F.split(text, pattern).alias("gap"), found.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+    both = F.arrays_zip(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("value"))
 
-    def step(so_far: Column, x: Column) -> Column:
-        begin = so_far["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["value"]), F.lit(0))
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["value"].isNull(), so_far["spans"]).otherwise(F.concat(so_far["spans"], F.array(span))).alias("spans"))
+    def span(x: Column, end: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), (end - F.length(x["value"])).alias("start"), end.alias("end"), x["value"].alias("value"))
 
-    return F.aggregate(both, start, step)["spans"]
+    def spans(xs: Column) -> Column:
+        ends = _running(F.transform(xs, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["value"]), F.lit(0))))
+        return F.zip_with(xs, ends, span)
+
+    # The one-element array binds the matches to a name, so that they are searched once.
+    return F.filter(F.flatten(F.transform(F.array(both), spans)), lambda s: s["value"].isNotNull()).cast(_SPANS)
 
 
 def _digits(value: Column) -> Column:
@@ -100,9 +111,20 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM + "{2,}"), F.lit(0)))
 
 
-def _without_patterns(text: Column) -> Column:
-    for k in KINDS:
-        text = F.regexp_replace(text, PATTERNS[k], " ")
+def _without_base(text: Column) -> Column:
+    """The text with a space for each valid match, one kind after the other. Texts that have no hint of a match stay untouched."""
+
+    def stripped(of: Column, kind: str) -> Column:
+        pattern = F.lit(PATTERNS[kind])
+        left = F.zip_with(F.split(of, pattern), F.regexp_extract_all(of, pattern, F.lit(0)), lambda gap, v: F.concat(gap, F.when(v.isNull(), "").when(VALID[kind](v), " ").otherwise(v)))
+        return F.when(F.regexp_like(of, F.lit(HINTS[kind])), F.array_join(left, "")).otherwise(of)
+
+    def named(of: Column, kind: str) -> Column:
+        # Bound to a name, as the expression holds the text several times.
+        return F.transform(F.array(of), lambda t: stripped(t, kind))[0]
+
+    for kind in KINDS:
+        text = named(text, kind)
     return text
 
 
@@ -120,14 +142,14 @@ def disclosing_terms(documents: DataFrame, base: DataFrame, support: int = SUPPO
     entities = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.count_distinct("text_key").alias("texts")).filter(F.col("texts") >= support).drop("texts")
     entities = materialize(entities, "pii-entities")
     shared = pairs.join(entities.select("entity"), "entity").select("doc_id", "text_key", "entity").alias("pair")
-    texts = base.filter("text is not null").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", _terms(_without_patterns(F.col("text"))).alias("terms")).alias("doc")
+    texts = base.filter("text is not null").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", _terms(_without_base(F.col("text"))).alias("terms")).alias("doc")
     joint = shared.join(texts, _same("pair", "doc")).select("pair.entity", "doc.text_key", F.explode("doc.terms").alias("term"))
     # Per text first: copies of a text are one row with a count, then texts are counted, not listed.
     joint = joint.groupBy("entity", "term", "text_key").agg(F.count(F.lit(1)).alias("rows"))
     joint = joint.groupBy("entity", "term").agg(F.sum("rows").alias("n_both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
     joint = materialize(joint, "pii-pairs")
     wanted = joint.select("term").distinct()
-    everywhere = _text(documents).select(F.explode(_terms(F.col("text"))).alias("term"))
+    everywhere = _text(documents).select(F.explode(_terms(_without_base(F.col("text")))).alias("term"))
     if wanted.count() <= BROADCAST_ROWS:
         counts = everywhere.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     else:

@@ -1,4 +1,5 @@
 import re
+import time
 
 from graphwright.llm import pii
 
@@ -69,6 +70,22 @@ def test_terms_need_different_texts(spark):
     assert pii.disclosing_terms(df, pii.find_base(df)).count() == 0
 
 
+def test_terms_inside_addresses_do_not_count(spark):
+    rows = [(i, f"doc{i} bob wrote from 10.0.0.1") for i in range(4)] + [(i, f"doc{i} mail to bob@example.com please") for i in range(4, 80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["entity"], r["term"]) for r in pii.disclosing_terms(df, pii.find_base(df)).collect()}
+    assert {("ip:10.0.0.1", t) for t in ("bob", "wrote", "from")} <= found
+
+
+def test_very_many_matches_in_one_text(spark):
+    n = 60_000
+    df = spark.createDataFrame([(1, "a@b.cc " * n)], "doc_id long, text string")
+    began = time.time()
+    spans = pii.find_base(df).select("spans.start", "spans.end").head()
+    assert spans["start"] == [7 * i for i in range(n)] and spans["end"] == [7 * i + 6 for i in range(n)]
+    assert time.time() - began < 60
+
+
 def test_no_python_in_the_plan(documents):
     plan = pii.summarize(pii.find_spans(documents))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
