@@ -1,13 +1,14 @@
 """Sharding by longest processing time: whole groups, largest first, each to the least-loaded shard.
 
-Spark computes group sizes and the histogram (size, number of groups). The
-heap runs over that histogram only: D different sizes add up to at least
-D * D / 2 bytes, so it holds at most sqrt(2 * total bytes) rows (1.4e7 for
-100 TB). Groups of equal size are interchangeable, so each size gets a quota
-for every shard and the groups of that size are dealt by their rank.
+Spark computes group sizes and their histogram over size classes; the heap runs over that histogram only. Sizes below 2**14 bytes
+are a class each; larger ones share a class with those that agree in their first 14 bits, so no class is wider than 1/8192 of its
+sizes and there are at most 2**14 + 2**13 classes for each doubling beyond (some 230,000 for groups up to a terabyte), however
+many documents there are. A class is dealt at its mean size, the groups of a class by their rank in the order of their digests;
+each class gets a quota for every shard.
 
 A group is never divided: equal texts share a shard even if a group is larger
-than a fair share. Loads then differ from the mean by at most the largest group.
+than a fair share. Loads then differ from the mean by at most the largest group, and from the plain heap's by at most 1/8192 of
+what a shard holds of classes of several sizes.
 
 Cases: null text counts as an empty text (size 8) and is grouped with empty
 ones; rows with equal text and doc_id each get a slot; null doc_ids sort
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 from .ranking import running_total
 from .storage import materialize
 
+#: Sizes are told apart by so many leading bits.
+EXACT_BITS = 14
+
 
 def _level(loads: list[int], size: int, count: int) -> int:
     """The largest level up to which all shards can be filled with at most count groups of this size."""
@@ -82,11 +86,17 @@ def shard_documents(documents: DataFrame, shards: int = 24, overhead: int = 8) -
         ),
         "sharding-rows",
     )
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("group_size"))
-    ranked = materialize(running_total(groups, F.col("group_size"), [F.col("digest")], F.lit(1), "rank"), "sharding-groups")
-    histogram = [(r[0], r[1]) for r in ranked.groupBy("group_size").count().toLocalIterator()]
-    quotas = spark.createDataFrame(lpt_quotas(histogram, shards), "group_size long, shards array<int>, bounds array<long>")
-    placed = ranked.join(quotas, "group_size").select(
+    spare = F.greatest(F.length(F.bin("group_size")) - EXACT_BITS, F.lit(0))
+    groups = rows.groupBy("digest").agg(F.sum("size").alias("group_size")).withColumn("spare", spare)
+    groups = groups.withColumn("size_class", F.expr("shiftleft(shiftright(group_size, spare), spare)")).drop("spare")
+    ranked = materialize(running_total(groups, F.col("size_class"), [F.col("digest")], F.lit(1), "rank"), "sharding-groups")
+    classes = ranked.groupBy("size_class").agg(F.count(F.lit(1)).alias("n"), F.sum("group_size").alias("bytes")).toLocalIterator()
+    # The mean, rounded down, lies in its class, so no two classes share one.
+    histogram = {r["bytes"] // r["n"]: r for r in classes}
+    planned = lpt_quotas([(mean, r["n"]) for mean, r in histogram.items()], shards)
+    quotas = spark.createDataFrame([(histogram[mean]["size_class"], order, bounds) for mean, order, bounds in planned], "size_class long, shards array<int>, bounds array<long>")
+    # As many rows as classes, so small enough to broadcast.
+    placed = ranked.join(F.broadcast(quotas), "size_class").select(
         "digest",
         F.element_at("shards", F.size(F.filter("bounds", lambda b: b <= F.col("rank"))) + 1).alias("shard"),
     )

@@ -55,3 +55,18 @@ def test_edge_rows(dirty, empty):
     check(sharding.shard_documents(dirty, shards=3), [r[:2] for r in DIRTY], 3)
     assert sharding.shard_documents(empty).count() == 0
     assert sharding.shard_documents(dirty.unionByName(dirty)).count() == 2 * len(DIRTY)
+
+
+def test_few_classes_at_the_driver(spark, monkeypatch):
+    """Far more sizes than classes: the driver sees the classes only, and the loads stay within the stated distance."""
+    seen = []
+    plan = sharding.lpt_quotas
+    monkeypatch.setattr(sharding, "lpt_quotas", lambda histogram, shards: seen.append(len(histogram)) or plan(histogram, shards))
+    monkeypatch.setattr(sharding, "EXACT_BITS", 6)
+    n = 100_000
+    df = spark.range(n).selectExpr("id as doc_id", "concat(cast(id as string), ':', repeat('x', cast(id % 20011 as int))) as text")
+    out = sharding.shard_documents(df)
+    loads = sorted(r[1] for r in out.groupBy("shard").agg({"size": "sum"}).collect())
+    assert len(loads) == 24 and out.count() == n
+    assert seen[0] <= 64 + 32 * 10
+    assert loads[-1] - loads[0] <= sum(loads) / 24 / 32 + 20_025
