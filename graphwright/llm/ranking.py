@@ -2,8 +2,9 @@
 
 Rows are range-partitioned by (group, order) and sorted; each partition adds
 up its own rows, and the partitions' totals (one row for each partition and
-group that meet: at most partitions + groups rows) give the offsets. A group
-that holds a third of all rows is thus spread over many tasks.
+group that meet: at most partitions + groups rows) give the offsets. They are
+broadcast up to BROADCAST_ROWS, else joined by a shuffle on group and
+partition. A group that holds a third of all rows is thus spread over many tasks.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql.window import Window
 
 from .storage import materialize
 
+BROADCAST_ROWS = 1_000_000
+
 
 def _local_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, key, carried = TaskContext.get().partitionId(), None, 0
@@ -60,9 +63,11 @@ def running_total(df: DataFrame, group: Column, order: list[Column], value: Colu
     schema = T.StructType([*keyed.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_before", T.LongType())])
     placed = materialize(keyed.mapInArrow(_local_totals, schema), "running-total")
     w = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    offsets = materialize(
         placed.groupBy("_group", "_part").agg(F.sum("_value").alias("_sum"))
-        .select(F.col("_group").alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_offset"))
+        .select(F.col("_group").alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_offset")),
+        "running-offsets",
     )
-    joined = placed.join(F.broadcast(offsets), F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    few = offsets.count() <= BROADCAST_ROWS
+    joined = placed.join(F.broadcast(offsets) if few else offsets, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
     return joined.withColumn(out, F.col("_before") + F.col("_offset")).drop("_group", "_value", "_part", "_before", "_g", "_p", "_offset")
