@@ -5,7 +5,9 @@ differ in at most `radius` bits agree in one of radius + 1 bands of bits, so eac
 a BK-tree of its own (children keyed by the Hamming distance to the parent; a search follows the edges from
 d - radius to d + radius). Trees are numpy arrays, built and searched level by level for all shards of a task
 at once. Trees are not broadcast, as together they grow with the corpus: a shard's tree is sent to the task that has
-its queries. A shard with more than TREE_SIZE fingerprints is cut into pieces, and each pair of pieces is a search of its own,
+its queries. A shard with more than TREE_SIZE fingerprints is divided again by the
+same rule over the bits that it leaves free, so ten thousand million fingerprints still stand in small shards, four copies more of each. Where
+fingerprints are so much alike that this does not part them, a shard is cut into pieces, and each pair of pieces is a search of its own,
 so no task holds more than two pieces. A shard emits a spanning forest of its links, not all pairs; components follow
 from these by large-star / small-star rounds.
 
@@ -34,6 +36,7 @@ SEED = 42
 TREE_SIZE = 4096
 _BATCH = 100_000
 _QUERIES = 4096
+_SALTS = 32
 
 
 def _shingle_hashes(text: str | None, words: int) -> list[int]:
@@ -163,8 +166,8 @@ def _search_tasks(radius: int):
         count = 0
 
         def links(rows: np.ndarray) -> pa.RecordBatch:
-            group = np.cumsum(np.concatenate(([0], (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)))) if len(rows) else np.zeros(0, dtype=np.int64)
-            a, b = _forest_links(rows[:, 3].copy().view(np.uint64), group, rows[:, 2], radius)
+            group = np.cumsum(np.concatenate(([0], (np.diff(rows[:, :3], axis=0) != 0).any(axis=1)))) if len(rows) else np.zeros(0, dtype=np.int64)
+            a, b = _forest_links(rows[:, 4].copy().view(np.uint64), group, rows[:, 3], radius)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
 
         for batch in batches:
@@ -174,7 +177,7 @@ def _search_tasks(radius: int):
             count += batch.num_rows
             if count >= _BATCH:
                 rows = np.concatenate(held)
-                last = np.flatnonzero((rows[:, 0] == rows[-1, 0]) & (rows[:, 1] == rows[-1, 1]))[0]
+                last = np.flatnonzero((rows[:, :3] == rows[-1, :3]).all(axis=1))[0]
                 if last:
                     yield links(rows[:last])
                 held, count = [rows[last:]], len(rows) - last
@@ -184,25 +187,48 @@ def _search_tasks(radius: int):
     return run
 
 
-def _band(fp: Column, band: int, bands: int) -> Column:
-    low, high = 64 * band // bands, 64 * (band + 1) // bands
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+def _cut_out(bits: Column, low: int, high: int) -> Column:
+    return F.shiftrightunsigned(bits, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+
+
+def _bands(bits: Column, width: int, bands: int) -> list[Column]:
+    """The lowest width bits as bands: numbers that hold the band's index and its bits."""
+    edges = [width * b // bands for b in range(bands + 1)]
+    return [F.lit(b << 32) + _cut_out(bits, edges[b], edges[b + 1]) for b in range(bands)]
+
+
+def _divided(shards: DataFrame, bands: int) -> DataFrame:
+    """(shard, sub, fp): each fingerprint once for each band of the bits that its shard does not fix."""
+
+    def free(b: int) -> list[Column]:
+        low, high = 64 * b // bands, 64 * (b + 1) // bands
+        rest = _cut_out(F.col("fp"), 0, low) if low else F.lit(0).cast("long")
+        above = F.shiftleft(F.shiftrightunsigned(F.col("fp"), high), low) if high < 64 else F.lit(0).cast("long")
+        return _bands(rest.bitwiseOR(above), 64 - (high - low), bands)
+
+    chosen = F.coalesce(*(F.when(F.shiftright("shard", 32) == b, F.array(*free(b))) for b in range(bands)))
+    return shards.select("shard", F.explode(chosen).alias("sub"), "fp")
 
 
 def link_fingerprints(prints: DataFrame, radius: int = 3, tree_size: int = TREE_SIZE) -> DataFrame:
     """(u, v): links that connect all fingerprints (column fp, distinct) within radius of each other, each shard by a spanning forest.
 
-    The table of shards above tree_size, which is broadcast, has at most (radius + 1) * 2**(64 / (radius + 1)) rows.
+    The table of shards above tree_size, which is broadcast, has at most (radius + 1) * 2**(64 / (radius + 1)) rows; that of
+    divided shards is not bounded so and is joined.
     """
     bands = radius + 1
-    shards = prints.select("fp", F.posexplode(F.array(*(_band(F.col("fp"), b, bands) for b in range(bands)))).alias("band", "bits"))
-    shards = materialize(shards.select((F.col("band") * F.lit(1 << 32) + F.col("bits")).alias("shard"), "fp"), "simhash-shards")
-    large = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tree_size).select(F.col("shard").alias("large"), F.ceil(F.col("n") / tree_size).cast("int").alias("cuts"))
-    cut = shards.join(F.broadcast(large), F.col("shard") == F.col("large"), "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    shards = prints.select(F.explode(F.array(*_bands(F.col("fp"), 64, bands))).alias("shard"), "fp")
+    shards = materialize(shards, "simhash-shards")
+    large = F.broadcast(materialize(shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tree_size).select("shard"), "simhash-large"))
+    whole = shards.join(large, "shard", "left_anti").select("shard", F.lit(-1).cast("long").alias("sub"), F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("side"), "fp")
+    parted = materialize(_divided(shards.join(large, "shard", "left_semi"), bands), "simhash-parted")
+    sizes = parted.groupBy("shard", "sub").agg(F.count(F.lit(1)).alias("n")).select("shard", "sub", F.ceil(F.col("n") / tree_size).cast("int").alias("cuts"))
+    cut = parted.join(sizes.filter("cuts > 1"), ["shard", "sub"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")
     cells = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    cells = cells.select("shard", (F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")).alias("cell"), (F.col("own") > F.col("other")).cast("long").alias("side"), "fp")
-    sorted_ = cells.repartition("shard", "cell").sortWithinPartitions("shard", "cell", "side")
+    cells = cells.select("shard", "sub", (F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")).alias("cell"), (F.col("own") > F.col("other")).cast("long").alias("side"), "fp")
+    place = ["shard", "sub", "cell"]
+    sorted_ = whole.unionByName(cells).repartition(*place).sortWithinPartitions(*place, "side")
     return sorted_.mapInArrow(_search_tasks(radius), "u long, v long")
 
 
@@ -213,6 +239,8 @@ def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3, tree_
     roots = connected_components(link_fingerprints(prints.select("fp"), radius, tree_size))
     placed = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = placed.join(least, "root").select(F.col("fp").alias("print"), "component_id")
+    # One component may hold a third of all fingerprints: its row is repeated, and its members are dealt among the repeats.
+    dealt = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    named = placed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(_SALTS)).cast("int")).join(dealt, ["root", "salt"]).select(F.col("fp").alias("print"), "component_id")
     joined = rows.join(named, F.col("fp") == F.col("print"))
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
