@@ -237,10 +237,12 @@ def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3, tree_
     rows = materialize(fingerprints(documents, words), "simhash-rows")
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = connected_components(link_fingerprints(prints.select("fp"), radius, tree_size))
-    placed = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    placed = materialize(prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "root"), "simhash-placed")
+    linked = placed.filter("root is not null")
+    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # One component may hold a third of all fingerprints: its row is repeated, and its members are dealt among the repeats.
     dealt = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    named = placed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(_SALTS)).cast("int")).join(dealt, ["root", "salt"]).select(F.col("fp").alias("print"), "component_id")
+    named = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(_SALTS)).cast("int")).join(dealt, ["root", "salt"]).select(F.col("fp").alias("print"), "component_id")
+    named = named.unionByName(placed.filter("root is null").select(F.col("fp").alias("print"), F.col("first_id").alias("component_id")))
     joined = rows.join(named, F.col("fp") == F.col("print"))
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
