@@ -28,3 +28,22 @@ COUPLING = [(60, "high"), (35, "medium")]
 
 def severity(score: Column) -> Column:
     return binned(score, SEVERITY, "low")
+
+
+def page_severity(score: Column) -> Column:
+    """Severity on the page of a single change, whose thresholds must be exceeded."""
+    return binned(score, SEVERITY_PAGE, "low", strict=True)
+
+
+def coupling(score: Column) -> Column:
+    return binned(score, COUPLING, "low")
+
+
+def understanding(steps: Column) -> Column:
+    """How much of the code a reader knows after so many steps, in percent."""
+    return clamp(45 + 10 * steps, 50, 90)
+
+
+def relevance(percent: Column) -> Column:
+    """A score in percent as a share; null is none."""
+    return clamp(F.coalesce(percent, F.lit(0)) / 100.0, 0.0, 1.0)

@@ -54,6 +54,11 @@ class Graph:
     def edges(self, *relations: str) -> DataFrame:
         return _union(self._part(x, self.edge_parts[x]).select("src", "dst", F.lit(x).alias("rel_type")) for x in relations or RELATIONS)
 
+    def sql(self, statement: str, args: dict[str, object] | None = None) -> DataFrame:
+        """A statement of Spark SQL over {nodes} and {edges}, with named parameters (:name) from args."""
+        nodes, edges = self.nodes(), self.edges()
+        return nodes.sparkSession.sql(statement, args=args or {}, nodes=nodes, edges=edges)
+
     @classmethod
     def of(cls, nodes: DataFrame, edges: DataFrame) -> Graph:
         """A graph from two tables, such as those that sinks.tables wrote."""

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import model
 from .model import Graph
+from .functions import scores
 from .operators import activity, build, impact, rules, search, structure
 from .sources.links import page_links
 from .sources.tables import call_lines, project
@@ -223,3 +225,7 @@ query("q2_edges_by_type", "SELECT rel_type, count(*) AS edges, count(DISTINCT sr
 query("c6_edge_diagnostics", ", raw AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_suppkey <> b.l_suppkey) SELECT count(*) AS total, count(DISTINCT (src, dst)) AS unique_edges, count(*) - count(DISTINCT (src, dst)) AS removed FROM raw")(
     lambda g: build.edge_diagnostics(call_lines(g.tables("lineitem")).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit("call").alias("rel_type"))))
 query("page_links", "SELECT page_id, k::INT AS place, links[k] AS link FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) AS links FROM pages))")(lambda g: page_links(g.tables("pages")))
+query("s10_statement", "SELECT label, count(*) AS n FROM nodes WHERE id IN (SELECT dst FROM edges WHERE rel_type = 'FUNCTION_CALLS_FUNCTION') GROUP BY 1")(
+    lambda g: g.sql("SELECT label, count(*) AS n FROM {nodes} WHERE id IN (SELECT dst FROM {edges} WHERE rel_type = :relation) GROUP BY label", {"relation": model.CALLS}))
+query("r14_understanding", "SELECT least(greatest(45 + 10 * count(*), 50), 90)::BIGINT AS percent FROM modules")(
+    lambda g: structure.major_modules(g).agg(scores.understanding(F.count(F.lit(1))).cast("long").alias("percent")))
