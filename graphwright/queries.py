@@ -227,5 +227,5 @@ query("c6_edge_diagnostics", ", raw AS (SELECT a.l_suppkey AS src, b.l_suppkey A
 query("page_links", "SELECT page_id, k::INT AS place, links[k] AS link FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) AS links FROM pages))")(lambda g: page_links(g.tables("pages")))
 query("s10_statement", "SELECT label, count(*) AS n FROM nodes WHERE id IN (SELECT dst FROM edges WHERE rel_type = 'FUNCTION_CALLS_FUNCTION') GROUP BY 1")(
     lambda g: g.sql("SELECT label, count(*) AS n FROM {nodes} WHERE id IN (SELECT dst FROM {edges} WHERE rel_type = :relation) GROUP BY label", {"relation": model.CALLS}))
-query("r14_understanding", "SELECT least(greatest(45 + 10 * count(*), 50), 90)::BIGINT AS percent FROM modules")(
-    lambda g: structure.major_modules(g).agg(scores.understanding(F.count(F.lit(1))).cast("long").alias("percent")))
+query("r14_understanding", ONBOARD + "SELECT least(greatest(45 + 10 * count(*), 50), 90)::BIGINT AS percent FROM hot_files")(
+    lambda g: rules.start_here(g).agg(scores.understanding(F.count(F.lit(1))).cast("long").alias("percent")))
