@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import severity
 from ..model import Graph
-from .structure import call_neighbourhood, class_neighbourhood, display, downstream, neighbours, upstream
+from ..plans.traverse import walk2, with_ids
+from .structure import call_neighbourhood, class_neighbourhood, display, neighbours
 
 
 def impact_rows(g: Graph, label: str) -> DataFrame:
     """(target, side, id, shown, type): what is up- and downstream of each node of a label; a node can be both."""
-    sides = upstream(g, label).withColumn("side", F.lit("up")).unionByName(downstream(g, label).withColumn("side", F.lit("down")))
+    arcs, own = with_ids(g.edges()), g.nodes(label).select("id").distinct()
+    # Pairs of two own nodes are many where own nodes call each other: they are found once and serve both ends.
+    side = lambda target, name, other: F.struct(F.col(target).alias("target"), F.lit(name).alias("side"), F.col(other).alias("id"))
+    out = walk2(arcs, starts=own).join(own.select(F.col("id").alias("mine")), F.col("target") == F.col("mine"), "left")
+    ends = F.when(F.col("mine").isNotNull(), F.array(side("node", "up", "target"), side("target", "down", "node"))).otherwise(F.array(side("node", "up", "target")))
+    sides = out.select(F.explode(ends).alias("x")).select("x.*").unionByName(walk2(arcs, ends=own, but=own).select("target", F.lit("down").alias("side"), F.col("node").alias("id")))
     return sides.join(g.nodes().select("id", display().alias("shown"), F.lower("label").alias("type")), "id")
 
 

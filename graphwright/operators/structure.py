@@ -282,10 +282,27 @@ def onboarding(g: Graph) -> DataFrame:
     return modules.unionByName(files).unionByName(functions).unionByName(last)
 
 
-def primary_language(g: Graph) -> DataFrame:
-    """The most frequent ending of file names (after the last underscore or dot); ties by name."""
-    ending = F.regexp_extract("rel_path", r"[._]([^._/]+)$", 1)
-    return g.nodes("File").groupBy(ending.alias("language")).agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "language").limit(1)
+# How the commonest endings are shown; others in capitals.
+LANGUAGES = {"py": "Python", "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "java": "Java", "go": "Go"}
+
+
+def primary_language(g: Graph, ending: str = r"\.([^./]+)$", shown: dict[str, str] = LANGUAGES) -> DataFrame:
+    """The language of the most frequent ending of file names, with the files that have it; ties by ending. Files without one count as Unknown only if no file has one."""
+    files = g.nodes("File").groupBy(F.lower(F.regexp_extract("rel_path", ending, 1)).alias("ending")).agg(F.count(F.lit(1)).alias("files"))
+    top = files.orderBy(F.col("ending") == "", F.desc("files"), "ending").limit(1)
+    named = F.create_map(*(F.lit(x) for pair in shown.items() for x in pair))[F.col("ending")]
+    return top.select(F.when(F.col("ending") == "", "Unknown").otherwise(F.coalesce(named, F.upper("ending"))).alias("language"), "files")
+
+
+def summary(g: Graph) -> DataFrame:
+    """One row: number of modules and the largest, the file that most depend on, and the risk; what a graph lacks is left out."""
+    modules = major_modules(g).agg(F.count(F.lit(1)).alias("n"), F.min_by("module_name", F.struct(-F.col("file_count"), "module_name")).alias("largest"))
+    file = file_hotspots(g).agg(F.min_by("name", F.struct(-F.col("dependency_count"), "id")).alias("file"))
+    one = modules.crossJoin(file).crossJoin(architecture_risk(g))  # one row each
+    risk = binned(F.col("risk_score"), ((80, "critical"), (60, "high"), (40, "moderate")), "low")
+    parts = [F.concat("n", F.lit(" modules, "), "largest", F.lit(" the largest")), F.concat(F.substring_index("file", "/", -1), F.lit(" most depended on")),
+             F.concat(F.lit("risk "), risk, F.lit(" ("), "risk_score", F.lit(" of 100)"))]
+    return one.select(F.concat_ws("; ", *parts).alias("summary"))
 
 
 def unresolved_parents(g: Graph) -> DataFrame:

@@ -38,14 +38,15 @@ def reach(arcs: DataFrame, low: int, high: int, starts: DataFrame | None = None)
     return out.distinct() if len(parts) > 1 else out
 
 
-def walk2(arcs: DataFrame, ends: DataFrame | None = None, starts: DataFrame | None = None) -> DataFrame:
-    """Distinct (node, target): node reaches target in one or two directed steps. starts and ends (frames with id) limit both before the join.
+def walk2(arcs: DataFrame, ends: DataFrame | None = None, starts: DataFrame | None = None, but: DataFrame | None = None) -> DataFrame:
+    """Distinct (node, target): node reaches target in one or two directed steps. starts and ends (frames with id) limit both before the join; nodes in but are no starts.
 
     Only a loop can be used twice in two steps, and a step over a loop adds no target that one step does not reach. So the
     second step needs no edge identities, only distinct pairs without loops.
     """
     pairs = arcs.select("a", "b").distinct()
     first = pairs if starts is None else pairs.join(starts.select(F.col("id").alias("a")).distinct(), "a", "left_semi")
+    first = first if but is None else first.join(but.select(F.col("id").alias("a")), "a", "left_anti")
     last = pairs if ends is None else pairs.join(ends.select(F.col("id").alias("b")).distinct(), "b", "left_semi")
     one = first if ends is None else first.join(ends.select(F.col("id").alias("b")).distinct(), "b", "left_semi")
     before = first.filter("a <> b").select(F.col("a").alias("node"), F.col("b").alias("via"))

@@ -110,7 +110,7 @@ query("a9_degree_hotspots", "SELECT id, shown AS name, (SELECT count(*) FROM bot
 query("a10_fallback_modules", "SELECT split_part(rel_path, '/', 1) AS module, count(*) AS files FROM files GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6")(structure.fallback_modules)
 COUNTS = ", counts AS (SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM imports) AS imports, (SELECT count(*) FROM functions) AS functions, (SELECT count(*) FROM files) AS files)"
 query("a11_density", COUNTS + "SELECT nodes, edges, round(edges / (nodes * (nodes - 1)), 9) AS density FROM counts")(structure.density)
-query("a12_primary_language", "SELECT regexp_extract(rel_path, '[._]([^._/]+)$', 1) AS language, count(*) AS files FROM files GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")(structure.primary_language)
+query("a12_primary_language", "SELECT regexp_extract(rel_path, '[._]([^._/]+)$', 1) AS language, count(*) AS files FROM files GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")(lambda g: structure.primary_language(g, r"[._]([^._/]+)$"))
 ONBOARD = """, hot_files AS (SELECT n.id, rel_path AS name, count(*) AS d FROM walk2 JOIN files n ON target = n.id GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 3), hot_functions AS (SELECT n.id, name, count(*) AS d FROM walk2 JOIN functions n ON target = n.id GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 3)"""
 query("a13_onboarding", ONBOARD + """SELECT 1 AS step, row_number() OVER (ORDER BY file_count DESC, module_name)::INT AS place, module_name AS item FROM (SELECT * FROM modules ORDER BY file_count DESC, module_name LIMIT 3)
     UNION ALL SELECT 2, row_number() OVER (ORDER BY d DESC, id)::INT, name FROM hot_files UNION ALL SELECT 3, row_number() OVER (ORDER BY d DESC, id)::INT, name FROM hot_functions UNION ALL SELECT 4, 1, 'tests/'""")(structure.onboarding)
@@ -131,6 +131,8 @@ RISK = CLOSED + CHAINS + """, top_files AS (SELECT target, count(*) AS d FROM wa
     risks AS (SELECT least(100, 30 + CASE WHEN (SELECT count(*) FROM files) / (SELECT count(*) FROM modules) > 20 THEN 20 WHEN (SELECT count(*) FROM files) / (SELECT count(*) FROM modules) > 10 THEN 10 ELSE 0 END + CASE WHEN EXISTS (SELECT * FROM top_files) THEN 15 ELSE 0 END
       + coalesce((SELECT CASE WHEN max(d) > 20 THEN 25 WHEN max(d) > 12 THEN 15 WHEN max(d) > 8 THEN 10 ELSE 0 END FROM top_files), 0) + coalesce((SELECT CASE WHEN max(depth) > 5 THEN 15 WHEN max(depth) >= 3 THEN 10 ELSE 0 END FROM chain), 0) + CASE WHEN EXISTS (SELECT * FROM closed) THEN 25 ELSE 0 END)::BIGINT AS risk_score)"""
 query("r4_architecture_risk", RISK + "SELECT * FROM risks")(structure.architecture_risk)
+query("r23_summary", RISK + """SELECT (SELECT count(*) || ' modules, ' || min_by(module_name, (-file_count, module_name)) FROM modules) || ' the largest; ' || (SELECT name FROM top_files JOIN files ON target = files.id ORDER BY d DESC, target LIMIT 1)
+    || ' most depended on; risk ' || CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 40 THEN 'moderate' ELSE 'low' END || ' (' || risk_score || ' of 100)' AS summary FROM risks""")(structure.summary)
 query("r9_health", RISK + COUNTS + """SELECT round(100 - least(greatest(round(edges / (nodes * (nodes - 1)), 9) * 40, 0), 30) - least(greatest((SELECT avg(c) FROM (SELECT round(d / max(d) OVER (), 6) AS c, target FROM top_files ORDER BY 1 DESC, target LIMIT 3)) * 20, 0), 20) - least(greatest((SELECT risk_score FROM risks) / 2, 0), 30), 3) AS health FROM counts""")(structure.health)
 query("r10_complexity", COUNTS + ", s AS (SELECT 0.3::DOUBLE * nodes + 0.4::DOUBLE * edges + 0.2::DOUBLE * imports + 0.1::DOUBLE * functions / greatest(files, 1) AS score FROM counts) SELECT round(score, 3) AS score, CASE WHEN score >= 70 THEN 'High' WHEN score >= 30 THEN 'Moderate' ELSE 'Low' END AS level FROM s")(structure.complexity)
 

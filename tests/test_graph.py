@@ -3,8 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphwright.model import CALLS, INHERITS, Graph
-from graphwright.operators import structure
+from graphwright.model import CALLS, INHERITS, Graph, as_nodes
+from graphwright.operators import impact, structure
 from graphwright.plans.traverse import far, longest_chains, near2, reach, trails, undirected, walk2, with_ids
 from graphwright.sources.tables import project
 
@@ -128,3 +128,21 @@ def test_call_chains_are_the_first_of_all_chains(spark):
         expected = sorted({c for s in starts for c in chains([s], hops)}, key=lambda c: (-c[0], c[1]))[:keep]
         got = structure.call_chains(g, g.nodes("File").filter(F.col("rel_path").contains(part)), hops, keep)
         assert [tuple(x) for x in got.collect()] == expected
+
+
+@pytest.mark.parametrize("label", ["Repository", "File", "Function", "Class"])
+def test_impact_sides_are_what_each_side_reaches(spark, label):
+    g = project(spark, "/root/testdata/sf0.001")
+    up = {(r.target, "up", r.id) for r in structure.upstream(g, label).collect()}
+    down = {(r.target, "down", r.id) for r in structure.downstream(g, label).collect()}
+    rows = impact.impact_rows(g, label).select("target", "side", "id").collect()
+    known = {r.id for r in g.nodes().select("id").collect()}
+    assert len(rows) == len(set(rows)) and {tuple(r) for r in rows} == {x for x in up | down if x[2] in known}
+
+
+def test_primary_language_by_extension(spark):
+    files = lambda *paths: Graph.of(as_nodes(spark.createDataFrame([(p, p) for p in paths], "id string, rel_path string"), "File"), spark.createDataFrame([], "src string, dst string, rel_type string"))
+    top = lambda *paths: structure.primary_language(files(*paths)).head()
+    assert tuple(top("a/x_y.py", "b.PY", "c.rs", "LICENSE", "NOTICE", "d/e.f/Makefile")) == ("Python", 2)
+    assert tuple(top("c.rs", "b.tsx", "a.rs")) == ("RS", 2)
+    assert tuple(top("LICENSE")) == ("Unknown", 1)
