@@ -53,3 +53,35 @@ ordered AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS FIRST, copy,
 taken AS (SELECT doc_id, source, before, sum(size)::BIGINT AS taken FROM ordered WHERE upto <= (SELECT sum(target) FROM targets) + 1e-6 GROUP BY 1, 2, 3)
 SELECT q.doc_id, q.source, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM queued q LEFT JOIN taken t ON q.doc_id = t.doc_id AND q.source IS NOT DISTINCT FROM t.source AND q.before = t.before
 """
+
+#: Trie nodes are the distinct lists of turns; every node is compared with each of its beginnings. CRC-32 goes bit by bit: an operation of the list brings in a byte, or (-1) shifts once.
+PREFIX_TRIE = """
+WITH turns AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, r, substr(sha256(length(r) || ':' || r || x), 1, 32)) AS t FROM turns GROUP BY c),
+coded AS (SELECT c, t, list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(c::VARCHAR, ''), lambda s: [ascii(s)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, o: CASE WHEN o >= 0 THEN xor(a, o) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END) AS crc FROM own),
+sized AS (SELECT c, t, xor(crc, 4294967295::BIGINT) % 6 AS h FROM coded),
+rebuilt AS (SELECT o.c, list_concat(coalesce(b.t[1:o.h], []), o.t[o.h + 1:]) AS t FROM sized o LEFT JOIN own b ON b.c = o.c - o.c % 100),
+beginnings AS (SELECT c, d, len(t) AS n, t[1:d] AS p FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE length(p[d].x) END AS own_saved, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM beginnings GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+whole AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (p)),
+below AS (SELECT p[1:k] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(own_saved) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM whole) GROUP BY 1)
+SELECT w.conv_id, w.d AS depth, a.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, w.ends_sha256 FROM whole w JOIN below USING (p) LEFT JOIN nodes a ON w.d > 0 AND a.p = w.p[1:w.d - 1]
+"""
+
+#: The filters' removals over all orders are summed up here as they are counted, without potentials.
+FILTER_AUDIT = """
+WITH rows_ AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+words AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first_id FROM rows_),
+known AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+failed AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > first_id, false)::INT AS mask FROM words d LEFT JOIN known k ON d.doc_id = k.doc_id),
+counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY 1, 2),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT filter_order, s AS step, filter_order[s] AS letter, 1 << (ascii(filter_order[s]) - 65) AS own, coalesce(list_sum(list_transform(range(1, s), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::INT AS earlier FROM orders, range(1, 6) x(s)),
+cells AS (SELECT part, filter_order, step::INT AS step, letter, coalesce(sum(n) FILTER (mask & (earlier + own) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & own <> 0 AND mask & earlier = 0), 0) AS removed, coalesce(sum(n) FILTER (mask & own <> 0 AND mask & earlier <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails, coalesce(sum(good) FILTER (mask & own <> 0 AND mask & earlier = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & own <> 0 AND mask & earlier = 0), 0) AS toxic_lost FROM counts, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM cells
+"""

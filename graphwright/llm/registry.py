@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decision_list, decontaminate, line_dedup, mixing, oracle, pii, quality_mil, sharding, simhash_bk, sstable, substring_dedup
+from . import bpe_tree, decision_list, decontaminate, filter_audit, line_dedup, mixing, oracle, pii, prefix_trie, quality_mil, sharding, simhash_bk, sstable, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +58,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_quality_classifier, op4_simhash_near_dedup, op5_substring_dedup, op6_token_tables, op7_sharding, op8_quality_rules, op9_decontamination, op10_mixing)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tree.encode_digests(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_sources(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_quality_classifier, op4_simhash_near_dedup, op5_substring_dedup, op6_token_tables, op7_sharding, op8_quality_rules, op9_decontamination, op10_mixing,
+                                     op11_prefix_trie, op12_bpe_tree, op13_filter_audit)}
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": oracle.LINE_DEDUP,
     "op5_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op9_decontamination": oracle.DECONTAMINATION,
     "op10_mixing": oracle.MIXING,
+    "op11_prefix_trie": oracle.PREFIX_TRIE,
+    "op13_filter_audit": oracle.FILTER_AUDIT,
 }
