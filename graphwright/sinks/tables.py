@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +26,29 @@ def _write(df: DataFrame, path: str) -> None:
 
 
 def write_graph(g: Graph, path: str, analysis: str) -> None:
-    """Replace one analysis; others under the path stay. Writing the same again changes nothing. The graph must not be read from this path."""
-    delete_analysis(g.nodes().sparkSession, path, analysis)  # an overwrite leaves the partition where the new result is empty
-    nodes = g.nodes().dropDuplicates(["id"])
-    _write(nodes.withColumn("analysis_id", F.lit(analysis)).sortWithinPartitions("id"), f"{path}/nodes")
-    _write(existing_ends(g.edges(), nodes).withColumn("analysis_id", F.lit(analysis)).sortWithinPartitions("src", "dst"), f"{path}/edges")
+    """Replace one analysis; others under the path stay. Writing the same again changes nothing. The graph must not be read from this path.
+
+    Both tables are written beside the old ones first and then take their places, so a write that fails leaves the old analysis as it is.
+    """
+    spark = g.nodes().sparkSession
+    beside = f"{path}/_new-{uuid.uuid4().hex}"  # names that begin so are passed over by readers
+    try:
+        g.nodes().dropDuplicates(["id"]).sortWithinPartitions("id").write.parquet(f"{beside}/nodes")
+        nodes = spark.read.parquet(f"{beside}/nodes")  # the ends of edges are looked up in what is written
+        existing_ends(g.edges(), nodes).sortWithinPartitions("src", "dst").write.parquet(f"{beside}/edges")
+        for table in ("nodes", "edges"):
+            delete_partition(spark, f"{path}/{table}/analysis_id={analysis}")
+            _move(spark, f"{beside}/{table}", f"{path}/{table}/analysis_id={analysis}")
+    finally:
+        delete_partition(spark, beside)
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop(target).getParent())
+    if not system.rename(hadoop(source), hadoop(target)):
+        raise OSError(f"could not move {source} to {target}")
 
 
 def read_graph(spark: SparkSession, path: str, analysis: str) -> Graph:

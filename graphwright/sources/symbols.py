@@ -2,9 +2,7 @@
 
 kind, name, line, params, decorators, bases, methods, module, import_type, names, with path, rel_path and language.
 
-Python files are read by the standard library's syntax tree in a small function. JavaScript, TypeScript and Java are read by
-Spark expressions over lines, without comments; imports may go over several lines, a declaration whose parameters do gets those on its first line.
-Differences to a full grammar: declarations inside strings would be taken for code.
+Python files are read by the standard library's syntax tree in a small function, JavaScript, TypeScript and Java by Spark expressions over whole texts (`braces`).
 """
 
 from __future__ import annotations
@@ -14,12 +12,10 @@ import ast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .repository import lines
+from . import braces
 
 FIELDS = "kind string, name string, line int, params array<string>, decorators array<string>, bases array<string>, methods array<string>, module string, import_type string, names array<string>"
 WHERE = ("path", "rel_path", "language")
-#: Words before a parenthesis that are no calls.
-KEYWORDS = ["if", "for", "while", "switch", "catch", "return", "function", "super", "new", "typeof", "await", "constructor", "do", "else", "try", "throw", "synchronized", "import", "this"]
 
 
 def _row(kind: str, name: str | None, line: int, **more) -> dict:
@@ -66,83 +62,28 @@ def _from_python(files: DataFrame) -> DataFrame:
     return files.filter("language = 'python' and text is not null").select(*WHERE, F.explode(parse("text")).alias("s")).select(*WHERE, "s.*")
 
 
-def _names(text: Column, pattern: str) -> Column:
-    """Trimmed, non-empty parts between commas, each reduced to the pattern's group."""
-    return F.filter(F.transform(F.split(text, ","), lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != "")
-
-
-def _symbol(df: DataFrame, kind: str, **values: Column) -> DataFrame:
+def _symbol(df: DataFrame, kind: Column, **values: Column) -> DataFrame:
     kinds = dict(f.split(" ") for f in FIELDS.split(", "))
-    values |= {"kind": F.lit(kind), "line": F.col("line")}
+    values |= {"kind": kind, "line": F.col("line")}
     return df.select(*WHERE, *(values.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()))
 
 
-def _brace_rules(language: str) -> dict[str, str]:
-    if language == "java":
-        mods = r"(?:(?:public|private|protected|static|final|abstract|synchronized|default|native)\s+)*"
-        return {
-            "function": rf"^\s+(?!\s|return\b|throw\b|new\b|else\b){mods}(?:<[^>]+>\s+)?[\w.<>\[\], ?]+\s+([A-Za-z_]\w*)\s*\(([^)]*)\)\s*(?:throws\s+[\w., ]+)?[{{;]",
-            "constructor": r"^\s+(?:public|private|protected)\s+([A-Z]\w*)\s*\(([^)]*)\)\s*(?:throws\s+[\w., ]+)?\{",
-            "class": rf"^\s*{mods}(?:class|interface|enum)\s+([A-Za-z_]\w*)", "param": r"(\w+)\s*$",
-        }
-    head = r"^\s*(?:export\s+)?(?:default\s+)?"
-    return {
-        "function": rf"{head}(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*\(([^)]*)",
-        "arrow": rf"{head}(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?\(([^)]*)\)\s*(?::[^=]+)?=>",
-        "method": r"^\s+(?:(?:public|private|protected|static|async|readonly|get|set)\s+)*([A-Za-z_$][\w$]*)\s*(?:<[^>]+>)?\(([^)]*)\)\s*(?::\s*[^{;=]+)?\{\s*$",
-        "class": rf"{head}(?:abstract\s+)?(?:class|interface)\s+([A-Za-z_$][\w$]*)", "param": r"^\s*(?:(?:public|private|readonly)\s+)*([A-Za-z_$][\w$]*)",
-    }
-
-
 def _from_braces(files: DataFrame, language: str) -> DataFrame:
-    r = _brace_rules(language)
-    code = lines(files.filter(F.col("language").isin("java") if language == "java" else F.col("language").isin("javascript", "typescript", "tsx")))
-    code = code.filter(~F.regexp_like(F.col("code"), F.lit(r"^\s*(?:/?\*|//)"))).withColumn("code", F.regexp_replace("code", r"(?<!:)//.*$", ""))
-    get = lambda name, group: F.regexp_extract("code", r[name], group)
-    function_name, params = F.lit(""), F.lit("")
-    for k in ("method", "constructor", "arrow", "function"):
-        if k in r:
-            hit = (get(k, 1) != "") & ~get(k, 1).isin([w for w in KEYWORDS if w != "constructor"])
-            function_name, params = F.when(hit, get(k, 1)).otherwise(function_name), F.when(hit, get(k, 2)).otherwise(params)
-    code = code.withColumns({"fn": function_name, "ps": params, "cls": get("class", 1)})
-    own = Window.partitionBy("path").orderBy("line")
-    code = code.withColumn("owner", F.last(F.when((F.col("cls") != "") | F.regexp_like(F.col("code"), F.lit(r"^[}]")), F.col("cls")), True).over(own))
-    functions = _symbol(code.filter("fn <> ''"), "function", name=F.col("fn"), params=_names(F.col("ps"), r["param"]), decorators=F.array())
-    if language != "java":
-        functions = functions.groupBy(*WHERE, "name").agg(F.min_by(F.struct(*(c for c in functions.columns if c not in (*WHERE, "name"))), "line").alias("f")).select(*WHERE, "name", "f.*")
-    methods = code.filter("fn <> '' and owner <> ''").groupBy("path", F.col("owner").alias("in_class")).agg(F.array_sort(F.collect_set("fn")).alias("own_methods"))
-    parents = F.filter(F.split(F.concat_ws(",", F.regexp_extract("code", r"\bextends\s+([\w$., ]+?)\s*(?:implements\b|\{|$)", 1), F.regexp_extract("code", r"\bimplements\s+([\w$., ]+?)\s*(?:\{|$)", 1)), r"\s*,\s*"), lambda x: x != "")
-    classes = code.filter("cls <> ''").withColumn("parents", parents).join(methods.withColumnRenamed("path", "p"), (F.col("path") == F.col("p")) & (F.col("cls") == F.col("in_class")), "left")
-    class_rows = _symbol(classes, "class", name=F.col("cls"), bases=F.array(), methods=F.coalesce("own_methods", F.array().cast("array<string>")))
-    inheritance = _symbol(classes.filter(F.size("parents") > 0), "inheritance", name=F.col("cls"), bases=F.col("parents"))
-    if language == "java":
-        pattern = r"^\s*import\s+(?:static\s+)?([\w.]+)\.([\w*]+)\s*;"
-        imports = _symbol(code.filter(F.regexp_like("code", F.lit(pattern))), "import", module=F.regexp_extract("code", pattern, 1), import_type=F.lit("import"), names=F.array(F.regexp_extract("code", pattern, 2)))
-    else:
-        pattern = r"""^\s*import\s+(?:(.*?)\s+from\s+)?['"]([^'"]+)['"]"""
-        names = _names(F.regexp_replace(F.regexp_extract("code", pattern, 1), r"[{}]|\*\s+as|\btype\b", " "), r"^\s*([\w$]+)")
-        one_line = F.regexp_like("code", F.lit(pattern))
-        imports = _symbol(code.filter(one_line), "import", module=F.regexp_extract("code", pattern, 2), import_type=F.lit("import"), names=names)
-        # An import that opens a brace and does not close it ends at the next line with `from`.
-        opens = F.regexp_like("code", F.lit(r"^\s*import\b[^;'\"]*\{[^}]*$"))
-        block = code.withColumn("opened", F.when(opens, F.col("line")).when(F.lag(F.regexp_like("code", F.lit(r"\bfrom\s*['\"]"))).over(own), F.lit(0)))
-        block = block.withColumn("opened", F.last("opened", True).over(own)).filter("opened > 0")
-        whole = block.groupBy(*WHERE, F.col("opened").alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "code"))), lambda x: x["code"]), " ").alias("code"))
-        imports = imports.unionByName(_symbol(whole.filter(one_line), "import", module=F.regexp_extract("code", pattern, 2), import_type=F.lit("import"), names=names))
-    names = code.select(*WHERE, "line", "fn", F.explode(F.regexp_extract_all("code", F.lit(r"(?<![\w$])([A-Za-z_$][\w$]*)\s*\("), F.lit(1))).alias("call"))
-    names = names.filter((F.col("call") != F.col("fn")) & ~F.col("call").isin(KEYWORDS))
-    if language != "java":
-        names = names.filter(~F.regexp_like("call", F.lit("^[A-Z]")))
-    calls = _symbol(names.groupBy(*WHERE, "call").agg(F.min("line").alias("line")), "call", name=F.col("call"))
-    return functions.select(class_rows.columns).unionByName(class_rows).unionByName(inheritance).unionByName(imports).unionByName(calls)
+    """Scripts (JavaScript, TypeScript) or Java; of functions and calls that count once, the first."""
+    own = F.col("language").isin("java") if language == "java" else F.col("language").isin("javascript", "typescript", "tsx")
+    rows = braces.symbols(files.filter(own & F.col("text").isNotNull()), language)
+    again = F.row_number().over(Window.partitionBy("path", "kind", "once").orderBy("line"))
+    rows = rows.withColumn("n", F.when(F.col("once").isNotNull(), again).otherwise(1)).filter("n = 1")
+    given = {c: F.col(c) for c in ("params", "bases", "methods", "module", "names", "name")}
+    return _symbol(rows, F.col("kind"), **given, decorators=F.when(F.col("kind") == "function", F.array().cast("array<string>")), import_type=F.when(F.col("kind") == "import", "import"))
 
 
 def extract(files: DataFrame) -> DataFrame:
     """All symbols of files (with_text). Of imports with the same type, module and file the first stays. Unreadable files are error rows."""
-    found = _from_python(files).unionByName(_from_braces(files, "js")).unionByName(_from_braces(files, "java"))
+    found = _from_python(files).unionByName(_from_braces(files, "script")).unionByName(_from_braces(files, "java"))
     first = Window.partitionBy("path", "kind", "import_type", "module").orderBy("line")
     imports = found.filter("kind = 'import'").withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
-    errors = _symbol(files.filter("error is not null").withColumn("line", F.lit(0)), "error", name=F.col("error"))
+    errors = _symbol(files.filter("error is not null").withColumn("line", F.lit(0)), F.lit("error"), name=F.col("error"))
     return found.filter("kind <> 'import'").unionByName(imports).unionByName(errors)
 
 
