@@ -107,16 +107,26 @@ class Engine:
         row = structure.find_target(g, text).head()
         return row and (row["id"], row["type"].capitalize())
 
+    def _seed(self, g: Graph, target: str) -> tuple[str, DataFrame]:
+        """Label and id (a frame of one row, or none) of the first node whose name, path or module holds target."""
+        found = self._target(g, target)
+        return found[1] if found else "Function", self.spark.createDataFrame([(found[0],)] if found else [], "id string")
+
     def impact(self, analysis: str, target: str) -> DataFrame:
-        """Risk of the first node whose name, path or module holds target; empty if there is none."""
+        """Risk of the first node whose name, path or module holds target; empty if there is none. Only its surroundings are read."""
+        g = self._graph(analysis)
+        label, seed = self._seed(g, target)
+        return impact.impact_scores(g, label, seed)
+
+    def impact_report(self, analysis: str, target: str) -> DataFrame:
+        """What the target's change reaches: names and numbers by type, on both sides."""
         g = self._graph(analysis)
-        found = self._target(g, target) or ("", "Function")
-        return impact.impact_scores(g, found[1]).filter(F.col("target") == found[0])
+        return impact.impact_report(g, self._seed(g, target)[1])
 
     def simulate_change(self, analysis: str, target: str) -> DataFrame:
         g = self._graph(analysis)
-        found = self._target(g, target) or ("", "Function")
-        return impact.change_simulation(g, found[1]).filter(F.col("id") == found[0])
+        label, seed = self._seed(g, target)
+        return impact.change_simulation(g, label, seed)
 
     def search(self, analysis: str, query: str, limit: int = 50) -> DataFrame:
         return search.search(self._graph(analysis), query, limit)

@@ -7,13 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import severity
 from ..model import Graph
-from ..plans.traverse import walk2, with_ids
-from .structure import call_neighbourhood, class_neighbourhood, display, neighbours
-
-
-def impact_rows(g: Graph, label: str) -> DataFrame:
-    """(target, side, id, shown, type): what is up- and downstream of each node of a label; a node can be both."""
-    arcs, own = with_ids(g.edges()), g.nodes(label).select("id").distinct()
+from ..plans import bitmaps
+from ..plans.settle import settled
+from ..plans.traverse import around, walk2, with_ids
+from .structure import call_neighbourhood, class_neighbourhood, display, neighbours, settled_pairs
+
+
+def impact_rows(g: Graph, label: str, of: DataFrame | None = None) -> DataFrame:
+    """(target, side, id, shown, type): what is up- and downstream of each node of a label; a node can be both.
+
+    of: a frame with the ids of the nodes that are asked for; then only edges around them are read, and no others are joined or made distinct.
+    """
+    arcs = with_ids(g.edges())
+    if of is not None:
+        back = arcs.select(F.col("b").alias("a"), F.col("a").alias("b"), "eid")
+        up, down = (walk2(around(x, of, 1), starts=of) for x in (arcs, back))
+        sides = up.select(F.col("node").alias("target"), F.lit("up").alias("side"), F.col("target").alias("id")).unionByName(down.select(F.col("node").alias("target"), F.lit("down").alias("side"), F.col("target").alias("id")))
+        return sides.join(g.nodes().select("id", display().alias("shown"), F.lower("label").alias("type")), "id")
+    own = g.nodes(label).select("id").distinct()
     # Pairs of two own nodes are many where own nodes call each other: they are found once and serve both ends.
     side = lambda target, name, other: F.struct(F.col(target).alias("target"), F.lit(name).alias("side"), F.col(other).alias("id"))
     out = walk2(arcs, starts=own).join(own.select(F.col("id").alias("mine")), F.col("target") == F.col("mine"), "left")
@@ -22,10 +33,19 @@ def impact_rows(g: Graph, label: str) -> DataFrame:
     return sides.join(g.nodes().select("id", display().alias("shown"), F.lower("label").alias("type")), "id")
 
 
-def impact_scores(g: Graph, label: str) -> DataFrame:
-    """Risk of each node: counts of both sides, files, classes and functions, each with its weight and limit."""
+def _impact_counts(g: Graph, label: str) -> DataFrame:
+    """Counts for all nodes of a label; by bitmaps of both sides, without listing who reaches whom."""
+    pairs, targets = settled_pairs(g), g.nodes(label)
+    numbers = settled(bitmaps.numbered(g.nodes().select("id", F.lower("label").alias("label"))))
+    sides = {"upstream_count": bitmaps.steps(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), targets, numbers), "downstream_count": bitmaps.steps(pairs, targets, numbers)}
+    found = bitmaps.kind_counts(numbers, ["file", "class", "function"], **sides)
+    return found.withColumnsRenamed({"total": "total_impacted", "file": "files", "class": "classes", "function": "functions"})
+
+
+def impact_scores(g: Graph, label: str, of: DataFrame | None = None) -> DataFrame:
+    """Risk of each node (of those in the frame `of`): counts of both sides, files, classes and functions, each with its weight and limit."""
     n = lambda c: F.count_if(c)
-    counts = impact_rows(g, label).groupBy("target").agg(
+    counts = _impact_counts(g, label) if of is None else impact_rows(g, label, of).groupBy("target").agg(
         n(F.col("side") == "up").alias("upstream_count"), n(F.col("side") == "down").alias("downstream_count"), F.count_distinct("id").alias("total_impacted"),
         n(F.col("type") == "file").alias("files"), n(F.col("type") == "class").alias("classes"), n(F.col("type") == "function").alias("functions"))
     cap = lambda c, k, most: F.least(F.col(c) * k, F.lit(most))
@@ -33,6 +53,16 @@ def impact_scores(g: Graph, label: str) -> DataFrame:
     return counts.select("target", "upstream_count", "downstream_count", "total_impacted", score.cast("long").alias("risk_score"), severity(score).alias("level"))
 
 
+def impact_report(g: Graph, of: DataFrame) -> DataFrame:
+    """One row for each target that has any impact: the sorted distinct names of each type on both sides, their numbers, and the totals of each side."""
+    rows = impact_rows(g, "", of)
+    kinds = {"file": "files", "function": "functions", "class": "classes", "import": "imports"}
+    names = [F.array_sort(F.collect_set(F.when(F.col("type") == k, F.col("shown")))).alias(c) for k, c in kinds.items()]
+    sizes = [F.count_distinct(F.when(F.col("type") == k, F.col("id"))).alias(f"{k}_count") for k in kinds]
+    sides = [F.count_if(F.col("side") == s).alias(f"{s}stream_count") for s in ("up", "down")]
+    return rows.groupBy("target").agg(*names, *sizes, *sides, F.count_distinct("id").alias("total_impacted"))
+
+
 def impact_lists(g: Graph, label: str) -> DataFrame:
     """Sorted distinct names by type, as comma-joined text, and the sentence that explains the risk."""
     rows = impact_rows(g, label)
@@ -49,18 +79,18 @@ def explanations(g: Graph, label: str) -> DataFrame:
     return texts.join(impact_scores(g, label).select("target", "level"), "target").select("target", text.alias("explanation"))
 
 
-def change_parts(g: Graph, label: str) -> DataFrame:
-    """(id, part, value): displayed names that a change of each node of a label touches."""
+def change_parts(g: Graph, label: str, of: DataFrame | None = None) -> DataFrame:
+    """(id, part, value): displayed names that a change of each node of a label (of those in the frame `of`) touches."""
     part = lambda df, name: df.select("id", F.lit(name).alias("part"), "value")
-    parts = part(neighbours(g, "File", "rel_path"), "file").unionByName(part(neighbours(g, "Function", "name"), "function")).unionByName(part(call_neighbourhood(g), "indirect")).unionByName(part(class_neighbourhood(g, label), "class"))
-    return parts.join(g.nodes(label).select("id"), "id", "left_semi")
+    parts = part(neighbours(g, "File", "rel_path", of), "file").unionByName(part(neighbours(g, "Function", "name", of), "function")).unionByName(part(call_neighbourhood(g, of), "indirect")).unionByName(part(class_neighbourhood(g, label, of), "class"))
+    return parts.join(g.nodes(label).select("id"), "id", "left_semi") if of is None else parts
 
 
-def change_simulation(g: Graph, label: str) -> DataFrame:
-    """Risk and blast radius of changing each node of a label. Equal displayed names count once in the radius."""
+def change_simulation(g: Graph, label: str, of: DataFrame | None = None) -> DataFrame:
+    """Risk and blast radius of changing each node of a label (of those in the frame `of`). Equal displayed names count once in the radius."""
     n = lambda p: F.count_if(F.col("part") == p)
     direct = F.when(F.col("part").isin("file", "function"), F.col("value"))
-    found = change_parts(g, label).groupBy("id").agg(
+    found = change_parts(g, label, of).groupBy("id").agg(
         n("file").alias("f"), n("function").alias("g"), n("indirect").alias("h"), n("class").alias("c"),
         F.count_distinct(direct).alias("direct"), F.count_distinct("value").alias("total"))
     score = F.least(F.lit(100), F.greatest(F.lit(20), 8 * F.col("f") + 7 * F.col("g") + 4 * F.col("h") + 5 * F.col("c") + 15))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import COMPLEXITY, FAN_IN_SEVERITY, binned, clamp
 from ..model import CALLS, CONTAINS_CLASS, INHERITS, LABELS, Graph
-from ..plans.traverse import far, longest_chains, near2, undirected, walk2, with_ids
+from ..plans import bitmaps
+from ..plans.settle import settled
+from ..plans.traverse import around, far, longest_chains, near2, undirected, walk2, with_ids
 
 
 def display() -> Column:
@@ -39,31 +41,59 @@ def find_target(g: Graph, text: str) -> DataFrame:
     return g.nodes().filter(hit).select("id", display().alias("label"), F.lower("label").alias("type")).orderBy("id").limit(1)
 
 
+def settled_pairs(g: Graph, back: bool = False) -> DataFrame:
+    """Different (a, b) of edges, settled; back turns them round."""
+    a, b = ("dst", "src") if back else ("src", "dst")
+    return settled(g.edges().select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+
+
+def _steps(pairs: DataFrame, targets: DataFrame) -> tuple[bitmaps.Steps, DataFrame]:
+    """With the numbers of what has an edge."""
+    numbers = settled(bitmaps.numbered(pairs.select(F.col("a").alias("id"), F.lit(None).cast("string").alias("label")).distinct()))
+    return bitmaps.steps(pairs, targets, numbers), numbers
+
+
+def _reaching(pairs: DataFrame, targets: DataFrame) -> DataFrame:
+    if bitmaps.sparse(pairs, targets):
+        return walk2(pairs, targets).select("target", F.col("node").alias("id"))
+    return bitmaps.pairs_of(*_steps(pairs, targets))
+
+
 def upstream(g: Graph, label: str) -> DataFrame:
     """(target, id): what every node of a label reaches in one or two directed steps."""
-    return walk2(with_ids(g.edges()), starts=g.nodes(label)).select(F.col("node").alias("target"), F.col("target").alias("id"))
+    return _reaching(settled_pairs(g, back=True), g.nodes(label))
 
 
 def downstream(g: Graph, label: str) -> DataFrame:
     """(target, id): what reaches every node of a label in one or two directed steps."""
-    return walk2(with_ids(g.edges()), g.nodes(label)).select("target", F.col("node").alias("id"))
+    return _reaching(settled_pairs(g), g.nodes(label))
+
+
+def fan_in(g: Graph, label: str) -> DataFrame:
+    """(target, dependency_count): how many nodes reach each node of a label in one or two directed steps; none is no row."""
+    pairs, targets = settled_pairs(g), g.nodes(label)
+    if bitmaps.sparse(pairs, targets):
+        return walk2(pairs, targets).groupBy("target").agg(F.count(F.lit(1)).alias("dependency_count"))
+    return bitmaps.counts_of(_steps(pairs, targets)[0]).withColumnRenamed("n", "dependency_count")
 
 
-def neighbours(g: Graph, label: str, shown: str) -> DataFrame:
-    """(id, value): distinct names of a node's neighbours, in either direction, that have a label."""
+def neighbours(g: Graph, label: str, shown: str, of: DataFrame | None = None) -> DataFrame:
+    """(id, value): distinct names of a node's neighbours, in either direction, that have a label. of: a frame with the ids of the nodes that are asked for."""
     arcs = undirected(with_ids(g.edges()))
+    arcs = arcs if of is None else arcs.join(of.select(F.col("id").alias("a")), "a", "left_semi")
     ends = g.nodes(label).select(F.col("id").alias("b"), F.col(shown).alias("value"))
     return arcs.join(ends, "b").filter("value is not null and value <> ''").select(F.col("a").alias("id"), "value").distinct()
 
 
-def call_neighbourhood(g: Graph) -> DataFrame:
+def call_neighbourhood(g: Graph, of: DataFrame | None = None) -> DataFrame:
     """(id, value): names of functions at the end of undirected call trails of length 2 or 3."""
-    return far(undirected(with_ids(g.edges(CALLS)))).join(g.nodes("Function").select(F.col("id").alias("node"), F.col("name").alias("value")), "node").select(F.col("start").alias("id"), "value").distinct()
+    return far(undirected(with_ids(g.edges(CALLS))), of).join(g.nodes("Function").select(F.col("id").alias("node"), F.col("name").alias("value")), "node").select(F.col("start").alias("id"), "value").distinct()
 
 
-def class_neighbourhood(g: Graph, start: str = "File") -> DataFrame:
+def class_neighbourhood(g: Graph, start: str = "File", of: DataFrame | None = None) -> DataFrame:
     """(id, value): classes within two undirected hops over inheritance, class containment and calls."""
-    found = near2(undirected(with_ids(g.edges(INHERITS, CONTAINS_CLASS, CALLS))), g.nodes(start), g.nodes("Class"))
+    arcs = undirected(with_ids(g.edges(INHERITS, CONTAINS_CLASS, CALLS)))
+    found = near2(arcs, g.nodes(start), g.nodes("Class")) if of is None else near2(around(arcs, of, 1), of, g.nodes("Class"))
     return found.join(g.nodes("Class").select(F.col("id").alias("node"), F.col("name").alias("value")), "node").select(F.col("start").alias("id"), "value").distinct()
 
 
@@ -150,7 +180,7 @@ def major_modules(g: Graph, keep: int | None = 8) -> DataFrame:
 
 def hotspots(g: Graph, label: str, complexity: Column, keep: int | None = 5) -> DataFrame:
     """Nodes of a label by the number of nodes that reach them in one or two steps; criticality is the share of the largest."""
-    degree = downstream(g, label).groupBy("target").agg(F.count(F.lit(1)).alias("dependency_count"))
+    degree = fan_in(g, label)
     found = g.nodes(label).join(degree, F.col("id") == F.col("target")).select("id", display().alias("name"), "dependency_count", complexity.cast("long").alias("complexity"))
     if keep is not None:
         found = found.orderBy(F.desc("dependency_count"), "id").limit(keep)
@@ -173,7 +203,7 @@ def class_hotspots(g: Graph, keep: int | None = 5) -> DataFrame:
 
 
 def excess_fan_in(g: Graph, label: str = "File", over: int = 8, keep: int = 5) -> DataFrame:
-    degree = downstream(g, label).groupBy("target").agg(F.count(F.lit(1)).alias("incoming_degree")).filter(F.col("incoming_degree") > over)
+    degree = fan_in(g, label).withColumnRenamed("dependency_count", "incoming_degree").filter(F.col("incoming_degree") > over)
     top = degree.orderBy(F.desc("incoming_degree"), "target").limit(keep)
     return top.select(F.col("target").alias("node"), "incoming_degree", binned(F.col("incoming_degree"), FAN_IN_SEVERITY, "medium", strict=True).alias("severity"))
 

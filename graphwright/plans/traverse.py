@@ -38,6 +38,17 @@ def reach(arcs: DataFrame, low: int, high: int, starts: DataFrame | None = None)
     return out.distinct() if len(parts) > 1 else out
 
 
+def around(arcs: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """The arcs that begin at seeds (a frame with id) or at what `hops` steps from them reach: all that a walk of hops + 1 steps from them can use.
+
+    Each step is a semi-join of what was reached so far with the arcs, below any other operation, so the work follows the seeds' surroundings.
+    """
+    reached = seeds.select(F.col("id").alias("a")).distinct()
+    for _ in range(hops):
+        reached = reached.unionByName(arcs.join(reached, "a", "left_semi").select(F.col("b").alias("a"))).distinct()
+    return arcs.join(reached, "a", "left_semi")
+
+
 def walk2(arcs: DataFrame, ends: DataFrame | None = None, starts: DataFrame | None = None, but: DataFrame | None = None) -> DataFrame:
     """Distinct (node, target): node reaches target in one or two directed steps. starts and ends (frames with id) limit both before the join; nodes in but are no starts.
 
@@ -67,30 +78,33 @@ def near2(arcs: DataFrame, starts: DataFrame | None = None, ends: DataFrame | No
     return found.join(back, (F.col("start") == F.col("a")) & (F.col("node") == F.col("a")), "left").filter("start <> node or a is not null").select("start", "node")
 
 
-def far(arcs: DataFrame) -> DataFrame:
-    """Distinct (start, node) over undirected trails of length 2 or 3. arcs as undirected() gives them.
+def far(arcs: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """Distinct (start, node) over undirected trails of length 2 or 3. arcs as undirected() gives them. starts: a frame with id; then only their surroundings are read.
 
     For arcs with at most one loop at a node, as calls have. Trails are counted, not listed: walks of two and three steps between two nodes by sums over the numbers of edges, less the walks
     that use an edge twice. With m edges between s and t and d(s), d(t) edges at them, of the three-step walks d(s) m turn back at
     once, m d(t) at last, m m take one edge first and last, and m are in all three kinds: d(s) m + m d(t) + m m - 2 m in all.
     Starts that two steps take to every node are left out of the third. A loop adds the neighbours of its node, and its node to them.
     """
+    arcs = arcs if starts is None else around(arcs, starts, 2)  # all edges of what one or two steps reach
     pairs = arcs.filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"))
     degree = pairs.groupBy("a").agg(F.sum("m").alias("d"))
-    ways = pairs.select(F.col("a").alias("start"), F.col("b").alias("via"), F.col("m").alias("m1")).join(pairs.select(F.col("a").alias("via"), F.col("b").alias("node"), F.col("m").alias("m2")), "via")
+    begin = pairs if starts is None else pairs.join(starts.select(F.col("id").alias("a")).distinct(), "a", "left_semi")
+    ways = begin.select(F.col("a").alias("start"), F.col("b").alias("via"), F.col("m").alias("m1")).join(pairs.select(F.col("a").alias("via"), F.col("b").alias("node"), F.col("m").alias("m2")), "via")
     ways = ways.groupBy("start", "node").agg(F.sum(F.col("m1") * F.col("m2")).alias("w2"))
     at = degree.withColumnsRenamed({"a": "start", "d": "ds"})
     two = ways.join(at, "start").filter((F.col("start") != F.col("node")) | (F.col("w2") > F.col("ds"))).select("start", "node")
     reached = two.groupBy("start").agg(F.count(F.lit(1)).alias("n")).join(degree.agg(F.count(F.lit(1)).alias("all")))  # one row joined
-    open_ = degree.select(F.col("a").alias("start")).join(reached.filter(F.col("n") == F.col("all")).select("start"), "start", "left_anti")
+    open_ = begin.select(F.col("a").alias("start")).distinct().join(reached.filter(F.col("n") == F.col("all")).select("start"), "start", "left_anti")
     on = ways.join(open_, "start", "left_semi").select("start", F.col("node").alias("via"), "w2").join(pairs.select(F.col("a").alias("via"), F.col("b").alias("node"), "m"), "via")
     on = on.groupBy("start", "node").agg(F.sum(F.col("w2") * F.col("m")).alias("w3"))
-    direct = pairs.withColumnsRenamed({"a": "start", "b": "node"}).join(at, "start").join(degree.withColumnsRenamed({"a": "node", "d": "dn"}), "node")
+    direct = begin.withColumnsRenamed({"a": "start", "b": "node"}).join(at, "start").join(degree.withColumnsRenamed({"a": "node", "d": "dn"}), "node")
     twice = direct.select("start", "node", (F.col("m") * (F.col("ds") + F.col("dn") + F.col("m") - 2)).alias("twice"))
     three = on.join(twice, ["start", "node"], "left").filter(F.col("w3") > F.coalesce("twice", F.lit(0))).select("start", "node")
     loops = arcs.filter("a = b").select(F.col("a").alias("loop")).distinct()
     beside = pairs.join(loops, F.col("a") == F.col("loop"), "left_semi").select(F.col("a").alias("start"), F.col("b").alias("node"))
-    return two.unionByName(three).unionByName(beside).unionByName(beside.select(F.col("node").alias("start"), F.col("start").alias("node"))).distinct()
+    out = two.unionByName(three).unionByName(beside).unionByName(beside.select(F.col("node").alias("start"), F.col("start").alias("node"))).distinct()
+    return out if starts is None else out.join(starts.select(F.col("id").alias("start")).distinct(), "start", "left_semi")
 
 
 def longest_chains(edges: DataFrame, at_least: int, keep: int, most: int | None = None) -> DataFrame:
