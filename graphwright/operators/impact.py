@@ -21,7 +21,7 @@ def impact_rows(g: Graph, label: str, of: DataFrame | None = None) -> DataFrame:
     arcs = with_ids(g.edges())
     if of is not None:
         back = arcs.select(F.col("b").alias("a"), F.col("a").alias("b"), "eid")
-        up, down = (walk2(around(x, of, 1), starts=of) for x in (arcs, back))
+        up, down = (walk2(settled(around(x, of, 1)), starts=of) for x in (arcs, back))
         sides = up.select(F.col("node").alias("target"), F.lit("up").alias("side"), F.col("target").alias("id")).unionByName(down.select(F.col("node").alias("target"), F.lit("down").alias("side"), F.col("target").alias("id")))
         return sides.join(g.nodes().select("id", display().alias("shown"), F.lower("label").alias("type")), "id")
     own = g.nodes(label).select("id").distinct()

@@ -93,7 +93,7 @@ def call_neighbourhood(g: Graph, of: DataFrame | None = None) -> DataFrame:
 def class_neighbourhood(g: Graph, start: str = "File", of: DataFrame | None = None) -> DataFrame:
     """(id, value): classes within two undirected hops over inheritance, class containment and calls."""
     arcs = undirected(with_ids(g.edges(INHERITS, CONTAINS_CLASS, CALLS)))
-    found = near2(arcs, g.nodes(start), g.nodes("Class")) if of is None else near2(around(arcs, of, 1), of, g.nodes("Class"))
+    found = near2(arcs, g.nodes(start), g.nodes("Class")) if of is None else near2(settled(around(arcs, of, 1)), of, g.nodes("Class"))
     return found.join(g.nodes("Class").select(F.col("id").alias("node"), F.col("name").alias("value")), "node").select(F.col("start").alias("id"), "value").distinct()
 
 

@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .settle import settled
+
 
 def with_ids(edges: DataFrame) -> DataFrame:
     """a, b, eid: an edge from a to b, with an identity that both directions share in undirected()."""
@@ -86,7 +88,7 @@ def far(arcs: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     once, m d(t) at last, m m take one edge first and last, and m are in all three kinds: d(s) m + m d(t) + m m - 2 m in all.
     Starts that two steps take to every node are left out of the third. A loop adds the neighbours of its node, and its node to them.
     """
-    arcs = arcs if starts is None else around(arcs, starts, 2)  # all edges of what one or two steps reach
+    arcs = arcs if starts is None else settled(around(arcs, starts, 2))  # all edges of what one or two steps reach; read many times below
     pairs = arcs.filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"))
     degree = pairs.groupBy("a").agg(F.sum("m").alias("d"))
     begin = pairs if starts is None else pairs.join(starts.select(F.col("id").alias("a")).distinct(), "a", "left_semi")
