@@ -138,14 +138,18 @@ def disclosing_terms(documents: DataFrame, base: DataFrame, support: int = SUPPO
     """(entity, term, degree) for the pairs that reach the threshold."""
     entity = F.concat_ws(":", F.col("span.kind"), F.lower(F.col("span.value")))
     held = base.filter("text is not null").select("doc_id", "text_key", "text", F.explode("spans").alias("span")).select("doc_id", "text_key", entity.alias("entity"), "text")
-    pairs = held.groupBy("doc_id", "text_key", "entity").agg(F.count(F.lit(1)).alias("copies"))
-    entities = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.count_distinct("text_key").alias("texts")).filter(F.col("texts") >= support).drop("texts")
+    pairs = held.select("doc_id", "text_key", "entity").distinct()
+    # Rows are counted, repeated ones each, for entities as for terms and for both: a table and its double give the same degrees.
+    named = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    holders = base.filter("text is not null").select("text_key", F.explode(named).alias("entity"))
+    entities = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.count_distinct("text_key").alias("texts")).filter(F.col("texts") >= support).drop("texts")
     entities = materialize(entities, "pii-entities")
     shared = pairs.join(entities.select("entity"), "entity").select("doc_id", "text_key", "entity").alias("pair")
-    texts = base.filter("text is not null").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", _terms(_without_base(F.col("text"))).alias("terms")).alias("doc")
-    joint = shared.join(texts, _same("pair", "doc")).select("pair.entity", "doc.text_key", F.explode("doc.terms").alias("term"))
+    texts = base.filter("text is not null").groupBy("doc_id", "text_key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
+    texts = texts.select("doc_id", "text_key", "times", _terms(_without_base(F.col("text"))).alias("terms")).alias("doc")
+    joint = shared.join(texts, _same("pair", "doc")).select("pair.entity", "doc.text_key", "doc.times", F.explode("doc.terms").alias("term"))
     # Per text first: copies of a text are one row with a count, then texts are counted, not listed.
-    joint = joint.groupBy("entity", "term", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+    joint = joint.groupBy("entity", "term", "text_key").agg(F.sum("times").alias("rows"))
     joint = joint.groupBy("entity", "term").agg(F.sum("rows").alias("n_both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
     joint = materialize(joint, "pii-pairs")
     wanted = joint.select("term").distinct()

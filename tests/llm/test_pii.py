@@ -89,3 +89,13 @@ def test_very_many_matches_in_one_text(spark):
 def test_no_python_in_the_plan(documents):
     plan = pii.summarize(pii.find_spans(documents))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_repeated_rows_change_no_degree(spark):
+    rows = [(i, f"filler{i} Zanzibar met bob@example.com bob@example.com on common day {i}") for i in range(6)]
+    rows += [(i, f"other{i} common day with words {i}") for i in range(6, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    degrees = lambda x: {(r["entity"], r["term"], round(r["degree"], 9)) for r in pii.disclosing_terms(x, pii.find_base(x)).collect()}
+    once = degrees(df)
+    assert {t for _, t, _ in once} == {"Zanzibar", "met", "on"}
+    assert degrees(df.unionByName(df)) == once == degrees(df.unionByName(df).unionByName(df))

@@ -90,3 +90,14 @@ def test_gradients_match_differences():
         down = loss()
         p[at] += 1e-5
         assert grads[k][at] == pytest.approx((up - down) / 2e-5, rel=2e-3, abs=1e-6)
+
+
+def test_the_sample_is_bounded_in_rows(spark):
+    """Rows that share a doc_id are one of the sample, whatever they are many."""
+    from graphwright.llm.labelled import labelled_sample
+
+    documents = spark.range(3000).selectExpr("id % 3 as doc_id", "concat('text ', cast(id as string)) as text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)] + [(0, 1)], "doc_id long, quality int")
+    found = sorted(tuple(r) for r in labelled_sample(documents, labels, 5).collect())
+    assert found == [(0, "text 0", 1), (1, "text 1", 1), (2, "text 1001", 0)]
+    assert labelled_sample(documents, labels, 2).count() == 2
