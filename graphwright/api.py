@@ -158,8 +158,16 @@ class Engine:
             log.unpersist()
 
     def stored_activity(self, analysis: str) -> dict[str, DataFrame]:
-        own = lambda t, schema: self.spark.read.schema(schema).parquet(f"{self.folder}/{t}").filter(F.col("analysis_id") == analysis).drop("analysis_id")
-        return self._activity(Graph({}, {}, lambda: own("commits", COMMITS), lambda: own("commit_files", COMMIT_FILES)))
+        """From what store_activity() wrote; status says available, or unavailable where nothing was stored (the other frames are empty then)."""
+
+        def own(name: str, schema: str) -> DataFrame:
+            if not tables.exists(self.spark, f"{self.folder}/{name}/analysis_id={analysis}"):
+                return self.spark.createDataFrame([], schema).drop("analysis_id")
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}").filter(F.col("analysis_id") == analysis).drop("analysis_id")
+
+        found = self._activity(Graph({}, {}, lambda: own("commits", COMMITS), lambda: own("commit_files", COMMIT_FILES)))
+        status = own("commits", COMMITS).agg(F.when(F.count(F.lit(1)) > 0, "available").otherwise("unavailable").alias("status"))
+        return found | {"status": status}
 
     def _activity(self, g: Graph) -> dict[str, DataFrame]:
         return {"overview": activity.overview(g), "commits": activity.recent(g), "recent": activity.recent_files(g), "contributors": activity.contributors(g), "ownership": activity.ownership(g), "areas": activity.primary_areas(g)}

@@ -17,7 +17,7 @@ def recent(g: Graph, keep: int = 50) -> DataFrame:
     """The newest commits without merges; with their messages where the log has them."""
     top = g.commits().filter("not is_merge").orderBy(F.desc("committed_at"), "sha").limit(keep)
     more = ["message"] if "message" in top.columns else []
-    return top.select(F.substring("sha", 1, 12).alias("sha"), F.substring("author_name", 1, 120).alias("author"), "committed_at", *more)
+    return top.select(F.substring("sha", 1, 12).alias("sha"), F.col("author_name").alias("author"), "committed_at", *more)
 
 
 def recent_files(g: Graph, keep: int = 50) -> DataFrame:

@@ -203,7 +203,7 @@ for _n, _label, _q in (("t1_function_search", "Function", "supplier#0000000"), (
 query("t5_ranked_search", RANK.format(q="r") + "SELECT id, type, name, least(1.0::DOUBLE, score) AS score FROM ranked ORDER BY p DESC, score DESC, name, id LIMIT 50")(lambda g: search.search(g, "R"))
 query("t8_answer", RANK.format(q="blue") + ", top AS (SELECT * FROM ranked ORDER BY p DESC, score DESC, name, id LIMIT 50) SELECT count(*) AS hits, (SELECT string_agg(name, ', ' ORDER BY score DESC, name, id) FROM (SELECT * FROM top ORDER BY score DESC, name, id LIMIT 3)) AS top FROM top")(lambda g: search.answer(g, "blue"))
 query("g1_overview", "SELECT count(*) AS total_commits, max(committed_at) AS last_commit, count(DISTINCT author_email) AS contributors FROM commits")(activity.overview)
-query("g2_recent", "SELECT substring(sha, 1, 12) AS sha, substring(author_name, 1, 120) AS author, committed_at FROM commits WHERE NOT is_merge ORDER BY committed_at DESC, commits.sha LIMIT 50")(activity.recent)
+query("g2_recent", "SELECT substring(sha, 1, 12) AS sha, author_name AS author, committed_at FROM commits WHERE NOT is_merge ORDER BY committed_at DESC, commits.sha LIMIT 50")(activity.recent)
 query("g3_recent_files", ", r AS (SELECT sha, committed_at FROM commits WHERE NOT is_merge ORDER BY committed_at DESC, sha LIMIT 50) SELECT r.sha, committed_at, coalesce(string_agg(path, ',' ORDER BY path), '') AS files FROM r LEFT JOIN commit_files f ON r.sha = f.sha GROUP BY 1, 2")(activity.recent_files)
 query("g4_contributors", "SELECT email, count(*) AS commit_count, max(committed_at) AS last_commit, max(author_name) AS name FROM commits WHERE NOT is_merge GROUP BY 1")(activity.contributors)
 query("g5_contributor_files", "SELECT * FROM contributor_files")(activity.contributor_files)

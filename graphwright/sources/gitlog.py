@@ -7,7 +7,9 @@ All commits that HEAD reaches are read, in partitions of the option `commits` ea
 from __future__ import annotations
 
 import os
+import shutil
 import subprocess
+import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -28,12 +30,17 @@ class GitLogReader(DataSourceReader):
         self.folder, self.size = options["path"], int(options.get("commits", 5000))
 
     def partitions(self) -> list[Commits]:
-        done = subprocess.run(["git", "-C", self.folder, "rev-list", "--count", "HEAD"], capture_output=True, check=True)
+        git = ["git", "-C", self.folder]
+        if subprocess.run([*git, "rev-parse", "--git-dir"], capture_output=True, check=True) and subprocess.run([*git, "rev-parse", "-q", "--verify", "HEAD"], capture_output=True).returncode:
+            return [Commits(0, 0)]  # a repository without commits
+        done = subprocess.run([*git, "rev-list", "--count", "HEAD"], capture_output=True, check=True)
         return [Commits(i, self.size) for i in range(0, int(done.stdout), self.size)]
 
     def read(self, partition: Commits) -> Iterator[tuple]:
+        if not partition.count:
+            return
         form = MARK + CUT.join(("%H", "%an", "%ae", "%cI", "%P", "%s"))
-        command = ["git", "-C", self.folder, "log", "--name-only", f"--skip={partition.skip}", f"--max-count={partition.count}", f"--format={form}", "HEAD"]
+        command = ["git", "-c", "core.quotePath=off", "-C", self.folder, "log", "--name-only", f"--skip={partition.skip}", f"--max-count={partition.count}", f"--format={form}", "HEAD"]
         with subprocess.Popen(command, stdout=subprocess.PIPE) as git:
             head, bare = None, False
             for raw in git.stdout:
@@ -71,16 +78,29 @@ def branch(folder: str) -> str | None:
 
 
 def clone(url: str, folder: str, seconds: int = 600) -> str:
-    """A clone of url in folder, on the driver; an existing one is used as it is. Returns the folder."""
-    if not os.path.isdir(os.path.join(folder, ".git")):
-        os.makedirs(os.path.dirname(folder) or ".", exist_ok=True)
-        subprocess.run(["git", "clone", "--quiet", "--", url, folder], check=True, capture_output=True, timeout=seconds)
+    """A clone of url in folder, on the driver; an existing one is brought to what its origin's branch has now. Returns the folder.
+
+    The clone is made under another name and takes its own when it is whole, so one that was broken off is never taken for a clone.
+    """
+    run = lambda *a: subprocess.run(["git", *a], check=True, capture_output=True, timeout=seconds)
+    if os.path.isdir(os.path.join(folder, ".git")):
+        run("-C", folder, "fetch", "--quiet", "origin")
+        if subprocess.run(["git", "-C", folder, "rev-parse", "-q", "--verify", "@{upstream}"], capture_output=True).returncode == 0:
+            run("-C", folder, "reset", "--quiet", "--hard", "@{upstream}")
+        return folder
+    os.makedirs(os.path.dirname(folder) or ".", exist_ok=True)
+    beside = tempfile.mkdtemp(prefix=".clone-", dir=os.path.dirname(folder) or ".")
+    try:
+        run("clone", "--quiet", "--", url, f"{beside}/new")
+        os.rename(f"{beside}/new", folder)
+    finally:
+        shutil.rmtree(beside, ignore_errors=True)
     return folder
 
 
 def commits(log: DataFrame) -> DataFrame:
     """One row for each commit; times are instants, whatever offset they were written with."""
-    return log.select("sha", "author_name", "author_email", F.to_timestamp("committed_at").alias("committed_at"), "is_merge", F.substring("subject", 1, 200).alias("message")).distinct()
+    return log.select("sha", "author_name", "author_email", F.to_timestamp("committed_at").alias("committed_at"), "is_merge", F.substring("subject", 1, 120).alias("message")).distinct()
 
 
 def commit_files(log: DataFrame) -> DataFrame:

@@ -222,3 +222,30 @@ def test_gitlog_reads_merged_branches(spark, tmp_path):
     assert found["overview"].head()["total_commits"] == 5
     assert {(r["email"], r["commit_count"]) for r in found["contributors"].collect()} == {("ann@x.org", 2), ("bob@x.org", 2)}
     assert {(r["email"], r["path"]) for r in found["ownership"].collect()} == {("ann@x.org", "a.py"), ("bob@x.org", "b.py"), ("bob@x.org", "c.py"), ("ann@x.org", "d.py")}
+
+
+def test_clones_are_updated_and_paths_are_plain(spark, tmp_path):
+    source, target = tmp_path / "source", tmp_path / "clones" / "one"
+    run = lambda *a: subprocess.run(["git", "-C", str(source), "-c", "user.name=Ann", "-c", "user.email=ann@x.org", *a], check=True, capture_output=True)
+    source.mkdir()
+    run("init", "-q", "-b", "main")
+    spark.dataSource.register(gitlog.GitLogSource)
+    assert spark.read.format("gitlog").load(str(source)).count() == 0  # no commit yet
+    for name in ("é.py", "b c.py"):
+        (source / name).write_text("x = 1")
+        run("add", ".")
+        run("commit", "-qm", "m" * 300)
+        assert gitlog.clone(str(source), str(target)) == str(target)
+    log = spark.read.format("gitlog").load(str(target))
+    assert {r["path"] for r in gitlog.commit_files(log).collect()} == {"é.py", "b c.py"}
+    assert {len(r["message"]) for r in gitlog.commits(log).collect()} == {120}
+    with pytest.raises(subprocess.CalledProcessError):
+        gitlog.clone(str(tmp_path / "nowhere"), str(tmp_path / "clones" / "two"))
+    assert sorted(p.name for p in (tmp_path / "clones").iterdir()) == ["one"]
+    from graphwright.api import Engine
+
+    engine = Engine(spark, str(tmp_path / "tables"))
+    assert engine.stored_activity("one")["status"].head()["status"] == "unavailable" and engine.stored_activity("one")["contributors"].count() == 0
+    engine.store_activity(str(target), "one")
+    assert engine.stored_activity("one")["status"].head()["status"] == "available" and engine.stored_activity("two")["status"].head()["status"] == "unavailable"
+    assert engine.stored_activity("one")["overview"].head()["total_commits"] == 2
