@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import materialize
-from .textbatch import pieces
+from .textbatch import BLOCK, Words, majority_bits, pieces
 
 SEED = 42
 TREE_SIZE = 4096
@@ -39,35 +39,28 @@ _QUERIES = 4096
 _SALTS = 32
 
 
-def _shingle_hashes(text: str | None, words: int) -> list[int]:
-    # bytes.lower() changes A-Z only, and bytes.split() splits at exactly U+0020 and U+0009..U+000D.
-    found = (text or "").encode().lower().split()
-    if not found:
-        return []
-    joined = b" ".join(found)
-    if len(found) <= words:
-        return [xxhash.xxh64_intdigest(joined, SEED)]
-    lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1
-    starts = np.cumsum(lengths) - lengths
-    ends = starts[words - 1 :] + lengths[words - 1 :] - 1
-    digest = xxhash.xxh64_intdigest
-    return [digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist())]
-
-
-def simhashes(texts: list[str | None], words: int) -> np.ndarray:
-    hashes, sizes = [], []
-    for text in texts:
-        own = _shingle_hashes(text, words)
-        hashes += own
-        sizes.append(len(own))
+def _shingle_hashes(found: Words, begin: int, end: int, words: int) -> np.ndarray:
+    """Hashes of the shingles of words begin to end - 1, the words of one text (at least one). Words are joined in blocks."""
+    digest, n = xxhash.xxh64_intdigest, max(end - begin - words + 1, 1)
+    out = np.empty(n, dtype=np.uint64)
+    for at in range(0, n, BLOCK):
+        count = min(BLOCK, n - at)
+        stop = min(begin + at + count + words - 1, end)
+        joined = found.joined(begin + at, stop)
+        upto = np.cumsum(found.ends[begin + at : stop] - found.starts[begin + at : stop] + 1)
+        starts, ends = np.append(0, upto)[:count], upto[-count:] - 1
+        out[at : at + count] = [digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist())]
+    return out
+
+
+def simhashes(texts: pa.Array, words: int) -> np.ndarray:
+    found = Words(texts, lower=True)
     out = np.zeros(len(texts), dtype=np.uint64)
-    counts = np.array(sizes)
-    full = np.flatnonzero(counts)
+    full = np.flatnonzero(found.counts)
     if len(full):
-        bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8)).reshape(-1, 64)
-        starts = (np.cumsum(counts) - counts)[full]
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * ones > counts[full, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
+        hashes = [_shingle_hashes(found, begin, end, words) for begin, end in zip(found.docs[full].tolist(), found.docs[full + 1].tolist())]
+        sizes = np.array([len(own) for own in hashes])
+        out[full] = majority_bits(np.concatenate(hashes), np.cumsum(sizes) - sizes)
     return out
 
 
@@ -76,7 +69,7 @@ def fingerprints(documents: DataFrame, words: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(simhashes(piece.column(1).to_pylist(), words).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(simhashes(piece.column(1), words).view(np.int64))], names=["doc_id", "fp"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 

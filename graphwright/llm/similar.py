@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .simhash_bk import BKForest, _unite
 from .storage import as_rows, materialize
-from .textbatch import Words, give_back, mix, pieces, range_hash
+from .textbatch import Words, blocks, give_back, majority_bits, mix, pieces, range_hash
 
 HASHES, BANDS, BAND_VALUES = 256, 16, 4
 RADIUS = 22
@@ -43,32 +43,26 @@ _BATCH, _QUERIES, _PAIRS, _FAR = 5_000, 256, 50_000, 500_000
 def _shingles(column: pa.Array, words: int) -> tuple[Words, np.ndarray, np.ndarray]:
     """The words, the hashes of all shingles text by text, and where each text's begin."""
     w = Words(column, lower=True)
-    hashes, n = w.hashes(), len(w.counts)
-    first = w.windows(words)
-    short = np.flatnonzero(w.counts < words)
-    # The word sequence of a text is hashed as a range of words only where it is shorter than a shingle.
-    starts = np.concatenate((first, w.docs[:-1][short]))
-    ends = np.concatenate((first + words, w.docs[1:][short]))
-    owner = np.concatenate((w.owners()[first], short))
-    order = np.argsort(owner, kind="stable")
-    return w, range_hash(hashes, starts[order], ends[order]), np.searchsorted(owner[order], np.arange(n))
+    # A text of fewer words than a shingle is one, of all its words.
+    count = np.maximum(w.counts - words + 1, 1)
+    edges = np.cumsum(count) - count
+    starts = np.arange(count.sum()) + np.repeat(w.docs[:-1] - edges, count)
+    return w, range_hash(w.hashes(), starts, starts + np.repeat(np.minimum(words, w.counts), count)), edges
 
 
 def signatures(column: pa.Array, words: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """For each text: digest of its word sequence, SimHash code, and HASHES MinHash values (u16)."""
     w, shingles, edges = _shingles(column, words)
     n = len(edges)
-    bits = np.unpackbits(shingles.astype(">u8").view(np.uint8)).reshape(-1, 64)
-    ones = np.add.reduceat(bits, edges, axis=0, dtype=np.int32)
-    counts = np.diff(np.append(edges, len(shingles)))
-    code = np.packbits(2 * ones > counts[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
-    values = np.empty((n, HASHES), dtype=np.uint16)
+    least = np.full((HASHES, n), np.iinfo(np.uint64).max, dtype=np.uint64)
     multipliers = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
-    for k in range(HASHES):
-        # The least of a permutation's values, reduced to 16 bits that a mixed multiply spreads evenly.
-        least = np.minimum.reduceat((shingles * multipliers[k]) ^ (shingles >> np.uint64(29)), edges)
-        values[:, k] = (mix(least) >> np.uint64(48)).astype(np.uint16)
-    return w.digests(), code, values
+    for block, runs, begin in blocks(len(shingles), edges):
+        own = shingles[block]
+        for k in range(HASHES):
+            np.minimum(least[k, runs], np.minimum.reduceat((own * multipliers[k]) ^ (own >> np.uint64(29)), begin), out=least[k, runs])
+    # The least of a permutation's values, reduced to 16 bits that a mixed multiply spreads evenly.
+    values = np.ascontiguousarray((mix(least) >> np.uint64(48)).astype(np.uint16).T)
+    return w.digests(), majority_bits(shingles, edges), values
 
 
 def _text() -> Column:

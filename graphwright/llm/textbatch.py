@@ -18,6 +18,8 @@ import pyarrow.compute
 import xxhash
 
 PIECE_BYTES = 1 << 20
+#: Words or hashes of a long text that are unpacked at a time.
+BLOCK = 1 << 16
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -62,6 +64,24 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def blocks(n: int, starts: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Cuts n values, in runs that begin at starts (the first at 0, none empty), into blocks: the block, its runs, and where these begin in it."""
+    for at in range(0, n, BLOCK):
+        end = min(at + BLOCK, n)
+        runs = slice(int(np.searchsorted(starts, at, side="right")) - 1, int(np.searchsorted(starts, end)))
+        yield slice(at, end), runs, np.maximum(starts[runs] - at, 0)
+
+
+def majority_bits(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each run of hashes the bits that over half of them have set."""
+    ones = np.zeros((len(starts), 64), dtype=np.int64)
+    for block, runs, edges in blocks(len(hashes), starts):
+        bits = np.unpackbits(hashes[block].astype(">u8").view(np.uint8)).reshape(-1, 64)
+        ones[runs] += np.add.reduceat(bits, edges, axis=0, dtype=np.int32)
+    counts = np.diff(np.append(starts, len(hashes)))
+    return np.packbits(2 * ones > counts[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
+
+
 def byte_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes data[s:e] for every pair: eight bytes at a time into a mixed state; XXH3 for long ranges."""
     padded = np.zeros(len(data) + 8, dtype=np.uint8)
@@ -119,10 +139,18 @@ class Words:
     def digests(self) -> list[bytes]:
         """128-bit digest of the word sequence of every text."""
         out = []
-        for s, e in zip(self.offsets.tolist(), self.offsets[1:].tolist()):
-            out.append(xxhash.xxh3_128_digest(b" ".join(self.bytes[s:e].tobytes().split())))
+        for begin, end in zip(self.docs.tolist(), self.docs[1:].tolist()):
+            state = xxhash.xxh3_128()
+            for at in range(begin, end, BLOCK):
+                state.update(b" " if at > begin else b"")
+                state.update(self.joined(at, min(at + BLOCK, end)))
+            out.append(state.digest())
         return out
 
+    def joined(self, first: int, end: int) -> bytes:
+        """Words first to end - 1, of one text, with a space between them."""
+        return b" ".join(self.bytes[self.starts[first] : self.ends[end - 1]].tobytes().split())
+
     def owners(self) -> np.ndarray:
         """For every word the index of its text."""
         return np.repeat(np.arange(len(self.counts)), self.counts)

@@ -1,10 +1,12 @@
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from graphwright.llm import similar
+from graphwright.llm import simhash_bk, similar, textbatch
 from graphwright.llm.textbatch import Words
 
 from . import brute
@@ -144,3 +146,34 @@ def test_texts_with_one_doc_id_are_kept_apart(spark):
     rows = [(1, one), (5, one + " more"), (5, two), (5, two.upper()), (7, two + " more")]
     kept = similar.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["text"].lower()) for r in kept) == [(1, one), (5, two)]
+
+
+def test_blocks_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [None, "", " ", "a b", "a b c d e"] + [" ".join(rng.choice(list("abcdefgh"), k)) + "\n x" for k in rng.integers(0, 400, 20)]
+    whole, codes = similar.signatures(pa.array(texts), 5), simhash_bk.simhashes(pa.array(texts), 3)
+    for size in (1, 3, 7):
+        for module in (textbatch, simhash_bk):
+            monkeypatch.setattr(module, "BLOCK", size)
+        part = similar.signatures(pa.array(texts), 5)
+        assert part[0] == whole[0] and np.array_equal(part[1], whole[1]) and np.array_equal(part[2], whole[2])
+        assert np.array_equal(simhash_bk.simhashes(pa.array(texts), 3), codes)
+
+
+_PEAK = """
+import resource, sys
+import pyarrow as pa
+from graphwright.llm import similar, simhash_bk
+line = b" ".join(b"w%d" % i for i in range(99_991)) + b" "
+text = pa.array([(line * (50 * 2**20 // len(line) + 1)).decode()])
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+simhash_bk.simhashes(text, 3)
+print(peak())
+similar.signatures(text, 5)
+print(peak())
+"""
+
+
+def test_memory_of_a_text_of_fifty_megabytes():
+    found = subprocess.run([sys.executable, "-c", _PEAK], capture_output=True, text=True, check=True)
+    assert all(float(x) < 1024 for x in found.stdout.split()), found.stdout
