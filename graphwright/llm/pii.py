@@ -6,8 +6,10 @@ PMI(e; t) / IC(e), where PMI = log2(N n(e, t) / (n(e) n(t))) and IC = log2(N / n
 with the entity only. In documents with the entity, terms from `disclosure` on are spans of kind "term": sanitize() replaces
 patterns by their kind ([EMAIL]) and terms by [TERM], or removes them.
 
-Only pairs that at least `support` different texts hold are judged, so unique words of a single text (or its exact
-copies) are not taken as giveaways. Terms are counted in texts from which the personal data are taken out, for the pair as for the
+A pair is evidence only where chance would not give it: of V different terms of the corpus, V (m / M)^k are expected to have
+k different texts with the entity and none without it, if m of M different texts have the entity. Pairs for which that exceeds `chance`
+are left out, so two texts may be enough for a rare entity in a large corpus, while unique words of one text (or of its exact copies, which are
+one observation) are not taken as giveaways. Terms are counted in texts from which the personal data are taken out, for the pair as for the
 term alone. Counts cover all documents. An entity in a third of all documents costs what its texts'
 words cost: pairs are aggregated before they are shuffled.
 
@@ -37,9 +39,8 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9]"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-SUPPORT = 3
+CHANCE = 0.05
 DISCLOSURE = 0.95
-BROADCAST_ROWS = 1_000_000
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -134,39 +135,51 @@ def find_base(documents: DataFrame) -> DataFrame:
     return materialize(found.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "pii-base")
 
 
-def disclosing_terms(documents: DataFrame, base: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def term_counts(documents: DataFrame) -> DataFrame:
+    """term, n_term: in how many rows. Every task counts its own rows' terms first, so what is shuffled are vocabularies, not texts."""
+    terms = _text(documents).select(F.explode(_terms(_without_base(F.col("text")))).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+
+
+def _needed(texts: Column, all_texts: int, terms: int, chance: float) -> Column:
+    """The least number of different texts with an entity in `texts` of them that chance gives to fewer than `chance` terms; null where none is enough."""
+    least = F.ceil(F.log(F.lit(max(terms, 1) / chance)) / F.log(F.lit(float(all_texts)) / texts))
+    return F.when(texts < all_texts, F.greatest(F.lit(1), least))
+
+
+def entity_counts(base: DataFrame, terms: int, chance: float = CHANCE) -> DataFrame:
+    """entity, n_entity (rows), texts (different ones) and needed (the texts that a pair needs) for every entity. Those of fewer texts than needed can't have a pair."""
+    named = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    holders = base.filter("text is not null").select("text_key", F.explode(named).alias("entity"))
+    counted = holders.groupBy("entity", "text_key").agg(F.count(F.lit(1)).alias("rows")).groupBy("entity").agg(F.sum("rows").alias("n_entity"), F.count(F.lit(1)).alias("texts"))
+    return counted.withColumn("needed", _needed(F.col("texts"), base.select("text_key").distinct().count(), terms, chance))
+
+
+def disclosing_terms(documents: DataFrame, base: DataFrame, chance: float = CHANCE, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term, degree) for the pairs that reach the threshold."""
+    counts = materialize(term_counts(documents), "pii-term-counts")
     entity = F.concat_ws(":", F.col("span.kind"), F.lower(F.col("span.value")))
     held = base.filter("text is not null").select("doc_id", "text_key", "text", F.explode("spans").alias("span")).select("doc_id", "text_key", entity.alias("entity"), "text")
     pairs = held.select("doc_id", "text_key", "entity").distinct()
     # Rows are counted, repeated ones each, for entities as for terms and for both: a table and its double give the same degrees.
-    named = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
-    holders = base.filter("text is not null").select("text_key", F.explode(named).alias("entity"))
-    entities = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.count_distinct("text_key").alias("texts")).filter(F.col("texts") >= support).drop("texts")
-    entities = materialize(entities, "pii-entities")
+    entities = materialize(entity_counts(base, counts.count(), chance).filter(F.col("texts") >= F.col("needed")).drop("texts"), "pii-entities")
     shared = pairs.join(entities.select("entity"), "entity").select("doc_id", "text_key", "entity").alias("pair")
     texts = base.filter("text is not null").groupBy("doc_id", "text_key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
     texts = texts.select("doc_id", "text_key", "times", _terms(_without_base(F.col("text"))).alias("terms")).alias("doc")
     joint = shared.join(texts, _same("pair", "doc")).select("pair.entity", "doc.text_key", "doc.times", F.explode("doc.terms").alias("term"))
     # Per text first: copies of a text are one row with a count, then texts are counted, not listed.
     joint = joint.groupBy("entity", "term", "text_key").agg(F.sum("times").alias("rows"))
-    joint = joint.groupBy("entity", "term").agg(F.sum("rows").alias("n_both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
-    joint = materialize(joint, "pii-pairs")
-    wanted = joint.select("term").distinct()
-    everywhere = _text(documents).select(F.explode(_terms(_without_base(F.col("text")))).alias("term"))
-    if wanted.count() <= BROADCAST_ROWS:
-        counts = everywhere.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    else:
-        counts = everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term")
+    joint = joint.groupBy("entity", "term").agg(F.sum("rows").alias("n_both"), F.count(F.lit(1)).alias("texts"))
+    joint = materialize(joint.join(entities, "entity").filter(F.col("texts") >= F.col("needed")).drop("texts", "needed"), "pii-pairs")
     total = F.lit(float(base.count()))
     degree = F.log2(total * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.nullif(F.log2(total / F.col("n_entity")), F.lit(0.0))
-    return joint.join(counts, "term").join(entities, "entity").select("entity", "term", degree.alias("degree")).filter(F.col("degree") >= disclosure)
+    return joint.join(counts, "term").select("entity", "term", degree.alias("degree")).filter(F.col("degree") >= disclosure)
 
 
-def find_spans(documents: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def find_spans(documents: DataFrame, chance: float = CHANCE, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, text_key, text (of rows with spans), base_spans and spans (base, then terms) for every row."""
     base = find_base(documents)
-    disclosed = materialize(disclosing_terms(documents, base, support, disclosure), "pii-terms")
+    disclosed = materialize(disclosing_terms(documents, base, chance, disclosure), "pii-terms")
     entity = F.concat_ws(":", F.col("span.kind"), F.lower(F.col("span.value")))
     owners = base.filter("text is not null").select("doc_id", "text_key", F.explode("spans").alias("span")).select("doc_id", "text_key", entity.alias("entity"))
     terms = owners.join(disclosed, "entity").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
@@ -189,9 +202,9 @@ def summarize(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(number, KINDS), F.sha2(spans_text(F.col("base_spans")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
-def sanitize(documents: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, remove_terms: bool = False) -> DataFrame:
+def sanitize(documents: DataFrame, chance: float = CHANCE, disclosure: float = DISCLOSURE, remove_terms: bool = False) -> DataFrame:
     """doc_id, text (sanitised) and spans for every row of documents."""
-    found = find_spans(documents, support, disclosure).select("doc_id", "text_key", "text", "spans").dropDuplicates(["doc_id", "text_key"])
+    found = find_spans(documents, chance, disclosure).select("doc_id", "text_key", "text", "spans").dropDuplicates(["doc_id", "text_key"])
     rows = _text(documents).withColumn("text_key", F.xxhash64("text"))
     order = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

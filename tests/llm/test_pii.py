@@ -1,3 +1,5 @@
+import math
+import random
 import re
 import time
 
@@ -99,3 +101,34 @@ def test_repeated_rows_change_no_degree(spark):
     once = degrees(df)
     assert {t for _, t, _ in once} == {"Zanzibar", "met", "on"}
     assert degrees(df.unionByName(df)) == once == degrees(df.unionByName(df).unionByName(df))
+
+
+def _evidence(rows, chance=pii.CHANCE, disclosure=pii.DISCLOSURE):
+    """Pairs and degrees by listing, for texts whose only personal data are addresses set off by spaces."""
+    texts = [(t, {f"email:{w}" for w in t.split() if "@" in w}, {w for w in t.split() if "@" not in w and len(w) > 1}) for _, t in rows]
+    vocabulary, different, out = set().union(*(w for *_, w in texts)), {t for t, *_ in texts}, {}
+    for entity in set().union(*(e for _, e, _ in texts)):
+        n_entity, m = sum(entity in e for _, e, _ in texts), len({t for t, e, _ in texts if entity in e})
+        for term in vocabulary:
+            both = [t for t, e, w in texts if entity in e and term in w]
+            if not both or m == len(different) or len(vocabulary) * (m / len(different)) ** len(set(both)) > chance:
+                continue
+            n_term = sum(term in w for *_, w in texts)
+            degree = math.log2(len(rows) * len(both) / (n_entity * n_term)) / math.log2(len(rows) / n_entity)
+            if degree >= disclosure:
+                out[entity, term] = round(degree, 9)
+    return out
+
+
+def test_evidence_matches_brute_force(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(("alpha", "beta", "gamma", "delta")) + str(r.randrange(4)) for _ in range(12))) for i in range(400)]
+    rows += [(400 + i, f"Zanzibar{i // 2} {'common' + str(i)} people met rare{i // 2}@b.com alpha1") for i in range(8)]  # entities of two texts each
+    rows += [(500 + i, "Quito people copied@b.com beta2") for i in range(30)]  # one text, thirty rows
+    rows += [(600 + i, f"Lima people hot@b.com gamma{i % 5} number{i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(x["entity"], x["term"]): round(x["degree"], 9) for x in pii.disclosing_terms(df, pii.find_base(df)).collect()}
+    assert found == _evidence(rows)
+    assert {("email:rare0@b.com", "Zanzibar0"), ("email:hot@b.com", "Lima")} <= set(found) and not any(e == "email:copied@b.com" for e, _ in found)
+    judged = {x["entity"]: x["texts"] >= (x["needed"] or math.inf) for x in pii.entity_counts(pii.find_base(df), pii.term_counts(df).count()).collect()}
+    assert judged["email:rare0@b.com"] and judged["email:hot@b.com"] and not judged["email:copied@b.com"]
