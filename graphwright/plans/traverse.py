@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
+import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .settle import settled
@@ -110,27 +110,77 @@ def far(arcs: DataFrame, starts: DataFrame | None = None) -> DataFrame:
 
 
 def longest_chains(edges: DataFrame, at_least: int, keep: int, most: int | None = None) -> DataFrame:
-    """depth, start, path of the `keep` longest trails of at least `at_least` edges (ties by path).
+    """depth, start, path of the `keep` longest trails of at least `at_least` edges (ties by path). With `most`, longer trails are an error.
 
-    Grows all trails one edge at a time until none is left; only the last levels are kept. Each level is one job, whose rows the
-    next one reuses. With `most`, longer trails are an error.
+    Levels grow backwards: level d holds, for each node, the first `keep` paths of d edges that begin there. A path's place among those
+    of its node is that of its remainder among those of the next node, so no more are needed, however many trails there are. Only
+    trails through cycles can use an edge twice: there, nodes are told apart by the edges of cycles that a trail has used (`cyclic`).
     """
     arcs = with_ids(edges)
-    level = arcs.select(F.col("a").alias("start"), F.col("b").alias("node"), F.array("eid").alias("used"), F.concat_ws(">", "a", "b").alias("path"))
+    levels = _levels(arcs.withColumn("cyclic", F.lit(False)), keep, CYCLES_BY)
+    if levels and len(levels) == CYCLES_BY:
+        alive = levels[-1].select(F.col("node").alias("a")).distinct()  # what begins a walk of so many steps; cycles are among it
+        core = settled(cyclic(arcs.join(alive, "a", "left_semi")).select("eid", F.lit(True).alias("cyclic")))
+        _release(levels)
+        marked = settled(arcs.join(core, "eid", "left").select("a", "b", "eid", F.coalesce("cyclic", F.lit(False)).alias("cyclic")))
+        levels = _levels(marked, keep, None if most is None else most + 1)
+    if most is not None and len(levels) > most:
+        _release(levels)
+        raise RuntimeError(f"chains have more than {most} edges")
+    wanted = [x.select(F.lit(d).cast("long").alias("depth"), F.col("node").alias("start"), "path") for d, x in enumerate(levels, 1) if d >= at_least and d > len(levels) - keep]
+    if not wanted:
+        _release(levels)
+        return edges.select(F.lit(0).cast("long").alias("depth"), F.col("src").alias("start"), F.col("dst").alias("path")).limit(0)
+    out = settled(functools.reduce(DataFrame.unionByName, wanted).orderBy(F.desc("depth"), "path").limit(keep))
+    _release(levels)
+    return out.orderBy(F.desc("depth"), "path")
+
+
+#: Walks of so many steps make longest_chains look for cycles; shorter ones end by themselves.
+CYCLES_BY = 16
+
+
+def _levels(arcs: DataFrame, keep: int, stop: int | None) -> list[DataFrame]:
+    """node, used (edges of cycles), path: one frame for each length from 1, until no trail is longer or `stop` is reached. arcs: a, b, eid, cyclic.
+
+    The last `keep` levels stay in memory or on disk; older ones are released. Every eighth is settled, so that a lost executor costs eight levels.
+    """
+    mark = F.when(F.col("cyclic"), F.array("eid")).otherwise(F.array().cast("array<string>"))
+    first = Window.partitionBy("node", "used").orderBy("path")
+    level = arcs.select(F.col("a").alias("node"), mark.alias("used"), F.concat_ws(">", "a", "b").alias("path"))
     levels: list[DataFrame] = []
-    for depth in itertools.count(1):
-        level = level.checkpoint() if depth % 8 == 0 and level.sparkSession.sparkContext.getCheckpointDir() else level.persist()
+    while stop is None or len(levels) < stop:
+        level = level.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= keep).drop("place").persist()
+        if (len(levels) + 1) % 8 == 0:
+            written = settled(level)
+            level.unpersist()
+            level = written
         if level.isEmpty():
+            level.unpersist()
             break
-        if most is not None and depth > most:
-            raise RuntimeError(f"chains have more than {most} edges")
-        levels.append(level.select(F.lit(depth).cast("long").alias("depth"), "start", "path"))
-        level = level.join(arcs, F.col("node") == F.col("a")).filter(~F.array_contains("used", F.col("eid")))
-        level = level.select("start", F.col("b").alias("node"), F.concat("used", F.array("eid")).alias("used"), F.concat_ws(">", "path", "b").alias("path"))
-    wanted = levels[at_least - 1 :]
-    if not wanted:
-        return edges.select(F.lit(0).cast("long").alias("depth"), F.col("src").alias("start"), F.col("dst").alias("path")).limit(0)
-    out = wanted[-1]
-    for x in wanted[-keep:-1]:
-        out = out.unionByName(x)
-    return out.orderBy(F.desc("depth"), "path").limit(keep)
+        levels.append(level)
+        if len(levels) > keep + 8:
+            levels[-keep - 9].unpersist()
+        before = arcs.join(level.withColumnRenamed("node", "b"), "b").filter(~F.col("cyclic") | ~F.array_contains("used", F.col("eid")))
+        used = F.when(F.col("cyclic"), F.array_sort(F.concat("used", F.array("eid")))).otherwise(F.col("used"))
+        level = before.select(F.col("a").alias("node"), used.alias("used"), F.concat_ws(">", "a", "path").alias("path"))
+    return levels
+
+
+def _release(levels: list[DataFrame]) -> None:
+    for x in levels:
+        x.unpersist()
+
+
+def cyclic(arcs: DataFrame) -> DataFrame:
+    """The arcs left once ends of no arc, or of none but arcs away from them, are taken off again and again: all arcs of cycles, and those on the way from one cycle to another."""
+    left, n = arcs, arcs.count()
+    while n:
+        ends = left.select("a").distinct()
+        begins = left.select(F.col("b").alias("a")).distinct()
+        both = ends.join(begins, "a", "left_semi")
+        left = settled(left.join(both, "a", "left_semi").join(both.withColumnRenamed("a", "b"), "b", "left_semi").select(arcs.columns))
+        was, n = n, left.count()
+        if n == was:
+            break
+    return left

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from graphwright.model import CALLS, INHERITS, Graph, as_nodes
 from graphwright.operators import impact, structure
-from graphwright.plans.traverse import far, longest_chains, near2, reach, trails, undirected, walk2, with_ids
+from graphwright.plans.traverse import cyclic, far, longest_chains, near2, reach, trails, undirected, walk2, with_ids
 from graphwright.sources.tables import project
 
 
@@ -51,6 +51,41 @@ def test_chains_end_on_cycles(spark):
     assert max(r["depth"] for r in longest_chains(edges, 1, 3).collect()) == 3
 
 
+@pytest.mark.parametrize(("seed", "rising"), [(0, True), (1, True), (2, False), (3, False), (4, False)])
+def test_longest_chains_are_the_first_of_all_trails(spark, seed, rising):
+    """Several parents, parallel edges of two types, and (not rising) cycles and loops."""
+    r = random.Random(seed)
+    nodes = "abcdefghijk"[: 11 if rising else 6]
+    pairs = [(r.choice(nodes), r.choice(nodes)) for _ in range(22 if rising else 9)]
+    edges = sorted({(*(sorted(p) if rising else p), r.choice((INHERITS, CALLS))) for p in pairs if not rising or p[0] != p[1]})
+    arcs = with_ids(spark.createDataFrame(edges, "src string, dst string, rel_type string"))
+
+    def grow(path, used):
+        yield path, len(used)
+        for a, b, kind in edges:
+            if a == path[-1] and (a, b, kind) not in used:
+                yield from grow([*path, b], used | {(a, b, kind)})
+
+    every = sorted((-n, ">".join(p)) for x in nodes for p, n in grow([x], frozenset()) if n >= 2)
+    for keep in (1, 3, 7):
+        got = longest_chains(spark.createDataFrame(edges, "src string, dst string, rel_type string"), 2, keep).collect()
+        assert [(-x["depth"], x["path"]) for x in got] == every[:keep]
+        assert all(x["path"].split(">")[0] == x["start"] for x in got)
+    if rising:
+        assert not cyclic(arcs).count()
+
+
+def test_longest_chains_with_three_parents_each_end(spark):
+    """Ten thousand classes, three parents each, 40 levels and 3^40 trails: beyond CYCLES_BY, without cycles."""
+    n, wide = 10_000, 250
+    at = F.col("id")
+    parents = F.array(*(F.concat(F.lit("c"), F.lpad((F.floor(at / wide) * wide + wide + (at * 7 + k * 83) % wide).cast("string"), 6, "0")) for k in range(3)))
+    edges = spark.range(n - wide).select(F.concat(F.lit("c"), F.lpad(at.cast("string"), 6, "0")).alias("src"), F.explode(parents).alias("dst"), F.lit(INHERITS).alias("rel_type"))
+    got = longest_chains(edges, 3, 3).collect()
+    assert [x["depth"] for x in got] == [39] * 3 and [x["start"] for x in got] == ["c000000"] * 3
+    assert sorted(x["path"] for x in got) == [x["path"] for x in got] and len({x["path"] for x in got}) == 3
+
+
 @pytest.mark.parametrize(("degree", "severity"), [(8, None), (9, "medium"), (12, "medium"), (13, "high"), (20, "high"), (21, "critical")])
 def test_fan_in_severity(spark, degree, severity):
     g = make(spark, [(f"n{i}", "t", CALLS) for i in range(degree)])
