@@ -140,7 +140,8 @@ class Engine:
             "classes": structure.class_hotspots(g), "chains": structure.inheritance_chains(g), "cycles": structure.closed_trails(g), "coupled": structure.coupled_files(g),
             "risk": structure.architecture_risk(g), "health": structure.health(g), "complexity": structure.complexity(g), "domain": rules.best_domain(scores),
             "libraries": rules.library_evidence(g, known), "layers": rules.layers(g), "onboarding": structure.onboarding(g), "minutes": rules.onboarding_minutes(g),
-            "responsibilities": rules.responsibilities(g),
+            "responsibilities": rules.responsibilities(g), "entry_points": rules.graph_entry_points(g), "pattern": rules.best_pattern(rules.architecture_pattern(rules.tokens(g))),
+            "critical_files": impact.critical_files(g), "start_here": rules.reading_guide(g), "summary": structure.summary(g),
         }
 
     def _log(self, clone: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import clamp
 from ..model import Graph
+from ..plans.containment import contained
 from .structure import major_modules
 
 #: Domain, feature, how it is matched, keys, weight. Denominator of a domain is the sum of its weights.
@@ -127,7 +128,8 @@ def graph_features(g: Graph) -> DataFrame:
     imports = g.nodes("Import").select(F.lit("import").alias("kind"), F.col("module").alias("text")).distinct()
     paths = g.nodes("File").select(F.lit("path").alias("kind"), F.col("rel_path").alias("text"))
     functions = g.nodes("Function").select(F.lit("function").alias("kind"), F.col("name").alias("text"))
-    return imports.unionByName(paths).unionByName(functions).filter("text is not null")
+    decorators = g.nodes("Function").select(F.lit("decorator").alias("kind"), F.explode("decorators").alias("text")).distinct()
+    return imports.unionByName(paths).unionByName(functions).unionByName(decorators).filter("text is not null")
 
 
 def libraries(spark: SparkSession) -> DataFrame:
@@ -155,6 +157,13 @@ def library_evidence(g: Graph, known: DataFrame, separator: str = "[._ ]") -> Da
     return ranked.groupBy("key").agg(F.count(F.lit(1)).alias("files"), first.alias("evidence"))
 
 
+def tokens(g: Graph) -> DataFrame:
+    """token: modules, imported and own, and names of files and functions, that patterns are looked for in."""
+    own = [g.nodes(label).select(F.col("name").alias("token")) for label in ("File", "Function")]
+    found = g.nodes("Import").select(F.col("module").alias("token")).distinct().unionByName(major_modules(g).select(F.col("module_name").alias("token")))
+    return found.unionByName(own[0]).unionByName(own[1])
+
+
 def architecture_pattern(tokens: DataFrame, patterns: list[tuple[str, list[str]]] = PATTERNS) -> DataFrame:
     """pattern and score: how many of its signals occur in some token (column token)."""
     signals = sorted({s for _, keys in patterns for s in keys})
@@ -184,6 +193,36 @@ def entry_points(files: DataFrame, functions: DataFrame, names: list[tuple[str,
     return mains.unionByName(handlers.select(F.lit(2).alias("part"), F.lit("route").alias("type"), "name", "path")).orderBy("part", "path").limit(10).drop("part")
 
 
+def graph_entry_points(g: Graph, names: list[tuple[str, str]] = ENTRY_FILES, routes: list[str] = ROUTES) -> DataFrame:
+    """entry_points of a graph's own files and functions."""
+    owner = g.nodes("File").select(F.col("id").alias("file_id"), F.col("rel_path").alias("file_path"))
+    return entry_points(g.nodes("File").filter("rel_path is not null"), g.nodes("Function").select("file_id", "name", "decorators").join(owner, "file_id"), names, routes)
+
+
+def reading_guide(g: Graph, names: list[tuple[str, str]] = ENTRY_FILES, routes: list[str] = ROUTES, models: tuple[str, ...] = ("schema", "model")) -> DataFrame:
+    """step, source, path: where to begin, at most five files, each once.
+
+    First two entry files that are a main program, a command line or a worker; then of the three files that most depend on those not named yet (nor a file
+    of the same name), to four in all; then the first file, by path, whose name holds a word of models. Steps are numbered without gaps.
+    """
+    from .structure import file_hotspots
+
+    base = F.element_at(F.split("path", "/"), -1)
+    by = lambda *order: F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).alias("place")  # noqa: E731  over few rows, each limited before
+    entries = graph_entry_points(g, names, routes).filter(F.col("type").isin("main", "cli", "worker")).orderBy("path").limit(2).select("path")
+    named = entries.agg(F.collect_list("path").alias("named"))
+    top = file_hotspots(g).orderBy(F.desc("dependency_count"), "id").limit(3).select(F.col("name").alias("path"), F.struct(-F.col("dependency_count"), "id").alias("rank"))
+    top = top.crossJoin(named).filter(~F.array_contains("named", F.col("path")) & ~F.array_contains("named", base))  # one row
+    top = top.groupBy(base.alias("base")).agg(F.min_by("path", "rank").alias("path"), F.min("rank").alias("rank"), F.first("named").alias("named"))
+    top = top.select("path", by("rank"), F.size("named").alias("n")).filter(F.col("place") + F.col("n") <= 4)
+    before = entries.select(F.lit(1).alias("part"), by("path"), F.lit("entry").alias("source"), "path").unionByName(top.select(F.lit(2).alias("part"), "place", F.lit("central").alias("source"), "path"))
+    seen = before.agg(F.flatten(F.collect_list(F.when(F.col("part") == 1, F.array("path")).otherwise(F.array(F.col("path"), base)))).alias("seen"))
+    kept = g.nodes("File").select(F.col("rel_path").alias("path")).filter(_matches(F.lower(base), "contains", list(models)))
+    first = kept.crossJoin(seen).filter(~F.array_contains("seen", F.col("path"))).orderBy("path").limit(1)  # one row joined
+    every = before.unionByName(first.select(F.lit(3).alias("part"), F.lit(1).alias("place"), F.lit("model").alias("source"), "path"))
+    return every.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("part", "place")).alias("step"), "source", "path")
+
+
 def layers(g: Graph, rules: list[tuple[str, list[str]]] = LAYERS, files: int = 3, components: int = 4, keep: int = 6) -> DataFrame:
     """layer and components: module names, then at most three file names, that hold one of a layer's keywords."""
     modules = major_modules(g).select(F.lit(0).alias("part"), F.col("module_name").alias("item"), F.lower("module_name").alias("text"))
@@ -232,12 +271,21 @@ def onboarding_minutes(g: Graph) -> DataFrame:
 
 
 def relative_paths(paths: DataFrame, known: DataFrame) -> DataFrame:
-    """path, relative: the known relative path; else, for temporary folders, what follows them; else the path with forward slashes.
+    """path, relative: the relative path known for it, as it is or with forward slashes; else, if it holds a known path, the same with that replaced and
+    without slashes before it; else, for temporary folders, what follows them; else the path with forward slashes. No path gives the empty text.
 
-    paths: path; known: path, rel_path.
+    paths: path; known: path, rel_path. Of several known paths that one holds the longest counts (ties: the last as text), of several relative paths the least.
     """
-    plain = F.regexp_replace("path", r"\\", "/")
+    slashes = lambda c: F.regexp_replace(c, r"\\", "/")
+    known = known.filter("path <> ''").groupBy("path").agg(F.coalesce(F.min("rel_path"), F.lit("")).alias("rel_path"))
+    asked = paths.select("path").filter("path <> ''").distinct().withColumn("plain", slashes("path"))
+    exact = lambda on: known.select(F.col("path").alias(on), F.col("rel_path").alias(f"of_{on}"))
+    asked = asked.join(exact("path"), "path", "left").join(exact("plain"), "plain", "left").withColumn("known", F.coalesce("of_path", "of_plain"))
+    whole = known.groupBy(slashes("path").alias("part")).agg(F.min("rel_path").alias("rel_path"))
+    inner = contained(asked.filter("known is null").select(F.col("plain").alias("text")), whole).groupBy("text").agg(F.max(F.struct(F.length("part").alias("n"), "part"))["part"].alias("part"))
+    inner = inner.join(whole, "part").select(F.col("text").alias("plain"), F.ltrim(F.replace("text", F.col("part"), F.col("rel_path")), F.lit("/")).alias("inner"))
+    plain = F.col("plain")
     temporary = F.regexp_like(plain, F.lit("/var/folders/|/tmp/|/private/var/"))
-    inside = F.when(plain.contains("/T/"), F.regexp_replace(plain, r"^.*?/T/[^/]*/", "")).otherwise(F.element_at(F.split(plain, "/"), -1))
-    joined = paths.join(known.select(F.col("path").alias("known_path"), "rel_path"), F.col("path") == F.col("known_path"), "left")
-    return joined.select("path", F.coalesce("rel_path", F.when(temporary, inside).otherwise(plain)).alias("relative"))
+    inside = F.when(plain.contains("/T/"), F.regexp_replace(plain, r"(?s)^.*?/T/(?:[^/]*/)?", "")).otherwise(F.element_at(F.split(plain, "/"), -1))
+    found = asked.join(inner, "plain", "left").select(F.col("path").alias("asked"), F.coalesce("known", "inner", F.when(temporary, inside).otherwise(plain)).alias("relative"))
+    return paths.select("path").join(found, F.col("path") == F.col("asked"), "left").select("path", F.coalesce("relative", F.lit("")).alias("relative"))

@@ -171,16 +171,11 @@ def _libraries(g: Graph) -> DataFrame:
 TOKENS_SQL = ", tokens AS (SELECT DISTINCT module AS token FROM imports UNION ALL SELECT module_name FROM modules UNION ALL SELECT name FROM files UNION ALL SELECT name FROM functions)"
 
 
-def _tokens(g: Graph) -> DataFrame:
-    parts = [g.nodes("Import").select(F.col("module").alias("token")).distinct(), structure.major_modules(g).select(F.col("module_name").alias("token")), g.nodes("File").select(F.col("name").alias("token")), g.nodes("Function").select(F.col("name").alias("token"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-
-
 def _pattern_sql(patterns: list[tuple[str, list[str]]]) -> str:
     return TOKENS_SQL + " UNION ALL ".join(f"SELECT {i} AS place, '{p}' AS pattern, (" + " + ".join(f"(EXISTS (SELECT * FROM tokens WHERE contains(lower(token), '{k}')))::BIGINT" for k in keys) + ") AS score" for i, (p, keys) in enumerate(patterns)).replace("SELECT 0 AS", " SELECT 0 AS", 1)
 
 
-query("r8_architecture_patterns", _pattern_sql(rules.PATTERNS))(lambda g: rules.architecture_pattern(_tokens(g)))
+query("r8_architecture_patterns", _pattern_sql(rules.PATTERNS))(lambda g: rules.architecture_pattern(rules.tokens(g)))
 TABLE_LAYERS = [("Oceans", ["africa", "america"]), ("Lands", ["asia", "nation_1"]), ("Even", ["_2", "_4", "europe"]), ("None", ["nowhere"])]
 LAYER_SQL = ", shown_ AS (SELECT 0 AS part, module_name AS item, lower(module_name) AS text FROM modules UNION ALL SELECT 1, name, lower(rel_path) FROM files), found AS (" + " UNION ALL ".join(f"SELECT DISTINCT {i} AS place, '{n}' AS layer, part, item FROM shown_ WHERE {_like('text', 'contains', keys)}" for i, (n, keys) in enumerate(TABLE_LAYERS)) + """),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY place, part ORDER BY item) AS r FROM found), few AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY part, item) AS k FROM ranked WHERE part = 0 OR r <= 3)
@@ -231,3 +226,52 @@ query("s10_statement", "SELECT label, count(*) AS n FROM nodes WHERE id IN (SELE
     lambda g: g.sql("SELECT label, count(*) AS n FROM {nodes} WHERE id IN (SELECT dst FROM {edges} WHERE rel_type = :relation) GROUP BY label", {"relation": model.CALLS}))
 query("r14_understanding", ONBOARD + "SELECT least(greatest(45 + 10 * count(*), 50), 90)::BIGINT AS percent FROM hot_files")(
     lambda g: rules.start_here(g).agg(scores.understanding(F.count(F.lit(1))).cast("long").alias("percent")))
+
+
+#: Names of files and functions of the tables, in place of those that programs have.
+TABLE_ENTRIES, TABLE_ROUTES, TABLE_MODELS = [("nation_3", "main"), ("nation_7", "cli"), ("nation_12", "scheduler"), ("nation_14", "worker")], ["0000007", "0000003"], ("nation_2",)
+
+
+def _decorated(g: Graph) -> Graph:
+    """The graph with each function's name as its decorator, as the tables have none."""
+    return Graph(g.node_parts | {"Function": lambda: g.nodes("Function").withColumn("decorators", F.array("name"))}, g.edge_parts, tables=g.tables)
+
+
+TABLE_DECORATORS = [("served", "decorator", "contains", ["0000007", "0000003"], 30), ("served", "decorator", "equals", ["nothing"], 15), ("served", "path", "contains", ["asia/"], 20), ("other", "decorator", "ends", ["0000011"], 10)]
+query("r5_decorator_scores", _domain_sql(TABLE_DECORATORS).replace("SELECT 'function', name FROM functions", "SELECT 'function', name FROM functions UNION SELECT 'decorator', name FROM functions") + "SELECT * FROM scores")(
+    lambda g: rules.domain_scores(rules.graph_features(_decorated(g)), TABLE_DECORATORS))
+ENTRY_SQL = ", mains AS (SELECT CASE lower(name) " + " ".join(f"WHEN '{n}' THEN '{t}'" for n, t in TABLE_ENTRIES) + " END AS type, lower(name) AS name, rel_path AS path FROM files), " + f"""
+    handlers AS (SELECT f.name AS path, min(x.name) AS name FROM functions x JOIN files f ON x.file_id = f.id WHERE {_like("x.name", "contains", TABLE_ROUTES)} GROUP BY 1 ORDER BY 1 LIMIT 3),
+    found AS (SELECT 1 AS part, * FROM (SELECT * FROM mains WHERE type IS NOT NULL ORDER BY path LIMIT 10) UNION ALL SELECT 2, 'route', name, path FROM handlers), entries AS (SELECT * FROM found ORDER BY part, path LIMIT 10)"""
+query("r7_entry_points", ENTRY_SQL + "SELECT type, name, path FROM entries")(lambda g: rules.graph_entry_points(_decorated(g), TABLE_ENTRIES, TABLE_ROUTES))
+GUIDE = ONBOARD + ENTRY_SQL + f""", e AS (SELECT 1 AS part, row_number() OVER (ORDER BY path) AS place, 'entry' AS source, path FROM entries WHERE type IN ('main', 'cli', 'worker') ORDER BY path LIMIT 2),
+    h AS (SELECT 2 AS part, row_number() OVER (ORDER BY d DESC, id) AS place, 'central' AS source, name AS path FROM (SELECT h.name, h.d, f.id FROM hot_files h JOIN files f ON f.rel_path = h.name WHERE h.name NOT IN (SELECT path FROM e))),
+    b AS (SELECT * FROM e UNION ALL SELECT * FROM h WHERE place + (SELECT count(*) FROM e) <= 4),
+    m AS (SELECT 3 AS part, 1 AS place, 'model' AS source, rel_path AS path FROM files WHERE contains(lower(name), '{TABLE_MODELS[0]}') AND rel_path NOT IN (SELECT path FROM b) ORDER BY rel_path LIMIT 1),
+    guide AS (SELECT * FROM b UNION ALL SELECT * FROM m) """
+query("r16_reading_guide", GUIDE + "SELECT row_number() OVER (ORDER BY part, place)::INT AS step, source, path FROM guide")(lambda g: rules.reading_guide(_decorated(g), TABLE_ENTRIES, TABLE_ROUTES, TABLE_MODELS))
+query("r14_guide_understanding", GUIDE + "SELECT least(greatest(45 + 10 * count(*), 50), 90)::BIGINT AS percent FROM guide")(
+    lambda g: rules.reading_guide(_decorated(g), TABLE_ENTRIES, TABLE_ROUTES, TABLE_MODELS).agg(scores.understanding(F.count(F.lit(1))).cast("long").alias("percent")))
+
+
+@query("r19_relative_paths", r""", asked AS (SELECT p_brand, p_partkey, p_size, CASE p_type WHEN 'ECONOMY' THEN '/srv/clone/' || p_brand || '/x/' WHEN 'PROMO' THEN '/tmp/q/T/clone/' ELSE 'D:\work\' END || p_name || ' ' || p_partkey AS path FROM part),
+    plain AS (SELECT path, p_partkey, p_size, replace(path, '\', '/') AS p FROM asked), roots AS (SELECT DISTINCT '/srv/clone/' || p_brand AS r, 'of/' || lower(p_brand) AS rel FROM part WHERE p_size > 10),
+    held AS (SELECT path, arg_max(r, (length(r), r)) AS r FROM plain JOIN roots ON contains(p, r) GROUP BY 1)
+    SELECT path, CASE WHEN p_size > 40 THEN 'part/' || p_partkey WHEN r IS NOT NULL THEN ltrim(replace(p, r, rel), '/') WHEN contains(p, '/T/') THEN split_part(p, '/', 6) ELSE p END AS relative
+    FROM plain LEFT JOIN held USING (path) LEFT JOIN roots USING (r)""")
+def _relative_paths(g: Graph) -> DataFrame:
+    part = g.tables("part")
+    folder = F.when(F.col("p_type") == "ECONOMY", F.concat(F.lit("/srv/clone/"), "p_brand", F.lit("/x/"))).when(F.col("p_type") == "PROMO", "/tmp/q/T/clone/").otherwise("D:\\work\\")
+    paths = part.select("p_partkey", "p_size", F.concat(folder, "p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("path"))
+    exact = paths.filter("p_size > 40").select("path", F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("rel_path"))
+    roots = part.filter("p_size > 10").select(F.concat(F.lit("/srv/clone/"), "p_brand").alias("path"), F.concat(F.lit("of/"), F.lower("p_brand")).alias("rel_path")).distinct()
+    return rules.relative_paths(paths, roots.unionByName(exact))
+
+
+@query("c5_compatible_calls", """, called AS (SELECT DISTINCT p_brand AS path, 'Supplier#' || lpad((p_size)::VARCHAR, 9, '0') AS name FROM part), owned AS (SELECT id, name, 'Brand#' || (substring(id, 6)::BIGINT % 40) AS path FROM functions)
+    SELECT DISTINCT s.id AS src, d.id AS dst FROM called c JOIN owned d ON d.name = c.name JOIN owned s ON contains(s.path || ':' || s.name, c.path) WHERE s.id <> d.id""")
+def _compatible_calls(g: Graph) -> DataFrame:
+    """Files are brands: Brand#1 calls for functions of Brand#1 and Brand#10 to Brand#19."""
+    called = g.tables("part").select(F.col("p_brand").alias("path"), F.concat(F.lit("Supplier#"), F.lpad(F.col("p_size").cast("string"), 9, "0")).alias("name"))
+    owned = g.nodes("Function").select("id", "name", F.concat(F.lit("Brand#"), (F.substring("id", 6, 20).cast("long") % 40).cast("string")).alias("path"))
+    return build.resolve_calls_compat(called, owned)

@@ -1,9 +1,11 @@
+import random
 import subprocess
 
 import pytest
 
 from graphwright.model import CALLS, INHERITS
 from graphwright.operators import activity, build, rules
+from graphwright.plans.containment import contained
 from graphwright.sinks import tables
 from graphwright.sources import gitlog, repository, symbols
 
@@ -249,3 +251,52 @@ def test_clones_are_updated_and_paths_are_plain(spark, tmp_path):
     engine.store_activity(str(target), "one")
     assert engine.stored_activity("one")["status"].head()["status"] == "available" and engine.stored_activity("two")["status"].head()["status"] == "unavailable"
     assert engine.stored_activity("one")["overview"].head()["total_commits"] == 2
+
+
+def test_paths_that_hold_a_known_path(spark):
+    """Anywhere, also within a name; the longest known path counts; null and empty paths; no comparison of all pairs."""
+    texts = ["/srv/repo/src/a.ts", "/srv/repo/src/a.tsx", "x\\srv\\repo\\b", "/tmp/T/b.py", "/tmp/q/T/c/d\ne/b.py", "plain.py", "", None, "/srv/repo/src/a.ts", "/tmp/" + "d/" * 3000 + "srv/repo/end.py"]
+    known = spark.createDataFrame([("/srv/repo", "r"), ("/srv/repo/src/a.ts", "lib/a.ts"), ("srv/repo/", ""), ("", "nothing"), (None, "none"), ("/srv/repo", "s")], "path string, rel_path string")
+    paths = spark.createDataFrame([(x, 1) for x in texts], "path string, rel_path int")
+    out = rules.relative_paths(paths, known)
+    got = [(x["path"], x["relative"]) for x in out.collect()]
+    assert sorted(got, key=str) == sorted([
+        ("/srv/repo/src/a.ts", "lib/a.ts"), ("/srv/repo/src/a.ts", "lib/a.ts"), ("/srv/repo/src/a.tsx", "lib/a.tsx"), ("x\\srv\\repo\\b", "x/b"), ("/tmp/T/b.py", "b.py"), ("/tmp/q/T/c/d\ne/b.py", "d\ne/b.py"),
+        ("plain.py", "plain.py"), ("", ""), (None, ""), (texts[-1], "tmp/" + "d/" * 3000 + "end.py")], key=str)
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rules.relative_paths(paths.limit(0), known).count() == 0 and rules.relative_paths(paths, known.limit(0)).count() == len(texts)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_contained_is_brute_force(spark, seed):
+    r = random.Random(seed)
+    word = lambda n: "".join(r.choice("ab/") for _ in range(n))
+    texts = [word(r.choice((0, 3, 20, 150))) for _ in range(30)]
+    parts = [word(r.choice((1, 2, 3, 5))) for _ in range(8)] + [t[i : i + 70] for t in texts[:9] for i in (0, 40)] + ["", None]
+    got = contained(spark.createDataFrame([(x,) for x in [*texts, None]], "text string"), spark.createDataFrame([(x,) for x in parts], "part string")).collect()
+    assert len(got) == len(set(map(tuple, got))) and {tuple(x) for x in got} == {(t, p) for t in texts for p in parts if p and p in t}
+
+
+def test_compatible_calls_hold_the_file_path(spark):
+    files = spark.createDataFrame([("x.ts",), ("x.tsx",), ("y.ts",)], "rel_path string")
+    columns = "kind string, rel_path string, name string, line int, params array<string>, decorators array<string>, bases array<string>, methods array<string>, module string, names array<string>, import_type string"
+    rows = [("function", "x.ts", "f", 1), ("function", "x.tsx", "g", 1), ("function", "y.ts", "h", 1), ("call", "x.ts", "h", 2)]
+    symbols = spark.createDataFrame([(*x, [], [], [], [], None, [], None) for x in rows], columns)
+    calls = lambda **how: {tuple(x) for x in build.build(files, symbols, "an", "repo", **how).edges("FUNCTION_CALLS_FUNCTION").select("src", "dst").collect()}
+    assert calls() == {("func:an:x.ts:f", "func:an:y.ts:h")}
+    assert calls(compat=True) == calls() | {("func:an:x.tsx:g", "func:an:y.ts:h")}
+
+
+def test_reading_guide_names_each_file_once(spark):
+    from graphwright.model import CALLS, Graph, as_nodes
+
+    paths = ["main.py", "a/cli.py", "b/worker.py", "c/core.py", "d/core.py", "models.py", "z/schema.py"]
+    files = spark.createDataFrame([(f"file:{p}", p.split("/")[-1], p) for p in paths], "id string, name string, rel_path string")
+    routes = spark.createDataFrame([("func:r", "r", "file:d/core.py", ["@app.get('/')"]), ("func:s", "s", "file:d/core.py", None)], "id string, name string, file_id string, decorators array<string>")
+    edges = [(f"n{i}", f"file:{p}", CALLS) for p, n in (("c/core.py", 5), ("d/core.py", 4), ("models.py", 3)) for i in range(n)]
+    g = Graph.of(as_nodes(files, "File").unionByName(as_nodes(routes, "Function")), spark.createDataFrame(edges, "src string, dst string, rel_type string"))
+    assert [tuple(x) for x in rules.graph_entry_points(g).collect()] == [("cli", "cli.py", "a/cli.py"), ("worker", "worker.py", "b/worker.py"), ("main", "main.py", "main.py"), ("route", "r", "core.py")]
+    assert [tuple(x) for x in rules.reading_guide(g).orderBy("step").collect()] == [(1, "entry", "a/cli.py"), (2, "entry", "b/worker.py"), (3, "central", "c/core.py"), (4, "central", "models.py"), (5, "model", "z/schema.py")]
+    assert rules.domain_scores(rules.graph_features(g)).filter("domain = 'backend_api'").head()["score"] == 25
+    none = Graph.of(as_nodes(files.limit(0), "File"), g.edges().limit(0))
+    assert rules.reading_guide(none).count() == 0
