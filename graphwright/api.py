@@ -142,6 +142,7 @@ class Engine:
             "libraries": rules.library_evidence(g, known), "layers": rules.layers(g), "onboarding": structure.onboarding(g), "minutes": rules.onboarding_minutes(g),
             "responsibilities": rules.responsibilities(g), "entry_points": rules.graph_entry_points(g), "pattern": rules.best_pattern(rules.architecture_pattern(rules.tokens(g))),
             "critical_files": impact.critical_files(g), "start_here": rules.reading_guide(g), "summary": structure.summary(g),
+            "observations": rules.observations(rules.signals(g, known)),
         }
 
     def _log(self, clone: str) -> DataFrame:

@@ -5,6 +5,8 @@ Rules are small tables of fixed values; they are matched by Spark expressions or
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,7 +105,7 @@ RESPONSIBILITIES = [("name", keys, f"belongs to {layer}") for layer, keys in LAY
 def _matches(text: Column, how: str, keys: list[str]) -> Column:
     hit = F.lit(False)
     for k in keys:
-        hit = hit | (text.contains(k) if how == "contains" else F.endswith(text, F.lit(k)) if how == "ends" else text == k)
+        hit = hit | (text.contains(k) if how == "contains" else F.endswith(text, F.lit(k)) if how == "ends" else F.startswith(text, F.lit(k)) if how == "starts" else text == k)
     return hit
 
 
@@ -270,6 +272,74 @@ def onboarding_minutes(g: Graph) -> DataFrame:
     return one.select(clamp(minutes, 10, 90).cast("long").alias("minutes"))
 
 
+#: Topic, name and clauses of observations. A clause is kind and words of a signal, the least number that it must have, and whether it is wanted or must be missing.
+OBSERVATIONS = [
+    ("decision", "stored as a graph, in no relational database", [("library", "equals", ["graph_db"], 1, True), ("library", "equals", ["database"], 1, False)]),
+    ("decision", "reading is kept apart from services", [("module", "contains", ["parser"], 1, True), ("module", "contains", ["service"], 1, True)]),
+    ("decision", "work is handed to queues", [("library", "equals", ["async", "messaging"], 1, True)]),
+    ("decision", "data are checked against schemas", [("library", "equals", ["validation"], 1, True)]),
+    ("decision", "offered over HTTP", [("library", "equals", ["web_framework"], 1, True)]),
+    ("observation", "parts depend on each other in a circle", [("cycle", "contains", [""], 1, True)]),
+    ("observation", "much depends on one file", [("dependents", "contains", [""], 6, True)]),
+    ("observation", "functions without classes", [("count", "equals", ["functions"], 16, True), ("count", "equals", ["classes"], 1, False)]),
+    ("observation", "few classes for many functions", [("count", "equals", ["functions for a class"], 16, True), ("count", "equals", ["classes"], 1, True)]),
+    ("observation", "reading, graph and services are three stages", [("module", "contains", ["parser"], 1, True), ("module", "contains", ["graph"], 1, True), ("module", "contains", ["service"], 1, True)]),
+    ("observation", "offered over HTTP and on the command line", [("entry", "equals", ["route"], 1, True), ("entry", "equals", ["cli"], 1, True)]),
+    ("observation", "no file says what it is about", [("path", "starts", ["readme"], 1, False)]),
+]
+
+
+def signals(g: Graph, known: DataFrame, names: list[tuple[str, str]] = ENTRY_FILES, routes: list[str] = ROUTES) -> DataFrame:
+    """kind, text, path, n: what observations are made from. known: key, category of libraries.
+
+    library: category and a file that imports one; module: name and files; entry: type and path; path: each file's; cycle: a node and its length;
+    dependents: the file that most depend on; count: functions, classes, and functions for a class, rounded up.
+    """
+    from .structure import closed_trails, file_hotspots
+
+    text = lambda kind, what, path, n: [F.lit(kind).alias("kind"), what.alias("text"), path.alias("path"), n.cast("long").alias("n")]
+    one, col = F.lit(1), F.col
+    files = g.nodes("File").filter("rel_path is not null")
+    imports = g.nodes("Import").select("file_id", F.lower("module").alias("module")).join(detect_libraries(g.nodes("Import"), known), "module")
+    category = known.select(F.lower("key").alias("key"), "category").distinct()
+    used = imports.join(category, "key").select("category", "file_id").distinct().join(files.select(col("id").alias("file_id"), "rel_path"), "file_id")
+    total = g.nodes("Function", "Class").agg(F.count_if(col("label") == "Function").alias("f"), F.count_if(col("label") == "Class").alias("c"))
+    counts = F.array(*(F.struct(F.lit(name).alias("text"), n.cast("long").alias("n")) for name, n in (("functions", col("f")), ("classes", col("c")), ("functions for a class", F.ceil(col("f") / F.greatest(col("c"), one))))))
+    parts = [
+        used.select(*text("library", col("category"), col("rel_path"), one)),
+        major_modules(g).select(*text("module", col("module_name"), col("module_name"), col("file_count"))),
+        graph_entry_points(g, names, routes).select(*text("entry", col("type"), col("path"), one)),
+        files.select(*text("path", col("rel_path"), col("rel_path"), one)),
+        closed_trails(g).select(*text("cycle", col("node"), col("node"), col("cycle_length"))),
+        file_hotspots(g).orderBy(F.desc("dependency_count"), "id").limit(1).select(*text("dependents", col("name"), col("name"), col("dependency_count"))),
+        total.select(F.explode(counts).alias("x")).select(*text("count", col("x.text"), F.lit(None).cast("string"), col("x.n"))),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def observations(found: DataFrame, rules: list[tuple[str, str, list[tuple[str, str, list[str], int, bool]]]] = OBSERVATIONS) -> DataFrame:
+    """topic, rule, n, evidence: rules of which every wanted clause has a signal and no other one has; how many paths its wanted clauses have, and the first three. found: signals().
+
+    One pass over the signals, each with the clauses that it meets; a path is counted once for a rule, signals without a path are not.
+    """
+    clauses = sorted({(kind, how, tuple(keys), least) for _, _, parts in rules for kind, how, keys, least, _ in parts})
+    meets = [F.when((F.col("kind") == kind) & _matches(F.lower("text"), how, list(keys)) & (F.col("n") >= least), F.lit(i)) for i, (kind, how, keys, least) in enumerate(clauses)]
+    met = found.select("path", F.explode(F.array_compact(F.array(*meets))).alias("clause")).distinct()
+    place = {c: i for i, c in enumerate(clauses)}
+    parts = [(r, place[kind, how, tuple(keys), least], wanted) for r, (_, _, rows) in enumerate(rules) for kind, how, keys, least, wanted in rows]
+    spark = found.sparkSession
+    asked = spark.createDataFrame(parts, "place int, clause int, wanted boolean")
+    names = spark.createDataFrame([(i, topic, name) for i, (topic, name, _) in enumerate(rules)], "place int, topic string, rule string")
+    has = met.select("clause").distinct().withColumn("has", F.lit(True))
+    holds = asked.join(has, "clause", "left").groupBy("place").agg(F.every(F.coalesce("has", F.lit(False)) == F.col("wanted")).alias("holds")).filter("holds").select("place")
+    paths = met.filter("path is not null").join(asked.filter("wanted"), "clause").join(holds, "place").select("place", "path").distinct()
+    many = paths.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    few = paths.withColumn("nth", F.row_number().over(Window.partitionBy("place").orderBy("path"))).filter("nth <= 3")
+    few = few.groupBy("place").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("evidence"))
+    out = holds.join(names, "place").join(many, "place", "left").join(few, "place", "left")
+    return out.select("topic", "rule", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("evidence", F.lit("")).alias("evidence"))
+
+
 def relative_paths(paths: DataFrame, known: DataFrame) -> DataFrame:
     """path, relative: the relative path known for it, as it is or with forward slashes; else, if it holds a known path, the same with that replaced and
     without slashes before it; else, for temporary folders, what follows them; else the path with forward slashes. No path gives the empty text.

@@ -138,7 +138,7 @@ query("r10_complexity", COUNTS + ", s AS (SELECT 0.3::DOUBLE * nodes + 0.4::DOUB
 
 
 def _like(column: str, how: str, keys: list[str]) -> str:
-    test = {"contains": "contains(lower({c}), '{k}')", "ends": "ends_with(lower({c}), '{k}')", "equals": "lower({c}) = '{k}'"}[how]
+    test = {"contains": "contains(lower({c}), '{k}')", "ends": "ends_with(lower({c}), '{k}')", "starts": "starts_with(lower({c}), '{k}')", "equals": "lower({c}) = '{k}'"}[how]
     return "(" + " OR ".join(test.format(c=column, k=k) for k in keys) + ")"
 
 
@@ -254,11 +254,51 @@ query("r14_guide_understanding", GUIDE + "SELECT least(greatest(45 + 10 * count(
     lambda g: rules.reading_guide(_decorated(g), TABLE_ENTRIES, TABLE_ROUTES, TABLE_MODELS).agg(scores.understanding(F.count(F.lit(1))).cast("long").alias("percent")))
 
 
+#: Clauses that hold and clauses that don't, of each kind of signal; words of the tables.
+TABLE_OBSERVATIONS = [
+    ("decision", "cold things, nothing purple and hot", [("library", "equals", ["cold", "hot"], 1, True), ("library", "equals", ["purple-hot"], 1, False)]),
+    ("decision", "cold things are missing", [("library", "equals", ["cold"], 1, False)]),
+    ("decision", "regions of two names", [("module", "contains", ["asia"], 2, True), ("module", "contains", ["eur"], 1, True)]),
+    ("observation", "in a circle", [("cycle", "contains", [""], 2, True)]),
+    ("observation", "much depends on one", [("dependents", "contains", ["nation"], 6, True)]),
+    ("observation", "functions and classes", [("count", "equals", ["functions"], 3, True), ("count", "equals", ["classes"], 1, True), ("path", "contains", ["_3"], 1, True)]),
+    ("observation", "many for a class", [("count", "equals", ["functions for a class"], 2, True)]),
+    ("observation", "two ways in", [("entry", "equals", ["route"], 1, True), ("entry", "equals", ["cli"], 1, True)]),
+    ("observation", "nothing to read", [("path", "starts", ["readme", "sia/"], 1, False), ("path", "starts", ["asia/"], 1, True)]),
+]
+
+
+def _clause_sql(kind: str, how: str, keys: list[str], least: int) -> str:
+    return f"kind = '{kind}' AND {_like('text', how, keys)} AND n >= {least}"
+
+
+def _observation_sql(rules_: list) -> str:
+    rows = []
+    for topic, name, clauses in rules_:
+        holds = " AND ".join(("" if c[4] else "NOT ") + f"EXISTS (SELECT * FROM signals WHERE {_clause_sql(*c[:4])})" for c in clauses)
+        wanted = " OR ".join(f"({_clause_sql(*c[:4])})" for c in clauses if c[4]) or "false"
+        rows.append(f"SELECT '{topic}' AS topic, '{name}' AS rule, count(DISTINCT path) AS n, coalesce((SELECT string_agg(path, ',' ORDER BY path) FROM (SELECT DISTINCT path FROM signals WHERE path IS NOT NULL AND ({wanted}) ORDER BY path LIMIT 3)), '') AS evidence FROM signals WHERE {wanted} HAVING {holds}")
+    return " UNION ALL ".join(rows)
+
+
+query("r18_observations", CLOSED.split("SELECT node, cycle_length FROM")[0] + ENTRY_SQL + """, hot_one AS (SELECT rel_path AS name, count(*) AS d, n.id FROM walk2 JOIN files n ON target = n.id GROUP BY 1, 3 ORDER BY 2 DESC, 3 LIMIT 1), n_ AS (SELECT (SELECT count(*) FROM functions) AS f, (SELECT count(*) FROM classes) AS c),
+    signals AS (SELECT DISTINCT 'library' AS kind, split_part(lower(module), ' ', 1) AS text, rel_path AS path, 1 AS n FROM imports i JOIN files f ON i.file_id = f.id UNION ALL SELECT 'module', module_name, module_name, file_count FROM modules
+    UNION ALL SELECT 'entry', type, path, 1 FROM entries UNION ALL SELECT 'path', rel_path, rel_path, 1 FROM files UNION ALL (SELECT 'cycle', node, node, cycle_length FROM closed ORDER BY node, cycle_length LIMIT 5) UNION ALL SELECT 'dependents', name, name, d FROM hot_one
+    UNION ALL SELECT 'count', 'functions', NULL, f FROM n_ UNION ALL SELECT 'count', 'classes', NULL, c FROM n_ UNION ALL SELECT 'count', 'functions for a class', NULL, ceil(f / greatest(c, 1))::BIGINT FROM n_) """ + _observation_sql(TABLE_OBSERVATIONS))(lambda g: _observations(g))
+
+
+def _observations(g: Graph) -> DataFrame:
+    first = F.split_part(F.lower("module"), F.lit(" "), F.lit(1))
+    known = g.nodes("Import").select(first.alias("key"), first.alias("category")).distinct()
+    return rules.observations(rules.signals(_decorated(g), known, TABLE_ENTRIES, TABLE_ROUTES), TABLE_OBSERVATIONS)
+
+
 @query("r19_relative_paths", r""", asked AS (SELECT p_brand, p_partkey, p_size, CASE p_type WHEN 'ECONOMY' THEN '/srv/clone/' || p_brand || '/x/' WHEN 'PROMO' THEN '/tmp/q/T/clone/' ELSE 'D:\work\' END || p_name || ' ' || p_partkey AS path FROM part),
-    plain AS (SELECT path, p_partkey, p_size, replace(path, '\', '/') AS p FROM asked), roots AS (SELECT DISTINCT '/srv/clone/' || p_brand AS r, 'of/' || lower(p_brand) AS rel FROM part WHERE p_size > 10),
-    held AS (SELECT path, arg_max(r, (length(r), r)) AS r FROM plain JOIN roots ON contains(p, r) GROUP BY 1)
+    plain AS (SELECT path, p_partkey, p_size, replace(path, '\', '/') AS p FROM asked),
+    known AS (SELECT DISTINCT '/srv/clone/' || p_brand AS r, 'of/' || lower(p_brand) AS rel FROM part WHERE p_size > 10 UNION ALL SELECT p, 'part/' || p_partkey FROM plain WHERE p_size > 40),
+    held AS (SELECT path, arg_max(r, (length(r), r)) AS r FROM plain JOIN known ON contains(p, r) GROUP BY 1)
     SELECT path, CASE WHEN p_size > 40 THEN 'part/' || p_partkey WHEN r IS NOT NULL THEN ltrim(replace(p, r, rel), '/') WHEN contains(p, '/T/') THEN split_part(p, '/', 6) ELSE p END AS relative
-    FROM plain LEFT JOIN held USING (path) LEFT JOIN roots USING (r)""")
+    FROM plain LEFT JOIN held USING (path) LEFT JOIN known USING (r)""")
 def _relative_paths(g: Graph) -> DataFrame:
     part = g.tables("part")
     folder = F.when(F.col("p_type") == "ECONOMY", F.concat(F.lit("/srv/clone/"), "p_brand", F.lit("/x/"))).when(F.col("p_type") == "PROMO", "/tmp/q/T/clone/").otherwise("D:\\work\\")

@@ -300,3 +300,13 @@ def test_reading_guide_names_each_file_once(spark):
     assert rules.domain_scores(rules.graph_features(g)).filter("domain = 'backend_api'").head()["score"] == 25
     none = Graph.of(as_nodes(files.limit(0), "File"), g.edges().limit(0))
     assert rules.reading_guide(none).count() == 0
+
+
+def test_observations_need_all_wanted_and_no_other(spark):
+    rows = [("library", "graph_db", f"s{i}.py", 1) for i in range(5)] + [("library", "graph_db", "s0.py", 1), ("entry", "route", "s1.py", 1), ("count", "functions", None, 16), ("count", "classes", None, 0), ("dependents", "x", "x", 5)]
+    found = spark.createDataFrame(rows, "kind string, text string, path string, n long")
+    got = {tuple(x) for x in rules.observations(found).collect()}
+    assert got == {("decision", "stored as a graph, in no relational database", 5, "s0.py,s1.py,s2.py"), ("observation", "functions without classes", 0, ""), ("observation", "no file says what it is about", 0, "")}
+    more = spark.createDataFrame([("library", "database", "d.py", 1), ("entry", "cli", "c.py", 1), ("path", "README.md", "README.md", 1)], "kind string, text string, path string, n long")
+    assert {tuple(x) for x in rules.observations(found.unionByName(more)).collect()} == {("observation", "functions without classes", 0, ""), ("observation", "offered over HTTP and on the command line", 2, "c.py,s1.py")}
+    assert [tuple(x) for x in rules.observations(found.limit(0)).collect()] == [("observation", "no file says what it is about", 0, "")]
