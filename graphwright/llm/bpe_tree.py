@@ -39,7 +39,7 @@ BLOCK_BYTES = 1 << 20
 BATCH_BYTES = 2 << 20
 CHUNK_LETTERS = 16 << 10
 JOINED_IDS = 1 << 16
-SPACES = b" \t\n\x0b\x0c\r"
+IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 #: Where a run of normalized text can be cut for the splitting pattern: after a digit, which is a piece of its own, and before what ends a run of letters.
 SAFE_CUT = re.compile(r"(?<=[0-9])|(?<=[a-z])(?=[!-/:-@\[-`{-~])")
 ROWS = "doc_id long, doc string, seq long, node long, nodes long, ends boolean, letters string, ids binary, n_tokens long, {}"
@@ -153,16 +153,20 @@ class Digests:
     def of(self, ids: list[bytes]) -> list[tuple]:
         """(n_tokens, ids_sha256, decoded_sha256) of each."""
         width = self.encoder.dtype.itemsize
-        flat = pa.array(np.frombuffer(b"".join(ids), dtype=self.encoder.dtype).astype(np.int32))
-        offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) // width for x in ids]))).astype(np.int32))
-        joined = lambda words: pa.compute.binary_join(pa.ListArray.from_arrays(offsets, words.take(flat)), " ").to_pylist()
-        numbers = [hashlib.sha256(x.encode()).hexdigest() for x in joined(self.decimal)]
+        flat = np.frombuffer(b"".join(ids), dtype=self.encoder.dtype)
+        offsets = np.concatenate(([0], np.cumsum([len(x) // width for x in ids])))
+        numbers = [hashlib.sha256(x).hexdigest() for x in self.joined(self.decimal, flat, offsets)]
         if self.encoder.spaced:
-            texts = [hashlib.sha256(x.encode()).hexdigest() for x in joined(self.names)]
+            texts = [hashlib.sha256(x).hexdigest() for x in self.joined(self.names, flat, offsets)]
         else:
             texts = [hashlib.sha256(self.decode(x).encode()).hexdigest() for x in ids]
         return [(len(x) // width, n, t) for x, n, t in zip(ids, numbers, texts)]
 
+    def joined(self, words: pa.Array, flat: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The words of flat[s:e] with a space between them, for every two neighbouring offsets; Arrow does it, not Python token by token."""
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), words.take(pa.array(flat.astype(np.int32))))
+        return pa.compute.binary_join(lists, " ").cast(pa.binary()).to_pylist()
+
     def decode(self, ids: bytes) -> str:
         return self.encoder.tokenizer.decode(np.frombuffer(ids, dtype=self.encoder.dtype).tolist(), skip_special_tokens=False)
 
@@ -174,11 +178,11 @@ class Digests:
                 whole.append(block)
             flat = np.frombuffer(block, dtype=self.encoder.dtype)
             for at in range(0, len(flat), JOINED_IDS):
-                own = pa.array(flat[at : at + JOINED_IDS].astype(np.int32))
+                own = flat[at : at + JOINED_IDS]
                 for digest, words in ((numbers, self.decimal), (texts, self.names)):
                     if n:
                         digest.update(b" ")
-                    digest.update(" ".join(words.take(own).to_pylist()).encode())
+                    digest.update(*self.joined(words, own, np.array([0, len(own)])))
                 n += len(own)
         if not self.encoder.spaced:
             texts = hashlib.sha256(self.decode(b"".join(whole)).encode())
@@ -205,7 +209,7 @@ def _result(encoder: TreeEncoder, columns: str) -> Digests | Lists:
 
 def _cuts(data: bytes, spread: int, block: int) -> list[tuple[int, int, bool]]:
     """(start, end, is a long run) of the parts of a text: white-space-free runs of more than `spread` bytes, and blocks of what lies between."""
-    space = np.flatnonzero(np.isin(np.frombuffer(data, dtype=np.uint8), np.frombuffer(SPACES, dtype=np.uint8)))
+    space = np.flatnonzero(IS_SPACE[np.frombuffer(data, dtype=np.uint8)])
     edges = np.concatenate(([-1], space, [len(data)]))
     out, at = [], 0
     for i in np.flatnonzero(np.diff(edges) - 1 > spread).tolist():
@@ -237,12 +241,20 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer_path: str, columns: str
     row = lambda doc_id, made: {"doc_id": doc_id, **dict(zip(["n_tokens", *names], made))}
     for piece in pieces(batches, limit=BATCH_BYTES):
         ids, texts = piece.column(0).to_pylist(), piece.column(1).to_pylist()
-        plain = [i for i, t in enumerate(texts) if 4 * len(t) <= spread or not encoder.trees and len(t) <= block]
+        plain, apart = [], []  # apart: texts of several blocks, or with long runs
+        for i, t in enumerate(texts):
+            if 4 * len(t) <= spread or not encoder.trees and len(t) <= block:
+                plain.append(i)
+                continue
+            data = t.encode()
+            parts = _cuts(data, spread, block) if encoder.trees else [(0, len(data), False)]
+            if encoder.trees and [long_ for *_, long_ in parts] == [False]:
+                plain.append(i)
+            else:
+                apart.append((i, data, parts))
         made = encoder.encode([texts[i] for i in plain])
         out = [row(ids[i], x) for i, x in zip(plain, result.of(made))]
-        for i in sorted(set(range(len(texts))).difference(plain)):
-            data = texts[i].encode()
-            parts = _cuts(data, spread, block) if encoder.trees else [(0, len(data), False)]
+        for i, data, parts in apart:
             if not any(long_ for *_, long_ in parts):
                 out.append(row(ids[i], result.blocks(encoder.encode([data[s:e].decode()])[0] for s, e, _ in parts)))
                 continue

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -109,3 +111,40 @@ def test_memory_of_a_long_text(tokenizer):
         assert [c[0] for c in cuts] == [0] + [c[1] for c in cuts[:-1]] and cuts[-1][1] == len(data)
         assert all(long_ or e - s <= max(block, 701) for s, e, long_ in cuts)
         assert all(long_ or s == 0 or data[s : s + 1] in b" \n" or data[s - 1 : s] in b" \n" for s, e, long_ in cuts)
+
+
+def encode_batch(texts):
+    """Result and CPU seconds (least of three runs) of one batch, without Spark."""
+    seconds = []
+    for _ in range(3):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+        begin = time.process_time()
+        made = list(bpe_tree._encode(iter([batch]), PATH, bpe_tree.DIGEST, bpe_tree.LEAF, bpe_tree.SPREAD_BYTES, bpe_tree.BLOCK_BYTES, bpe_tree.CHUNK_LETTERS))
+        seconds.append(time.process_time() - begin)
+    rows = [r for b in made for r in b.to_pylist()]
+    return {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows}, min(seconds)
+
+
+def test_long_texts_cost_about_what_short_ones_do(tokenizer):
+    """The same words as short texts, texts of one block, and one text of several blocks: no token becomes a Python object."""
+    pick = random.Random(5)
+    words = ["".join(pick.choices("etaoinshrdlu", k=pick.randrange(2, 9))) for _ in range(2000)]
+    text = " ".join(pick.choices(words, k=300_000))
+    cut = lambda n: [text[at : at + n] for at in range(0, len(text), n)]
+    short, middle, long_ = cut(2000), cut(60_000), [text]
+    assert len(text) > bpe_tree.BLOCK_BYTES
+    found = {}
+    for name, texts in (("short", short), ("middle", middle), ("long", long_)):
+        made, found[name] = encode_batch(texts)
+        assert all(made[i] == expected(tokenizer, t) for i, t in enumerate(texts))
+    assert found["middle"] < 1.7 * found["short"] and found["long"] < 1.7 * found["short"], found
+
+
+def test_texts_of_one_block_are_encoded_together(monkeypatch):
+    """Texts beyond SPREAD_BYTES / 4 letters without long runs are no calls of their own; those with a long run are set apart."""
+    calls, encoder = [], bpe_tree.encoder_of(PATH, bpe_tree.LEAF)
+    monkeypatch.setattr(encoder, "encode", lambda texts, own=encoder.encode: calls.append(len(texts)) or own(texts))
+    texts = [f"{i} words of a text " * 1000 for i in range(8)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9), pa.int64()), pa.array([*texts, "so " * 99 + "x" * 40_000])], names=["doc_id", "text"])
+    list(bpe_tree._encode(iter([batch]), PATH, bpe_tree.DIGEST, bpe_tree.LEAF, bpe_tree.SPREAD_BYTES, bpe_tree.BLOCK_BYTES, bpe_tree.CHUNK_LETTERS))
+    assert calls == [8, 1]
