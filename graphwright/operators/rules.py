@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import clamp
 from ..model import Graph
 from ..plans.containment import contained
+from ..plans.settle import stored
 from .structure import major_modules
 
 #: Domain, feature, how it is matched, keys, weight. Denominator of a domain is the sum of its weights.
@@ -324,7 +325,7 @@ def observations(found: DataFrame, rules: list[tuple[str, str, list[tuple[str, s
     """
     clauses = sorted({(kind, how, tuple(keys), least) for _, _, parts in rules for kind, how, keys, least, _ in parts})
     meets = [F.when((F.col("kind") == kind) & _matches(F.lower("text"), how, list(keys)) & (F.col("n") >= least), F.lit(i)) for i, (kind, how, keys, least) in enumerate(clauses)]
-    met = found.select("path", F.explode(F.array_compact(F.array(*meets))).alias("clause")).distinct()
+    met = stored(found.select("path", F.explode(F.array_compact(F.array(*meets))).alias("clause")).distinct())  # read five times below
     place = {c: i for i, c in enumerate(clauses)}
     parts = [(r, place[kind, how, tuple(keys), least], wanted) for r, (_, _, rows) in enumerate(rules) for kind, how, keys, least, wanted in rows]
     spark = found.sparkSession

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import COMPLEXITY, FAN_IN_SEVERITY, binned, clamp
-from ..model import CALLS, CONTAINS_CLASS, INHERITS, LABELS, Graph
+from ..model import CALLS, CONTAINS_CLASS, INHERITS, LABELS, RELATIONS, Graph
 from ..plans import bitmaps
-from ..plans.settle import settled
+from ..plans import tiles as tile
+from ..plans.settle import settled, stored
 from ..plans.traverse import around, far, longest_chains, near2, undirected, walk2, with_ids
 
 
@@ -41,40 +42,48 @@ def find_target(g: Graph, text: str) -> DataFrame:
     return g.nodes().filter(hit).select("id", display().alias("label"), F.lower("label").alias("type")).orderBy("id").limit(1)
 
 
-def settled_pairs(g: Graph, back: bool = False) -> DataFrame:
-    """Different (a, b) of edges, settled; back turns them round."""
+def settled_pairs(g: Graph, label: str | None = None, back: bool = False) -> DataFrame:
+    """Different (a, b) of edges, stored; back turns them round. label: only those that one or two steps to it can use."""
     a, b = ("dst", "src") if back else ("src", "dst")
-    return settled(g.edges().select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    edges = g.edges(*(RELATIONS if label is None else g.leading(label, back)))
+    return stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
 
 
-def _steps(pairs: DataFrame, targets: DataFrame) -> tuple[bitmaps.Steps, DataFrame]:
-    """With the numbers of what has an edge."""
-    numbers = settled(bitmaps.numbered(pairs.select(F.col("a").alias("id"), F.lit(None).cast("string").alias("label")).distinct()))
-    return bitmaps.steps(pairs, targets, numbers), numbers
+def _tiles(pairs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What reaches targets in one or two steps (tiles.reached, rows are targets), and the numbers of what has an edge. pairs: a, b, stored."""
+    own = targets.select("id").distinct().withColumn("own", F.lit("own"))
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    numbers = tile.numbered(ids.join(own, "id", "left").select("id", F.coalesce("own", F.lit("")).alias("label")), pairs)
+    edges = tile.with_numbers(pairs, numbers)
+    return tile.reached(tile.tiled(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))), tile.tile_labels(numbers).filter("label = 'own'")), numbers
 
 
 def _reaching(pairs: DataFrame, targets: DataFrame) -> DataFrame:
     if bitmaps.sparse(pairs, targets):
         return walk2(pairs, targets).select("target", F.col("node").alias("id"))
-    return bitmaps.pairs_of(*_steps(pairs, targets))
+    found, numbers = _tiles(pairs, targets)
+    names = tile.named(numbers)
+    return tile.listed(found, "up", ("t", names), ("o", names), ("target", "id"))
 
 
 def upstream(g: Graph, label: str) -> DataFrame:
     """(target, id): what every node of a label reaches in one or two directed steps."""
-    return _reaching(settled_pairs(g, back=True), g.nodes(label))
+    return _reaching(settled_pairs(g, label, back=True), g.nodes(label))
 
 
 def downstream(g: Graph, label: str) -> DataFrame:
     """(target, id): what reaches every node of a label in one or two directed steps."""
-    return _reaching(settled_pairs(g), g.nodes(label))
+    return _reaching(settled_pairs(g, label), g.nodes(label))
 
 
 def fan_in(g: Graph, label: str) -> DataFrame:
     """(target, dependency_count): how many nodes reach each node of a label in one or two directed steps; none is no row."""
-    pairs, targets = settled_pairs(g), g.nodes(label)
+    pairs, targets = settled_pairs(g, label), g.nodes(label)
     if bitmaps.sparse(pairs, targets):
         return walk2(pairs, targets).groupBy("target").agg(F.count(F.lit(1)).alias("dependency_count"))
-    return bitmaps.counts_of(_steps(pairs, targets)[0]).withColumnRenamed("n", "dependency_count")
+    found, numbers = _tiles(pairs, targets)
+    counts = tile.row_counts(found).groupBy("n").agg(F.sum("up").alias("dependency_count"))
+    return counts.join(numbers, "n").select(F.col("id").alias("target"), "dependency_count")
 
 
 def neighbours(g: Graph, label: str, shown: str, of: DataFrame | None = None) -> DataFrame:
@@ -86,8 +95,29 @@ def neighbours(g: Graph, label: str, shown: str, of: DataFrame | None = None) ->
 
 
 def call_neighbourhood(g: Graph, of: DataFrame | None = None) -> DataFrame:
-    """(id, value): names of functions at the end of undirected call trails of length 2 or 3."""
-    return far(undirected(with_ids(g.edges(CALLS))), of).join(g.nodes("Function").select(F.col("id").alias("node"), F.col("name").alias("value")), "node").select(F.col("start").alias("id"), "value").distinct()
+    """(id, value): names of functions at the end of undirected call trails of length 2 or 3. Without `of` for all functions, by tiles."""
+    functions = g.nodes("Function").select("id", F.col("name").alias("value"))
+    if of is not None:
+        return far(undirected(with_ids(g.edges(CALLS))), of).join(functions.withColumnRenamed("id", "node"), "node").select(F.col("start").alias("id"), "value").distinct()
+    arcs, numbers = _numbered_arcs(g.edges(CALLS))
+    q, names = value_numbers(functions)
+    found = tile.merged(tile.by_value(far_tiles(arcs), tile.valued(numbers, q), {"cells": 0}))
+    return tile.listed(found, "cells", ("t", tile.named(numbers)), ("v", tile.named(names)), ("id", "value"))
+
+
+def far_tiles(calls: DataFrame) -> DataFrame:
+    """tiles.far of calls, numbered: x, y."""
+    arcs = calls.filter("x <> y")
+    tiles = tile.tiled(arcs.unionByName(arcs.select(F.col("y").alias("x"), F.col("x").alias("y"))))
+    return tile.far(tiles, calls.filter("x = y").select(F.col("x").alias("n")).distinct())
+
+
+def value_numbers(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, q): the number of each id's value, equal values with the same; and the values' numbers, of which null has one with a label of its own. values: id, value."""
+    key = F.coalesce(F.concat(F.lit("="), F.col("value")), F.lit(""))
+    names = tile.numbered(values.select(key.alias("id")).distinct().withColumn("label", F.when(F.col("id") == "", "null").otherwise("")))
+    q = values.select("id", key.alias("key")).join(names.select(F.col("id").alias("key"), F.col("n").alias("q")), "key").select("id", "q")
+    return q, names.select(F.when(F.col("id") != "", F.substring("id", 2, 1 << 30)).alias("id"), "label", "n")
 
 
 def class_neighbourhood(g: Graph, start: str = "File", of: DataFrame | None = None) -> DataFrame:
@@ -216,31 +246,31 @@ def inheritance_chains(g: Graph, at_least: int = 3, keep: int = 3) -> DataFrame:
 def closed_trails(g: Graph, keep: int | None = 5) -> DataFrame:
     """(node, cycle_length): nodes that an undirected trail of length 2 or 3 leads back to (loops aside).
 
-    Length 2 is a pair of nodes with two edges; length 3 is a triangle. Triangles are found from pairs pointed at the end with
-    more neighbours, so a hub's pairs of neighbours are never listed.
+    Length 2 is a pair of nodes with two edges; length 3 is a triangle. Neither triangles nor pairs of neighbours are listed: tiles of the
+    matrix of edges tell which nodes are on one (`plans/tiles.py`).
     """
-    arcs = undirected(with_ids(g.edges())).filter("a <> b")
-    pairs = arcs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    two = pairs.filter("n > 1").select(F.col("a").alias("node"), F.lit(2).cast("long").alias("cycle_length"))
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
-    rank = F.struct("d", "a")
-    sized = pairs.join(degree.select("a", rank.alias("ra")), "a").join(degree.select(F.col("a").alias("b"), F.struct(F.col("d"), F.col("a")).alias("rb")), "b")
-    up = sized.filter("ra < rb").select("a", "b", "rb")
-    wedge = up.join(up.select("a", F.col("b").alias("c"), F.col("rb").alias("rc")), "a").filter("rb < rc")
-    closed = wedge.join(up.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"])
-    three = closed.select(F.explode(F.array("a", "b", "c")).alias("node"), F.lit(3).cast("long").alias("cycle_length"))
-    out = two.unionByName(three).distinct()
+    arcs, numbers = _numbered_arcs(g.edges(*g.circular()).filter("src <> dst"))
+    tiles = tile.tiled(arcs.unionByName(arcs.select(F.col("y").alias("x"), F.col("x").alias("y"))))
+    out = _on(numbers, tile.repeated(tiles), 2).unionByName(_on(numbers, tile.on_cycles(tiles), 3))
     return out if keep is None else out.orderBy("node", "cycle_length").limit(keep)
 
 
 def directed_cycles(g: Graph) -> DataFrame:
     """(node, cycle_length): functions on a directed call cycle of two or three steps. Not part of the reference."""
-    arcs = with_ids(g.edges(CALLS))
-    one = arcs.select(F.col("a").alias("node"), F.col("b").alias("n1"))
-    back = arcs.select(F.col("a").alias("last"), F.col("b").alias("node"))
-    two = one.join(back.withColumnRenamed("last", "n1"), ["node", "n1"]).select("node", F.lit(2).cast("long").alias("cycle_length"))
-    three = one.join(arcs.select(F.col("a").alias("n1"), F.col("b").alias("last")), "n1").join(back, ["node", "last"]).select("node", F.lit(3).cast("long").alias("cycle_length"))
-    return two.unionByName(three).distinct()
+    arcs, numbers = _numbered_arcs(g.edges(CALLS))
+    tiles = tile.tiled(arcs)
+    return _on(numbers, tile.on_two(tiles), 2).unionByName(_on(numbers, tile.on_cycles(tiles), 3))
+
+
+def _numbered_arcs(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges as pairs of numbers, and the numbers of what they join."""
+    pairs = stored(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    numbers = tile.numbered(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().withColumn("label", F.lit("")), pairs)
+    return tile.with_numbers(pairs, numbers), numbers
+
+
+def _on(numbers: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    return numbers.join(found, "n", "left_semi").select(F.col("id").alias("node"), F.lit(length).cast("long").alias("cycle_length"))
 
 
 def coupled_files(g: Graph, over: int = 5, keep: int = 5) -> DataFrame:
@@ -289,13 +319,13 @@ def health(g: Graph) -> DataFrame:
 
 def architecture_risk(g: Graph) -> DataFrame:
     """30, plus files in each module, plus the top file's criticality, plus each risk by severity; at most 100."""
+    circle = stored(closed_trails(g).agg(F.when(F.count(F.lit(1)) > 0, 25).otherwise(0).alias("r3")))  # one row; the plan below stays small
     modules = major_modules(g).agg((F.sum("file_count") * 1.0).alias("files"), F.count(F.lit(1)).alias("modules"))
     all_files = g.nodes("File").agg(F.count(F.lit(1)).alias("n_files"))
     top = file_hotspots(g).agg(F.max("criticality").alias("criticality"))
     excess = excess_fan_in(g).agg(F.max("severity").alias("name"), F.max("incoming_degree").alias("most"))
     excess = excess.select(F.when(F.col("most") > 20, 25).when(F.col("most") > 12, 15).when(F.col("most").isNotNull(), 10).otherwise(0).alias("r1"))
     chain = inheritance_chains(g).agg(F.max("depth").alias("d")).select(F.when(F.col("d") > 5, 15).when(F.col("d").isNotNull(), 10).otherwise(0).alias("r2"))
-    circle = closed_trails(g).agg(F.when(F.count(F.lit(1)) > 0, 25).otherwise(0).alias("r3"))
     one = modules.crossJoin(all_files).crossJoin(top).crossJoin(excess).crossJoin(chain).crossJoin(circle)  # one row each
     average = F.col("n_files") / F.col("modules")
     score = 30 + F.when(average > 20, 20).when(average > 10, 10).otherwise(0) + F.when(F.col("criticality") > 0.9, 15).when(F.col("criticality") > 0.7, 8).otherwise(0) + F.col("r1") + F.col("r2") + F.col("r3")

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .settle import settled
+from .settle import settled, stored
 
 
 def with_ids(edges: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def _levels(arcs: DataFrame, keep: int, stop: int | None) -> list[DataFrame]:
     while stop is None or len(levels) < stop:
         level = level.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= keep).drop("place").persist()
         if (len(levels) + 1) % 8 == 0:
-            written = settled(level)
+            written = stored(level)  # and the shuffle files of eight levels go
             level.unpersist()
             level = written
         if level.isEmpty():

@@ -234,7 +234,7 @@ TABLE_ENTRIES, TABLE_ROUTES, TABLE_MODELS = [("nation_3", "main"), ("nation_7",
 
 def _decorated(g: Graph) -> Graph:
     """The graph with each function's name as its decorator, as the tables have none."""
-    return Graph(g.node_parts | {"Function": lambda: g.nodes("Function").withColumn("decorators", F.array("name"))}, g.edge_parts, tables=g.tables)
+    return Graph(g.node_parts | {"Function": lambda: g.nodes("Function").withColumn("decorators", F.array("name"))}, g.edge_parts, tables=g.tables, ends=g.ends)
 
 
 TABLE_DECORATORS = [("served", "decorator", "contains", ["0000007", "0000003"], 30), ("served", "decorator", "equals", ["nothing"], 15), ("served", "path", "contains", ["asia/"], 20), ("other", "decorator", "ends", ["0000011"], 10)]

@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from ..model import CALLS, CONTAINS_CLASS, CONTAINS_FILE, CONTAINS_FUNCTION, IMPORTS, INHERITS, Graph
 
 
+#: Ids begin with their label, so edges can't end elsewhere.
+ENDS = {
+    CONTAINS_FILE: ("Repository", "File"), CONTAINS_FUNCTION: ("File", "Function"), CONTAINS_CLASS: ("File", "Class"),
+    IMPORTS: ("File", "Import"), INHERITS: ("Class", "Class"), CALLS: ("Function", "Function"),
+}
+
+
 def call_lines(lines: DataFrame) -> DataFrame:
     """(caller, callee) of every two adjacent lines of an order that differ, repeats included."""
     a = lines.select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("caller"))
@@ -76,4 +83,4 @@ def project(spark: SparkSession, sf_dir: str) -> Graph:
         joined = t("lineitem").select("l_orderkey", "l_partkey").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
         return joined.select(F.col("l_orderkey").cast("string").alias("sha"), F.concat("p_brand", F.lit("/"), "p_name").alias("path")).distinct()
 
-    return Graph(node_parts, edge_parts, commits, commit_files, t)
+    return Graph(node_parts, edge_parts, commits, commit_files, t, ENDS)
