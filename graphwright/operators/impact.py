@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import severity
-from ..model import Graph
-from ..plans import bitmaps
-from ..plans.settle import settled
+from ..model import CALLS, CONTAINS_CLASS, INHERITS, Graph
+from ..plans import tiles as tile
+from ..plans.settle import settled, stored
 from ..plans.traverse import around, walk2, with_ids
-from .structure import call_neighbourhood, class_neighbourhood, display, neighbours, settled_pairs
+from .structure import call_neighbourhood, class_neighbourhood, display, far_tiles, neighbours, value_numbers
 
 
 def impact_rows(g: Graph, label: str, of: DataFrame | None = None) -> DataFrame:
@@ -33,13 +35,35 @@ def impact_rows(g: Graph, label: str, of: DataFrame | None = None) -> DataFrame:
     return sides.join(g.nodes().select("id", display().alias("shown"), F.lower("label").alias("type")), "id")
 
 
+def _sides(g: Graph, label: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of all nodes of a label (tiles.reached), and the numbers of nodes and other ends of edges with their type; other ends have none."""
+    relations = tuple(dict.fromkeys(g.leading(label) + g.leading(label, back=True)))
+    pairs = stored(g.edges(*relations).select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    types = g.nodes(*g.labels(relations)).groupBy("id").agg(F.max(F.lower("label")).alias("label"))
+    numbers = tile.numbered(ends.join(types, "id", "left").select("id", F.coalesce("label", F.lit("")).alias("label")), pairs)
+    own = tile.tile_labels(numbers).filter(F.col("label") == label.lower())
+    return tile.reached(tile.tiled(tile.with_numbers(pairs, numbers)), own, both=True), numbers
+
+
+def _side_counts(found: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Counts for each target, by tiles: no list of who reaches whom. Tiles hold one type."""
+    rows = tile.row_counts(found).join(F.broadcast(tile.tile_labels(numbers).filter("label <> ''")), F.col("o") == F.col("tile"))  # a row for as many nodes as a tile has
+    of = lambda k: F.sum(F.when(F.col("label") == k, F.col("up") + F.col("down")).otherwise(0))
+    counts = rows.groupBy("n").agg(F.sum("up").alias("upstream_count"), F.sum("down").alias("downstream_count"), F.sum("total").alias("total_impacted"), of("file").alias("files"), of("class").alias("classes"), of("function").alias("functions"))
+    return counts.join(numbers.select("n", F.col("id").alias("target")), "n")
+
+
 def _impact_counts(g: Graph, label: str) -> DataFrame:
-    """Counts for all nodes of a label; by bitmaps of both sides, without listing who reaches whom."""
-    pairs, targets = settled_pairs(g), g.nodes(label)
-    numbers = settled(bitmaps.numbered(g.nodes().select("id", F.lower("label").alias("label"))))
-    sides = {"upstream_count": bitmaps.steps(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), targets, numbers), "downstream_count": bitmaps.steps(pairs, targets, numbers)}
-    found = bitmaps.kind_counts(numbers, ["file", "class", "function"], **sides)
-    return found.withColumnsRenamed({"total": "total_impacted", "file": "files", "class": "classes", "function": "functions"})
+    return _side_counts(*_sides(g, label))
+
+
+def _values(g: Graph, label: Column, numbers: DataFrame, *labels: str) -> tuple[DataFrame, DataFrame]:
+    """For tiles of numbers the numbers of the names that their nodes show (tiles.valued), and the names' numbers, in the order of names within what label says."""
+    shown = g.nodes(*labels).select("id", display().alias("shown"), label.alias("kind")).filter("shown is not null")
+    names = tile.numbered(shown.select(F.col("shown").alias("id"), F.col("kind").alias("label")).distinct())
+    of = shown.join(names.select(F.col("id").alias("shown"), F.col("label").alias("kind"), F.col("n").alias("q")), ["shown", "kind"]).select("id", "q")
+    return tile.valued(numbers, of), names
 
 
 def impact_scores(g: Graph, label: str, of: DataFrame | None = None) -> DataFrame:
@@ -48,6 +72,10 @@ def impact_scores(g: Graph, label: str, of: DataFrame | None = None) -> DataFram
     counts = _impact_counts(g, label) if of is None else impact_rows(g, label, of).groupBy("target").agg(
         n(F.col("side") == "up").alias("upstream_count"), n(F.col("side") == "down").alias("downstream_count"), F.count_distinct("id").alias("total_impacted"),
         n(F.col("type") == "file").alias("files"), n(F.col("type") == "class").alias("classes"), n(F.col("type") == "function").alias("functions"))
+    return _scored(counts)
+
+
+def _scored(counts: DataFrame) -> DataFrame:
     cap = lambda c, k, most: F.least(F.col(c) * k, F.lit(most))
     score = F.least(F.lit(100), 20 + cap("upstream_count", 4, 25) + cap("downstream_count", 5, 35) + F.col("files") * 2 + cap("classes", 3, 10) + cap("functions", 2, 8))
     return counts.select("target", "upstream_count", "downstream_count", "total_impacted", score.cast("long").alias("risk_score"), severity(score).alias("level"))
@@ -64,19 +92,28 @@ def impact_report(g: Graph, of: DataFrame) -> DataFrame:
 
 
 def impact_lists(g: Graph, label: str) -> DataFrame:
-    """Sorted distinct names by type, as comma-joined text, and the sentence that explains the risk."""
-    rows = impact_rows(g, label)
-    names = lambda kind: F.array_join(F.array_sort(F.collect_set(F.when(F.col("type") == kind, F.col("shown")))), ",").alias(f"{kind}s")
-    return rows.groupBy("target").agg(names("file"), names("function"))
+    """Sorted distinct names by type, as comma-joined text."""
+    found, numbers = _sides(g, label)
+    parts = {"file": 0, "function": 1}
+    columns, names = _values(g, F.lower("label"), numbers, "File", "Function")
+    both = tile.merged(tile.by_value(found, columns, {"up": 0, "down": 0})).drop("part")
+    kinds = tile.tile_labels(names).select(F.col("tile").alias("v"), F.when(F.col("label") == "file", parts["file"]).otherwise(parts["function"]).alias("part"))
+    texts = tile.texts(both.join(F.broadcast(kinds), "v"), tile.named(names), ",")  # a row for each tile
+    whole = lambda part: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("v", "text")))), lambda x: x["text"]), ",")
+    texts = texts.groupBy("n").agg(*(whole(part).alias(f"{kind}s") for kind, part in parts.items()))
+    return _side_counts(found, numbers).select("n", "target").join(texts, "n", "left").select("target", *(F.coalesce(f"{kind}s", F.lit("")).alias(f"{kind}s") for kind in parts))
 
 
 def explanations(g: Graph, label: str) -> DataFrame:
     """Level and the first three names up- and downstream."""
-    rows = impact_rows(g, label).select("target", "side", "shown").distinct()
-    first = lambda side: F.array_join(F.slice(F.array_sort(F.collect_set(F.when(F.col("side") == side, F.col("shown")))), 1, 3), ", ")
-    texts = rows.groupBy("target").agg(first("up").alias("ups"), first("down").alias("downs"))
-    text = F.concat(F.col("level"), F.lit(" risk; uses "), F.col("ups"), F.lit("; used by "), F.col("downs"))
-    return texts.join(impact_scores(g, label).select("target", "level"), "target").select("target", text.alias("explanation"))
+    found, numbers = _sides(g, label)
+    columns, names = _values(g, F.lit(""), numbers, *g.labels(g.leading(label) + g.leading(label, back=True)))
+    sides = {"up": 0, "down": 1}
+    few = tile.firsts(tile.merged(tile.by_value(found, columns, sides)), tile.named(names), 3)
+    first = lambda part: F.array_join(F.slice(F.array_sort(F.collect_set(F.when(F.col("part") == part, F.col("value")))), 1, 3), ", ")
+    texts = few.groupBy("n").agg(*(first(part).alias(side) for side, part in sides.items())).join(numbers.select("n", F.col("id").alias("target")), "n")
+    text = F.concat(F.col("level"), F.lit(" risk; uses "), *(x for side, before in (("up", ""), ("down", "; used by ")) for x in (F.lit(before), F.coalesce(side, F.lit("")))))
+    return _scored(_side_counts(found, numbers)).join(texts, "target", "left").select("target", text.alias("explanation"))
 
 
 def change_parts(g: Graph, label: str, of: DataFrame | None = None) -> DataFrame:
@@ -88,13 +125,50 @@ def change_parts(g: Graph, label: str, of: DataFrame | None = None) -> DataFrame
 
 def change_simulation(g: Graph, label: str, of: DataFrame | None = None) -> DataFrame:
     """Risk and blast radius of changing each node of a label (of those in the frame `of`). Equal displayed names count once in the radius."""
-    n = lambda p: F.count_if(F.col("part") == p)
-    direct = F.when(F.col("part").isin("file", "function"), F.col("value"))
-    found = change_parts(g, label, of).groupBy("id").agg(
-        n("file").alias("f"), n("function").alias("g"), n("indirect").alias("h"), n("class").alias("c"),
-        F.count_distinct(direct).alias("direct"), F.count_distinct("value").alias("total"))
+    if of is None:
+        counts = _change_counts(g, label)
+    else:
+        n = lambda p: F.count_if(F.col("part") == p)
+        direct = F.when(F.col("part").isin("file", "function"), F.col("value"))
+        counts = change_parts(g, label, of).groupBy("id").agg(
+            n("file").alias("f"), n("function").alias("g"), n("indirect").alias("h"), n("class").alias("c"),
+            F.count_distinct(direct).alias("direct"), F.count_distinct("value").alias("total"))
     score = F.least(F.lit(100), F.greatest(F.lit(20), 8 * F.col("f") + 7 * F.col("g") + 4 * F.col("h") + 5 * F.col("c") + 15))
-    return found.select("id", "direct", F.col("h").alias("indirect"), "total", score.cast("long").alias("risk_score"))
+    return counts.select("id", "direct", F.col("h").alias("indirect"), "total", score.cast("long").alias("risk_score"))
+
+
+def _change_counts(g: Graph, label: str) -> DataFrame:
+    """What change_parts() lists, counted for all nodes of a label by tiles whose columns are displayed names. The null name is in its own part only, not in direct or total."""
+    near = g.beside(label, "File", "Function")
+    pairs = stored(g.edges(*dict.fromkeys((CALLS, *near))).select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("rel_type") == CALLS).alias("call"), F.col("rel_type").isin(*near).alias("near")))
+    own = g.nodes(label).select("id").distinct().withColumn("label", F.lit("own"))
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(own.select("id")).distinct()
+    numbers = tile.numbered(ends.join(own, "id", "left").select("id", F.coalesce("label", F.lit("")).alias("label")), pairs)
+    mine = F.broadcast(tile.tile_labels(numbers).filter("label = 'own'").select(F.col("tile").alias("t")))  # a row for as many nodes as a tile has
+    files, functions = (g.nodes(x).select("id", F.col(c).alias("value")) for x, c in (("File", "rel_path"), ("Function", "name")))
+    kinds = [files, functions]
+    if touching := g.joined(label, "Class", INHERITS, CONTAINS_CLASS, CALLS):
+        classes = stored(class_neighbourhood(g, label))
+        shown = F.coalesce(F.concat(F.lit("="), F.col("value")), F.lit(""))
+        kinds.append(classes.select(shown.alias("id"), "value").distinct())
+    q, names = value_numbers(functools.reduce(DataFrame.unionByName, (x.select(F.concat(F.lit(f"{k}:"), F.col("id")).alias("id"), "value") for k, x in enumerate(kinds))))
+    q = stored(q)
+    of_kind = lambda k, x: x.join(q.filter(F.startswith("id", F.lit(f"{k}:"))).select(F.substring("id", 3, 1 << 30).alias("id"), "q"), "id").select("id", "q")
+    named = lambda x: x.filter("value is not null and value <> ''").select("id")
+    both = lambda x: x.unionByName(x.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    beside = tile.tiled(both(tile.with_numbers(pairs.filter("near").select("a", "b"), numbers))).withColumnsRenamed({"i": "t", "j": "o"}).join(mine, "t", "left_semi")
+    far = far_tiles(tile.with_numbers(pairs.filter("call").select("a", "b"), numbers)).join(mine, "t", "left_semi")
+    parts = tile.by_value(beside, tile.valued(numbers, of_kind(0, named(files))), {"cells": 0}).unionByName(tile.by_value(beside, tile.valued(numbers, of_kind(1, named(functions))), {"cells": 1}))
+    parts = parts.unionByName(tile.by_value(far, tile.valued(numbers, of_kind(1, functions.select("id"))), {"cells": 2}))
+    if touching:
+        cells = classes.join(numbers.select("id", F.col("n").alias("x")), "id").select("x", F.concat(F.lit("2:"), shown).alias("key"))
+        cells = tile.tiled(cells.join(q.select(F.col("id").alias("key"), F.col("q").alias("y")), "key").select("x", "y"))
+        parts = parts.unionByName(cells.select(F.col("i").alias("t"), F.col("j").alias("v"), F.lit(3).alias("part"), "cells"))
+    counts = tile.part_counts(parts, {"f": (0,), "g": (1,), "h": (2,), "c": (3,), "direct": (0, 1), "total": (0, 1, 2, 3)})
+    counts = counts.join(F.broadcast(tile.tile_labels(names)), F.col("v") == F.col("tile"))  # a row for as many values as a tile has
+    is_named = lambda c: F.sum(F.when(F.col("label") == "", F.col(c)).otherwise(0)).alias(c)
+    counts = counts.groupBy("n").agg(*(F.sum(c).alias(c) for c in "fghc"), is_named("direct"), is_named("total"))
+    return counts.join(numbers.filter("label = 'own'").select("n", "id"), "n")
 
 
 def critical_files(g: Graph, keep: int = 5) -> DataFrame:

@@ -154,6 +154,7 @@ def joined_rows(spark, f):
 
 ASKED = {
     "r18_observations": lambda g: rules.signals(g, g.nodes().select(F.col("id").alias("key"), F.col("id").alias("category"))),
+    "r20_impact_lists": lambda g: impact.impact_lists(g, "Function"),
 }
 
 
