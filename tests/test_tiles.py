@@ -157,6 +157,7 @@ ASKED = {
     "r20_impact_lists": lambda g: impact.impact_lists(g, "Function"),
     "r21_explanations": lambda g: impact.explanations(g, "Function"),
     "x_directed_cycles": structure.directed_cycles,
+    "r2_r3_change_simulation": lambda g: impact.change_simulation(g, "Function"),
 }
 
 
