@@ -158,6 +158,7 @@ ASKED = {
     "r21_explanations": lambda g: impact.explanations(g, "Function"),
     "x_directed_cycles": structure.directed_cycles,
     "r2_r3_change_simulation": lambda g: impact.change_simulation(g, "Function"),
+    "q9_call_neighbourhood": structure.call_neighbourhood,
 }
 
 
