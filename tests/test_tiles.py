@@ -159,6 +159,7 @@ ASKED = {
     "x_directed_cycles": structure.directed_cycles,
     "r2_r3_change_simulation": lambda g: impact.change_simulation(g, "Function"),
     "q9_call_neighbourhood": structure.call_neighbourhood,
+    "r4_architecture_risk": structure.architecture_risk,
 }
 
 
