@@ -156,6 +156,7 @@ ASKED = {
     "r18_observations": lambda g: rules.signals(g, g.nodes().select(F.col("id").alias("key"), F.col("id").alias("category"))),
     "r20_impact_lists": lambda g: impact.impact_lists(g, "Function"),
     "r21_explanations": lambda g: impact.explanations(g, "Function"),
+    "r23_summary": structure.summary,
     "x_directed_cycles": structure.directed_cycles,
     "r2_r3_change_simulation": lambda g: impact.change_simulation(g, "Function"),
     "q9_call_neighbourhood": structure.call_neighbourhood,
