@@ -161,6 +161,7 @@ ASKED = {
     "r2_r3_change_simulation": lambda g: impact.change_simulation(g, "Function"),
     "q9_call_neighbourhood": structure.call_neighbourhood,
     "r4_architecture_risk": structure.architecture_risk,
+    "r9_health": structure.health,
 }
 
 
