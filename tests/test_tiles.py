@@ -162,6 +162,7 @@ ASKED = {
     "q9_call_neighbourhood": structure.call_neighbourhood,
     "r4_architecture_risk": structure.architecture_risk,
     "r9_health": structure.health,
+    "a3_function_hotspots": structure.function_hotspots,
 }
 
 
