@@ -163,6 +163,7 @@ ASKED = {
     "r4_architecture_risk": structure.architecture_risk,
     "r9_health": structure.health,
     "a3_function_hotspots": structure.function_hotspots,
+    "a7_closed_trails": structure.closed_trails,
 }
 
 
