@@ -164,6 +164,7 @@ ASKED = {
     "r9_health": structure.health,
     "a3_function_hotspots": structure.function_hotspots,
     "a7_closed_trails": structure.closed_trails,
+    "a5_excess_fan_in_functions": lambda g: structure.excess_fan_in(g, "Function"),
 }
 
 
