@@ -165,6 +165,7 @@ ASKED = {
     "a3_function_hotspots": structure.function_hotspots,
     "a7_closed_trails": structure.closed_trails,
     "a5_excess_fan_in_functions": lambda g: structure.excess_fan_in(g, "Function"),
+    "a13_onboarding": structure.onboarding,
 }
 
 
