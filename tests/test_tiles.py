@@ -166,6 +166,7 @@ ASKED = {
     "a7_closed_trails": structure.closed_trails,
     "a5_excess_fan_in_functions": lambda g: structure.excess_fan_in(g, "Function"),
     "a13_onboarding": structure.onboarding,
+    "a7_closed_trails_all": lambda g: structure.closed_trails(g, None),
 }
 
 
