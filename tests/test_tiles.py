@@ -167,6 +167,7 @@ ASKED = {
     "a5_excess_fan_in_functions": lambda g: structure.excess_fan_in(g, "Function"),
     "a13_onboarding": structure.onboarding,
     "a7_closed_trails_all": lambda g: structure.closed_trails(g, None),
+    "r1_impact_scores": lambda g: impact.impact_scores(g, "Function"),
 }
 
 
