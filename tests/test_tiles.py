@@ -168,6 +168,7 @@ ASKED = {
     "a13_onboarding": structure.onboarding,
     "a7_closed_trails_all": lambda g: structure.closed_trails(g, None),
     "r1_impact_scores": lambda g: impact.impact_scores(g, "Function"),
+    "q6_downstream": lambda g: structure.downstream(g, "Function"),
 }
 
 
