@@ -169,6 +169,7 @@ ASKED = {
     "a7_closed_trails_all": lambda g: structure.closed_trails(g, None),
     "r1_impact_scores": lambda g: impact.impact_scores(g, "Function"),
     "q6_downstream": lambda g: structure.downstream(g, "Function"),
+    "q5_upstream": lambda g: structure.upstream(g, "Function"),
 }
 
 
